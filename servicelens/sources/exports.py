@@ -61,18 +61,28 @@ def read_export(spark: SparkSession, paths: str | Sequence[str], schema: T.Struc
 
 
 def listing(spark: SparkSession, path: str) -> DataFrame:
-    """(file, name, bytes, modified) of every file; contents are not read."""
-    return (
-        spark.read.format("binaryFile")
-        .option("recursiveFileLookup", True)
-        .load(path)
-        .select(
-            F.col("_metadata.file_path").alias("file"),
-            F.col("_metadata.file_name").alias("name"),
-            F.col("_metadata.file_size").alias("bytes"),
-            F.col("_metadata.file_modification_time").alias("modified"),
-        )
+    """(file, name, bytes, modified) of every file; contents are not read.
+
+    Scans skip files of zero bytes. Their names come from the file index of the read, which the
+    driver holds for any scan; they have no time of modification.
+    """
+    read = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
+    scanned = read.select(
+        F.col("_metadata.file_path").alias("file"),
+        F.col("_metadata.file_name").alias("name"),
+        F.col("_metadata.file_size").alias("bytes"),
+        F.col("_metadata.file_modification_time").alias("modified"),
     )
+    indexed = spark.createDataFrame([(f,) for f in read.inputFiles()], "file string").select(
+        F.regexp_replace("file", "^file:/+", "file:/").alias("file")
+    )
+    empty = indexed.join(scanned.select("file"), "file", "left_anti").select(
+        "file",
+        F.url_decode(F.substring_index("file", "/", -1)).alias("name"),
+        F.lit(0).cast("long").alias("bytes"),
+        F.lit(None).cast("timestamp").alias("modified"),
+    )
+    return scanned.unionByName(empty)
 
 
 def raw_records(
@@ -84,13 +94,15 @@ def raw_records(
 ) -> DataFrame:
     """(file, pos, raw): the text of each logical record in file order, blank ones left out.
 
-    The read schema is wider than any accepted file, so every record counts as malformed and comes
-    back untouched in the corrupt-record column. Too large files are pruned before reading.
+    The read schema is wider than any accepted file, and its last column is a date in a format no
+    text has. So no record fits the schema, and each comes back untouched in the corrupt-record
+    column. Too large files are pruned before reading.
     """
     width = (max_columns or 1000) + 10
+    last = f"_c{width - 1}"
     schema = T.StructType(
-        [T.StructField(f"_c{i}", T.StringType()) for i in range(width)]
-        + [T.StructField("_bad", T.StringType())]
+        [T.StructField(f"_c{i}", T.StringType()) for i in range(width - 1)]
+        + [T.StructField(last, T.DateType()), T.StructField("_bad", T.StringType())]
     )
     read = (
         spark.read.schema(schema)
@@ -103,17 +115,18 @@ def raw_records(
             columnNameOfCorruptRecord="_bad",
             recursiveFileLookup=True,
             pathGlobFilter=_CSV_NAMES,
+            maxColumns=100_000,
+            nullValue="\u0001",
+            dateFormat="'\u0001'yyyy",
+            enableDateTimeParsingFallback=False,
+            columnPruning=False,
         )
         .csv(path)
     )
     if max_bytes is not None:
         read = read.where(F.col("_metadata.file_size") <= max_bytes)
-    # A record of exactly the schema's width is well formed and leaves `_bad` empty. It is over the
-    # column limit, so only the number of its cells matters.
-    full_width = F.array_join(F.array_repeat(F.lit(""), width), ",")
-    raw = F.when(F.col("_bad").isNull() & F.col(f"_c{width - 1}").isNotNull(), full_width).otherwise(
-        F.coalesce(F.col("_bad"), F.col("_c0"))
-    )
+    # Naming the last column keeps it in the read, and with it the failing date.
+    raw = F.coalesce(F.col("_bad"), F.col(last).cast("string"))
     if not multi_line:
         raw = F.regexp_replace(raw, "^\\x{FEFF}", "")
     # The reader settles on one line ending per file; split where a file mixes them.
