@@ -13,7 +13,7 @@ ISO_DATE = "^[0-9]{4}-[0-9]{2}-[0-9]{2}"
 # What personal data looks like in a value, and in a header.
 PII_VALUES = {
     "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+\.[A-Za-z]{2,}",
-    "phone": r"(^|[^0-9])(\+|00)?[0-9]{2,3}[ ./-]?[0-9]{2,3}[ ./-]?[0-9]{3,4}([^0-9]|$)",
+    "phone": r"(^|[^A-Za-z0-9])(\+|00)?[0-9]{2,3}[ ./-]?[0-9]{2,3}[ ./-]?[0-9]{3,4}([^A-Za-z0-9]|$)",
     "id_number": r"(^|[^A-Za-z0-9])[A-Z][0-9]{8}[A-Z]([^A-Za-z0-9]|$)",
 }
 PII_HEADERS = {

@@ -11,6 +11,7 @@ from collections.abc import Iterable, Sequence
 from decimal import Decimal
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import types as T
 
 
 def _literal(value) -> str:
@@ -32,7 +33,7 @@ def _literal(value) -> str:
 
 def values_table(spark: SparkSession, rows: Iterable[Sequence], schema: str) -> DataFrame:
     """`schema` is a DDL list without nested types, e.g. "department string, target double"."""
-    columns = [part.strip().rsplit(" ", 1) for part in schema.split(",")]
+    columns = [(f.name, f.dataType.simpleString()) for f in T.StructType.fromDDL(schema).fields]
     listed = [tuple(row) for row in rows]
     names = ", ".join(f"`{name}`" for name, _ in columns)
     casts = ", ".join(f"CAST(`{name}` AS {kind}) AS `{name}`" for name, kind in columns)
