@@ -6,6 +6,8 @@ order of the calls.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -16,6 +18,11 @@ PRICES = (("fast", 1.0, 5.0), ("smart", 2.0, 10.0))
 DEFAULT_MODEL = "smart"
 DEFAULT_BUDGET = 20.0
 
+# A running total is cut so that a task sorts about this many rows; the number of cuts is bounded
+# because they are constants of the plan.
+ROWS_PER_SLICE = 1_000_000
+MAX_SLICES = 4_000
+
 
 def price_table(spark: SparkSession) -> DataFrame:
     return values_table(spark, PRICES, "model string, in_usd double, out_usd double")
@@ -42,8 +49,25 @@ def spend(usage: DataFrame, prices: DataFrame) -> DataFrame:
     )
 
 
+def _cut_number(key: Column, cuts: list[int]) -> Column:
+    """How many of the sorted cuts are at or below the key; looks at about 2 * sqrt(n) of them."""
+    if not cuts:
+        return F.lit(0)
+    step = max(1, math.isqrt(len(cuts)))
+    groups = [cuts[i : i + step] for i in range(0, len(cuts), step)]
+
+    def longs(values: list[int]) -> Column:
+        return F.array(*[F.lit(v).cast("long") for v in values])
+
+    group = F.size(F.filter(longs([g[0] for g in groups]), lambda c: c <= key))
+    inside = F.element_at(F.array(*[longs(g) for g in groups]), group)
+    return F.when(group == 0, 0).otherwise(
+        (group - 1) * step + F.size(F.filter(inside, lambda c: c <= key))
+    )
+
+
 def running_total(
-    df: DataFrame, value: str, order: str, output: str, slices: int = 200, decimals: int = 10
+    df: DataFrame, value: str, order: str, output: str, slices: int | None = None, decimals: int = 10
 ) -> DataFrame:
     """Adds the sum of `value` over all rows before this one in the order of the unique long `order`.
 
@@ -53,14 +77,16 @@ def running_total(
     become constants of the plan, so a lost task recomputes the same slices. Sums are decimal: they
     do not depend on the order in which partial sums arrive.
     """
-    cuts = df.select(
-        F.percentile_approx(order, [i / slices for i in range(1, slices)], 100 * slices).alias("c")
-    ).first()["c"]
-    bounds = F.array(*[F.lit(c) for c in sorted(set(cuts or []))]).cast("array<bigint>")
-    # Number of cuts at or below the key: a binary search would not be shorter than this filter.
-    slice_no = F.size(F.filter(bounds, lambda c: c <= F.col(order)))
+    if slices is None:
+        slices = min(MAX_SLICES, 1 + df.count() // ROWS_PER_SLICE)
+    cuts = []
+    if slices > 1:
+        found = df.select(
+            F.percentile_approx(order, [i / slices for i in range(1, slices)], 100 * slices).alias("c")
+        ).first()["c"]
+        cuts = sorted(set(found or []))
     exact = F.col(value).cast(f"decimal(38,{decimals})")
-    sliced = df.withColumn("_slice", slice_no).withColumn("_exact", exact)
+    sliced = df.withColumn("_slice", _cut_number(F.col(order), cuts)).withColumn("_exact", exact)
     before = Window.partitionBy("_slice").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
     slice_sums = sliced.groupBy("_slice").agg(F.sum("_exact").alias("_sum"))
     earlier = slice_sums.select(
@@ -79,7 +105,7 @@ def running_total(
 
 
 def budget_gate(
-    usage: DataFrame, prices: DataFrame, budget: float = DEFAULT_BUDGET, slices: int = 200
+    usage: DataFrame, prices: DataFrame, budget: float = DEFAULT_BUDGET, slices: int | None = None
 ) -> DataFrame:
     """Adds `spent_before` and `allowed`: a call is blocked once the spend before it reaches the budget.
 

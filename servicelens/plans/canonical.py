@@ -34,20 +34,10 @@ def locations(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
-def customers(spark: SparkSession, path: str, located: bool) -> DataFrame:
-    customer = table(spark, path, "customer")
-    if not located:
-        return customer.select("c_custkey", F.col("c_mktsegment").alias("department_id"))
-    nation, region = table(spark, path, "nation"), table(spark, path, "region")
-    return (
-        customer.join(nation, F.col("c_nationkey") == F.col("n_nationkey"), "left")
-        .join(region, F.col("n_regionkey") == F.col("r_regionkey"), "left")
-        .select(
-            "c_custkey",
-            F.col("c_mktsegment").alias("department_id"),
-            F.col("n_name").alias("location_id"),
-            F.col("r_name").alias("source_id"),
-        )
+def customers(spark: SparkSession, path: str) -> DataFrame:
+    """(c_custkey, c_nationkey, department_id)"""
+    return table(spark, path, "customer").select(
+        "c_custkey", "c_nationkey", F.col("c_mktsegment").alias("department_id")
     )
 
 
@@ -83,11 +73,19 @@ def requests(
             .withColumn("closed_at", F.when(F.col("_status") == "F", F.col("_shipped")))
             .drop("_shipped")
         )
-    joined = (
-        orders.withColumn("status", status)
-        .join(customers(spark, path, located), F.col("o_custkey") == F.col("c_custkey"), "left")
-        .drop("o_custkey", "c_custkey", "_status")
+    joined = orders.withColumn("status", status).join(
+        customers(spark, path), F.col("o_custkey") == F.col("c_custkey"), "left"
     )
+    if located:
+        # Names come after the large join, so its shuffles carry only keys.
+        nation, region = table(spark, path, "nation"), table(spark, path, "region")
+        joined = (
+            joined.join(nation, F.col("c_nationkey") == F.col("n_nationkey"), "left")
+            .join(region, F.col("n_regionkey") == F.col("r_regionkey"), "left")
+            .withColumnsRenamed({"n_name": "location_id", "r_name": "source_id"})
+            .drop("n_nationkey", "n_regionkey", "r_regionkey")
+        )
+    joined = joined.drop("o_custkey", "c_custkey", "c_nationkey", "_status")
     sla = values_table(spark, SLA_DAYS, "category_id string, sla_days int")
     return with_deadline(joined, sla)
 

@@ -190,7 +190,6 @@ def _profile_events() -> str:
         return f"""SELECT '{name}' AS "column", '{kind}' AS type, count(*) AS rows,
           count(*) - count({name}) AS nulls,
           round(100.0 * (count(*) - count({name}))::DOUBLE / count(*), 6) AS null_pct,
-          count(DISTINCT {name}) AS distinct_values,
           CAST(min({name}) AS VARCHAR) AS min_value, CAST(max({name}) AS VARCHAR) AS max_value,
           {share(f"regexp_full_match({shown}, '[+-]?[0-9]+')")} AS reads_as_long,
           {share(f"try_cast({shown} AS DOUBLE) IS NOT NULL")} AS reads_as_double,
@@ -223,11 +222,12 @@ def _shared_columns() -> str:
         f"avg(CASE WHEN regexp_matches(text, {_text(p)}) THEN 1.0 ELSE 0.0 END) >= 0.01" for p in PII_VALUES.values()
     ).replace(" + ", " OR ")
     one = (
-        """SELECT '{0}' AS "column", count(*) AS rows, count(*) - count({0}) AS nulls,"""
-        """ count(DISTINCT {0}) AS distinct_values FROM documents"""
+        """SELECT '{0}' AS "column", '{1}' AS type, count(*) AS rows, count(*) - count({0}) AS nulls"""
+        """ FROM documents"""
     )
-    plain = " UNION ALL ".join(one.format(c) for c in ("doc_id", "lang", "source", "n_chars"))
-    return f"{plain} UNION ALL {one.format('text')} HAVING NOT ({hits})"
+    kinds = {"doc_id": "bigint", "lang": "string", "source": "string", "n_chars": "bigint"}
+    plain = " UNION ALL ".join(one.format(c, k) for c, k in kinds.items())
+    return f"{plain} UNION ALL {one.format('text', 'string')} HAVING NOT ({hits})"
 
 
 # Question texts as they look after trimming, lower case and without closing punctuation.

@@ -242,7 +242,7 @@ def slice_status(spark, path):
 def budget_variance(spark, path):
     """Every order is a budget line: its price against a flat plan."""
     orders = canonical.table(spark, path, "orders")
-    departments = canonical.customers(spark, path, located=False)
+    departments = canonical.customers(spark, path)
     lines = orders.join(departments, F.col("o_custkey") == F.col("c_custkey")).select(
         "department_id",
         F.trunc("o_orderdate", "month").alias("period"),
@@ -285,12 +285,21 @@ def trend_slope(spark, path):
 
 @query
 def profile_events(spark, path):
-    out = quality.profile(canonical.table(spark, path, "events"), exact_distinct=True)
-    return out.drop("samples").withColumns(
+    """Profile of the event columns, less the sketched and sampled values that have no SQL form."""
+    out = quality.profile(canonical.table(spark, path, "events"))
+    return out.drop("samples", "distinct_values").withColumns(
         rounded("null_pct", "reads_as_long", "reads_as_double", "reads_as_date")
     )
 
 
+@query
+def profile_samples(spark, path):
+    """Distinct counts by sketch and sample values."""
+    return quality.profile(canonical.table(spark, path, "events")).select(
+        "column", "distinct_values", "samples"
+    )
+
+
 @query
 def pii_profile_docs(spark, path):
     docs = canonical.table(spark, path, "documents").withColumnRenamed("source", "source_name")
@@ -302,9 +311,7 @@ def shared_columns(spark, path):
     """Profile of the columns left after the personal ones are dropped."""
     docs = canonical.table(spark, path, "documents")
     safe = quality.drop_pii(docs, quality.pii_profile(docs, min_rate=0.01))
-    return quality.profile(safe, exact_distinct=True).select(
-        "column", "rows", "nulls", "distinct_values"
-    )
+    return quality.profile(safe).select("column", "type", "rows", "nulls")
 
 
 RAW_TYPES = {"event": "bigint", "at": "timestamp_ntz", "kind": "bigint", "amount": "double", "k": "int"}
@@ -432,12 +439,14 @@ def display_text(spark, path):
 
 
 def _landed(spark: SparkSession, path: str, broken: bool):
+    """The landed records of written exports and the table of their verdicts."""
     out = exports.write_good_exports(spark, path)
     if broken:
         exports.write_broken_exports(spark, path, out)
     limits = csv.FileLimits(max_columns=50)
     records = csv.land_records(spark, out, staging_path(spark, "landed"), limits)
-    return records, csv.file_verdict(spark, out, limits, records=records)
+    verdicts = csv.file_verdict(spark, out, limits, records=records)
+    return records, store.save_table(verdicts, staging_path(spark, "verdicts"))
 
 
 @query

@@ -27,6 +27,15 @@ def write_canonical(df: DataFrame, path: str, sort_by: str = "created_at") -> No
     )
 
 
+def save_table(df: DataFrame, path: str) -> DataFrame:
+    """Write a table that later steps read more than once, and return it as read back.
+
+    It is computed once, survives lost executors, and its size on disk is known to the planner.
+    """
+    df.write.mode("overwrite").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def write_briefing(lines: DataFrame, path: str) -> None:
     """One Markdown text file per period and locale, lines in order."""
     # Paragraphs are set apart by an empty line, as Markdown wants.
