@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.text import fill, format_decimal, is_blank, normalize_question
+from ..functions.calendar import DEFAULT_DAYS
+from ..functions.text import fill, format_decimal, is_blank, month_name, normalize_question
 from ..tables import values_table
-from .kpi import ALL
-from .labels import LOCALES, TEXT, localize, text
+from .labels import LOCALES, TEXT, department_name, number_word, text
 
 QUESTIONS = {"overdue": "qOverdue", "performance": "qPerformance", "volume": "qVolume"}
 
@@ -42,58 +42,45 @@ def match_questions(asked: DataFrame, catalog: DataFrame) -> DataFrame:
     return joined.withColumn("outcome", outcome).drop("_question")
 
 
-def answers(facts: DataFrame, labels: DataFrame, locale: str) -> DataFrame:
+def answers(
+    facts: DataFrame, locale: str, n_days: int = DEFAULT_DAYS
+) -> DataFrame:
     """(period, key, title, body) of each question, from `briefing_facts`."""
-    named = localize(
-        facts, labels, F.concat(F.lit("departments."), F.col("top_department")), locale, "_label"
-    ).withColumn(
-        "_name",
-        F.when(F.col("_label").startswith("departments."), F.col("top_department")).otherwise(
-            F.col("_label")
-        ),
-    )
 
-    def whole(name):
-        return format_decimal(name, locale)
-
-    def answer(key, title, body):
+    def answer(key: str, title: Column, body: Column) -> Column:
         return F.struct(F.lit(key).alias("key"), title.alias("title"), body.alias("body"))
 
+    share = F.coalesce(
+        100.0 * F.try_divide(F.col("top_overdue").cast("double"), F.col("overdue").cast("double")),
+        F.lit(0.0),
+    )
+    last_day = F.concat(
+        F.lit(f"{n_days} "), month_name(F.month("period"), locale), F.lit(" "), F.year("period").cast("string")
+    )
+    queue = {"department": department_name("top_department", locale), "count": F.col("top_overdue")}
+    queue_share = {"share": format_decimal(share, locale, 1), "total": F.col("overdue")}
+    rate = {"rate": format_decimal("on_time_rate", locale, 1)}
+    met = {"onTime": format_decimal("on_time", locale), "resolved": format_decimal("resolved", locale)}
+    volume = {
+        "departments": number_word("departments", locale),
+        "last_day": last_day,
+        "department": department_name("busiest_department", locale),
+    }
     rows = F.array(
         answer(
             "overdue",
-            fill(
-                text("answerOverdue", locale),
-                {"department": F.col("_name"), "count": F.col("top_overdue")},
-            ),
-            fill(
-                text("answerOverdueBody", locale),
-                {
-                    "share": format_decimal(
-                        F.coalesce(100.0 * F.try_divide("top_overdue", "overdue"), F.lit(0.0)), locale, 1
-                    ),
-                    "total": F.col("overdue"),
-                },
-            ),
+            fill(text("answerOverdue", locale), queue),
+            fill(text("answerOverdueBody", locale), queue_share),
         ),
         answer(
             "performance",
-            fill(
-                text("answerPerformance", locale),
-                {"rate": format_decimal("on_time_rate", locale, 1)},
-            ),
-            fill(
-                text("answerPerformanceBody", locale),
-                {"onTime": whole("on_time"), "resolved": whole("resolved")},
-            ),
+            fill(text("answerPerformance", locale), rate),
+            fill(text("answerPerformanceBody", locale), met),
         ),
         answer(
             "volume",
-            fill(text("answerVolume", locale), {"count": whole("received")}),
-            F.lit(None).cast("string"),
+            fill(text("answerVolume", locale), {"count": format_decimal("received", locale)}),
+            fill(text("answerVolumeBody", locale), volume),
         ),
     )
-    return named.select("period", F.inline(rows))
-
-
-__all__ = ["ALL", "QUESTIONS", "answers", "match_questions", "question_catalog"]
+    return facts.select("period", F.inline(rows))

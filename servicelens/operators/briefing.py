@@ -10,32 +10,34 @@ from pyspark.sql import functions as F
 from ..functions.calendar import DEFAULT_DAYS
 from ..functions.text import fill, format_decimal, month_name, period_label
 from .kpi import ALL
-from .labels import LOCALES, TEXT, text
+from .labels import LOCALES, department_name, number_word, text
 from .requests import MEASURES
 
 
 def briefing_facts(kpi: DataFrame) -> DataFrame:
-    """One row per period: the totals, the number of departments and the largest overdue queue."""
+    """One row per period: the totals, the number of departments, the largest queue and volume.
+
+    With the output of `growth` the change of the city's on-time rate is a fact as well.
+    """
     is_total = F.col("department") == ALL
-    by_queue = F.when(~is_total, F.struct(-F.col("overdue"), F.col("department")))
+
+    def largest(measure: str) -> Column:
+        """The department with most of it, by name when two tie."""
+        order = F.when(~is_total, F.struct(-F.col(measure), F.col("department")))
+        return F.min_by("department", order)
+
+    change = F.col("rate_change") if "rate_change" in kpi.columns else F.lit(None).cast("double")
     return kpi.groupBy("period").agg(
         *[F.sum(F.when(is_total, F.col(m))).alias(m) for m in MEASURES],
         F.max(F.when(is_total, F.col("on_time_rate"))).alias("on_time_rate"),
         F.count_if(~is_total).alias("departments"),
-        F.min_by("department", by_queue).alias("top_department"),
+        F.max(F.when(is_total, change)).alias("rate_change"),
+        largest("overdue").alias("top_department"),
+        largest("received").alias("busiest_department"),
         F.max(F.when(~is_total, F.col("overdue"))).alias("top_overdue"),
     )
 
 
-def _department_name(column: Column, locale: Column) -> Column:
-    """Display name of a known department; any other shows as stored."""
-    name = column
-    for key in TEXT:
-        if key.startswith("departments."):
-            name = F.when(column == key.split(".", 1)[1], text(key, locale)).otherwise(name)
-    return name
-
-
 def briefing_lines(
     facts: DataFrame,
     inventory: DataFrame,
@@ -44,11 +46,11 @@ def briefing_lines(
     title: str | None = None,
     footer: str | None = None,
 ) -> DataFrame:
-    """(period, locale, line_no, item, text): the report as rows in the order (line_no, item).
+    """(period, locale, line_no, text): the report as rows in the order (line_no, text).
 
     All figures are computed. `inventory(department, filename, updated, stale)` adds a line per
-    stale source and one per file; `item` is the file name there and empty elsewhere. The facts are
-    read once: every line starts as a slot of a facts row, and slots for files are filled by a join.
+    stale department and one per file, which share their `line_no`. The facts are read once: every
+    line starts as a slot of a facts row, and slots for files are filled by a join.
     """
     locale = F.col("locale")
 
@@ -56,7 +58,7 @@ def briefing_lines(
         return format_decimal(name, locale)
 
     rate = format_decimal("on_time_rate", locale, 1)
-    department = _department_name(F.col("top_department"), locale)
+    department = department_name(F.col("top_department"), locale)
     heading = text("briefingHeading", locale)
     if title:
         heading = F.concat(F.lit(f"{title}: "), heading)
@@ -69,15 +71,25 @@ def briefing_lines(
 
     intro = {
         "received": whole("received"),
-        "departments": F.col("departments"),
+        "departments": number_word("departments", locale),
         "resolved": whole("resolved"),
         "rate": rate,
     }
+    # What the figures support, and no line when they support neither.
+    lead = F.nullif(
+        F.concat_ws(
+            " ",
+            F.when(F.col("rate_change") > 0, text("leadImproving", locale)),
+            F.when(F.col("overdue") > 0, text("leadQueue", locale)),
+        ),
+        F.lit(""),
+    )
     queue = {"department": department, "count": whole("top_overdue"), "total": whole("overdue")}
     lines = [
         ("", F.concat(F.lit("# "), heading)),
         ("", F.concat_ws(" | ", text("draft", locale), period_label("period", locale, n_days))),
         ("", headline(text("executiveSummary", locale))),
+        ("lead", lead),
         ("", fill(text("briefingIntro", locale), intro)),
         ("", bullet("received", whole("received"))),
         ("", bullet("onTime", F.concat(rate, F.lit("%")))),
@@ -86,7 +98,7 @@ def briefing_lines(
         ("", fill(text("briefingPriorityBody", locale), queue)),
         ("", headline(text("briefingQuality", locale))),
         ("stale", F.lit(None).cast("string")),
-        ("", fill(text("comparisonNote", locale), {"days": F.lit(str(n_days))})),
+        ("", fill(text("briefingComparison", locale), {"days": F.lit(str(n_days))})),
         ("", headline(text("connectedSources", locale))),
         ("file", F.lit(None).cast("string")),
     ]
@@ -106,7 +118,7 @@ def briefing_lines(
     report = facts.select("*", localised).select("period", "locale", F.inline(slots))
 
     updated = F.concat_ws(" ", F.dayofmonth("updated"), month_name(F.month("updated"), locale))
-    source = {"source": _department_name(F.col("department"), locale), "date": updated}
+    source = {"source": department_name(F.col("department"), locale), "date": updated}
     filled = F.array(
         F.when(
             F.col("stale"),
@@ -119,17 +131,18 @@ def briefing_lines(
             F.lit("file").alias("slot"), F.concat(F.lit("- "), F.col("filename")).alias("file_text")
         ),
     )
-    file_lines = inventory.select("*", localised).select(
-        "locale", F.col("filename").alias("item"), F.inline(F.array_compact(filled))
+    file_lines = (
+        inventory.select("*", localised)
+        .select("locale", F.inline(F.array_compact(filled)))
+        .distinct()
     )
     return (
         report.join(file_lines, ["locale", "slot"], "left")
-        .where((F.col("slot") == "") | F.col("file_text").isNotNull())
+        .where(F.col("fixed_text").isNotNull() | F.col("file_text").isNotNull())
         .select(
             "period",
             "locale",
             "line_no",
-            F.coalesce("item", F.lit("")).alias("item"),
             F.coalesce("fixed_text", "file_text").alias("text"),
         )
     )

@@ -30,7 +30,21 @@ TEXT = {
     "updated": ("Përditësuar", "Updated"),
     "goal": ("Objektivi: {target}% në afat", "Target: {target}% on time"),
     "noAlerts": ("Nuk ka çështje me përparësi", "No priority exceptions"),
+    "noAlertsDescription": (
+        "Kjo drejtori po përmbush objektivin e shërbimit.",
+        "This department is meeting its service target.",
+    ),
     "overdueTitle": ("{count} kërkesa jashtë afatit", "{count} requests past their deadline"),
+    "overdueDescription": (
+        "{department} kanë më shumë kërkesa të vonuara në këtë periudhë.",
+        "{department} has the largest overdue queue in this period.",
+    ),
+    "staleTitle": ("Një burim ka mbetur pas", "One source is out of date"),
+    "staleTitleMany": ("{count} burime kanë mbetur pas", "{count} sources are out of date"),
+    "staleDescription": (
+        "{department} është përditësuar për herë të fundit më {date}.",
+        "{department} was last updated on {date}.",
+    ),
     "csvType": (
         "Zgjidhni një skedar .csv. Eksportoni fillimisht dokumentet Excel si CSV.",
         "Choose a .csv file. Export Excel workbooks as CSV first.",
@@ -68,8 +82,10 @@ TEXT = {
         "{department} has {count} overdue requests.",
     ),
     "answerOverdueBody": (
-        "Kjo përbën {share}% të {total} kërkesave të vonuara në të gjitha drejtoritë.",
-        "That is {share}% of the {total} overdue requests across all departments.",
+        "Kjo përbën {share}% të {total} kërkesave të vonuara në të gjitha drejtoritë. "
+        "Kjo është radha më e madhe në grupin e të dhënave shembull.",
+        "That is {share}% of the {total} overdue requests across all departments. This is the largest "
+        "queue in the sample dataset.",
     ),
     "answerPerformance": (
         "{rate}% e kërkesave të përfunduara u zgjidhën brenda afatit.",
@@ -80,6 +96,10 @@ TEXT = {
         "{onTime} of {resolved} completed requests met their deadline. Open requests are excluded.",
     ),
     "answerVolume": ("U pranuan {count} kërkesa.", "{count} requests were received."),
+    "answerVolumeBody": (
+        "Në {departments} drejtori, nga 1 deri më {last_day}. {department} pranuan pjesën më të madhe.",
+        "Across {departments} departments, from 1 to {last_day}. {department} received the largest share.",
+    ),
     "unsupportedQuestion": (
         "Pyetjet e drejtpërdrejta nuk janë lidhur ende. Zgjidhni një nga pyetjet shembull për një "
         "përgjigje të verifikueshme.",
@@ -93,6 +113,11 @@ TEXT = {
     "draft": ("Draft shembull", "Sample draft"),
     "briefingHeading": ("Raporti i shërbimeve bashkiake", "Municipal service briefing"),
     "executiveSummary": ("Përmbledhje për drejtimin", "Executive summary"),
+    "leadImproving": ("Shërbimi po përmirësohet.", "Service delivery is improving."),
+    "leadQueue": (
+        "Kërkesat e vonuara ende kërkojnë vëmendje.",
+        "The overdue queue still needs attention.",
+    ),
     "briefingIntro": (
         "Bashkia pranoi {received} kërkesa në {departments} drejtori. Nga {resolved} kërkesat e "
         "përfunduara, {rate}% u zgjidhën brenda afatit.",
@@ -108,17 +133,24 @@ TEXT = {
     ),
     "briefingQuality": ("Lexojini treguesit në kontekst", "Read the figures with their context"),
     "briefingStale": (
-        "{source} është përditësuar më {date}. Rezultatet janë të përkohshme.",
-        "{source} was last updated on {date}. Its results are provisional.",
+        "Të dhënat e burimit {source} janë përditësuar më {date}. Rezultatet janë të përkohshme.",
+        "{source} data was last updated on {date}. Its results are provisional.",
     ),
-    "comparisonNote": (
-        "Krahasohen të njëjtat {days} ditë të çdo muaji.",
-        "Comparisons use the same {days} days of each month.",
+    "briefingComparison": (
+        "Të gjitha krahasimet mbulojnë të njëjtat {days} ditë të çdo muaji.",
+        "All comparisons cover the same {days} days of each month.",
     ),
     "connectedSources": ("Skedarët burimorë", "Source files"),
 }
 
 
+# Small numbers in words, from one.
+NUMBER_WORDS = {
+    "sq": ["një", "dy", "tre", "katër", "pesë", "gjashtë", "shtatë", "tetë", "nëntë", "dhjetë"],
+    "en": ["one", "two", "three", "four", "five", "six", "seven", "eight", "nine", "ten"],
+}
+
+
 def label_table(spark: SparkSession) -> DataFrame:
     """(locale, key, text): two rows per key."""
     rows = [(loc, key, pair[i]) for key, pair in TEXT.items() for i, loc in enumerate(LOCALES)]
@@ -133,6 +165,29 @@ def text(key: str, locale: Column | str) -> Column:
     return F.when(locale == "sq", sq).otherwise(en)
 
 
+def number_word(c: Column | str, locale: Column | str) -> Column:
+    """One to ten in words, other numbers in digits."""
+    n = F.col(c) if isinstance(c, str) else c
+
+    def words(name: str) -> Column:
+        listed = F.array(*[F.lit(w) for w in NUMBER_WORDS[name]])
+        return F.coalesce(F.get(listed, n.cast("int") - 1), n.cast("string"))
+
+    if isinstance(locale, str):
+        return words(locale)
+    return F.when(locale == "sq", words("sq")).otherwise(words("en"))
+
+
+def department_name(column: Column | str, locale: Column | str) -> Column:
+    """Display name of a known department; any other shows as stored."""
+    stored = F.col(column) if isinstance(column, str) else column
+    name = stored
+    for key in TEXT:
+        if key.startswith("departments."):
+            name = F.when(stored == key.split(".", 1)[1], text(key, locale)).otherwise(name)
+    return name
+
+
 def localize(
     df: DataFrame, labels: DataFrame, key: Column | str, locale: str, output: str = "label"
 ) -> DataFrame:

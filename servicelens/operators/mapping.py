@@ -89,10 +89,7 @@ def apply_file_mapping(rows: DataFrame, mapping: DataFrame, fields: Sequence[str
 
 
 def _typed(name: str, kind: str) -> Column:
-    raw = F.nullif(F.trim(F.col(name)), F.lit(""))
-    if kind.startswith("timestamp"):
-        return F.try_to_timestamp(raw).cast(kind)
-    return raw.try_cast(kind)
+    return F.nullif(F.trim(F.col(name)), F.lit("")).try_cast(kind)
 
 
 def coerce(df: DataFrame, types: Mapping[str, str]) -> tuple[DataFrame, DataFrame]:

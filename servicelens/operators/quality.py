@@ -6,9 +6,20 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-# A bare number also casts to a date, as a year; dates of exports are written in full.
-ISO_DATE = "^[0-9]{4}-[0-9]{2}-[0-9]{2}"
+# What text reads as. A number would also cast to a date, as a year, so dates are written in full.
+READS_AS = {
+    "long": r"^[+-]?[0-9]{1,18}$",
+    "double": r"^[+-]?([0-9]+[.]?[0-9]*|[.][0-9]+)([eE][+-]?[0-9]+)?$",
+    "date": "^[0-9]{4}-[0-9]{2}-[0-9]{2}",
+}
+# The same for columns that have a type already.
+TYPED_AS = {
+    "long": T.IntegralType,
+    "double": T.NumericType,
+    "date": (T.DateType, T.TimestampType, T.TimestampNTZType),
+}
 
 # What personal data looks like in a value, and in a header.
 PII_VALUES = {
@@ -16,6 +27,12 @@ PII_VALUES = {
     "phone": r"(^|[^A-Za-z0-9])(\+|00)?[0-9]{2,3}[ ./-]?[0-9]{2,3}[ ./-]?[0-9]{3,4}([^A-Za-z0-9]|$)",
     "id_number": r"(^|[^A-Za-z0-9])[A-Z][0-9]{8}[A-Z]([^A-Za-z0-9]|$)",
 }
+# Text without these cannot match the pattern of the kind; they are much cheaper to look for.
+PII_HINTS = {
+    "email": "@",
+    "phone": r"[0-9]{2,3}[ ./-]?[0-9]{2,3}[ ./-]?[0-9]{3,4}",
+    "id_number": r"[A-Z][0-9]{8}[A-Z]",
+}
 PII_HEADERS = {
     "name": r"(?i)(^|_)(name|emri|mbiemri|surname)($|_)",
     "email": r"(?i)e_?mail",
@@ -48,7 +65,7 @@ def profile(
     a sample is the value with the smallest hash, one per seed.
     """
     names = list(columns or df.columns)
-    kinds = {f.name: f.dataType.simpleString() for f in df.schema.fields}
+    types = {f.name: f.dataType for f in df.schema.fields}
 
     def fields(name: str):
         c = F.col(name)
@@ -56,10 +73,16 @@ def profile(
         given = F.count(c)
 
         def reads_as(kind: str) -> Column:
-            return F.try_divide(F.count(shown.try_cast(kind)).cast("double"), given.cast("double"))
+            if not isinstance(types[name], T.StringType):
+                fits = F.lit(isinstance(types[name], TYPED_AS[kind]))
+            elif kind == "date":
+                fits = F.when(c.rlike(READS_AS[kind]), F.substring(c, 1, 10).try_cast("date").isNotNull())
+            else:
+                fits = c.rlike(READS_AS[kind])
+            return F.try_divide(F.count_if(c.isNotNull() & fits).cast("double"), given.cast("double"))
 
         distinct = F.count_distinct(c) if exact_distinct else F.approx_count_distinct(c)
-        yield "type", F.any_value(F.lit(kinds[name]))
+        yield "type", F.any_value(F.lit(types[name].simpleString()))
         yield "rows", F.count("*")
         yield "nulls", F.count_if(c.isNull())
         yield "null_pct", 100.0 * F.try_divide(
@@ -68,12 +91,8 @@ def profile(
         yield "distinct_values", distinct
         yield "min_value", F.min(c).cast("string")
         yield "max_value", F.max(c).cast("string")
-        yield "reads_as_long", reads_as("bigint")
-        yield "reads_as_double", reads_as("double")
-        yield "reads_as_date", F.try_divide(
-            F.count(F.when(shown.rlike(ISO_DATE), shown.try_cast("date"))).cast("double"),
-            given.cast("double"),
-        )
+        for kind in READS_AS:
+            yield f"reads_as_{kind}", reads_as(kind)
         yield "samples", F.array_distinct(
             F.array(*[F.min_by(shown, F.xxhash64(F.lit(i), shown)) for i in range(samples)])
         )
@@ -93,7 +112,9 @@ def pii_profile(df: DataFrame, min_rate: float = 0.05, columns: Sequence[str] |
     def fields(name: str):
         shown = F.col(name).cast("string")
         for kind, pattern in PII_VALUES.items():
-            yield kind, F.coalesce(F.avg(shown.rlike(pattern).cast("double")), F.lit(0.0))
+            hint = PII_HINTS[kind]
+            found = (shown.contains(hint) if hint == "@" else shown.rlike(hint)) & shown.rlike(pattern)
+            yield kind, F.coalesce(F.avg(found.cast("double")), F.lit(0.0))
 
     wide = _long_form(df, {name: list(fields(name)) for name in names})
     by_header = {

@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import fill, month_name
 from .kpi import ALL
+from .labels import department_name, text
 
 DEFAULT_TARGET = 90.0
 
@@ -57,28 +59,31 @@ def department_status(card: DataFrame, inventory: DataFrame) -> DataFrame:
 
 
 def attention(card: DataFrame, inventory: DataFrame) -> DataFrame:
-    """(period, department, alert, count): what to look at first, per department and for all.
+    """(period, department, alert, count, updated): what to look at first, per department and for all.
 
     `overdue_queue` for the largest queue of a period and `stale_source` with the number of stale
     sources. A department without either gets `no_alerts` or `below_target`, and so does `all` in a
     period without any. One pass over the card, which may be costly to compute.
     """
     keys = ["department"] + (["period"] if "period" in inventory.columns else [])
-    stale = inventory.where(F.col("stale")).groupBy(*keys).agg(F.count("*").alias("_stale_sources"))
+    stale = inventory.where(F.col("stale")).groupBy(*keys).agg(
+        F.count("*").alias("_stale_sources"), F.max("updated").alias("_updated")
+    )
     is_total = F.col("department") == ALL
     largest_first = Window.partitionBy("period").orderBy(
         is_total, F.desc("overdue"), F.asc("department")
     )
     whole_period = Window.partitionBy("period")
 
-    def alert(name, count) -> Column:
-        return F.struct(name.alias("alert"), count.cast("long").alias("count"))
+    def alert(name: Column, count: Column, updated: Column | None = None) -> Column:
+        when = F.lit(None).cast("date") if updated is None else updated
+        return F.struct(name.alias("alert"), count.cast("long").alias("count"), when.alias("updated"))
 
     queue, has_stale = F.col("_queue"), F.col("_stale_sources") > 0
     quiet = ~queue & ~has_stale & ~(is_total & F.col("_raised"))
     alerts = F.array(
         F.when(queue, alert(F.lit("overdue_queue"), F.col("overdue"))),
-        F.when(has_stale, alert(F.lit("stale_source"), F.col("_stale_sources"))),
+        F.when(has_stale, alert(F.lit("stale_source"), F.col("_stale_sources"), F.col("_updated"))),
         F.when(
             quiet,
             alert(F.when(F.col("meets_target"), "no_alerts").otherwise("below_target"), F.lit(0)),
@@ -95,6 +100,29 @@ def attention(card: DataFrame, inventory: DataFrame) -> DataFrame:
     )
 
 
+def attention_text(items: DataFrame, locale: str, target: float = DEFAULT_TARGET) -> DataFrame:
+    """Adds `title` and `description` of each alert."""
+    goal = fill(text("goal", locale), {"target": F.format_string("%.0f", F.lit(float(target)))})
+    named = {"department": department_name("department", locale)}
+    updated = F.concat_ws(" ", F.dayofmonth("updated"), month_name(F.month("updated"), locale))
+    count = {"count": F.col("count")}
+    kind = F.col("alert")
+    title = (
+        F.when(kind == "overdue_queue", fill(text("overdueTitle", locale), count))
+        .when((kind == "stale_source") & (F.col("count") == 1), text("staleTitle", locale))
+        .when(kind == "stale_source", fill(text("staleTitleMany", locale), count))
+        .when(kind == "no_alerts", text("noAlerts", locale))
+        .otherwise(text("belowTarget", locale))
+    )
+    description = (
+        F.when(kind == "overdue_queue", fill(text("overdueDescription", locale), named))
+        .when(kind == "stale_source", fill(text("staleDescription", locale), {**named, "date": updated}))
+        .when(kind == "no_alerts", text("noAlertsDescription", locale))
+        .otherwise(goal)
+    )
+    return items.withColumn("title", title).withColumn("description", description)
+
+
 def attention_count(items: DataFrame) -> DataFrame:
     """Alerts per period; departments without one do not count."""
     raised = F.col("alert").isin("overdue_queue", "stale_source")

@@ -105,15 +105,17 @@ _ALERTS = """alerts AS (
     SELECT period, department, overdue FROM kpi WHERE department <> 'all' AND overdue > 0
     QUALIFY row_number() OVER (PARTITION BY period ORDER BY overdue DESC, department) = 1
   ), stale AS (
-    SELECT c.period, c.department, n FROM card c
-    JOIN (SELECT department, count(*) AS n FROM inventory WHERE stale GROUP BY 1) s USING (department)
+    SELECT c.period, c.department, n, u FROM card c
+    JOIN (SELECT department, count(*) AS n, max(updated) AS u FROM inventory WHERE stale GROUP BY 1) s
+      USING (department)
   ), raised AS (
-    SELECT period, department, 'overdue_queue' AS alert, CAST(overdue AS BIGINT) AS count FROM queue
-    UNION ALL SELECT period, department, 'stale_source', n FROM stale
+    SELECT period, department, 'overdue_queue' AS alert, CAST(overdue AS BIGINT) AS count,
+           CAST(NULL AS DATE) AS updated FROM queue
+    UNION ALL SELECT period, department, 'stale_source', n, u FROM stale
   )
   SELECT * FROM raised
   UNION ALL
-  SELECT period, department, CASE WHEN meets_target THEN 'no_alerts' ELSE 'below_target' END, 0
+  SELECT period, department, CASE WHEN meets_target THEN 'no_alerts' ELSE 'below_target' END, 0, NULL
   FROM card c
   WHERE NOT EXISTS (SELECT 1 FROM raised r WHERE r.period = c.period
                     AND (r.department = c.department OR c.department = 'all'))
@@ -121,9 +123,14 @@ _ALERTS = """alerts AS (
 
 _FACTS = """facts AS (
   SELECT t.period, t.received, t.resolved, t.on_time, t.overdue, t.on_time_rate,
+         t.rate_change,
          (SELECT count(*) FROM kpi k WHERE k.period = t.period AND department <> 'all') AS departments,
-         q.department AS top_department, q.overdue AS top_overdue
-  FROM (SELECT * FROM kpi WHERE department = 'all') t
+         q.department AS top_department, q.overdue AS top_overdue,
+         (SELECT min(department) FROM kpi k WHERE k.period = t.period AND department <> 'all'
+          AND received = (SELECT max(received) FROM kpi m WHERE m.period = t.period AND department <> 'all'))
+           AS busiest_department
+  FROM (SELECT *, on_time_rate - lag(on_time_rate) OVER (ORDER BY period) AS rate_change
+        FROM kpi WHERE department = 'all') t
   JOIN (SELECT * FROM kpi WHERE department <> 'all'
         QUALIFY row_number() OVER (PARTITION BY period ORDER BY overdue DESC, department) = 1) q USING (period)
 )"""
@@ -266,6 +273,10 @@ _LONG = {
 }
 
 
+# The data has five departments.
+_FIVE = {"sq": "'pesë'", "en": "'five'"}
+
+
 def _period_text(locale: str) -> str:
     return f"'1-24 ' || {_pick('month(period)', _LONG[locale])} || ' ' || year(period)"
 
@@ -302,28 +313,37 @@ def _briefing() -> str:
             1: f"'# Services: ' || {_text(t['briefingHeading'])}",
             2: f"{_text(t['draft'])} || ' | ' || {_period_text(locale)}",
             3: _text("## " + t["executiveSummary"]),
-            4: filled(
-                "briefingIntro", received=whole("received"), departments="CAST(departments AS VARCHAR)",
+            5: filled(
+                "briefingIntro", received=whole("received"), departments=_FIVE[locale],
                 resolved=whole("resolved"), rate=rate,
             ),
-            5: f"{_text('- ' + t['received'] + ': ')} || {whole('received')}",
-            6: f"{_text('- ' + t['onTime'] + ': ')} || {rate} || '%'",
-            7: f"{_text('- ' + t['overdue'] + ': ')} || {whole('overdue')}",
-            8: "'## ' || " + filled("briefingPriority", department="top_department"),
-            9: filled("briefingPriorityBody", **queue),
-            10: _text("## " + t["briefingQuality"]),
-            12: filled("comparisonNote", days="'24'"),
-            13: _text("## " + t["connectedSources"]),
+            6: f"{_text('- ' + t['received'] + ': ')} || {whole('received')}",
+            7: f"{_text('- ' + t['onTime'] + ': ')} || {rate} || '%'",
+            8: f"{_text('- ' + t['overdue'] + ': ')} || {whole('overdue')}",
+            9: "'## ' || " + filled("briefingPriority", department="top_department"),
+            10: filled("briefingPriorityBody", **queue),
+            11: _text("## " + t["briefingQuality"]),
+            13: filled("briefingComparison", days="'24'"),
+            14: _text("## " + t["connectedSources"]),
         }
+        up, late = _text(t["leadImproving"]), _text(t["leadQueue"])
+        parts.append(
+            f"""SELECT period, '{locale}', 4, CASE WHEN rate_change > 0 AND overdue > 0 THEN {up} || ' ' || {late}
+            WHEN rate_change > 0 THEN {up} ELSE {late} END FROM facts WHERE rate_change > 0 OR overdue > 0"""
+        )
         for n, expression in lines.items():
             parts.append(
-                f"SELECT period, '{locale}' AS locale, {n}::BIGINT AS line_no, '' AS item, {expression} AS text FROM facts"
+                f"SELECT period, '{locale}', {n}, {expression} FROM facts"
             )
         updated = f"day(updated) || ' ' || {_pick('month(updated)', _LONG[locale])}"
         stale = filled("briefingStale", source="department", date=f"({updated})")
-        parts.append(f"SELECT period, '{locale}', 11, filename, {stale} FROM facts, inventory WHERE stale")
-        parts.append(f"SELECT period, '{locale}', 14, filename, '- ' || filename FROM facts, inventory")
-    return " UNION ALL ".join(parts)
+        parts.append(f"SELECT period, '{locale}', 12, t FROM facts, (SELECT DISTINCT {stale} AS t FROM inventory WHERE stale)")
+        parts.append(f"SELECT period, '{locale}', 15, '- ' || f FROM facts, (SELECT DISTINCT filename AS f FROM inventory)")
+    return (
+        "SELECT period, locale, CAST(line_no AS BIGINT) AS line_no, text FROM ("
+        + " UNION ALL ".join(parts)
+        + ") AS lines(period, locale, line_no, text)"
+    )
 
 
 _NOTE = """'Request "' || id || '", ' || category_id || chr(10) || 'second line'"""
@@ -332,6 +352,10 @@ _FILES = "(SELECT DISTINCT source_id, id // 50000 AS shard FROM located)"
 ORACLE: dict[str, str] = {
     "kpi_monthly": _with(*_BASE_KPI)
     + f"SELECT {_COLUMNS}, round(on_time_rate, 6) AS on_time_rate FROM kpi",
+    "metric_view": _with(*_BASE_KPI) + "SELECT period, department, received, overdue FROM kpi",
+    "exported_metrics": _with(*_BASE) + f"SELECT {_COLUMNS} FROM metrics",
+    "decoded_props": """SELECT CAST(json_extract(props, '$.k') AS VARCHAR) AS k, count(*) AS events
+    FROM events GROUP BY 1""",
     "kpi_one_department": _with(
         LOCATED,
         """chosen AS (SELECT * FROM located WHERE department_id = 'BUILDING' AND day(created_at) <= 24
@@ -474,16 +498,28 @@ ORACLE: dict[str, str] = {
     FROM asked a LEFT JOIN catalog c
       ON a.locale = c.locale AND {_normal('a.text')} = {_normal('c.text')}
     GROUP BY 1, 2, 3""",
+    "attention_text": _with(*_BASE_CARD, _ALERTS)
+    + f"""SELECT period, department, CASE alert WHEN 'overdue_queue' THEN count || ' kërkesa jashtë afatit'
+        WHEN 'stale_source' THEN CASE count WHEN 1 THEN 'Një burim ka mbetur pas' ELSE count || ' burime kanë mbetur pas' END
+        WHEN 'no_alerts' THEN 'Nuk ka çështje me përparësi' ELSE 'Nën objektiv' END AS title,
+      CASE alert WHEN 'overdue_queue' THEN department || ' kanë më shumë kërkesa të vonuara në këtë periudhë.'
+        WHEN 'stale_source' THEN department || ' është përditësuar për herë të fundit më ' || day(updated) || ' '
+          || {_pick('month(updated)', _LONG['sq'])} || '.'
+        WHEN 'no_alerts' THEN 'Kjo drejtori po përmbush objektivin e shërbimit.'
+        ELSE 'Objektivi: 50% në afat' END AS description FROM alerts""",
     "ask_answers": _with(*_BASE_KPI, _FACTS)
     + f"""SELECT period, 'overdue' AS key,
       top_department || ' has ' || top_overdue || ' overdue requests.' AS title,
       'That is ' || {_number('(CASE WHEN overdue = 0 THEN 0.0 ELSE 100.0 * top_overdue::DOUBLE / overdue END)', 1, 'en')}
-        || '% of the ' || overdue || ' overdue requests across all departments.' AS body FROM facts
+        || '% of the ' || overdue || ' overdue requests across all departments. '
+        || 'This is the largest queue in the sample dataset.' AS body FROM facts
     UNION ALL SELECT period, 'performance',
       {_number('on_time_rate', 1, 'en')} || '% of completed requests were resolved on time.',
       {_number('on_time', 0, 'en')} || ' of ' || {_number('resolved', 0, 'en')}
         || ' completed requests met their deadline. Open requests are excluded.' FROM facts
-    UNION ALL SELECT period, 'volume', {_number('received', 0, 'en')} || ' requests were received.', NULL FROM facts""",
+    UNION ALL SELECT period, 'volume', {_number('received', 0, 'en')} || ' requests were received.',
+      'Across five departments, from 1 to 24 ' || {_pick('month(period)', _LONG['en'])} || ' ' || year(period)
+        || '. ' || busiest_department || ' received the largest share.' FROM facts""",
     "usage_spend": _with(_LEDGER)
     + """SELECT model, count(*) AS calls, CAST(sum(input_tokens) AS BIGINT) AS input_tokens,
       CAST(sum(output_tokens) AS BIGINT) AS output_tokens, round(sum(cost_usd), 6) AS cost_usd
@@ -496,8 +532,14 @@ ORACLE: dict[str, str] = {
       WHEN refused THEN 'llm_refusal' ELSE 'ok' END AS outcome, count(*) AS calls FROM gated GROUP BY 1""",
     "briefing_facts": _with(*_BASE_KPI, _FACTS)
     + """SELECT period, received, resolved, on_time, overdue, round(on_time_rate, 6) AS on_time_rate, departments,
-      top_department, top_overdue FROM facts""",
+      round(rate_change, 6) AS rate_change, top_department, busiest_department, top_overdue FROM facts""",
     "briefing_lines": _with(*_BASE_KPI, _FACTS, INVENTORY) + _briefing(),
+    "briefing_files": _with(*_BASE_KPI, _FACTS, INVENTORY, f"lines AS ({_briefing()})")
+    + """SELECT period, locale, string_agg(CASE WHEN prev IS NULL THEN ''
+        WHEN starts_with(text, '- ') AND starts_with(prev, '- ') THEN chr(10)
+        ELSE chr(10) || chr(10) END || text, '' ORDER BY line_no, text) || chr(10) AS text
+    FROM (SELECT *, lag(text) OVER (PARTITION BY period, locale ORDER BY line_no, text) AS prev FROM lines)
+    GROUP BY 1, 2""",
     "localized_status": """SELECT CASE o_orderstatus WHEN 'F' THEN 'Kërkesa të zgjidhura'
       WHEN 'P' THEN 'in_progress' ELSE 'Kërkesa të pranuara' END AS label, count(*) AS requests
     FROM orders GROUP BY 1""",

@@ -74,6 +74,24 @@ def kpi_monthly(spark, path):
     return _kpi(spark, path).withColumns(rounded("on_time_rate"))
 
 
+@query
+def metric_view(spark, path):
+    """KPIs read through the allow-list; there are fewer months and departments than the row cap."""
+    _kpi(spark, path).createOrReplaceTempView("kpi_by_month")
+    return store.read_view(
+        spark, "kpi_by_month", ["kpi_by_month"], ["period", "department", "received", "overdue"]
+    )
+
+
+@query
+def exported_metrics(spark, path):
+    """KPIs written as JSON for another system, read back."""
+    out = staging_path(spark, "metrics")
+    store.export_metrics(_metrics(spark, path), out, "json")
+    counts = "received bigint, resolved bigint, on_time bigint, overdue bigint"
+    return spark.read.schema(f"period date, department string, {counts}").json(out)
+
+
 @query
 def kpi_one_department(spark, path):
     """One department up to a month, over requests of a range of dates only."""
@@ -151,6 +169,12 @@ def attention_count(spark, path):
     return scorecard.attention_count(items)
 
 
+@query
+def attention_text(spark, path):
+    items = scorecard.attention(_card(spark, path), _stale_inventory(spark, path))
+    return scorecard.attention_text(items, "sq", 50).select("period", "department", "title", "description")
+
+
 @query
 def reconcile(spark, path):
     return kpi.reconcile(_kpi(spark, path)).agg(F.count("*").alias("mismatches"))
@@ -341,6 +365,13 @@ def coerced_events(spark, path):
     )
 
 
+@query
+def decoded_props(spark, path):
+    """JSON maps of the events, counted by one of their values."""
+    decoded = mapping.decode_mapping(canonical.table(spark, path, "events"), "props")
+    return decoded.groupBy(F.col("mapping")["k"].alias("k")).agg(F.count("*").alias("events"))
+
+
 @query
 def missing_fields(spark, path):
     """Required fields of closed requests; some were closed without a closing time."""
@@ -375,8 +406,7 @@ def ask_match(spark, path):
 
 @query
 def ask_answers(spark, path):
-    facts = briefing.briefing_facts(_kpi(spark, path))
-    return ask.answers(facts, labels.label_table(spark), "en")
+    return ask.answers(briefing.briefing_facts(_kpi(spark, path)), "en")
 
 
 @query
@@ -401,15 +431,27 @@ def call_outcomes(spark, path):
     return gated.groupBy(F.coalesce(code, F.lit("ok")).alias("outcome")).agg(F.count("*").alias("calls"))
 
 
+def _facts(spark, path):
+    return briefing.briefing_facts(kpi.growth(_kpi(spark, path)))
+
+
 @query
 def briefing_facts(spark, path):
-    return briefing.briefing_facts(_kpi(spark, path)).withColumns(rounded("on_time_rate"))
+    return _facts(spark, path).withColumns(rounded("on_time_rate", "rate_change"))
 
 
 @query
 def briefing_lines(spark, path):
-    facts = briefing.briefing_facts(_kpi(spark, path))
-    return briefing.briefing_lines(facts, _stale_inventory(spark, path), title="Services")
+    return briefing.briefing_lines(_facts(spark, path), _stale_inventory(spark, path), title="Services")
+
+
+@query
+def briefing_files(spark, path):
+    """The written reports, one text per period and locale."""
+    out = staging_path(spark, "briefing")
+    store.write_briefing(briefing_lines(spark, path), out)
+    files = spark.read.schema("text string, period date, locale string")
+    return files.text(out, wholetext=True).select("period", "locale", "text")
 
 
 @query

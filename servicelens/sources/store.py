@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 MAX_VIEW_ROWS = 1000
@@ -38,11 +38,15 @@ def save_table(df: DataFrame, path: str) -> DataFrame:
 
 def write_briefing(lines: DataFrame, path: str) -> None:
     """One Markdown text file per period and locale, lines in order."""
-    # Paragraphs are set apart by an empty line, as Markdown wants.
+    # An empty line sets paragraphs apart; the entries of a list follow each other.
+    order = Window.partitionBy("period", "locale").orderBy("line_no", "text")
+    before = F.lag("text").over(order)
+    follows = F.col("text").startswith("- ") & before.startswith("- ")
+    gap = F.when(before.isNull() | follows, "").otherwise("\n")
     (
-        lines.repartition("period", "locale")
-        .sortWithinPartitions("period", "locale", "line_no", "item")
-        .select("period", "locale", F.concat(F.col("text"), F.lit("\n")).alias("text"))
+        lines.select("period", "locale", "line_no", "text", F.concat(gap, F.col("text")).alias("written"))
+        .sortWithinPartitions("period", "locale", "line_no", "text")
+        .select("period", "locale", F.col("written").alias("text"))
         .write.mode("overwrite")
         .partitionBy("period", "locale")
         .text(path)

@@ -159,6 +159,16 @@ def test_attention(spark):
         ("finance", "no_alerts", 0),
     }
     assert scorecard.attention_count(items).first().alerts == 2
+    shown = {r.department: (r.title, r.description) for r in scorecard.attention_text(items, "en").collect()}
+    assert shown["public"] == (
+        "28 requests past their deadline", "Public services has the largest overdue queue in this period.",
+    )
+    assert shown["urban"] == (
+        "One source is out of date", "Urban planning was last updated on 18 September.",
+    )
+    assert shown["social"] == (
+        "No priority exceptions", "This department is meeting its service target.",
+    )
 
 
 def test_attention_falls_back_to_the_city(spark):
