@@ -72,7 +72,7 @@ def apply_mapping(df: DataFrame, mapping: Mapping[str, str]) -> DataFrame:
 
 
 def apply_file_mapping(rows: DataFrame, mapping: DataFrame, fields: Sequence[str]) -> DataFrame:
-    """(file, pos, one column per field) from `rows(file, pos, cells)` and each file's own mapping.
+    """The rows with a column per field in place of `cells`, by each file's own mapping.
 
     Files without a mapping drop out; pass only valid ones. The mapping is one row per file in the
     join, and an unmapped field is NULL.
@@ -85,7 +85,8 @@ def apply_file_mapping(rows: DataFrame, mapping: DataFrame, fields: Sequence[str
         at = F.col(f"_{field}").cast("int")
         return F.when(at >= 0, F.get("cells", at)).alias(field)
 
-    return rows.join(positions, "file").select("file", "pos", *[cell(f) for f in fields])
+    kept = [c for c in rows.columns if c != "cells"]
+    return rows.join(positions, "file").select(*kept, *[cell(f) for f in fields])
 
 
 def _typed(name: str, kind: str) -> Column:

@@ -500,21 +500,22 @@ def ingest_verdict(spark, path):
     )
 
 
-def _mapped(records: DataFrame, verdicts: DataFrame) -> DataFrame:
+def _mapped(rows: DataFrame, verdicts: DataFrame) -> DataFrame:
     patterns = (*mapping.PATTERNS, ("created_at", "^created_at$"), ("note", "^note$"))
     headers = csv.header_cells(verdicts)
     proposed = mapping.propose_mapping(headers, patterns)
     valid = mapping.validate_mapping(proposed, headers).where("valid").select("file")
     fields = [field for field, _ in patterns]
     return mapping.apply_file_mapping(
-        csv.data_records(records, verdicts), proposed.join(valid, "file", "left_semi"), fields
+        rows, proposed.join(valid, "file", "left_semi"), fields
     )
 
 
 @query
 def ingest_canonical(spark, path):
     """Exports to canonical rows: checked, mapped, typed, written by source and read back."""
-    mapped = _mapped(*_landed(spark, path, broken=True))
+    records, verdicts = _landed(spark, path, broken=True)
+    mapped = _mapped(csv.data_records(records, verdicts), verdicts)
     typed, _ = mapping.coerce(mapped, {"id": "bigint", "created_at": "date"})
     rows = typed.select("id", "department", "status", "created_at", "note", exports.path_part("source").alias("source_id"))
     out = staging_path(spark, "canonical")
@@ -534,7 +535,7 @@ def ingest_canonical(spark, path):
 @query
 def import_preview(spark, path):
     records, verdicts = _landed(spark, path, broken=False)
-    first = csv.preview(_mapped(records, verdicts), 5)
+    first = _mapped(csv.preview(records, verdicts, 5), verdicts)
     return first.select(
         exports.path_part("source").alias("source"),
         exports.path_part("shard").cast("long").alias("shard"),

@@ -315,17 +315,24 @@ def data_records(records: DataFrame, verdicts: DataFrame) -> DataFrame:
     """(file, pos, cells) of the data rows of accepted files; `records` is the landed table."""
     accepted = verdicts.where(F.col("verdict") == "ok").select("file", "header_pos")
     return (
-        records.select("file", "pos", "cells")
+        records.drop("raw", "well_quoted")
         .join(accepted, "file")
         .where(F.col("pos") > F.col("header_pos"))
         .drop("header_pos")
     )
 
 
-def preview(rows: DataFrame, n: int = 5) -> DataFrame:
-    """The first `n` data rows of each file, numbered in file order.
+def preview(records: DataFrame, verdicts: DataFrame, n: int = 5) -> DataFrame:
+    """(file, pos, cells, row_no): the first `n` data rows of each accepted file in file order.
 
-    Spark cuts each task's rows to `n` per file before the shuffle (window group limit).
+    The cut comes before the join, on the landed records with the header: Spark keeps `n` + 1 rows
+    per file in each task before anything is shuffled (window group limit).
     """
     w = Window.partitionBy("file").orderBy("pos")
-    return rows.withColumn("row_no", F.row_number().over(w)).where(F.col("row_no") <= n).drop("pos")
+    first = (
+        records.select("file", "pos", "cells", F.row_number().over(w).alias("_n"))
+        .where(F.col("_n") <= n + 1)
+        .withColumn("row_no", F.col("_n") - 1)
+        .drop("_n")
+    )
+    return data_records(first, verdicts)

@@ -130,10 +130,9 @@ def test_mapping_proposal_and_preview(landed):
     assert by_file["multiline"] == {"id": 0, "department": -1, "status": -1}
     valid = mapping.validate_mapping(proposed, headers).where("valid")
     assert {r.file.rsplit("/", 1)[1] for r in valid.collect()} == {"sample.csv"}
-    mapped = mapping.apply_file_mapping(
-        csv.data_records(records, verdicts), proposed.join(valid, "file", "left_semi"), mapping.REQUIRED
-    )
-    first = csv.preview(mapped, 3).orderBy("row_no").collect()
+    first = mapping.apply_file_mapping(
+        csv.preview(records, verdicts, 3), proposed.join(valid, "file", "left_semi"), mapping.REQUIRED
+    ).orderBy("row_no").collect()
     assert [(r.row_no, r.id, r.department, r.status) for r in first] == [
         (1, "EP-001", "public", "open"), (2, "EP-002", "public", "closed"), (3, "EP-003", "urban", "open"),
     ]
