@@ -77,35 +77,37 @@ def request_kpis(requests: DataFrame, n_days: int = DEFAULT_DAYS) -> DataFrame:
     active = F.when(F.col("received") + F.col("resolved") > 0, F.col("period"))
     everything = Window.partitionBy()
     per_department = Window.partitionBy("department").orderBy("period")
-    stretched = (
-        changes.withColumn("first_month", F.min(active).over(everything))
-        .withColumn("last_month", F.max(active).over(everything))
-        .withColumn("overdue", F.sum("overdue_change").over(per_department))
-        .withColumn("is_first", F.lag("period").over(per_department).isNull())
-        .withColumn("next_month", F.lead("period").over(per_department))
+    stretched = changes.withColumns(
+        {
+            "first_month": F.min(active).over(everything),
+            "last_month": F.max(active).over(everything),
+            "overdue": F.sum("overdue_change").over(per_department),
+            "is_first": F.lag("period").over(per_department).isNull(),
+            "next_month": F.lead("period").over(per_department),
+        }
     )
     # A row stands for its own month and the empty ones up to the next row; the first row of a
-    # department also for the empty ones before it.
-    begin = F.when(
-        F.col("is_first"), F.least("first_month", "period")
-    ).otherwise(F.col("period"))
-    end = F.coalesce(F.add_months("next_month", -1), F.greatest("last_month", "period"))
-    months = F.sequence(begin, end, F.expr("interval 1 month"))
+    # department also for the empty ones before it. Months outside the reported range drop out.
+    begin = F.greatest(
+        "first_month", F.when(F.col("is_first"), F.col("first_month")).otherwise(F.col("period"))
+    )
+    end = F.least("last_month", F.coalesce(F.add_months("next_month", -1), F.col("last_month")))
+    months = F.when(begin <= end, F.sequence(begin, end, F.expr("interval 1 month")))
 
     def at_own_month(name: str) -> Column:
         return F.when(F.col("month") == F.col("period"), F.col(name)).otherwise(0).cast("long")
 
     return (
-        stretched.withColumn("month", F.explode(months))
-        .where(F.col("month").between(F.col("first_month"), F.col("last_month")))
-        .select(
+        stretched.withColumn("month", F.explode(months)).select(
             F.col("month").alias("period"),
             "department",
             at_own_month("received").alias("received"),
             at_own_month("resolved").alias("resolved"),
             at_own_month("on_time").alias("on_time"),
             F.when(F.col("month") >= F.col("period"), F.col("overdue"))
-            .otherwise(0).cast("long").alias("overdue"),
+            .otherwise(0)
+            .cast("long")
+            .alias("overdue"),
         )
     )
 

@@ -18,6 +18,14 @@ PRICES = (("fast", 1.0, 5.0), ("smart", 2.0, 10.0))
 DEFAULT_MODEL = "smart"
 DEFAULT_BUDGET = 20.0
 
+# Outcome codes of a call; an error code ends in its cause.
+OUTCOMES = {
+    "unavailable": "llm_unavailable",
+    "budget": "llm_budget_exhausted",
+    "error": "llm_error:",
+    "refusal": "llm_refusal",
+}
+
 # A running total is cut so that a task sorts about this many rows; the number of cuts is bounded
 # because they are constants of the plan.
 ROWS_PER_SLICE = 1_000_000
@@ -130,9 +138,9 @@ def call_outcome(
     """
     known = failure.isin("rate_limited", "connection") | failure.rlike("^[0-9]{3}$")
     return (
-        F.when(~available, "llm_unavailable")
-        .when(~allowed, "llm_budget_exhausted")
-        .when(known, F.concat(F.lit("llm_error:"), failure))
-        .when(failure.isNotNull(), "llm_error:unexpected")
-        .when(refusal, "llm_refusal")
+        F.when(~available, OUTCOMES["unavailable"])
+        .when(~allowed, OUTCOMES["budget"])
+        .when(known, F.concat(F.lit(OUTCOMES["error"]), failure))
+        .when(failure.isNotNull(), OUTCOMES["error"] + "unexpected")
+        .when(refusal, OUTCOMES["refusal"])
     )

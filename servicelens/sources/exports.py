@@ -2,9 +2,7 @@
 
 Spark's CSV reader forgives what a careful import must refuse: unclosed quotes, ragged rows, blank
 or repeated headers. So exports are read once as untouched records and landed as Parquet
-(`land_records`); the checks, the previews and the canonical rows all read the landed table. Files
-are the unit of parallelism while `multi_line` is on, because a quoted cell may hold line breaks;
-switch it off for huge files without such cells and Spark splits them.
+(`land_records`); the checks, the previews and the canonical rows all read the landed table.
 """
 
 from __future__ import annotations
@@ -40,6 +38,18 @@ _CELL = rf',({_QUOTED}|[^",]*+)'
 # A record without line breaks outside quotes; an unclosed quote runs to the end.
 _ONE_RECORD = r'(?:\r\n|\n|\r)((?:"[^"]*+(?:"|$)|[^"\r\n]++)*+)'
 
+# One line of a file that starts outside or inside of quotes and may end inside. A lone \r counts
+# as the end of a record.
+_BARE_OR_QUOTED = rf'(?:{_QUOTED}|[^",\r]*+)'
+_OPEN = r'"[^"]*+(?:""[^"]*+)*+'
+_LINE_OUTSIDE = rf'^(?:{_BARE_OR_QUOTED}[,\r])*+(?:{_OPEN}|{_BARE_OR_QUOTED})$'
+_LINE_INSIDE = (
+    rf'^[^"]*+(?:""[^"]*+)*+(?:"(?:[,\r]{_BARE_OR_QUOTED})*+(?:(?<=[,\r]){_OPEN})?)?$'
+)
+
+# Files above this many bytes are read in blocks.
+SPLIT_ABOVE = 16_000_000
+
 _CSV_NAMES = "*.[cC][sS][vV]"
 
 
@@ -88,66 +98,140 @@ def listing(spark: SparkSession, path: str) -> DataFrame:
 def raw_records(
     spark: SparkSession,
     path: str,
-    max_columns: int | None = 50,
     max_bytes: int | None = None,
-    multi_line: bool = True,
+    split_above: int = SPLIT_ABOVE,
 ) -> DataFrame:
-    """(file, pos, raw): the text of each logical record in file order, blank ones left out.
+    """(file, pos, raw): the text of each record in file order, blank records left out.
 
-    The read schema is wider than any accepted file, and its last column is a date in a format no
-    text has. So no record fits the schema, and each comes back untouched in the corrupt-record
-    column. Too large files are pruned before reading.
+    Files up to `split_above` bytes are read whole, many to a task, and cut into records by one
+    expression. Larger files are read in blocks by as many tasks as they need. Files over
+    `max_bytes` are pruned before reading.
     """
-    width = (max_columns or 1000) + 10
-    last = f"_c{width - 1}"
-    schema = T.StructType(
-        [T.StructField(f"_c{i}", T.StringType()) for i in range(width - 1)]
-        + [T.StructField(last, T.DateType()), T.StructField("_bad", T.StringType())]
+    size = F.col("_metadata.file_size")
+    reader = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", _CSV_NAMES)
+    whole = reader.text(path, wholetext=True).where(size <= split_above)
+    lines = reader.option("lineSep", "\n").text(path).where(size > split_above)
+    if max_bytes is not None:
+        whole, lines = whole.where(size <= max_bytes), lines.where(size <= max_bytes)
+    small = whole.select(
+        F.col("_metadata.file_path").alias("file"),
+        F.lit(0).cast("long").alias("block"),
+        F.lit(0).cast("long").alias("row"),
+        F.regexp_replace("value", "^\\x{FEFF}", "").alias("text"),
     )
-    read = (
-        spark.read.schema(schema)
-        .options(
-            header=False,
-            multiLine=multi_line,
-            quote='"',
-            escape='"',
-            mode="PERMISSIVE",
-            columnNameOfCorruptRecord="_bad",
-            recursiveFileLookup=True,
-            pathGlobFilter=_CSV_NAMES,
-            maxColumns=100_000,
-            nullValue="\u0001",
-            dateFormat="'\u0001'yyyy",
-            enableDateTimeParsingFallback=False,
-            columnPruning=False,
-        )
-        .csv(path)
+    records = small if max_bytes is not None and max_bytes <= split_above else small.unionByName(
+        _assembled(lines)
     )
-    if max_bytes is not None:
-        read = read.where(F.col("_metadata.file_size") <= max_bytes)
-    # Naming the last column keeps it in the read, and with it the failing date.
-    raw = F.coalesce(F.col("_bad"), F.col(last).cast("string"))
-    if not multi_line:
-        raw = F.regexp_replace(raw, "^\\x{FEFF}", "")
-    # The reader settles on one line ending per file; split where a file mixes them.
-    parts = F.when(
-        raw.rlike(r"[\r\n]"), F.regexp_extract_all(F.concat(F.lit("\n"), raw), F.lit(_ONE_RECORD), 1)
-    ).otherwise(F.array(raw))
     return (
-        read.select(
-            F.col("_metadata.file_path").alias("file"),
-            F.col("_metadata.file_block_start").alias("block"),
-            F.monotonically_increasing_id().alias("row"),
-            parts.alias("parts"),
-        )
-        .select("file", "block", "row", F.posexplode("parts").alias("part", "raw"))
+        records.select("file", "block", "row", F.posexplode(_split("text")).alias("part", "raw"))
         .where(~F.col("raw").rlike(f"^{SPACE}*$"))
         .select("file", F.struct("block", "row", "part").alias("pos"), "raw")
     )
 
 
+def _split(text: str) -> Column:
+    """Cut at line breaks outside quotes, of any kind."""
+    pieces = F.regexp_extract_all(F.concat(F.lit("\n"), F.col(text)), F.lit(_ONE_RECORD), 1)
+    return (
+        F.when(F.col(text).contains('"'), pieces)
+        .when(F.col(text).rlike(r"[\r\n]"), F.split(text, r"\r\n|\n|\r"))
+        .otherwise(F.array(text))
+    )
+
+
+def _assembled(lines: DataFrame) -> DataFrame:
+    """(file, block, row, text): lines of large files, joined where a quoted cell runs over several.
+
+    A line starts inside quotes if the number of quotes before it in the file is odd. That number is
+    known from sums per block, so no task needs a whole file. A first pass checks each line for both
+    states and shuffles a few numbers per line; a second numbers the records of each block and joins
+    their lines. A file with broken quoting is not joined, as a stray quote could make one record of
+    most of it; each of its blocks comes back as a bad record.
+    """
+    value = F.col("value")
+    numbered = lines.select(
+        F.col("_metadata.file_path").alias("file"),
+        F.col("_metadata.file_block_start").alias("block"),
+        F.monotonically_increasing_id().alias("row"),
+        "value",
+        (F.regexp_count(value, F.lit('"')) % 2).alias("flips"),
+    )
+    in_block = Window.partitionBy("file", "block").orderBy("row")
+    earlier = in_block.rowsBetween(Window.unboundedPreceding, -1)
+    flipped = F.coalesce(F.sum("flips").over(earlier), F.lit(0)) % 2 == 1
+
+    checked = numbered.select(
+        "file",
+        "block",
+        "row",
+        "flips",
+        value.rlike(_LINE_OUTSIDE).alias("good_outside"),
+        value.rlike(_LINE_INSIDE).alias("good_inside"),
+    ).withColumn("flipped", flipped)
+    good_if_closed = F.when(F.col("flipped"), F.col("good_inside")).otherwise(F.col("good_outside"))
+    good_if_open = F.when(F.col("flipped"), F.col("good_outside")).otherwise(F.col("good_inside"))
+    blocks = checked.groupBy("file", "block").agg(
+        F.sum("flips").alias("flips"),
+        F.bool_and(good_if_closed).alias("good_if_closed"),
+        F.bool_and(good_if_open).alias("good_if_open"),
+        F.count_if(~F.col("flipped")).alias("records_if_closed"),
+        F.count_if("flipped").alias("records_if_open"),
+    )
+    # From here to the join: one row per block.
+    whole_file = Window.partitionBy("file")
+    before = whole_file.orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    opened = F.coalesce(F.sum("flips").over(before), F.lit(0)) % 2 == 1
+
+    def by_state(name: str) -> Column:
+        return F.when(F.col("opened"), F.col(f"{name}_if_open")).otherwise(F.col(f"{name}_if_closed"))
+
+    def latest_start(c: str) -> Column:
+        return F.last(F.when(F.col("records") > 0, F.col(c)), ignorenulls=True).over(before)
+
+    states = (
+        blocks.withColumn("opened", opened)
+        .withColumns({"good": by_state("good"), "records": by_state("records")})
+        .select(
+            "file",
+            "block",
+            "opened",
+            (F.bool_and("good").over(whole_file) & (F.sum("flips").over(whole_file) % 2 == 0)).alias("sound"),
+            # The record that runs on into this block: its block and its number there.
+            latest_start("block").alias("owner"),
+            latest_start("records").alias("owner_record"),
+        )
+    )
+    runs_on = F.col("record") == 0
+    return (
+        numbered.join(states, ["file", "block"])
+        .withColumns(
+            {
+                "starts": (flipped == F.col("opened")).cast("int"),
+                "is_first": F.lag("row").over(in_block).isNull(),
+            }
+        )
+        .withColumn("record", F.sum("starts").over(in_block))
+        .where(F.col("sound") | F.col("is_first"))
+        .select(
+            "file",
+            F.when(F.col("sound") & runs_on, F.col("owner")).otherwise(F.col("block")).alias("home"),
+            F.when(F.col("sound") & runs_on, F.col("owner_record")).otherwise(F.col("record")).alias("record"),
+            F.struct("block", "row", F.when(F.col("sound"), value).otherwise('"').alias("value")).alias("line"),
+        )
+        .groupBy("file", "home", "record")
+        .agg(F.sort_array(F.collect_list("line")).alias("lines"))
+        .select(
+            "file",
+            F.col("lines")[0]["block"].alias("block"),
+            F.col("lines")[0]["row"].alias("row"),
+            F.array_join(F.col("lines")["value"], "\n").alias("text"),
+        )
+    )
+
+
 def parse_records(records: DataFrame) -> DataFrame:
     """(file, pos, cells, well_quoted, raw): unquoted values; `raw` stays for bad records only."""
+    quoted = F.col("raw").contains('"')
     pieces = F.regexp_extract_all(F.concat(F.lit(","), F.col("raw")), F.lit(_CELL), 1)
     unquoted = F.transform(
         pieces,
@@ -156,7 +240,11 @@ def parse_records(records: DataFrame) -> DataFrame:
         ).otherwise(c),
     )
     return records.select(
-        "file", "pos", "raw", unquoted.alias("cells"), F.col("raw").rlike(_RECORD).alias("well_quoted")
+        "file",
+        "pos",
+        "raw",
+        F.when(quoted, unquoted).otherwise(F.split("raw", ",")).alias("cells"),
+        (~quoted | F.col("raw").rlike(_RECORD)).alias("well_quoted"),
     ).withColumn("raw", F.when(~F.col("well_quoted"), F.col("raw")))
 
 
@@ -165,14 +253,14 @@ def land_records(
     path: str,
     out: str,
     limits: FileLimits = PREVIEW_LIMITS,
-    multi_line: bool = True,
+    split_above: int = SPLIT_ABOVE,
 ) -> DataFrame:
     """Read the exports once, write the parsed records as Parquet and return the landed table.
 
     `pos` orders the records of a file and only means something within one read, which is why later
     steps take it from the landed table.
     """
-    records = raw_records(spark, path, limits.max_columns, limits.max_bytes, multi_line)
+    records = raw_records(spark, path, limits.max_bytes, split_above)
     parse_records(records).write.mode("overwrite").parquet(out)
     return spark.read.parquet(out)
 
@@ -245,7 +333,7 @@ def file_verdict(
     spark: SparkSession,
     path: str,
     limits: FileLimits = PREVIEW_LIMITS,
-    multi_line: bool = True,
+    split_above: int = SPLIT_ABOVE,
     locale: str | None = None,
     records: DataFrame | None = None,
 ) -> DataFrame:
@@ -258,7 +346,7 @@ def file_verdict(
     files = listing(spark, path)
     if records is None:
         records = parse_records(
-            raw_records(spark, path, limits.max_columns, limits.max_bytes, multi_line)
+            raw_records(spark, path, limits.max_bytes, split_above)
         )
     stats = file_stats(records)
     too_long = F.lit(False) if limits.max_bytes is None else F.col("bytes") > limits.max_bytes

@@ -42,6 +42,8 @@ FILES = {
     "rows_10001": ("id,status\n" + "\n".join(f"{i},open" for i in range(10_001)), "size"),
     "bytes": ("id,note\n1," + "x" * 1_000_000, "size"),
     "many_escapes": ('id,note\n1,"' + '""' * 100_000 + '"', "ok"),
+    "many_quoted": ("id,note\r\n" + '1,"a\nb"\r\n' * 9_000, "ok"),
+    "wide_record": (",".join(f"h{i}" for i in range(40)) + "\n" + ",".join(['"' + "x\r\n" * 2_000 + '"'] * 40), "ok"),
     "sample": (fx.SAMPLE_CSV, "ok"),
 }
 
@@ -160,15 +162,26 @@ def test_headers_in_either_language(spark):
     assert got == {"id": 2, "department": 1, "status": 0}
 
 
-def test_lines_split_without_multi_line(spark, folder):
-    plain = csv.file_verdict(spark, folder, multi_line=False)
-    got = {r.name: r.verdict for r in plain.collect()}
-    # A cell over several lines cannot be read this way and is refused, never misread.
-    spread = {"multiline.csv", "mixed_endings.csv"}
-    assert {n for n in spread if got[n] != "format"} == set()
-    for name, (_, verdict) in FILES.items():
-        if f"{name}.csv" not in spread:
+def test_reading_in_blocks_agrees(spark, folder, landed):
+    """Blocks of a few bytes: records and quoted cells run over many of them."""
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "40")
+    spark.conf.set("spark.sql.files.openCostInBytes", "0")
+    try:
+        chosen = csv.FileLimits(max_bytes=3_000)
+        records = csv.parse_records(csv.raw_records(spark, folder, 3_000, split_above=0)).cache()
+        got = {r.name: r.verdict for r in csv.file_verdict(spark, folder, chosen, records=records).collect()}
+        rows = {}
+        for r in records.orderBy("file", "pos").collect():
+            rows.setdefault(r.file.rsplit("/", 1)[1], []).append(r.cells)
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    for name, (content, verdict) in FILES.items():
+        if len(content) <= 3_000 and not name.startswith("columns_"):
             assert got[f"{name}.csv"] == verdict, name
+    assert rows["mixed_endings.csv"] == [["id", "s"], ["1", "a"], ["2", "b\r\nc"], ["3", "c"]]
+    assert rows["multiline.csv"] == [["id", "note"], ["1", "line one\nline two"]]
+    assert rows["quoted_header.csv"] == [["id", 'a "b"'], ["1", "2"]]
 
 
 def test_typed_read(spark, folder):

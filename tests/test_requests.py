@@ -33,6 +33,8 @@ def make_rows(n=400, seed=7):
         rows.append(
             (i, f"s{i % 3}", f"c{i % 4}", department, f"l{i % 5}", created, closed, "open" if closed is None else "closed", deadline)
         )
+    rows.append((n + 1, "s0", "c0", "far", "l0", dt.datetime(2025, 3, 2), None, "open", dt.datetime(2999, 7, 1)))
+    rows.append((n + 2, "s0", "c0", "old", "l0", dt.datetime(2025, 3, 2), None, "open", dt.datetime(1999, 7, 30)))
     rows.append((n, "s0", "c0", "late", "l0", dt.datetime(2025, 6, 30), None, "open", dt.datetime(2025, 7, 1)))
     return rows
 
@@ -112,14 +114,14 @@ def test_enrich_orphans_zones_and_slices(spark):
         spark, [(f"l{i}", f"zone{i % 2}", 41.0 + i, 20.0) for i in range(4)], "id string, zone string, lat double, lon double"
     )
     enriched = rq.enrich_requests(requests, locations=places)
-    assert enriched.count() == 51 and "location_zone" in enriched.columns
+    assert enriched.count() == 53 and "location_zone" in enriched.columns
     lost = rq.orphans(requests, places, "location_id")
     assert {r.location_id for r in lost.collect()} == {"l4"} and lost.columns == requests.columns
     zones = {r.zone: r for r in rq.by_zone(requests, places).collect()}
-    assert sum(z.requests for z in zones.values()) == 51
+    assert sum(z.requests for z in zones.values()) == 53
     assert zones[None].requests == lost.count() and zones[None].lat is None
     assert zones["zone1"].lat == pytest.approx(43.0)
-    assert rq.slice_requests(requests, ["status"]).agg(F.sum("requests")).first()[0] == 51
+    assert rq.slice_requests(requests, ["status"]).agg(F.sum("requests")).first()[0] == 53
 
 
 def test_budget_variance(spark):
