@@ -29,6 +29,7 @@ OUTCOMES = {
 # A running total is cut so that a task sorts about this many rows; the number of cuts is bounded
 # because they are constants of the plan.
 ROWS_PER_SLICE = 1_000_000
+MIN_SLICES = 16
 MAX_SLICES = 4_000
 
 
@@ -86,7 +87,7 @@ def running_total(
     do not depend on the order in which partial sums arrive.
     """
     if slices is None:
-        slices = min(MAX_SLICES, 1 + df.count() // ROWS_PER_SLICE)
+        slices = min(MAX_SLICES, MIN_SLICES + df.count() // ROWS_PER_SLICE)
     cuts = []
     if slices > 1:
         found = df.select(
