@@ -88,7 +88,7 @@ def listing(spark: SparkSession, path: str) -> DataFrame:
     )
     empty = indexed.join(scanned.select("file"), "file", "left_anti").select(
         "file",
-        F.url_decode(F.substring_index("file", "/", -1)).alias("name"),
+        F.url_decode(F.replace(F.substring_index("file", "/", -1), F.lit("+"), F.lit("%2B"))).alias("name"),
         F.lit(0).cast("long").alias("bytes"),
         F.lit(None).cast("timestamp").alias("modified"),
     )
@@ -108,9 +108,9 @@ def raw_records(
     `max_bytes` are pruned before reading.
     """
     size = F.col("_metadata.file_size")
-    reader = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", _CSV_NAMES)
-    whole = reader.text(path, wholetext=True).where(size <= split_above)
-    lines = reader.option("lineSep", "\n").text(path).where(size > split_above)
+    found = {"recursiveFileLookup": True, "pathGlobFilter": _CSV_NAMES}
+    whole = spark.read.options(**found).text(path, wholetext=True).where(size <= split_above)
+    lines = spark.read.options(**found).text(path, lineSep="\n").where(size > split_above)
     if max_bytes is not None:
         whole, lines = whole.where(size <= max_bytes), lines.where(size <= max_bytes)
     small = whole.select(
@@ -122,10 +122,10 @@ def raw_records(
     records = small if max_bytes is not None and max_bytes <= split_above else small.unionByName(
         _assembled(lines)
     )
-    return (
-        records.select("file", "block", "row", F.posexplode(_split("text")).alias("part", "raw"))
-        .where(~F.col("raw").rlike(f"^{SPACE}*$"))
-        .select("file", F.struct("block", "row", "part").alias("pos"), "raw")
+    # Blank records go first, so that the header of a small file is its part 0.
+    given = F.filter(_split("text"), lambda r: ~r.rlike(f"^{SPACE}*$"))
+    return records.select("file", "block", "row", F.posexplode(given).alias("part", "raw")).select(
+        "file", F.struct("block", "row", "part").alias("pos"), "raw"
     )
 
 
@@ -268,18 +268,22 @@ def land_records(
 def file_stats(records: DataFrame) -> DataFrame:
     """One row per file: record count, narrowest and widest record, quoting, header cells.
 
-    A single aggregation; its map side leaves one row per file and task.
+    A single aggregation; its map side leaves one row per file and task. Only records that may be a
+    header carry their cells into it, which is one per small file.
     """
-    n_cells = F.size("cells")
+    may_be_header = F.when(F.col("pos.part") == 0, F.col("cells"))
     return (
-        records.groupBy("file")
+        records.select(
+            "file", "pos", "well_quoted", F.size("cells").alias("n_cells"), may_be_header.alias("first_cells")
+        )
+        .groupBy("file")
         .agg(
             F.count("*").alias("records"),
-            F.min(n_cells).alias("narrowest"),
-            F.max(n_cells).alias("widest"),
+            F.min("n_cells").alias("narrowest"),
+            F.max("n_cells").alias("widest"),
             F.bool_and("well_quoted").alias("well_quoted"),
             F.min("pos").alias("header_pos"),
-            F.min_by("cells", "pos").alias("header"),
+            F.min_by("first_cells", "pos").alias("header"),
         )
         .withColumn("header", F.transform("header", trim_all))
     )
