@@ -262,6 +262,8 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, length_col: str = "length"
     table = np.array(runs, np.int64).reshape(-1, 5)
     keys = (table[:, 0] << _RANK_BITS) + table[:, 1]
 
+    names = [c for c in pieces.columns if c not in ("sequence_id", "offset")]
+    pieces = pieces.select(*names)
     buckets = max(1, -(-int(counts.sum()) // BUCKET_ROWS))
     same = [c for c in pieces.columns if pieces.schema[c].dataType.typeName() not in ("map", "variant")]
     dealt = pieces.withColumn("__bucket", F.pmod(F.xxhash64(*same), F.lit(buckets)).cast("int"))
@@ -273,7 +275,7 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, length_col: str = "length"
         dealt.withColumn("__rank", F.row_number().over(within))
         .join(bases, (F.col(length_col) == F.col("__length")) & (F.col("__bucket") == F.col("__of")))
         .withColumn("__rank", F.col("__rank") - 1 + F.col("__base"))
-        .select(*pieces.columns, "__rank")
+        .select(*names, "__rank")
     )
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -282,10 +284,9 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, length_col: str = "length"
             rank = batch.column("__rank").to_numpy(zero_copy_only=False)
             at = np.searchsorted(keys, (length << _RANK_BITS) + rank, side="right") - 1
             sequence = table[at, 3] + rank - table[at, 1]
-            columns = [batch.column(c) for c in pieces.columns]
+            columns = [batch.column(c) for c in names]
             yield pa.record_batch(
-                [*columns, pa.array(sequence), pa.array(table[at, 4])],
-                [*pieces.columns, "sequence_id", "offset"],
+                [*columns, pa.array(sequence), pa.array(table[at, 4])], [*names, "sequence_id", "offset"]
             )
 
     schema = pieces.select("*", F.lit(0).cast("long").alias("sequence_id"), F.lit(0).cast("long").alias("offset")).schema
