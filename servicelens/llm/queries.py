@@ -1,13 +1,25 @@
 """The queries of the corpus operators and the SQL that checks them."""
 
+from servicelens.llm.html_text import op8_main_text
+from servicelens.llm.language_id import op5_language_id
+from servicelens.llm.line_dedup import OP1_SQL, op1_line_dedup
+from servicelens.llm.nearest import OP2_SQL, op2_nearest
 from servicelens.llm.packing import op9_pack_documents
 from servicelens.llm.sentencepieces import op7_sentencepiece
+from servicelens.llm.simhash import op3_simhash
 from servicelens.llm.token_counts import op6_token_counts
+from servicelens.llm.topk import OP10_SQL, op10_top_k
 
 QUERIES = {
+    "op1_line_dedup": op1_line_dedup,
+    "op2_nearest": op2_nearest,
+    "op3_simhash": op3_simhash,
+    "op5_language_id": op5_language_id,
     "op6_token_counts": op6_token_counts,
     "op7_sentencepiece": op7_sentencepiece,
+    "op8_main_text": op8_main_text,
     "op9_pack_documents": op9_pack_documents,
+    "op10_top_k": op10_top_k,
 }
 
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {"op1_line_dedup": OP1_SQL, "op2_nearest": OP2_SQL, "op10_top_k": OP10_SQL}
