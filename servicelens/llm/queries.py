@@ -5,6 +5,7 @@ from servicelens.llm.language_id import op5_language_id
 from servicelens.llm.line_dedup import OP1_SQL, op1_line_dedup
 from servicelens.llm.nearest import OP2_SQL, op2_nearest
 from servicelens.llm.packing import op9_pack_documents
+from servicelens.llm.secret_scan import OP4_SQL, op4_secret_scan
 from servicelens.llm.sentencepieces import op7_sentencepiece
 from servicelens.llm.simhash import op3_simhash
 from servicelens.llm.token_counts import op6_token_counts
@@ -14,6 +15,7 @@ QUERIES = {
     "op1_line_dedup": op1_line_dedup,
     "op2_nearest": op2_nearest,
     "op3_simhash": op3_simhash,
+    "op4_secret_scan": op4_secret_scan,
     "op5_language_id": op5_language_id,
     "op6_token_counts": op6_token_counts,
     "op7_sentencepiece": op7_sentencepiece,
@@ -22,4 +24,9 @@ QUERIES = {
     "op10_top_k": op10_top_k,
 }
 
-ORACLE: dict[str, str] = {"op1_line_dedup": OP1_SQL, "op2_nearest": OP2_SQL, "op10_top_k": OP10_SQL}
+ORACLE: dict[str, str] = {
+    "op1_line_dedup": OP1_SQL,
+    "op2_nearest": OP2_SQL,
+    "op4_secret_scan": OP4_SQL,
+    "op10_top_k": OP10_SQL,
+}
