@@ -260,24 +260,39 @@ def identify(
     read. The model is bounded by `MODEL_BYTES`.
     """
 
+    narrow = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
+    found = _labelled(narrow, model, with_spans)
+    return found.select(F.col("id").alias(id_col), "lang_pred", "score", *["spans"] * with_spans)
+
+
+def label_documents(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
+    """`docs` with __lang and __score beside all its columns; cases as in `identify`."""
+    found = _labelled(docs.withColumn("__text", F.col(text_col).cast("string")), model, False, "__text", "__")
+    return found.withColumnsRenamed({"__lang_pred": "__lang"}).drop("__text")
+
+
+def _labelled(
+    rows: DataFrame, model: Model, with_spans: bool, text: str = "text", prefix: str = ""
+) -> DataFrame:
+    names = pa.array(model.languages, pa.string())
+    own = rows.columns
+    added = [prefix + c for c in ("lang_pred", "score", "spans")]
+
     def label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = pa.array(model.languages, pa.string())
         for batch in batches:
-            for part in slices(batch, "text", _SLICE):
-                language, score, (document, lang, start, end) = label_texts(texts_of(part, "text"), model)
-                columns = [part.column("id"), pa.array(language, pa.string()), pa.array(score)]
+            for part in slices(batch, text, _SLICE):
+                language, score, (document, lang, start, end) = label_texts(texts_of(part, text), model)
+                columns = [*part.columns, pa.array(language, pa.string()), pa.array(score)]
                 if with_spans:
                     offsets = np.r_[0, np.cumsum(np.bincount(document, minlength=part.num_rows))]
                     held = [names.take(pa.array(lang)), pa.array(start, pa.int32()), pa.array(end, pa.int32())]
                     span = pa.StructArray.from_arrays(held, ["lang", "start", "end"])
                     columns.append(pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), span))
-                yield pa.record_batch(columns, ["id", "lang_pred", "score", "spans"][: len(columns)])
+                yield pa.record_batch(columns, [*own, *added][: len(columns)])
 
-    narrow = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    kind = narrow.schema["id"].dataType.simpleString()
-    schema = f"id {kind}, lang_pred string, score double"
-    schema += ", spans array<struct<lang:string,start:int,end:int>>" * with_spans
-    return narrow.mapInArrow(label, schema).withColumnRenamed("id", id_col)
+    kinds = ["string", "double", "array<struct<lang:string,start:int,end:int>>"][: 2 + with_spans]
+    blank = [F.lit(None).cast(k).alias(c) for k, c in zip(kinds, added, strict=False)]
+    return rows.mapInArrow(label, rows.select("*", *blank).schema)
 
 
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
