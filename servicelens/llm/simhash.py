@@ -120,7 +120,7 @@ def _forest_links(left: np.ndarray, right: np.ndarray, distance: int) -> list[tu
     both = np.concatenate([left, right])
     forest, links = _Forest(both.size), []
     for i in range(left.size):
-        near = np.flatnonzero(np.bitwise_count(right ^ left[i]) <= distance) + left.size
+        near = np.flatnonzero(np.bitwise_count((right ^ left[i]).view(np.uint64)) <= distance) + left.size
         roots = forest.roots()
         near = near[roots[near] != roots[i]]
         if near.size:
