@@ -51,6 +51,8 @@ class TermTile(Searcher):
                     scores += weights[:, term, None] * held
                 elif users.size and rows.size:
                     scores[np.ix_(users, rows)] += weights[users, term, None] * held
+            if kind is object:
+                scores = np.minimum(np.maximum(scores, _LEAST), _MOST)
             own = self.ids[at : at + step, None] == ids
             for row in range(len(weights)):
                 self._select(at + row, scores[row], ids, own[row])
@@ -70,7 +72,7 @@ class TermTile(Searcher):
     def best(self) -> Iterator[tuple[int, int, int]]:
         for row, found in enumerate(self.found):
             for score, other in found:
-                yield row, other, min(_MOST, max(_LEAST, -score))
+                yield row, other, -score
 
 
 def top_k(
@@ -83,8 +85,8 @@ def top_k(
 ) -> DataFrame:
     """The `k` highest whole-number products of every row whose id is divisible by `query_step`.
 
-    Components become floor(factor * x) first. Returns query_id, rank, vec_id, score (long; beyond its
-    range the nearest long); ties go to the smaller id. Null or empty vectors, such with null or
+    Components become floor(factor * x) first. Returns query_id, rank, vec_id, score (long; a sum
+    beyond its range counts as the nearest long); ties go to the smaller id. Null or empty vectors, such with null or
     non-finite components and rows without an id take no part; zero vectors do. Rows of another length
     than the query's are no candidates. A repeated row is a candidate each time and a query once. An
     empty table gives an empty result.
