@@ -26,6 +26,9 @@ from servicelens.llm.common import WordCache, read, sliced, texts_of
 SPACE = "▁"
 UNKNOWN = " ⁇ "
 
+#: Words that a Python worker remembers.
+WORDS = 800_000
+
 _WORDS = re.compile(r" *[^ ]+| +")
 _loaded: dict[str, tuple["MergeModel", WordCache, dict[str, str]]] = {}
 
@@ -62,40 +65,39 @@ class MergeModel:
         self.unknown = next(i for i, p in enumerate(spec.pieces) if p.type == kinds.UNKNOWN)
         self.end = self.library.eos_id()
         self.shown = [p.replace(SPACE, " ") for p in self.pieces]
+        self.written = [f" {i}" for i in range(len(self.pieces))]
         self.odd = {*self.byte_values, *self.silent, self.unknown}
 
     def merge(self, symbols: list[str]) -> list[str]:
         """Merge by the agenda. An entry is one number: the cost of the pair, then its place."""
-        costs, size = self.costs, len(symbols)
+        cost_of, size = self.costs.get, len(symbols)
         shift = size.bit_length()
         place = (1 << shift) - 1
-        agenda = [
-            costs[pair] << shift | i
-            for i, pair in enumerate(map(str.__add__, symbols, symbols[1:]))
-            if pair in costs
-        ]
+        pairs = map(str.__add__, symbols, symbols[1:])
+        agenda = [cost << shift | i for i, cost in enumerate(map(cost_of, pairs)) if cost is not None]
         if not agenda:
             return symbols
         heapq.heapify(agenda)
+        pop, push = heapq.heappop, heapq.heappush
         after, before = list(range(1, size + 1)), list(range(-1, size - 1))
         while agenda:
-            entry = heapq.heappop(agenda)
+            entry = pop(agenda)
             i = entry & place
             j = after[i]
             # an entry is void once one of its symbols has merged
             if j >= size or not (left := symbols[i]):
                 continue
             pair = left + symbols[j]
-            if costs.get(pair) != entry >> shift:
+            if cost_of(pair) != entry >> shift:
                 continue
             symbols[i], symbols[j] = pair, ""
             k = after[i] = after[j]
             if k < size:
                 before[k] = i
-                if (cost := costs.get(pair + symbols[k])) is not None:
-                    heapq.heappush(agenda, cost << shift | i)
-            if (k := before[i]) >= 0 and (cost := costs.get(symbols[k] + pair)) is not None:
-                heapq.heappush(agenda, cost << shift | k)
+                if (cost := cost_of(pair + symbols[k])) is not None:
+                    push(agenda, cost << shift | i)
+            if (k := before[i]) >= 0 and (cost := cost_of(symbols[k] + pair)) is not None:
+                push(agenda, cost << shift | k)
         return [s for s in symbols if s]
 
     def encode_word(self, word: str) -> list[int]:
@@ -155,7 +157,7 @@ def _utf8(run: bytes) -> str:
 def model(path: str) -> tuple[MergeModel, WordCache, dict[str, str]]:
     """The model, ids by word as text, and words that do not decode to themselves; once for each worker."""
     if path not in _loaded:
-        _loaded[path] = MergeModel(path), WordCache(300_000), {}
+        _loaded[path] = MergeModel(path), WordCache(WORDS), {}
     return _loaded[path]
 
 
@@ -165,12 +167,13 @@ def _learn(new: list[str], path: str) -> int:
     The library adds the dummy space itself, so it gets a word without its first space.
     """
     merging, cache, changed = model(path)
+    written = merging.written.__getitem__
     wrong = 0
     for word, theirs in zip(new, merging.library.encode([w[1:] for w in new], num_threads=1), strict=True):
         ids = merging.encode_word(word) if len(word) > 1 else [merging.ids[SPACE]]
         if len(word) > 1 and ids != theirs:
             wrong, ids = wrong + 1, theirs
-        cache[word] = "".join([f" {i}" for i in ids])
+        cache[word] = "".join(map(written, ids))
         if (text := merging.decode_word(ids)) != word:
             changed[word] = text
     return wrong
