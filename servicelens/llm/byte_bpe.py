@@ -8,6 +8,7 @@ its occurrences in all words merge at once; words without a pair in the table le
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -16,10 +17,19 @@ import regex
 # Fixed value: the split pattern of byte-level vocabularies with `use_regex`.
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
+# The same pattern over characters up to U+00FF of which no number but 0-9 and no rare space is part,
+# written out for the faster engine.
+_PLAIN_LETTERS = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff"
+_PLAIN = SPLIT.replace(r"[^\s\p{L}\p{N}]", rf"[^\s{_PLAIN_LETTERS}0-9]")
+_PLAIN = re.compile(_PLAIN.replace(r"\p{L}", f"[{_PLAIN_LETTERS}]").replace(r"\p{N}", "[0-9]"))
+_NOT_PLAIN = re.compile("[^\t\n\r -~\u00a1-\u00a9\u00ab-\u00b1\u00b4\u00b6-\u00b8\u00bb\u00bf-\u00ff]")
+
 #: Texts longer than this are split into words part by part, cut where a word must start.
 PART_CHARS = 1 << 20
 
 _NONE = np.iinfo(np.int64).max
+_SLOT_BITS = 19
+_SLOTS = 1 << _SLOT_BITS
 
 
 def byte_symbols() -> list[str]:
@@ -29,22 +39,44 @@ def byte_symbols() -> list[str]:
     return [chr(b) if b in printable else chr(next(spare)) for b in range(256)]
 
 
+def _hashed(pairs: np.ndarray) -> np.ndarray:
+    return (pairs.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - _SLOT_BITS)).astype(np.int64)
+
+
+def _slots(pairs: np.ndarray) -> tuple[np.ndarray, int]:
+    """A hash table of row numbers with open addressing, and the longest way to a row."""
+    slots = np.full(_SLOTS, pairs.size, np.int32)
+    rows, slot, probes = np.arange(pairs.size, dtype=np.int32), _hashed(pairs), 0
+    while rows.size:
+        probes += 1
+        free = np.flatnonzero(slots[slot] == pairs.size)
+        slots[slot[free]] = rows[free]  # of rows that meet in a slot one stays
+        lost = slots[slot] != rows
+        rows, slot = rows[lost], (slot[lost] + 1) & (_SLOTS - 1)
+    return slots, probes + 1
+
+
 class RankMerger:
     def __init__(self, merges: list[tuple[str, str]], ids: dict[str, int]):
         self.byte_ids = np.array([ids[c] for c in byte_symbols()], np.int64)
         self.size = max(ids.values()) + 1
         pairs = np.array([ids[a] * self.size + ids[b] for a, b in merges], np.int64)
-        order = np.argsort(pairs, kind="stable")
-        self.pairs, self.ranks = pairs[order], order.astype(np.int64)
+        self.slots, self.probes = _slots(pairs)
+        # the row after the last pair is no pair's
+        self.pairs = np.r_[pairs, -1]
         self.merged = np.array([ids[a + b] for a, b in merges], np.int64)
 
     def _pair_ranks(self, symbols: np.ndarray, owners: np.ndarray) -> np.ndarray:
         ranks = np.full(symbols.size, _NONE)
-        pairs = symbols[:-1] * self.size + symbols[1:]
-        at = np.searchsorted(self.pairs, pairs)
-        at[at == self.pairs.size] = 0
-        hit = (self.pairs[at] == pairs) & (owners[:-1] == owners[1:])
-        ranks[:-1][hit] = self.ranks[at[hit]]
+        at = np.flatnonzero(owners[:-1] == owners[1:])
+        pairs = symbols[at] * self.size + symbols[at + 1]
+        slot = _hashed(pairs)
+        for _ in range(self.probes):
+            row = self.slots[slot]
+            hit = self.pairs[row] == pairs
+            ranks[at[hit]] = row[hit]
+            more = ~hit & (row < self.pairs.size - 1)
+            at, pairs, slot = at[more], pairs[more], (slot[more] + 1) & (_SLOTS - 1)
         return ranks
 
     def encode(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -100,12 +132,16 @@ class ByteVocabulary:
             raise ValueError(f"{path} is no plain byte-level pair vocabulary")
         merges = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model["merges"]]
         self.merger = RankMerger(merges, model["vocab"])
-        self.words = regex.compile(SPLIT)
+        self._words = regex.compile(SPLIT)
         self.special_ids = {t["content"]: t["id"] for t in added}
         names = sorted(self.special_ids, key=len, reverse=True)
         self.special = regex.compile("|".join(map(regex.escape, names))) if names else None
         self.cut = regex.compile(r"(?<=\S) (?=\p{L})")
 
+    def words(self, part: str) -> list[str]:
+        """The words that merge on their own."""
+        return (self._words if _NOT_PLAIN.search(part) else _PLAIN).findall(part)
+
     def parts(self, text: str) -> Iterator[tuple[str, str]]:
         """(part, special string after it). Parts are at most about `PART_CHARS` long where words allow it."""
         start = 0

@@ -32,7 +32,7 @@ def count_texts(texts: list[str], path: str) -> list[int]:
     totals = [0] * len(texts)
 
     def add(held: list[tuple[int, list[str]]]) -> None:
-        used = {w for _, words in held for w in words}
+        used = set().union(*[words for _, words in held])
         cache.shrink(used)
         if new := cache.missing(used):
             _, counts = vocabulary.merger.encode([w.encode() for w in new])
@@ -44,7 +44,7 @@ def count_texts(texts: list[str], path: str) -> list[int]:
     chars = 0
     for i, text in enumerate(texts):
         for part, special in vocabulary.parts(text):
-            held.append((i, vocabulary.words.findall(part)))
+            held.append((i, vocabulary.words(part)))
             totals[i] += bool(special)
             chars += len(part)
             if chars >= 1 << 20:
