@@ -20,13 +20,16 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from servicelens.llm.byte_bpe import ByteVocabulary
-from servicelens.llm.common import WordCache, read, sliced, stored, texts_of
+from servicelens.llm.common import SLICE_CHARS, WordCache, read, sliced, stored, texts_of
 
 CAPACITY = 1024
 END_ID = 2
 #: Pieces that one task ranks, on average.
 BUCKET_ROWS = 50_000
 
+#: Words that a Python worker remembers.
+WORDS = 200_000
+
 _RANK_BITS = 40
 _loaded: dict[str, tuple[ByteVocabulary, WordCache]] = {}
 
@@ -161,7 +164,7 @@ def plan(counts: np.ndarray, capacity: int = CAPACITY) -> tuple[list[Run], int,
 def encoder(path: str) -> tuple[ByteVocabulary, WordCache]:
     """The vocabulary and the ids of words seen so far, once for each Python worker."""
     if path not in _loaded:
-        _loaded[path] = ByteVocabulary(path), WordCache()
+        _loaded[path] = ByteVocabulary(path), WordCache(WORDS)
     return _loaded[path]
 
 
@@ -171,7 +174,7 @@ def encode_texts(texts: list[str], path: str) -> list[bytes]:
     found: list[list[bytes]] = [[] for _ in texts]
 
     def add(held: list[tuple[int, list[str], str]]) -> None:
-        used = {w for _, words, _ in held for w in words}
+        used = set().union(*[words for _, words, _ in held])
         cache.shrink(used)
         if new := cache.missing(used):
             ids, counts = vocabulary.merger.encode([w.encode() for w in new])
@@ -186,9 +189,9 @@ def encode_texts(texts: list[str], path: str) -> list[bytes]:
     chars = 0
     for i, text in enumerate(texts):
         for part, special in vocabulary.parts(text):
-            held.append((i, vocabulary.words.findall(part), special))
+            held.append((i, vocabulary.words(part), special))
             chars += len(part)
-            if chars >= 1 << 20:
+            if chars >= SLICE_CHARS // 2:
                 add(held)
                 held, chars = [], 0
     add(held)
@@ -238,6 +241,8 @@ def token_pieces(
             if with_ids:
                 columns, names = [*columns, pa.array(ids, pa.list_(pa.int32()))], [*names, "ids"]
             yield pa.record_batch(columns, names)
+        # idle workers wait beside the tasks that sort and write: they hold no words
+        encoder(tokenizer)[1].clear()
 
     narrow = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     kind = narrow.schema["id"].dataType.simpleString()
