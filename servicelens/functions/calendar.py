@@ -14,12 +14,6 @@ def month_of(ts: Column | str) -> Column:
     return F.trunc(col(ts).cast("date"), "month")
 
 
-def window_end(period: Column | str, n_days: int = DEFAULT_DAYS) -> Column:
-    """First day after the window; never beyond the month."""
-    start = col(period)
-    return F.least(F.date_add(start, n_days), F.add_months(start, 1))
-
-
 def in_window(ts: Column | str, n_days: int = DEFAULT_DAYS) -> Column:
     return F.dayofmonth(col(ts)) <= n_days
 

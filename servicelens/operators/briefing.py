@@ -48,8 +48,8 @@ def briefing_lines(
 ) -> DataFrame:
     """(period, locale, line_no, text): the report as rows in the order (line_no, text).
 
-    All figures are computed. `inventory(department, filename, updated, stale)` adds a line per
-    stale department and one per file, which share their `line_no`. The facts are read once: every
+    All figures are computed. `inventory(period, department, filename, updated, stale)` adds to the
+    report of a month a line per stale department and one per file, which share their `line_no`. The facts are read once: every
     line starts as a slot of a facts row, and slots for files are filled by a join.
     """
     locale = F.col("locale")
@@ -133,11 +133,11 @@ def briefing_lines(
     )
     file_lines = (
         inventory.select("*", localised)
-        .select("locale", F.inline(F.array_compact(filled)))
+        .select("period", "locale", F.inline(F.array_compact(filled)))
         .distinct()
     )
     return (
-        report.join(file_lines, ["locale", "slot"], "left")
+        report.join(file_lines, ["period", "locale", "slot"], "left")
         .where(F.col("fixed_text").isNotNull() | F.col("file_text").isNotNull())
         .select(
             "period",

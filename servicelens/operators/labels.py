@@ -50,9 +50,10 @@ TEXT = {
         "Choose a .csv file. Export Excel workbooks as CSV first.",
     ),
     "csvSize": (
-        "Zgjidhni një CSV nën 1 MB, deri në 10.000 rreshta dhe 50 kolona.",
-        "Choose a CSV under 1 MB, with up to 10,000 rows and 50 columns.",
+        "Zgjidhni një CSV nën {size}, deri në {rows} rreshta dhe {columns} kolona.",
+        "Choose a CSV under {size}, with up to {rows} rows and {columns} columns.",
     ),
+    "noLimit": ("pa kufi", "no limit"),
     "csvError": (
         "CSV-ja nuk mund të lexohet. Kontrolloni titujt e kolonave, thonjëzat dhe gjatësinë e rreshtave.",
         "This CSV could not be read. Check the column headers, quotation marks, and row lengths.",
@@ -83,9 +84,8 @@ TEXT = {
     ),
     "answerOverdueBody": (
         "Kjo përbën {share}% të {total} kërkesave të vonuara në të gjitha drejtoritë. "
-        "Kjo është radha më e madhe në grupin e të dhënave shembull.",
-        "That is {share}% of the {total} overdue requests across all departments. This is the largest "
-        "queue in the sample dataset.",
+        "Kjo është radha më e madhe.",
+        "That is {share}% of the {total} overdue requests across all departments. This is the largest queue.",
     ),
     "answerPerformance": (
         "{rate}% e kërkesave të përfunduara u zgjidhën brenda afatit.",
@@ -101,16 +101,14 @@ TEXT = {
         "Across {departments} departments, from 1 to {last_day}. {department} received the largest share.",
     ),
     "unsupportedQuestion": (
-        "Pyetjet e drejtpërdrejta nuk janë lidhur ende. Zgjidhni një nga pyetjet shembull për një "
-        "përgjigje të verifikueshme.",
-        "Live questions are not connected yet. Choose one of the sample questions to explore a "
-        "verifiable answer.",
+        "Kjo pyetje nuk ka përgjigje të llogaritur. Zgjidhni një nga pyetjet e dhëna.",
+        "This question has no computed answer. Choose one of the given questions.",
     ),
     "emptyQuestion": (
         "Shkruani një pyetje ose zgjidhni një shembull.",
         "Enter a question or choose an example.",
     ),
-    "draft": ("Draft shembull", "Sample draft"),
+    "draft": ("Draft", "Draft"),
     "briefingHeading": ("Raporti i shërbimeve bashkiake", "Municipal service briefing"),
     "executiveSummary": ("Përmbledhje për drejtimin", "Executive summary"),
     "leadImproving": ("Shërbimi po përmirësohet.", "Service delivery is improving."),

@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.text import col
+from ..functions.text import col, trim_all
 from ..tables import values_table
 
 REQUIRED = ("id", "department", "status")
@@ -20,10 +20,6 @@ PATTERNS = (
 )
 
 
-def pattern_table(spark: SparkSession, patterns: Sequence[tuple[str, str]] = PATTERNS) -> DataFrame:
-    return values_table(spark, patterns, "field string, pattern string")
-
-
 def propose_mapping(
     headers: DataFrame, patterns: Sequence[tuple[str, str]] = PATTERNS
 ) -> DataFrame:
@@ -90,7 +86,7 @@ def apply_file_mapping(rows: DataFrame, mapping: DataFrame, fields: Sequence[str
 
 
 def _typed(name: str, kind: str) -> Column:
-    return F.nullif(F.trim(F.col(name)), F.lit("")).try_cast(kind)
+    return F.nullif(trim_all(F.col(name)), F.lit("")).try_cast(kind)
 
 
 def coerce(df: DataFrame, types: Mapping[str, str]) -> tuple[DataFrame, DataFrame]:
@@ -101,7 +97,7 @@ def coerce(df: DataFrame, types: Mapping[str, str]) -> tuple[DataFrame, DataFram
     typed = df.withColumns({name: _typed(name, kind) for name, kind in types.items()})
     failed = [
         F.count_if(
-            F.nullif(F.trim(F.col(name)), F.lit("")).isNotNull() & _typed(name, kind).isNull()
+            F.nullif(trim_all(F.col(name)), F.lit("")).isNotNull() & _typed(name, kind).isNull()
         ).alias(name)
         for name, kind in types.items()
     ]

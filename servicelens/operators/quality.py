@@ -34,9 +34,9 @@ PII_HINTS = {
     "id_number": r"[A-Z][0-9]{8}[A-Z]",
 }
 PII_HEADERS = {
-    "name": r"(?i)(^|_)(name|emri|mbiemri|surname)($|_)",
-    "email": r"(?i)e_?mail",
-    "phone": r"(?i)(phone|telefon|mobile|cel)",
+    "name": r"(?i)(^|_)((first|last|full|middle|maiden|person|citizen|applicant|owner|contact)_?name|surname|emri|mbiemri)($|_)",
+    "email": r"(?i)(^|_)e_?mail(_?(address|adresa))?($|_)",
+    "phone": r"(?i)(^|_)(phone|tel|telefon|telefoni|mobile|cel|cell)(_?(phone|number|no|nr|numri))?($|_)",
     "id_number": r"(?i)(^|_)(nid|nipt|personal_?id|id_?number)($|_)",
 }
 
@@ -62,7 +62,7 @@ def profile(
     """One row per column: type, counts, distinct values, range, how often it reads as a type, samples.
 
     One pass without collecting values: distinct counts are sketches unless asked to be exact, and
-    a sample is the value with the smallest hash, one per seed.
+    a sample is the value with the smallest md5, one per seed.
     """
     names = list(columns or df.columns)
     types = {f.name: f.dataType for f in df.schema.fields}
@@ -94,7 +94,7 @@ def profile(
         for kind in READS_AS:
             yield f"reads_as_{kind}", reads_as(kind)
         yield "samples", F.array_distinct(
-            F.array(*[F.min_by(shown, F.xxhash64(F.lit(i), shown)) for i in range(samples)])
+            F.array(*[F.min_by(shown, F.md5(F.concat(F.lit(str(i)), shown))) for i in range(samples)])
         )
 
     return _long_form(df, {name: list(fields(name)) for name in names})

@@ -13,8 +13,8 @@ DEFAULT_TARGET = 90.0
 
 
 def _stale_departments(inventory: DataFrame) -> DataFrame:
-    """Department and period with a stale source; no period column means every period."""
-    keys = ["department"] + (["period"] if "period" in inventory.columns else [])
+    """Department and period with a stale source."""
+    keys = ["department", "period"]
     return inventory.where(F.col("stale")).select(*keys).distinct().withColumn("_stale", F.lit(True))
 
 
@@ -25,7 +25,10 @@ def scorecard(
     metric: str = "on_time_rate",
     rank: bool = False,
 ) -> DataFrame:
-    """KPIs beside `targets(department_id, metric, period, target)`, or the default target."""
+    """KPIs beside `targets(department_id, metric, period, target)`, or the default target.
+
+    With `rank` departments get their place of the period, best first; the total has none.
+    """
     wanted = targets.where(F.col("metric") == metric).select(
         F.col("department_id").alias("department"), "period", "target"
     )
@@ -35,16 +38,18 @@ def scorecard(
         .withColumn("meets_target", F.col(metric) >= F.col("target"))
     )
     if rank:
-        place = F.rank().over(Window.partitionBy("period").orderBy(F.desc(metric)))
-        out = out.withColumn("place", place)
+        is_total = F.col("department") == ALL
+        place = F.rank().over(Window.partitionBy("period", is_total).orderBy(F.desc(metric)))
+        out = out.withColumn("place", F.when(~is_total, place))
     return out
 
 
 def department_status(card: DataFrame, inventory: DataFrame) -> DataFrame:
-    """`stale` wins over the rate; then `on_target` or `below_target`."""
-    stale = _stale_departments(inventory)
-    keys = [c for c in stale.columns if c != "_stale"]
-    flagged = card.join(stale, keys, "left")
+    """`stale` wins over the rate; then `on_target` or `below_target`.
+
+    `inventory(period, department, stale)` tells which sources served a month and were behind in it.
+    """
+    flagged = card.join(_stale_departments(inventory), ["department", "period"], "left")
     is_stale = F.coalesce(F.col("_stale"), F.lit(False))
     return (
         flagged.withColumn(
@@ -59,13 +64,13 @@ def department_status(card: DataFrame, inventory: DataFrame) -> DataFrame:
 
 
 def attention(card: DataFrame, inventory: DataFrame) -> DataFrame:
-    """(period, department, alert, count, updated): what to look at first, per department and for all.
+    """(period, department, alert, count, updated, target): what to look at first, per department and for all.
 
     `overdue_queue` for the largest queue of a period and `stale_source` with the number of stale
     sources. A department without either gets `no_alerts` or `below_target`, and so does `all` in a
     period without any. One pass over the card, which may be costly to compute.
     """
-    keys = ["department"] + (["period"] if "period" in inventory.columns else [])
+    keys = ["department", "period"]
     stale = inventory.where(F.col("stale")).groupBy(*keys).agg(
         F.count("*").alias("_stale_sources"), F.max("updated").alias("_updated")
     )
@@ -96,13 +101,14 @@ def attention(card: DataFrame, inventory: DataFrame) -> DataFrame:
             "_queue", (F.row_number().over(largest_first) == 1) & (F.col("overdue") > 0) & ~is_total
         )
         .withColumn("_raised", F.max(queue | has_stale).over(whole_period))
-        .select("period", "department", F.inline(F.array_compact(alerts)))
+        .select("period", "department", "target", F.inline(F.array_compact(alerts)))
+        .select("period", "department", "alert", "count", "updated", "target")
     )
 
 
-def attention_text(items: DataFrame, locale: str, target: float = DEFAULT_TARGET) -> DataFrame:
-    """Adds `title` and `description` of each alert."""
-    goal = fill(text("goal", locale), {"target": F.format_string("%.0f", F.lit(float(target)))})
+def attention_text(items: DataFrame, locale: str) -> DataFrame:
+    """Adds `title` and `description` of each alert; a missed target is the row's own."""
+    goal = fill(text("goal", locale), {"target": F.format_string("%.0f", F.col("target").cast("double"))})
     named = {"department": department_name("department", locale)}
     updated = F.concat_ws(" ", F.dayofmonth("updated"), month_name(F.month("updated"), locale))
     count = {"count": F.col("count")}

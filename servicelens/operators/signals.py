@@ -13,9 +13,15 @@ from pyspark.sql import functions as F
 
 
 def daily_series(events: DataFrame, ts: str, keys: Sequence[str]) -> DataFrame:
-    """(keys, day, value): number of rows per day."""
-    return events.groupBy(*keys, F.col(ts).cast("date").alias("day")).agg(
-        F.count("*").alias("value")
+    """(keys, day, value): number of rows per day, 0 on days without rows between a key's first and last."""
+    counted = events.where(F.col(ts).isNotNull()).groupBy(*keys, F.col(ts).cast("date").alias("_day")).agg(
+        F.count("*").alias("_n")
+    )
+    following = F.lead("_day").over(Window.partitionBy(*keys).orderBy("_day"))
+    until = F.coalesce(F.date_sub(following, 1), F.col("_day"))
+    days = counted.select(*keys, "_day", "_n", until.alias("_until"))
+    return days.select(*keys, "_day", "_n", F.explode(F.sequence("_day", "_until")).alias("day")).select(
+        *keys, "day", F.when(F.col("day") == F.col("_day"), F.col("_n")).otherwise(0).alias("value")
     )
 
 
@@ -30,7 +36,7 @@ def signals(
     """Adds `baseline`, `deviation`, `z_score` and `is_anomaly`.
 
     The baseline is the mean of the `window` points before; it is NULL until there are that many.
-    The z-score is NULL where those points do not vary.
+    The z-score is NULL where those points do not vary; any deviation from them is then an anomaly.
     """
     before = Window.partitionBy(*keys).orderBy(order).rowsBetween(-window, -1)
     full = F.count(value).over(before) == window
@@ -41,7 +47,13 @@ def signals(
         .withColumn("spread", spread)
         .withColumn("deviation", F.col(value) - F.col("baseline"))
         .withColumn("z_score", F.try_divide(F.col("deviation"), F.col("spread")))
-        .withColumn("is_anomaly", F.coalesce(F.abs("z_score") >= threshold, F.lit(False)))
+        .withColumn(
+            "is_anomaly",
+            F.coalesce(
+                F.when(F.col("spread") == 0, F.col("deviation") != 0).otherwise(F.abs("z_score") >= threshold),
+                F.lit(False),
+            ),
+        )
     )
 
 

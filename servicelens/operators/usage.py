@@ -1,16 +1,18 @@
 """Ledger of calls to a priced text service: outcome, cost, spend and budget gate.
 
-`usage(call_id, model, input_tokens, output_tokens, ok, refusal)`; `call_id` is unique and gives the
-order of the calls.
+`usage(call_id, model, input_tokens, output_tokens, ok, refusal)`; `call_id`, or whatever columns are
+named instead, is unique and gives the order of the calls.
 """
 
 from __future__ import annotations
 
-import math
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..session import staging_path
+from ..sources.store import save_table
 from ..tables import values_table
 
 # USD per one million input and output tokens; an unknown model costs as `smart`.
@@ -26,13 +28,6 @@ OUTCOMES = {
     "refusal": "llm_refusal",
 }
 
-# A running total is cut so that a task sorts about this many rows; the number of cuts is bounded
-# because they are constants of the plan.
-ROWS_PER_SLICE = 1_000_000
-MIN_SLICES = 16
-MAX_SLICES = 4_000
-
-
 def price_table(spark: SparkSession) -> DataFrame:
     return values_table(spark, PRICES, "model string, in_usd double, out_usd double")
 
@@ -49,8 +44,10 @@ def price_usage(usage: DataFrame, prices: DataFrame, default: tuple[float, float
 
 
 def spend(usage: DataFrame, prices: DataFrame) -> DataFrame:
-    """Calls, tokens and cost per model."""
-    return price_usage(usage, prices).groupBy("model").agg(
+    """Calls, tokens and cost per model; of a gated ledger those that were let through."""
+    gated = "allowed" in usage.columns
+    priced = usage.where("allowed") if gated else price_usage(usage, prices)
+    return priced.groupBy("model").agg(
         F.count("*").alias("calls"),
         F.sum("input_tokens").alias("input_tokens"),
         F.sum("output_tokens").alias("output_tokens"),
@@ -58,47 +55,22 @@ def spend(usage: DataFrame, prices: DataFrame) -> DataFrame:
     )
 
 
-def _cut_number(key: Column, cuts: list[int]) -> Column:
-    """How many of the sorted cuts are at or below the key; looks at about 2 * sqrt(n) of them."""
-    if not cuts:
-        return F.lit(0)
-    step = max(1, math.isqrt(len(cuts)))
-    groups = [cuts[i : i + step] for i in range(0, len(cuts), step)]
-
-    def longs(values: list[int]) -> Column:
-        return F.array(*[F.lit(v).cast("long") for v in values])
-
-    group = F.size(F.filter(longs([g[0] for g in groups]), lambda c: c <= key))
-    inside = F.element_at(F.array(*[longs(g) for g in groups]), group)
-    return F.when(group == 0, 0).otherwise(
-        (group - 1) * step + F.size(F.filter(inside, lambda c: c <= key))
-    )
-
-
 def running_total(
-    df: DataFrame, value: str, order: str, output: str, slices: int | None = None, decimals: int = 10
+    df: DataFrame, value: str, order: Sequence[str], output: str, decimals: int = 10
 ) -> DataFrame:
-    """Adds the sum of `value` over all rows before this one in the order of the unique long `order`.
+    """Adds the sum of `value` over all rows before this one in the order of `order`, which is unique.
 
-    A plain window would put every row into one task. Here the order is cut into slices at its
-    quantiles, so the slices hold about the same number of rows whatever the values are; a window
-    runs inside each, and the sums of earlier slices (at most `slices` rows) are added. The cuts
-    become constants of the plan, so a lost task recomputes the same slices. Sums are decimal: they
-    do not depend on the order in which partial sums arrive.
+    A plain window would put every row into one task. Here the rows are range-partitioned by their
+    order and written once with the number of their partition; a window runs inside each partition,
+    and the sums of earlier ones (a row per partition) are added. The number of partitions is that of
+    any shuffle. Sums are decimal: they do not depend on the order in which partial sums arrive.
     """
-    if slices is None:
-        slices = min(MAX_SLICES, MIN_SLICES + df.count() // ROWS_PER_SLICE)
-    cuts = []
-    if slices > 1:
-        found = df.select(
-            F.percentile_approx(order, [i / slices for i in range(1, slices)], 100 * slices).alias("c")
-        ).first()["c"]
-        cuts = sorted(set(found or []))
-    exact = F.col(value).cast(f"decimal(38,{decimals})")
-    sliced = df.withColumn("_slice", _cut_number(F.col(order), cuts)).withColumn("_exact", exact)
-    before = Window.partitionBy("_slice").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    slice_sums = sliced.groupBy("_slice").agg(F.sum("_exact").alias("_sum"))
-    earlier = slice_sums.select(
+    spark = df.sparkSession
+    ranged = df.repartitionByRange(*order).withColumn("_slice", F.spark_partition_id())
+    ranged = ranged.withColumn("_exact", F.col(value).cast(f"decimal(38,{decimals})"))
+    sliced = save_table(ranged, staging_path(spark, "running-total"))
+    before = Window.partitionBy("_slice").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    earlier = sliced.groupBy("_slice").agg(F.sum("_exact").alias("_sum")).select(
         "_slice",
         F.sum("_sum")
         .over(Window.orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1))
@@ -114,16 +86,28 @@ def running_total(
 
 
 def budget_gate(
-    usage: DataFrame, prices: DataFrame, budget: float = DEFAULT_BUDGET, slices: int | None = None
+    usage: DataFrame,
+    prices: DataFrame,
+    budget: float = DEFAULT_BUDGET,
+    order: Sequence[str] = ("call_id",),
 ) -> DataFrame:
-    """Adds `spent_before` and `allowed`: a call is blocked once the spend before it reaches the budget.
+    """Adds `cost_usd`, `spent_before` and `allowed`: a call is blocked once the spend reaches the budget.
 
-    Costs are never negative and a blocked call stays blocked, so the spend of all earlier calls
-    decides the same way as the spend of the allowed ones.
+    A blocked call costs nothing, so the spend stays what the allowed calls cost. Costs are never
+    negative and a blocked call stays blocked: the running total of all earlier calls decides the same
+    way, and its smallest value at or above the budget is the final spend.
     """
-    priced = price_usage(usage, prices)
-    gated = running_total(priced, "cost_usd", "call_id", "spent_before", slices)
-    return gated.withColumn("allowed", F.col("spent_before") < F.lit(float(budget)))
+    limit = F.lit(float(budget))
+    total = running_total(price_usage(usage, prices), "cost_usd", order, "spent_before")
+    allowed = F.col("spent_before") < limit
+    final = total.where(~allowed).agg(F.min("spent_before").alias("_final"))
+    return (
+        total.withColumn("allowed", allowed)
+        .withColumn("cost_usd", F.when(F.col("allowed"), F.col("cost_usd")).otherwise(0.0))
+        .withColumn(
+            "spent_before", F.when(F.col("allowed"), F.col("spent_before")).otherwise(final.scalar())
+        )
+    )
 
 
 def call_outcome(

@@ -7,7 +7,7 @@ lines once the order is finished.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.requests import with_deadline
@@ -63,6 +63,15 @@ def customers(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
+def status() -> Column:
+    """The status of a request from that of its order."""
+    return (
+        F.when(F.col("o_orderstatus") == "F", "closed")
+        .when(F.col("o_orderstatus") == "P", "in_progress")
+        .otherwise("open")
+    )
+
+
 def requests(
     spark: SparkSession, path: str, located: bool = False, closings: bool = True
 ) -> DataFrame:
@@ -76,12 +85,7 @@ def requests(
         "o_custkey",
         F.col("o_orderpriority").alias("category_id"),
         F.col("o_orderdate").alias("created_at"),
-        F.col("o_orderstatus").alias("_status"),
-    )
-    status = (
-        F.when(F.col("_status") == "F", "closed")
-        .when(F.col("_status") == "P", "in_progress")
-        .otherwise("open")
+        status().alias("status"),
     )
     if closings:
         # Grouped by the join key, so the aggregation's shuffle also serves the join.
@@ -92,10 +96,10 @@ def requests(
         )
         orders = (
             orders.join(last_shipment, "id", "left")
-            .withColumn("closed_at", F.when(F.col("_status") == "F", F.col("_shipped")))
+            .withColumn("closed_at", F.when(F.col("status") == "closed", F.col("_shipped")))
             .drop("_shipped")
         )
-    joined = orders.withColumn("status", status).join(
+    joined = orders.join(
         customers(spark, path), F.col("o_custkey") == F.col("c_custkey"), "left"
     )
     if located:
@@ -107,21 +111,21 @@ def requests(
             .withColumnsRenamed({"n_name": "location_id", "r_name": "source_id"})
             .drop("n_nationkey", "n_regionkey", "r_regionkey")
         )
-    joined = joined.drop("o_custkey", "c_custkey", "c_nationkey", "_status")
+    joined = joined.drop("o_custkey", "c_custkey", "c_nationkey")
     sla = values_table(spark, SLA_DAYS, "category_id string, sla_days int")
     return with_deadline(joined, sla)
 
 
 def usage(spark: SparkSession, path: str) -> DataFrame:
-    """Call ledger: every assistant turn is a call, text lengths stand for tokens.
+    """Call ledger in the order (conv_id, turn): every assistant turn is a call, text lengths stand for tokens.
 
     The shortest answers stand for refusals and the longest for failures, so every outcome occurs.
     """
     turns = table(spark, path, "conversations")
     length = F.length("text").cast("long")
     per_turn = turns.where(F.col("role") == "assistant").select(
-        # Unique and in the order of the calls: conversations have far fewer than a million turns.
-        (F.col("conv_id") * 1_000_000 + F.col("turn")).alias("call_id"),
+        "conv_id",
+        "turn",
         F.when(F.col("turn") == 1, "fast").when(F.col("turn") == 3, "smart").otherwise("other").alias("model"),
         (length * 10).alias("input_tokens"),
         length.alias("output_tokens"),

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import staging_path
+from ..sources.store import save_table
 from . import canonical
 
 # Orders per export file and source: files stay this small however many orders there are.
@@ -14,11 +15,13 @@ SHARD = 50_000
 # Headers in Albanian for one source, in English for the others.
 ALBANIAN_SOURCE = "ASIA"
 
-BROKEN = ("headers", "ragged", "unclosed", "empty", "text")
+# Files of the kind `wide` have one column more than this.
+MOST_COLUMNS = 50
 
 
 def _rows(spark: SparkSession, path: str) -> DataFrame:
-    return canonical.requests(spark, path, located=True, closings=False).select(
+    """What is exported, joined once and kept for all files."""
+    rows = canonical.requests(spark, path, located=True, closings=False).select(
         F.col("source_id").alias("source"),
         F.floor(F.col("id") / SHARD).alias("shard"),
         F.col("id"),
@@ -27,12 +30,20 @@ def _rows(spark: SparkSession, path: str) -> DataFrame:
         F.col("created_at").cast("date").alias("created_at"),
         F.format_string('Request "%d", %s\nsecond line', F.col("id"), F.col("category_id")).alias("note"),
     )
+    return save_table(rows, staging_path(spark, "export-rows"))
 
 
-def write_good_exports(spark: SparkSession, path: str) -> str:
+def write_exports(spark: SparkSession, path: str, broken: bool) -> str:
+    """Good exports, and with `broken` those of every fault; returns their folder."""
+    out, rows = staging_path(spark, "exports"), _rows(spark, path)
+    _write_good(rows, out)
+    if broken:
+        _write_broken(rows, out)
+    return out
+
+
+def _write_good(rows: DataFrame, out: str) -> None:
     """One file per source and shard: quoted cells with commas, quotes and line breaks."""
-    out = staging_path(spark, "exports")
-    rows = _rows(spark, path)
     albanian = F.col("source") == ALBANIAN_SOURCE
     named = (
         (rows.where(~albanian).withColumnRenamed("id", "request_id"), "en"),
@@ -50,12 +61,13 @@ def write_good_exports(spark: SparkSession, path: str) -> str:
             .options(header=True, escape='"')
             .csv(f"{out}/kind=good/locale={locale}")
         )
-    return out
 
 
-def write_broken_exports(spark: SparkSession, path: str, out: str) -> str:
-    """One file per kind of fault, source and shard, written as bare lines."""
-    rows = _rows(spark, path)
+def _write_broken(rows: DataFrame, out: str) -> None:
+    """One file per kind of fault, source and shard, written as bare lines.
+
+    `blank` files are sound: blank lines between records count for nothing.
+    """
     line = F.concat_ws(",", "id", "department", "status")
     faulty = F.col("status") == "in_progress"
     texts: dict[str, tuple[str, Column | None]] = {
@@ -67,6 +79,11 @@ def write_broken_exports(spark: SparkSession, path: str, out: str) -> str:
         ),
         "empty": ("id,department,status", None),
         "text": ("id,department,status", line),
+        "blank": ("id,department,status", F.concat(line, F.when(faulty, "\n  \n\t").otherwise(""))),
+        "wide": (
+            ",".join(["id", *(f"c{i}" for i in range(MOST_COLUMNS))]),
+            F.concat(F.col("id").cast("string"), F.lit("," * MOST_COLUMNS)),
+        ),
     }
 
     def entry(kind: str, order: Column, text: Column) -> Column:
@@ -86,11 +103,15 @@ def write_broken_exports(spark: SparkSession, path: str, out: str) -> str:
     parts = ["kind", "source", "shard"]
     is_text = F.col("kind") == "text"
     lines.where(is_text).write.partitionBy(*parts).mode("append").text(out)
-    # No quote character: the lines go out as they are.
+    # No quote character and nothing trimmed: the lines go out as they are.
     lines.where(~is_text).write.partitionBy(*parts).mode("append").options(
-        header=False, quote="\u0000", escape="\u0000", sep="\u0001"
+        header=False,
+        quote="\u0000",
+        escape="\u0000",
+        sep="\u0001",
+        ignoreLeadingWhiteSpace=False,
+        ignoreTrailingWhiteSpace=False,
     ).csv(out)
-    return out
 
 
 def path_part(name: str) -> Column:

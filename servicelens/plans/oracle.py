@@ -10,7 +10,7 @@ from ..operators import labels
 from ..operators.kpi import ALL
 from ..operators.quality import PII_HEADERS, PII_VALUES
 from . import canonical
-from .queries import AS_OF, BUDGET, TARGETS, WEIGHTS
+from .queries import BUDGET, TARGETS, WEIGHTS
 
 
 def _text(value: str) -> str:
@@ -82,12 +82,12 @@ CARD = f"""card AS (
   FROM kpi k LEFT JOIN (VALUES {_TARGETS}) AS t(department, period, target) USING (department, period)
 )"""
 
-INVENTORY = f"""inventory AS (
-  SELECT source_id AS id, department_id AS department,
+INVENTORY = """inventory AS (
+  SELECT CAST(date_trunc('month', created_at) AS DATE) AS period, source_id AS id, department_id AS department,
          replace(lower(source_id), ' ', '_') || '.csv' AS filename,
          count(*) AS rows, CAST(max(created_at) AS DATE) AS updated,
-         date_diff('day', CAST(max(created_at) AS DATE), DATE '{AS_OF}') > 1 AS stale
-  FROM located GROUP BY 1, 2, 3
+         24 - day(max(created_at)) > 3 AS stale
+  FROM located WHERE day(created_at) <= 24 GROUP BY 1, 2, 3, 4
 )"""
 
 
@@ -106,16 +106,16 @@ _ALERTS = """alerts AS (
     QUALIFY row_number() OVER (PARTITION BY period ORDER BY overdue DESC, department) = 1
   ), stale AS (
     SELECT c.period, c.department, n, u FROM card c
-    JOIN (SELECT department, count(*) AS n, max(updated) AS u FROM inventory WHERE stale GROUP BY 1) s
-      USING (department)
+    JOIN (SELECT period, department, count(*) AS n, max(updated) AS u FROM inventory WHERE stale GROUP BY 1, 2) s
+      USING (period, department)
   ), raised AS (
     SELECT period, department, 'overdue_queue' AS alert, CAST(overdue AS BIGINT) AS count,
            CAST(NULL AS DATE) AS updated FROM queue
     UNION ALL SELECT period, department, 'stale_source', n, u FROM stale
   )
-  SELECT * FROM raised
+  SELECT r.*, c.target FROM raised r JOIN card c USING (period, department)
   UNION ALL
-  SELECT period, department, CASE WHEN meets_target THEN 'no_alerts' ELSE 'below_target' END, 0, NULL
+  SELECT period, department, CASE WHEN meets_target THEN 'no_alerts' ELSE 'below_target' END, 0, NULL, target
   FROM card c
   WHERE NOT EXISTS (SELECT 1 FROM raised r WHERE r.period = c.period
                     AND (r.department = c.department OR c.department = 'all'))
@@ -160,17 +160,28 @@ def _allocated(source: str) -> str:
 
 _MONTHLY = """SELECT CAST(date_trunc('month', o_orderdate) AS DATE) AS period, count(*) AS received,
   count(*) FILTER (WHERE o_orderstatus = 'F') AS resolved FROM orders"""
-_HISTORY = f"history AS ({_MONTHLY} WHERE o_orderdate < TIMESTAMP '1998-01-01' GROUP BY 1)"
+_HISTORY = """history AS (
+  SELECT p AS period, CAST(sum(a) AS BIGINT) AS received, CAST(sum(b) AS BIGINT) AS resolved FROM (
+    SELECT p, count(*) FILTER (WHERE created_at >= p AND created_at < p + INTERVAL 24 DAY) AS a, 0 AS b
+    FROM metrics_periods, located GROUP BY 1
+    UNION ALL
+    SELECT p, 0, count(*) FILTER (WHERE closed_at >= p AND closed_at < p + INTERVAL 24 DAY)
+    FROM metrics_periods, located GROUP BY 1)
+  WHERE p < DATE '1998-01-01' GROUP BY 1
+)"""
 _MEASURED = "period BETWEEN DATE '1998-01-01' AND DATE '2000-12-01'"
 
 _DAILY = """daily AS (
-  SELECT event_type, CAST(ts AS DATE) AS day, count(*) AS value FROM events GROUP BY 1, 2
+  SELECT d.event_type, d.day, count(e.event_id) AS value
+  FROM (SELECT event_type, CAST(unnest(generate_series(date_trunc('day', min(ts)), date_trunc('day', max(ts)),
+          INTERVAL 1 DAY)) AS DATE) AS day FROM events GROUP BY 1) d
+  LEFT JOIN events e ON e.event_type = d.event_type AND CAST(e.ts AS DATE) = d.day GROUP BY 1, 2
 )"""
 
 _LEDGER = f"""ledger AS (
   SELECT *, CASE WHEN failed IS NULL THEN (input_tokens * i + output_tokens * o) / 1e6 ELSE 0.0 END AS cost_usd
   FROM (
-    SELECT conv_id * 1000000 + turn AS call_id,
+    SELECT conv_id, turn,
            CASE turn WHEN 1 THEN 'fast' WHEN 3 THEN 'smart' ELSE 'other' END AS model,
            CAST(length(text) AS BIGINT) * 10 AS input_tokens, CAST(length(text) AS BIGINT) AS output_tokens,
            CASE WHEN length(text) > 1700 THEN 'llm_error:rate_limited' WHEN length(text) > 1600 THEN 'llm_error:503'
@@ -180,7 +191,7 @@ _LEDGER = f"""ledger AS (
     FROM conversations WHERE role = 'assistant')
 ), gated AS (
   SELECT *, coalesce(CAST(sum(CAST(cost_usd AS DECIMAL(38, 10))) OVER (
-              ORDER BY call_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS DOUBLE), 0.0) AS spent_before
+              ORDER BY conv_id, turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS DOUBLE), 0.0) AS all_before
   FROM ledger
 )"""
 
@@ -206,6 +217,18 @@ def _profile_events() -> str:
     return " UNION ALL ".join(one(n, k) for n, k in kinds.items())
 
 
+def _samples() -> str:
+    def one(name: str) -> str:
+        shown = f"CAST({name} AS VARCHAR)"
+        picks = [f"arg_min({shown}, md5('{i}' || {shown}))" for i in range(3)]
+        a, b, c = picks
+        return f"""SELECT '{name}' AS "column", count(DISTINCT {name}) AS distinct_values,
+          concat_ws(' | ', {a}, CASE WHEN {b} <> {a} THEN {b} END,
+            CASE WHEN {c} NOT IN ({a}, {b}) THEN {c} END) AS samples FROM events"""
+
+    return " UNION ALL ".join(map(one, ("event_id", "ts", "user_id", "event_type", "value", "props")))
+
+
 def _pii_docs() -> str:
     import re
 
@@ -263,6 +286,7 @@ def _pick(c: str, names) -> str:
     return "(" + "CASE " + c + " " + " ".join(f"WHEN {i} THEN {_text(n)}" for i, n in enumerate(names, 1)) + " END)"
 
 
+# Names of the months.
 _SHORT = {
     "sq": "jan shk mar pri maj qer korr gush sht tet nën dhj".split(),
     "en": "Jan Feb Mar Apr May Jun Jul Aug Sep Oct Nov Dec".split(),
@@ -337,8 +361,8 @@ def _briefing() -> str:
             )
         updated = f"day(updated) || ' ' || {_pick('month(updated)', _LONG[locale])}"
         stale = filled("briefingStale", source="department", date=f"({updated})")
-        parts.append(f"SELECT period, '{locale}', 12, t FROM facts, (SELECT DISTINCT {stale} AS t FROM inventory WHERE stale)")
-        parts.append(f"SELECT period, '{locale}', 15, '- ' || f FROM facts, (SELECT DISTINCT filename AS f FROM inventory)")
+        parts.append(f"SELECT period, '{locale}', 12, t FROM facts JOIN (SELECT DISTINCT period, {stale} AS t FROM inventory WHERE stale) USING (period)")
+        parts.append(f"SELECT period, '{locale}', 15, '- ' || f FROM facts JOIN (SELECT DISTINCT period, filename AS f FROM inventory) USING (period)")
     return (
         "SELECT period, locale, CAST(line_no AS BIGINT) AS line_no, text FROM ("
         + " UNION ALL ".join(parts)
@@ -358,13 +382,11 @@ ORACLE: dict[str, str] = {
     FROM events GROUP BY 1""",
     "kpi_one_department": _with(
         LOCATED,
-        """chosen AS (SELECT * FROM located WHERE department_id = 'BUILDING' AND day(created_at) <= 24
-        AND created_at >= TIMESTAMP '1997-01-01' AND created_at < TIMESTAMP '1999-01-01')""",
-        metrics("metrics", "chosen"),
+        metrics(),
         KPI,
     )
     + f"SELECT {_COLUMNS}, round(on_time_rate, 6) AS on_time_rate FROM kpi "
-    "WHERE department <> 'all' AND period <= DATE '1998-12-01'",
+    "WHERE department = 'BUILDING' AND period <= DATE '1998-12-01'",
     "kpi_growth": _with(*_BASE_KPI, _GROWTH)
     + f"SELECT {_COLUMNS}, round(on_time_rate, 6) AS on_time_rate, round(received_growth, 6) AS received_growth, "
     "round(rate_change, 6) AS rate_change FROM growth",
@@ -389,13 +411,14 @@ ORACLE: dict[str, str] = {
     WHERE period = (SELECT max(period) FROM kpi)""",
     "scorecard_ranked": _with(*_BASE_CARD)
     + f"""SELECT {_COLUMNS}, round(on_time_rate, 6) AS on_time_rate, target, meets_target,
-    rank() OVER (PARTITION BY period ORDER BY on_time_rate DESC) AS place FROM card""",
+    CASE WHEN department <> 'all' THEN 1 + (SELECT count(*) FROM card b WHERE b.period = card.period
+      AND b.department <> 'all' AND b.on_time_rate > card.on_time_rate) END AS place FROM card""",
     "department_status": _with(*_BASE_CARD)
     + """SELECT period, department, round(on_time_rate, 6) AS on_time_rate,
       CASE WHEN s THEN 'stale' WHEN meets_target THEN 'on_target' ELSE 'below_target' END AS status,
       CASE WHEN s OR NOT meets_target THEN 'warn' ELSE 'good' END AS severity
-    FROM (SELECT *, department IN (SELECT department FROM inventory WHERE stale) AS s FROM card)
-    WHERE period >= DATE '2001-07-01'""",
+    FROM (SELECT *, EXISTS (SELECT 1 FROM inventory i WHERE stale AND i.department = card.department
+                            AND i.period = card.period) AS s FROM card)""",
     "attention": _with(*_BASE_CARD, _ALERTS) + "SELECT * FROM alerts",
     "attention_count": _with(*_BASE_CARD, _ALERTS)
     + """SELECT period, count(*) FILTER (WHERE alert IN ('overdue_queue', 'stale_source')) AS alerts
@@ -422,12 +445,12 @@ ORACLE: dict[str, str] = {
     + """SELECT 'all' AS department, period, 'received' AS measure, received AS value FROM points
     UNION ALL SELECT 'all', period, 'resolved', resolved FROM points""",
     "source_inventory": _with(LOCATED, INVENTORY)
-    + "SELECT id, department, filename, rows, updated FROM inventory",
+    + "SELECT period, id, department, filename, rows, updated FROM inventory",
     "source_count": _with(LOCATED, INVENTORY)
-    + """SELECT department, count(DISTINCT id) AS sources FROM inventory GROUP BY 1
-    UNION ALL SELECT 'all', count(DISTINCT id) FROM inventory""",
+    + """SELECT period, department, count(DISTINCT id) AS sources FROM inventory GROUP BY 1, 2
+    UNION ALL SELECT period, 'all', count(DISTINCT id) FROM inventory GROUP BY 1""",
     "stale_sources": _with(LOCATED, INVENTORY)
-    + "SELECT id, department, filename, rows, updated, stale FROM inventory WHERE department = 'BUILDING'",
+    + "SELECT period, id, department, filename, rows, updated, stale FROM inventory WHERE department = 'BUILDING'",
     "enriched_by_zone": """SELECT r_name AS location_zone, lower(r_name) AS source_filename,
       o_orderpriority AS category_id, count(*) AS requests
     FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey
@@ -457,14 +480,14 @@ ORACLE: dict[str, str] = {
     "signals_daily": _with(_DAILY)
     + """SELECT event_type, day, value, round(b, 6) AS baseline, round(s, 6) AS spread,
       round(value - b, 6) AS deviation, round((value - b) / nullif(s, 0), 6) AS z_score,
-      coalesce(abs((value - b) / nullif(s, 0)) >= 2.0, false) AS is_anomaly
+      coalesce(CASE WHEN s = 0 THEN value <> b ELSE abs((value - b) / s) >= 2.0 END, false) AS is_anomaly
     FROM (SELECT *, CASE WHEN count(*) OVER w = 7 THEN avg(value) OVER w END AS b,
                  CASE WHEN count(*) OVER w = 7 THEN stddev_samp(value) OVER w END AS s
           FROM daily WINDOW w AS (PARTITION BY event_type ORDER BY day ROWS BETWEEN 7 PRECEDING AND 1 PRECEDING))""",
     "signals_monthly": _with(*_BASE_KPI)
     + """SELECT period, department, round(on_time_rate, 6) AS on_time_rate, round(b, 6) AS baseline,
       round((on_time_rate - b) / nullif(s, 0), 6) AS z_score,
-      coalesce(abs((on_time_rate - b) / nullif(s, 0)) >= 3.0, false) AS is_anomaly
+      coalesce(CASE WHEN s = 0 THEN on_time_rate <> b ELSE abs((on_time_rate - b) / s) >= 3.0 END, false) AS is_anomaly
     FROM (SELECT *, CASE WHEN count(*) OVER w = 7 THEN avg(on_time_rate) OVER w END AS b,
                  CASE WHEN count(*) OVER w = 7 THEN stddev_samp(on_time_rate) OVER w END AS s
           FROM kpi WINDOW w AS (PARTITION BY department ORDER BY period ROWS BETWEEN 7 PRECEDING AND 1 PRECEDING))""",
@@ -473,6 +496,7 @@ ORACLE: dict[str, str] = {
         regr_slope(value, date_diff('day', DATE '1970-01-01', day)) OVER w END, 6) AS slope
     FROM daily WINDOW w AS (PARTITION BY event_type ORDER BY day ROWS BETWEEN 6 PRECEDING AND CURRENT ROW)""",
     "profile_events": _profile_events(),
+    "profile_samples": _samples(),
     "pii_profile_docs": _pii_docs(),
     "shared_columns": _shared_columns(),
     "coerce_errors": """SELECT 'event' AS "column", 0::BIGINT AS errors
@@ -506,13 +530,13 @@ ORACLE: dict[str, str] = {
         WHEN 'stale_source' THEN department || ' është përditësuar për herë të fundit më ' || day(updated) || ' '
           || {_pick('month(updated)', _LONG['sq'])} || '.'
         WHEN 'no_alerts' THEN 'Kjo drejtori po përmbush objektivin e shërbimit.'
-        ELSE 'Objektivi: 50% në afat' END AS description FROM alerts""",
+        ELSE 'Objektivi: ' || CAST(target AS INTEGER) || '% në afat' END AS description FROM alerts""",
     "ask_answers": _with(*_BASE_KPI, _FACTS)
     + f"""SELECT period, 'overdue' AS key,
       top_department || ' has ' || top_overdue || ' overdue requests.' AS title,
       'That is ' || {_number('(CASE WHEN overdue = 0 THEN 0.0 ELSE 100.0 * top_overdue::DOUBLE / overdue END)', 1, 'en')}
         || '% of the ' || overdue || ' overdue requests across all departments. '
-        || 'This is the largest queue in the sample dataset.' AS body FROM facts
+        || 'This is the largest queue.' AS body FROM facts
     UNION ALL SELECT period, 'performance',
       {_number('on_time_rate', 1, 'en')} || '% of completed requests were resolved on time.',
       {_number('on_time', 0, 'en')} || ' of ' || {_number('resolved', 0, 'en')}
@@ -521,14 +545,16 @@ ORACLE: dict[str, str] = {
       'Across five departments, from 1 to 24 ' || {_pick('month(period)', _LONG['en'])} || ' ' || year(period)
         || '. ' || busiest_department || ' received the largest share.' FROM facts""",
     "usage_spend": _with(_LEDGER)
-    + """SELECT model, count(*) AS calls, CAST(sum(input_tokens) AS BIGINT) AS input_tokens,
+    + f"""SELECT model, count(*) AS calls, CAST(sum(input_tokens) AS BIGINT) AS input_tokens,
       CAST(sum(output_tokens) AS BIGINT) AS output_tokens, round(sum(cost_usd), 6) AS cost_usd
-    FROM ledger GROUP BY 1""",
+    FROM gated WHERE all_before < {BUDGET} GROUP BY 1""",
     "budget_gate": _with(_LEDGER)
-    + f"""SELECT call_id, model, round(cost_usd, 8) AS cost_usd, round(spent_before, 8) AS spent_before,
-      spent_before < {BUDGET} AS allowed FROM gated""",
+    + f"""SELECT conv_id, turn, model, CASE WHEN all_before < {BUDGET} THEN round(cost_usd, 8) ELSE 0.0 END AS cost_usd,
+      round(CASE WHEN all_before < {BUDGET} THEN all_before
+        ELSE (SELECT sum(cost_usd) FROM gated WHERE all_before < {BUDGET}) END, 8) AS spent_before,
+      all_before < {BUDGET} AS allowed FROM gated""",
     "call_outcomes": _with(_LEDGER)
-    + f"""SELECT CASE WHEN spent_before >= {BUDGET} THEN 'llm_budget_exhausted' WHEN failed IS NOT NULL THEN failed
+    + f"""SELECT CASE WHEN conv_id % 7 = 3 THEN 'llm_unavailable' WHEN all_before >= {BUDGET} THEN 'llm_budget_exhausted' WHEN failed IS NOT NULL THEN failed
       WHEN refused THEN 'llm_refusal' ELSE 'ok' END AS outcome, count(*) AS calls FROM gated GROUP BY 1""",
     "briefing_facts": _with(*_BASE_KPI, _FACTS)
     + """SELECT period, received, resolved, on_time, overdue, round(on_time_rate, 6) AS on_time_rate, departments,
@@ -548,7 +574,7 @@ ORACLE: dict[str, str] = {
     + f"""SELECT kind, verdict, (SELECT count(*) FROM {_FILES}) AS files,
       CASE WHEN verdict = 'ok' THEN (SELECT count(*) FROM located) END AS rows
     FROM (VALUES ('good', 'ok'), ('headers', 'headers'), ('ragged', 'format'), ('unclosed', 'format'),
-                 ('empty', 'empty'), ('text', 'type')) AS v(kind, verdict)""",
+                 ('empty', 'empty'), ('text', 'type'), ('blank', 'ok'), ('wide', 'size')) AS v(kind, verdict)""",
     "ingest_canonical": _with(LOCATED)
     + f"""SELECT source_id, department_id AS department, status, count(*) AS requests,
       CAST(sum(id) AS BIGINT) AS id_sum, CAST(min(created_at) AS DATE) AS first_day,
@@ -564,5 +590,7 @@ ORACLE: dict[str, str] = {
     + """SELECT count(*) AS questions, count(*) FILTER (WHERE ok) AS correct,
       round(avg(CASE WHEN ok THEN 1.0 ELSE 0.0 END), 6) AS accuracy
     FROM (SELECT coalesce(r.n = k.received, false) AS ok
-          FROM kpi k FULL JOIN metrics_recv r ON r.d = k.department AND r.p = k.period)""",
+          FROM kpi k FULL JOIN metrics_recv r ON r.d = k.department AND r.p = k.period
+          UNION ALL SELECT coalesce(r.n = k.resolved, false)
+          FROM kpi k FULL JOIN metrics_done r ON r.d = k.department AND r.p = k.period)""",
 }

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
+from ..functions.calendar import DEFAULT_DAYS
 from ..operators import ask, briefing, kpi, labels, mapping, quality, scorecard, signals, usage
 from ..operators import requests as rq
 from ..session import staging_path
@@ -29,7 +30,8 @@ TARGETS = (
     ("BUILDING", "on_time_rate", dt.date(1999, 6, 1), 60.0),
     ("MACHINERY", "on_time_rate", dt.date(2000, 1, 1), 40.0),
 )
-AS_OF = dt.date(2001, 8, 2)
+# The month that every one-month question asks about.
+ASKED = dt.date(2000, 9, 1)
 BUDGET = 2.0
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -53,13 +55,15 @@ def _kpi(spark: SparkSession, path: str) -> DataFrame:
 
 
 def _inventory(spark: SparkSession, path: str) -> DataFrame:
-    located = canonical.requests(spark, path, located=True, closings=False)
+    """What each source delivered for a month: requests of its first days, up to the last of them."""
+    located = kpi.clip_month(canonical.requests(spark, path, located=True, closings=False), "created_at")
     name = F.concat(F.lower(F.translate("source_id", " ", "_")), F.lit(".csv"))
-    return inv.source_inventory(located, "created_at", filename=name)
+    return inv.source_inventory(located, "created_at", filename=name, period=F.trunc("created_at", "month"))
 
 
 def _stale_inventory(spark: SparkSession, path: str) -> DataFrame:
-    return inv.stale_sources(_inventory(spark, path), AS_OF, 1)
+    """Behind are sources without anything from the last days before a month's window ends."""
+    return inv.stale_sources(_inventory(spark, path), F.date_add("period", DEFAULT_DAYS - 1))
 
 
 def _card(spark: SparkSession, path: str, rank: bool = False) -> DataFrame:
@@ -76,10 +80,10 @@ def kpi_monthly(spark, path):
 
 @query
 def metric_view(spark, path):
-    """KPIs read through the allow-list; there are fewer months and departments than the row cap."""
+    """KPIs read through the allow-list, all of them."""
     _kpi(spark, path).createOrReplaceTempView("kpi_by_month")
     return store.read_view(
-        spark, "kpi_by_month", ["kpi_by_month"], ["period", "department", "received", "overdue"]
+        spark, "kpi_by_month", ["kpi_by_month"], ["period", "department", "received", "overdue"], limit=None
     )
 
 
@@ -94,11 +98,8 @@ def exported_metrics(spark, path):
 
 @query
 def kpi_one_department(spark, path):
-    """One department up to a month, over requests of a range of dates only."""
-    requests = kpi.clip_month(
-        canonical.requests(spark, path), "created_at", 24, dt.datetime(1997, 1, 1), dt.datetime(1999, 1, 1)
-    )
-    chosen = kpi.by_department(requests, "BUILDING", "department_id")
+    """One department up to a month: the department is cut from the requests, the month from the result."""
+    chosen = kpi.by_department(canonical.requests(spark, path), "BUILDING", "department_id")
     monthly = kpi.by_period(rq.request_kpis(chosen), dt.date(1998, 12, 1), cumulative=True)
     return kpi.kpis(monthly, total=False).withColumns(rounded("on_time_rate"))
 
@@ -123,19 +124,20 @@ def overdue_share_top1(spark, path):
 
 @query
 def most_overdue_department(spark, path):
-    return kpi.q_overdue(_metrics(spark, path), dt.date(2000, 9, 1))
+    return kpi.q_overdue(_metrics(spark, path), ASKED)
 
 
 @query
 def on_time_performance(spark, path):
-    return kpi.q_performance(_metrics(spark, path), dt.date(2000, 9, 1)).withColumns(
-        rounded("on_time_percent")
-    )
+    counts = rq.month_counts(canonical.requests(spark, path), ASKED, measures=["resolved", "on_time"])
+    return kpi.q_performance(counts).withColumns(rounded("on_time_percent"))
 
 
 @query
 def request_volume(spark, path):
-    return kpi.q_volume(_metrics(spark, path), dt.date(2000, 9, 1))
+    """One month's requests, read by date and without the order lines."""
+    plain = canonical.requests(spark, path, closings=False)
+    return kpi.q_volume(rq.month_counts(plain, ASKED, measures=["received"]))
 
 
 @query
@@ -151,9 +153,7 @@ def scorecard_ranked(spark, path):
 
 @query
 def department_status(spark, path):
-    stale = inv.stale_sources(_inventory(spark, path), AS_OF, 1)
-    late = F.col("period") >= dt.date(2001, 7, 1)
-    return scorecard.department_status(_card(spark, path).where(late), stale).select(
+    return scorecard.department_status(_card(spark, path), _stale_inventory(spark, path)).select(
         "period", "department", F.round("on_time_rate", 6).alias("on_time_rate"), "status", "severity"
     )
 
@@ -172,7 +172,7 @@ def attention_count(spark, path):
 @query
 def attention_text(spark, path):
     items = scorecard.attention(_card(spark, path), _stale_inventory(spark, path))
-    return scorecard.attention_text(items, "sq", 50).select("period", "department", "title", "description")
+    return scorecard.attention_text(items, "sq").select("period", "department", "title", "description")
 
 
 @query
@@ -191,13 +191,15 @@ def allocate_remainder(spark, path):
 
 
 def _trend(spark, path, department):
+    """City totals before 1998, then measured months; both count the same days and closings."""
+    metrics = _metrics(spark, path)
+    begin = F.lit(dt.date(1998, 1, 1))
     history = (
-        canonical.table(spark, path, "orders")
-        .where(F.col("o_orderdate") < F.lit(dt.datetime(1998, 1, 1)))
-        .groupBy(F.trunc("o_orderdate", "month").alias("period"))
-        .agg(F.count("*").alias("received"), F.count_if(F.col("o_orderstatus") == "F").alias("resolved"))
+        metrics.where(F.col("period") < begin)
+        .groupBy("period")
+        .agg(F.sum("received").alias("received"), F.sum("resolved").alias("resolved"))
     )
-    measured = _metrics(spark, path).where(F.col("period") >= dt.date(1998, 1, 1))
+    measured = metrics.where(F.col("period") >= begin)
     return kpi.trend(history, measured, department, dt.date(2000, 12, 1), WEIGHTS)
 
 
@@ -318,10 +320,9 @@ def profile_events(spark, path):
 
 @query
 def profile_samples(spark, path):
-    """Distinct counts by sketch and sample values."""
-    return quality.profile(canonical.table(spark, path, "events")).select(
-        "column", "distinct_values", "samples"
-    )
+    """Exact distinct counts and sample values."""
+    out = quality.profile(canonical.table(spark, path, "events"), exact_distinct=True)
+    return out.select("column", "distinct_values", F.array_join("samples", " | ").alias("samples"))
 
 
 @query
@@ -409,25 +410,32 @@ def ask_answers(spark, path):
     return ask.answers(briefing.briefing_facts(_kpi(spark, path)), "en")
 
 
+def _gated(spark, path):
+    return usage.budget_gate(
+        canonical.usage(spark, path), usage.price_table(spark), BUDGET, order=("conv_id", "turn")
+    )
+
+
 @query
 def usage_spend(spark, path):
-    ledger = canonical.usage(spark, path)
-    return usage.spend(ledger, usage.price_table(spark)).withColumns(rounded("cost_usd"))
+    """What the calls cost that the budget let through."""
+    return usage.spend(_gated(spark, path), usage.price_table(spark)).withColumns(rounded("cost_usd"))
 
 
 @query
 def budget_gate(spark, path):
-    gated = usage.budget_gate(canonical.usage(spark, path), usage.price_table(spark), BUDGET)
-    return gated.select(
-        "call_id", "model", F.round("cost_usd", 8).alias("cost_usd"),
+    return _gated(spark, path).select(
+        "conv_id", "turn", "model", F.round("cost_usd", 8).alias("cost_usd"),
         F.round("spent_before", 8).alias("spent_before"), "allowed",
     )
 
 
 @query
 def call_outcomes(spark, path):
-    gated = usage.budget_gate(canonical.usage(spark, path), usage.price_table(spark), BUDGET)
-    code = usage.call_outcome(F.lit(True), F.col("allowed"), F.col("failure"), F.col("refusal"))
+    """Outcomes of all calls; there is no service for every seventh conversation."""
+    gated = _gated(spark, path)
+    available = F.col("conv_id") % 7 != 3
+    code = usage.call_outcome(available, F.col("allowed"), F.col("failure"), F.col("refusal"))
     return gated.groupBy(F.coalesce(code, F.lit("ok")).alias("outcome")).agg(F.count("*").alias("calls"))
 
 
@@ -456,10 +464,12 @@ def briefing_files(spark, path):
 
 @query
 def localized_status(spark, path):
-    plain = canonical.requests(spark, path, closings=False)
+    """Counted by status first; three rows then look for their labels."""
+    orders = canonical.table(spark, path, "orders").select(canonical.status().alias("status"))
+    counted = rq.slice_requests(orders, ["status"])
     key = F.when(F.col("status") == "open", "received").when(F.col("status") == "closed", "resolved")
-    shown = labels.localize(plain, labels.label_table(spark), F.coalesce(key, "status"), "sq")
-    return shown.groupBy("label").agg(F.count("*").alias("requests"))
+    shown = labels.localize(counted, labels.label_table(spark), F.coalesce(key, "status"), "sq")
+    return shown.groupBy("label").agg(F.sum("requests").alias("requests"))
 
 
 @query
@@ -482,10 +492,8 @@ def display_text(spark, path):
 
 def _landed(spark: SparkSession, path: str, broken: bool):
     """The landed records of written exports and the table of their verdicts."""
-    out = exports.write_good_exports(spark, path)
-    if broken:
-        exports.write_broken_exports(spark, path, out)
-    limits = csv.FileLimits(max_columns=50)
+    out = exports.write_exports(spark, path, broken)
+    limits = csv.FileLimits(max_columns=exports.MOST_COLUMNS) if broken else csv.FileLimits()
     records = csv.land_records(spark, out, staging_path(spark, "landed"), limits)
     verdicts = csv.file_verdict(spark, out, limits, records=records)
     return records, store.save_table(verdicts, staging_path(spark, "verdicts"))
@@ -515,6 +523,8 @@ def _mapped(rows: DataFrame, verdicts: DataFrame) -> DataFrame:
 def ingest_canonical(spark, path):
     """Exports to canonical rows: checked, mapped, typed, written by source and read back."""
     records, verdicts = _landed(spark, path, broken=True)
+    # files with blank lines hold the same requests once more
+    verdicts = verdicts.where(exports.path_part("kind") == "good")
     mapped = _mapped(csv.data_records(records, verdicts), verdicts)
     typed, _ = mapping.coerce(mapped, {"id": "bigint", "created_at": "date"})
     rows = typed.select("id", "department", "status", "created_at", "note", exports.path_part("source").alias("source_id"))
@@ -567,15 +577,18 @@ def mapping_proposal(spark, path):
 @query
 def golden_accuracy(spark, path):
     """KPI table against independent counts per department, month and measure."""
-    plain = canonical.requests(spark, path, closings=False)
-    question = F.concat_ws("/", "department", F.col("period").cast("string"))
-    expected = (
-        kpi.clip_month(plain, "created_at")
-        .groupBy(F.col("department_id").alias("department"), F.trunc("created_at", "month").alias("period"))
-        .agg(F.count("*").alias("value"))
-        .select(question.alias("question_id"), "value")
-    )
-    actual = kpi.kpis(_metrics(spark, path)).select(
-        question.alias("question_id"), F.col("received").alias("value")
+    requests = canonical.requests(spark, path)
+    question = F.concat_ws("/", "department", F.col("period").cast("string"), "measure")
+
+    def counted(at: str, measure: str) -> DataFrame:
+        rows = kpi.clip_month(requests, at).groupBy(
+            F.col("department_id").alias("department"), F.trunc(at, "month").alias("period")
+        )
+        return rows.agg(F.count("*").alias("value")).withColumn("measure", F.lit(measure))
+
+    expected = counted("created_at", "received").unionByName(counted("closed_at", "resolved"))
+    actual = kpi.kpis(_metrics(spark, path)).unpivot(
+        ["department", "period"], ["received", "resolved"], "measure", "value"
     )
+    expected, actual = (f.select(question.alias("question_id"), "value") for f in (expected, actual))
     return quality.golden_accuracy(expected, actual)[1].withColumns(rounded("accuracy"))

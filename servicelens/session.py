@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -33,11 +34,15 @@ def build_session(
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by `spark.checkpoint.dir`; a local one only for local sessions without it."""
+    """The folder named by `spark.checkpoint.dir`.
+
+    A session that runs in this process alone (`local`, not `local-cluster`) may go without: it then
+    gets a temporary folder, which is as shared as its files ever are.
+    """
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         return configured.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
         raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
     app_id = spark.sparkContext.applicationId
     if app_id not in _fallback_dirs:

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.text import SPACE, normalize_header, trim_all
+from ..functions.text import SPACE, fill, format_decimal, normalize_header, trim_all
 from ..operators.labels import text
 
 
@@ -24,12 +24,14 @@ class FileLimits:
 
     max_bytes: int | None = None
     max_rows: int | None = None
-    max_columns: int | None = 50
+    max_columns: int | None = None
 
 
 # Limits of an import preview.
 PREVIEW_LIMITS = FileLimits(max_bytes=1_000_000, max_rows=10_000, max_columns=50)
 
+NO_LIMITS = FileLimits()
+
 # A cell is quoted text with doubled quotes inside, or bare text without quotes. Possessive
 # quantifiers keep matching linear and off the stack, however long a record is.
 _QUOTED = r'"[^"]*+(?:""[^"]*+)*+"'
@@ -47,7 +49,7 @@ _LINE_INSIDE = (
     rf'^[^"]*+(?:""[^"]*+)*+(?:"(?:[,\r]{_BARE_OR_QUOTED})*+(?:(?<=[,\r]){_OPEN})?)?$'
 )
 
-# Files above this many bytes are read in blocks.
+# Files above this many bytes are read in blocks; the records are the same either way.
 SPLIT_ABOVE = 16_000_000
 
 _CSV_NAMES = "*.[cC][sS][vV]"
@@ -70,6 +72,11 @@ def read_export(spark: SparkSession, paths: str | Sequence[str], schema: T.Struc
     )
 
 
+def _name(file: str) -> Column:
+    """The last part of a path as it was given; paths come percent-encoded."""
+    return F.url_decode(F.replace(F.substring_index(file, "/", -1), F.lit("+"), F.lit("%2B")))
+
+
 def listing(spark: SparkSession, path: str) -> DataFrame:
     """(file, name, bytes, modified) of every file; contents are not read.
 
@@ -79,7 +86,7 @@ def listing(spark: SparkSession, path: str) -> DataFrame:
     read = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
     scanned = read.select(
         F.col("_metadata.file_path").alias("file"),
-        F.col("_metadata.file_name").alias("name"),
+        _name("file").alias("name"),
         F.col("_metadata.file_size").alias("bytes"),
         F.col("_metadata.file_modification_time").alias("modified"),
     )
@@ -88,7 +95,7 @@ def listing(spark: SparkSession, path: str) -> DataFrame:
     )
     empty = indexed.join(scanned.select("file"), "file", "left_anti").select(
         "file",
-        F.url_decode(F.replace(F.substring_index("file", "/", -1), F.lit("+"), F.lit("%2B"))).alias("name"),
+        _name("file").alias("name"),
         F.lit(0).cast("long").alias("bytes"),
         F.lit(None).cast("timestamp").alias("modified"),
     )
@@ -104,8 +111,9 @@ def raw_records(
     """(file, pos, raw): the text of each record in file order, blank records left out.
 
     Files up to `split_above` bytes are read whole, many to a task, and cut into records by one
-    expression. Larger files are read in blocks by as many tasks as they need. Files over
-    `max_bytes` are pruned before reading.
+    expression. Larger files are read in blocks by as many tasks as they need. A file with broken
+    quoting is one bad record, a lone quote, in either case. Files over `max_bytes` are pruned before
+    reading.
     """
     size = F.col("_metadata.file_size")
     found = {"recursiveFileLookup": True, "pathGlobFilter": _CSV_NAMES}
@@ -124,7 +132,9 @@ def raw_records(
     )
     # Blank records go first, so that the header of a small file is its part 0.
     given = F.filter(_split("text"), lambda r: ~r.rlike(f"^{SPACE}*$"))
-    return records.select("file", "block", "row", F.posexplode(given).alias("part", "raw")).select(
+    sound = ~F.col("text").contains('"') | F.forall(given, lambda r: r.rlike(_RECORD))
+    kept = F.when(sound, given).otherwise(F.array(F.lit('"')))
+    return records.select("file", "block", "row", F.posexplode(kept).alias("part", "raw")).select(
         "file", F.struct("block", "row", "part").alias("pos"), "raw"
     )
 
@@ -146,7 +156,7 @@ def _assembled(lines: DataFrame) -> DataFrame:
     known from sums per block, so no task needs a whole file. A first pass checks each line for both
     states and shuffles a few numbers per line; a second numbers the records of each block and joins
     their lines. A file with broken quoting is not joined, as a stray quote could make one record of
-    most of it; each of its blocks comes back as a bad record.
+    most of it; its first line comes back as a bad record.
     """
     value = F.col("value")
     numbered = lines.select(
@@ -196,6 +206,7 @@ def _assembled(lines: DataFrame) -> DataFrame:
             "block",
             "opened",
             (F.bool_and("good").over(whole_file) & (F.sum("flips").over(whole_file) % 2 == 0)).alias("sound"),
+            (F.col("block") == F.min("block").over(whole_file)).alias("leads"),
             # The record that runs on into this block: its block and its number there.
             latest_start("block").alias("owner"),
             latest_start("records").alias("owner_record"),
@@ -211,7 +222,7 @@ def _assembled(lines: DataFrame) -> DataFrame:
             }
         )
         .withColumn("record", F.sum("starts").over(in_block))
-        .where(F.col("sound") | F.col("is_first"))
+        .where(F.col("sound") | (F.col("is_first") & F.col("leads")))
         .select(
             "file",
             F.when(F.col("sound") & runs_on, F.col("owner")).otherwise(F.col("block")).alias("home"),
@@ -252,7 +263,7 @@ def land_records(
     spark: SparkSession,
     path: str,
     out: str,
-    limits: FileLimits = PREVIEW_LIMITS,
+    limits: FileLimits = NO_LIMITS,
     split_above: int = SPLIT_ABOVE,
 ) -> DataFrame:
     """Read the exports once, write the parsed records as Parquet and return the landed table.
@@ -268,7 +279,7 @@ def land_records(
 def file_stats(records: DataFrame) -> DataFrame:
     """One row per file: record count, narrowest and widest record, quoting, header cells.
 
-    A single aggregation; its map side leaves one row per file and task. Only records that may be a
+    A file with broken quoting has no header. A single aggregation; its map side leaves one row per file and task. Only records that may be a
     header carry their cells into it, which is one per small file.
     """
     may_be_header = F.when(F.col("pos.part") == 0, F.col("cells"))
@@ -285,7 +296,7 @@ def file_stats(records: DataFrame) -> DataFrame:
             F.min("pos").alias("header_pos"),
             F.min_by("first_cells", "pos").alias("header"),
         )
-        .withColumn("header", F.transform("header", trim_all))
+        .withColumn("header", F.when(F.col("well_quoted"), F.transform("header", trim_all)))
     )
 
 
@@ -294,49 +305,58 @@ def _bad_header(header: Column) -> Column:
     return F.exists(header, lambda h: h == "") | (F.size(F.array_distinct(folded)) < F.size(header))
 
 
-def file_limits(stats: DataFrame, files: DataFrame, limits: FileLimits) -> DataFrame:
-    """Files over a limit."""
+def _checks(limits: FileLimits) -> dict[str, Column]:
+    """Each check of a file beside its statistics, as a condition; the first that holds is the verdict."""
 
     def above(c: Column, limit: int | None) -> Column:
         return F.lit(False) if limit is None else F.coalesce(c > limit, F.lit(False))
 
-    return (
-        files.join(stats, "file", "left")
-        .where(
-            above(F.col("bytes"), limits.max_bytes)
-            | above(F.col("records") - 1, limits.max_rows)
-            | above(F.size("header"), limits.max_columns)
-        )
-        .select("file")
-    )
+    return {
+        "too_long": above(F.col("bytes"), limits.max_bytes),
+        "quote_error": ~F.coalesce("well_quoted", F.lit(True)),
+        "empty": F.coalesce("records", F.lit(0)) < 2,
+        "bad_header": _bad_header(F.col("header")),
+        "ragged": F.col("narrowest") != F.col("widest"),
+        "too_large": above(F.col("records") - 1, limits.max_rows) | above(F.size("header"), limits.max_columns),
+    }
+
+
+def _having(stats: DataFrame, files: DataFrame, limits: FileLimits, *names: str) -> DataFrame:
+    condition = F.lit(False)
+    for name in names:
+        condition = condition | _checks(limits)[name]
+    return files.join(stats, "file", "left").where(condition).select("file")
 
 
-def header_check(stats: DataFrame) -> DataFrame:
+def file_limits(stats: DataFrame, files: DataFrame, limits: FileLimits) -> DataFrame:
+    """Files over a limit."""
+    return _having(stats, files, limits, "too_long", "too_large")
+
+
+def header_check(stats: DataFrame, files: DataFrame) -> DataFrame:
     """Files with an empty or repeated header; case does not tell headers apart."""
-    return stats.where(_bad_header(F.col("header"))).select("file")
+    return _having(stats, files, NO_LIMITS, "bad_header")
 
 
-def ragged_files(stats: DataFrame) -> DataFrame:
+def ragged_files(stats: DataFrame, files: DataFrame) -> DataFrame:
     """Files whose records differ in their number of cells."""
-    return stats.where(F.col("narrowest") != F.col("widest")).select("file")
+    return _having(stats, files, NO_LIMITS, "ragged")
 
 
-def quote_errors(stats: DataFrame) -> DataFrame:
+def quote_errors(stats: DataFrame, files: DataFrame) -> DataFrame:
     """Files with an unclosed quote, a quote inside a bare cell or text after a closing quote."""
-    return stats.where(~F.col("well_quoted")).select("file")
+    return _having(stats, files, NO_LIMITS, "quote_error")
 
 
 def empty_files(stats: DataFrame, files: DataFrame) -> DataFrame:
     """Files without a data row; a file of zero bytes has no record at all, so the listing leads."""
-    return (
-        files.join(stats, "file", "left").where(F.coalesce("records", F.lit(0)) < 2).select("file")
-    )
+    return _having(stats, files, NO_LIMITS, "empty")
 
 
 def file_verdict(
     spark: SparkSession,
     path: str,
-    limits: FileLimits = PREVIEW_LIMITS,
+    limits: FileLimits = NO_LIMITS,
     split_above: int = SPLIT_ABOVE,
     locale: str | None = None,
     records: DataFrame | None = None,
@@ -344,8 +364,9 @@ def file_verdict(
     """(file, name, bytes, modified, rows, header, header_pos, verdict[, message]) for every file.
 
     The verdict is `ok` or the first problem in the order: `type`, `size` in bytes, `format` for
-    quotes, `empty`, `headers`, `format` for ragged rows, `size` in rows or columns. `records` is
-    the landed table of the same files; without it the files are read here.
+    quotes, `empty`, `headers`, `format` for ragged rows, `size` in rows or columns. A file whose
+    quoting is broken has no rows and no header. `records` is the landed table of the same files;
+    without it the files are read here.
     """
     files = listing(spark, path)
     if records is None:
@@ -353,20 +374,15 @@ def file_verdict(
             raw_records(spark, path, limits.max_bytes, split_above)
         )
     stats = file_stats(records)
-    too_long = F.lit(False) if limits.max_bytes is None else F.col("bytes") > limits.max_bytes
-    too_many = F.lit(False)
-    if limits.max_rows is not None:
-        too_many = too_many | (F.col("records") - 1 > limits.max_rows)
-    if limits.max_columns is not None:
-        too_many = too_many | (F.size("header") > limits.max_columns)
+    checks = _checks(limits)
     verdict = (
         F.when(~F.lower("name").endswith(".csv"), "type")
-        .when(too_long, "size")
-        .when(~F.coalesce("well_quoted", F.lit(True)), "format")
-        .when(F.coalesce("records", F.lit(0)) < 2, "empty")
-        .when(_bad_header(F.col("header")), "headers")
-        .when(F.col("narrowest") != F.col("widest"), "format")
-        .when(too_many, "size")
+        .when(checks["too_long"], "size")
+        .when(checks["quote_error"], "format")
+        .when(checks["empty"], "empty")
+        .when(checks["bad_header"], "headers")
+        .when(checks["ragged"], "format")
+        .when(checks["too_large"], "size")
         .otherwise("ok")
     )
     out = files.join(stats, "file", "left").select(
@@ -376,17 +392,30 @@ def file_verdict(
         "modified",
         F.greatest(F.coalesce(F.col("records"), F.lit(0)) - 1, F.lit(0)).alias("rows"),
         "header",
-        "header_pos",
+        F.when(F.col("well_quoted"), F.col("header_pos")).alias("header_pos"),
         verdict.alias("verdict"),
     )
     if locale is None:
         return out
     shown = F.lit(None).cast("string")
     for code, key in VERDICT_TEXT.items():
-        shown = F.when(F.col("verdict") == code, text(key, locale)).otherwise(shown)
+        message = fill(text(key, locale), _shown(limits, locale)) if code == "size" else text(key, locale)
+        shown = F.when(F.col("verdict") == code, message).otherwise(shown)
     return out.withColumn("message", shown)
 
 
+def _shown(limits: FileLimits, locale: str) -> dict[str, Column]:
+    """The limits as the message about size states them."""
+
+    def number(n: int | None) -> Column:
+        return text("noLimit", locale) if n is None else format_decimal(F.lit(n), locale)
+
+    size = text("noLimit", locale)
+    if limits.max_bytes is not None:
+        size = F.lit(f"{limits.max_bytes / 1e6:g} MB")
+    return {"size": size, "rows": number(limits.max_rows), "columns": number(limits.max_columns)}
+
+
 VERDICT_TEXT = {
     "type": "csvType",
     "size": "csvSize",

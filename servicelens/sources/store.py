@@ -66,12 +66,25 @@ def read_view(
     name: str,
     allowed: Sequence[str],
     columns: Sequence[str] | None = None,
-    limit: int = MAX_VIEW_ROWS,
+    limit: int | None = MAX_VIEW_ROWS,
+    order_by: Sequence[str] = (),
+    cut: bool = False,
 ) -> DataFrame:
-    """At most 1,000 rows of an allow-listed metric view."""
+    """An allow-listed metric view, of at most `limit` rows (None: all of it).
+
+    A larger view is an error, unless `cut` asks for its first rows by `order_by`.
+    """
     if name not in allowed:
         raise ValueError(f"view is not on the allow-list: {name}")
     df = spark.table(name)
     if columns:
         df = df.select(*columns)
-    return df.limit(max(0, min(limit, MAX_VIEW_ROWS)))
+    if limit is None:
+        return df
+    if cut:
+        if not order_by:
+            raise ValueError("the first rows of a view need an order")
+        return df.orderBy(*order_by).limit(limit)
+    if df.limit(limit + 1).count() > limit:
+        raise ValueError(f"view {name} has more than {limit} rows")
+    return df

@@ -61,6 +61,6 @@ def history(spark):
 def inventory(spark):
     return values_table(
         spark,
-        [row[:5] for row in SOURCES],
-        "id string, department string, filename string, rows bigint, updated date",
+        [(SEP, *row[:5]) for row in SOURCES],
+        "period date, id string, department string, filename string, rows bigint, updated date",
     )

@@ -4,6 +4,7 @@ from pyspark.sql import types as T
 
 from servicelens.operators import mapping
 from servicelens.sources import exports as csv
+from servicelens.sources import inventory as inv
 from servicelens.sources import store
 from servicelens.tables import values_table
 
@@ -61,8 +62,8 @@ def folder(tmp_path_factory):
 @pytest.fixture(scope="module")
 def landed(spark, folder, tmp_path_factory):
     out = str(tmp_path_factory.mktemp("landed") / "records")
-    records = csv.land_records(spark, folder, out)
-    return records, csv.file_verdict(spark, folder, records=records, locale="en")
+    records = csv.land_records(spark, folder, out, csv.PREVIEW_LIMITS)
+    return records, csv.file_verdict(spark, folder, csv.PREVIEW_LIMITS, records=records, locale="en")
 
 
 def test_verdicts(landed):
@@ -72,7 +73,7 @@ def test_verdicts(landed):
 
 
 def test_verdict_without_landing_agrees(spark, folder, landed):
-    direct = {(r.name, r.verdict, r.rows) for r in csv.file_verdict(spark, folder).collect()}
+    direct = {(r.name, r.verdict, r.rows) for r in csv.file_verdict(spark, folder, csv.PREVIEW_LIMITS).collect()}
     assert direct == {(r.name, r.verdict, r.rows) for r in landed[1].collect()}
 
 
@@ -81,6 +82,7 @@ def test_messages_and_row_counts(landed):
     assert rows["workbook.xlsx"].message.startswith("Choose a .csv file")
     assert rows["quoted.csv"].message is None and rows["quoted.csv"].rows == 2
     assert rows["rows_10001.csv"].rows == 10_001
+    assert rows["rows_10001.csv"].message == "Choose a CSV under 1 MB, with up to 10,000 rows and 50 columns."
     assert rows["spaces_line.csv"].rows == 2
     assert rows["quoted_header.csv"].header == ["id", 'a "b"']
 
@@ -93,10 +95,10 @@ def test_single_checks(landed, spark, folder):
     def names(df):
         return {r.file.rsplit("/", 1)[1][:-4] for r in df.collect()}
 
-    assert names(csv.header_check(stats)) == {"repeated", "repeated_case", "blank_header"}
-    assert {"extra_cell", "missing_cell", "empty_wide"} <= names(csv.ragged_files(stats))
+    assert names(csv.header_check(stats, files)) == {"repeated", "repeated_case", "blank_header"}
+    assert {"extra_cell", "missing_cell", "empty_wide"} <= names(csv.ragged_files(stats, files))
     assert {"unclosed", "unclosed_early", "quote_in_bare", "text_after_quote", "space_before_quote"} == names(
-        csv.quote_errors(stats)
+        csv.quote_errors(stats, files)
     )
     assert {"nothing", "blank_only", "header_only"} <= names(csv.empty_files(stats, files))
     assert names(csv.file_limits(stats, files, csv.PREVIEW_LIMITS)) == {
@@ -184,6 +186,41 @@ def test_reading_in_blocks_agrees(spark, folder, landed):
     assert rows["quoted_header.csv"] == [["id", 'a "b"'], ["1", "2"]]
 
 
+@pytest.mark.parametrize("block, largest", [("40", 3_000), ("100000", None)])
+def test_results_do_not_depend_on_how_files_are_read(spark, folder, block, largest):
+    """Every column of every verdict and all rows, for sound and broken files, read whole and in blocks."""
+
+    def result(split_above):
+        records = csv.parse_records(csv.raw_records(spark, folder, largest, split_above)).cache()
+        verdicts = csv.file_verdict(spark, folder, csv.FileLimits(max_bytes=largest), records=records)
+        rows = csv.data_records(records, verdicts).orderBy("file", "pos").select("file", "cells").collect()
+        found = verdicts.drop("header_pos").orderBy("file").collect()
+        bad = records.where("not well_quoted").select("file", "raw").orderBy("file").collect()
+        return found, rows, bad
+
+    spark.conf.set("spark.sql.files.maxPartitionBytes", block)
+    spark.conf.set("spark.sql.files.openCostInBytes", "0")
+    try:
+        assert result(0) == result(csv.SPLIT_ABOVE)
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+
+
+def test_no_limits_by_default(spark, folder):
+    got = {r.name: r.verdict for r in csv.file_verdict(spark, folder).collect()}
+    assert got["rows_10001.csv"] == got["columns_60.csv"] == got["bytes.csv"] == "ok"
+
+
+def test_names_with_spaces_and_signs(spark, tmp_path):
+    for name in ("të dhëna 1.csv", "a%20b+c.csv", "zero +.csv"):
+        (tmp_path / name).write_text("" if name.startswith("zero") else "id,s\n1,2", encoding="utf-8")
+    verdicts = csv.file_verdict(spark, str(tmp_path))
+    assert {r.name for r in verdicts.collect()} == {"të dhëna 1.csv", "a%20b+c.csv", "zero +.csv"}
+    files = inv.file_inventory(verdicts, F.lit("public")).collect()
+    assert {r.filename for r in files} == {"të dhëna 1.csv", "a%20b+c.csv"} and all(r.period for r in files)
+
+
 def test_typed_read(spark, folder):
     schema = T.StructType([T.StructField(n, T.StringType()) for n in ("request_id", "department", "status", "created_at")])
     rows = csv.read_export(spark, f"{folder}/sample.csv", schema)
@@ -213,7 +250,14 @@ def test_metric_exports_and_views(spark, tmp_path):
     with pytest.raises(ValueError):
         store.export_metrics(table, str(tmp_path / "x"), "xlsx")
     spark.range(1500).createOrReplaceTempView("kpi_view")
-    assert store.read_view(spark, "kpi_view", ["kpi_view"], limit=5000).count() == 1000
-    assert store.read_view(spark, "kpi_view", ["kpi_view"], ["id"], 7).count() == 7
+    assert store.read_view(spark, "kpi_view", ["kpi_view"], limit=None).count() == 1500
+    assert store.read_view(spark, "kpi_view", ["kpi_view"], limit=1500).count() == 1500
+    for limit in (1000, 7):
+        with pytest.raises(ValueError):
+            store.read_view(spark, "kpi_view", ["kpi_view"], limit=limit)
+    first = store.read_view(spark, "kpi_view", ["kpi_view"], ["id"], 3, order_by=["id"], cut=True)
+    assert [r.id for r in first.collect()] == [0, 1, 2]
+    with pytest.raises(ValueError):
+        store.read_view(spark, "kpi_view", ["kpi_view"], ["id"], 3, cut=True)
     with pytest.raises(ValueError):
         store.read_view(spark, "secret", ["kpi_view"])

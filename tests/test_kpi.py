@@ -145,7 +145,10 @@ def test_targets_override_the_default(spark):
     rows = {r.department: r for r in card.collect()}
     assert rows["public"].meets_target and rows["public"].target == 75.0
     assert rows["urban"].target == 90.0 and not rows["urban"].meets_target
-    assert rows["social"].place == 1
+    assert {d: r.place for d, r in rows.items()} == {"social": 1, "finance": 2, "urban": 3, "public": 4, "all": None}
+    calm = inv.stale_sources(fx.inventory(spark), fx.SEP)
+    goals = scorecard.attention_text(scorecard.attention(_card(spark, [("urban", "on_time_rate", fx.SEP, 95.0)]), calm), "en")
+    assert {r.department: r.description for r in goals.collect()}["urban"] == "Target: 95% on time"
 
 
 def test_attention(spark):
@@ -171,6 +174,14 @@ def test_attention(spark):
     )
 
 
+def test_sources_count_in_their_month_only(spark):
+    earlier = inv.stale_sources(fx.inventory(spark), fx.AS_OF).withColumn("period", F.add_months("period", -1))
+    status = {r.department: r.status for r in scorecard.department_status(_card(spark), earlier).collect()}
+    assert status["urban"] == "below_target" and "stale" not in status.values()
+    alerts = {r.alert for r in scorecard.attention(_card(spark), earlier).collect()}
+    assert alerts == {"overdue_queue", "no_alerts", "below_target"}
+
+
 def test_attention_falls_back_to_the_city(spark):
     calm = _card(spark).withColumn("overdue", F.lit(0).cast("long"))
     fresh = inv.stale_sources(fx.inventory(spark), dt.date(2026, 9, 18))

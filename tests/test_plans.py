@@ -5,6 +5,8 @@ import os
 import pytest
 
 from __spark_entry__ import entry, oracle_sql, queries
+from servicelens.plans.oracle import ORACLE
+from servicelens.plans.queries import QUERIES
 
 TABLES = "/root/testdata/sf0.001"
 # These write and read files while they are built.
@@ -13,11 +15,16 @@ WRITERS = {"ingest_verdict", "ingest_canonical", "import_preview", "mapping_prop
 pytestmark = pytest.mark.skipif(not os.path.isdir(TABLES), reason="test tables are not here")
 
 
+def test_statuses_are_counted_before_the_join(spark):
+    text = plan(spark, "localized_status")
+    assert "customer" not in text and "ReadSchema: struct<o_orderstatus:string>" in text
+
+
 def plan(spark, name):
     return queries()[name](spark, TABLES)._jdf.queryExecution().executedPlan().toString()
 
 
-@pytest.mark.parametrize("name", sorted(set(queries()) - WRITERS))
+@pytest.mark.parametrize("name", sorted(set(QUERIES) - WRITERS))
 def test_no_crossed_rows_and_no_python(spark, name):
     text = plan(spark, name)
     for unwanted in ("CartesianProduct", "BroadcastNestedLoopJoin", "Python", "Scan ExistingRDD"):
@@ -40,7 +47,9 @@ def test_alerts_read_the_card_once(spark):
 def test_filters_reach_the_scans(spark):
     text = plan(spark, "kpi_one_department")
     assert "EqualTo(c_mktsegment,BUILDING)" in text
-    assert "PushedFilters: [IsNotNull(o_orderdate), GreaterThanOrEq" in text
+    text = plan(spark, "request_volume")
+    assert "lineitem" not in text and "l_orderkey" not in text
+    assert "PushedFilters: [IsNotNull(o_orderdate), GreaterThanOrEqual(o_orderdate,2000-09-01" in text
 
 
 def test_top_queue_is_cut_before_the_shuffle(spark):
@@ -50,4 +59,4 @@ def test_top_queue_is_cut_before_the_shuffle(spark):
 def test_entry_and_registry(spark):
     assert entry(spark).columns == ["period", "department", "received", "resolved", "on_time", "overdue", "on_time_rate"]
     assert set(oracle_sql()) <= set(queries())
-    assert set(queries()) - set(oracle_sql()) == {"profile_samples"}
+    assert set(QUERIES) == set(ORACLE)

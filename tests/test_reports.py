@@ -42,7 +42,7 @@ def test_answers(spark, facts):
     assert got["overdue"][0] == "Public services has 28 overdue requests."
     assert got["overdue"][1] == (
         "That is 66.7% of the 42 overdue requests across all departments. "
-        "This is the largest queue in the sample dataset."
+        "This is the largest queue."
     )
     assert got["performance"] == (
         "87.4% of completed requests were resolved on time.",
@@ -80,7 +80,7 @@ def test_report_text(spark, facts, stale, tmp_path):
     english = [r.text for r in lines.where("locale = 'en'").orderBy("line_no", "text").collect()]
     assert english == [
         "# Services: Municipal service briefing",
-        "Sample draft | 1-24 September 2026",
+        "Draft | 1-24 September 2026",
         "## Executive summary",
         "Service delivery is improving. The overdue queue still needs attention.",
         "The municipality received 1,248 requests across four departments. Of 1,136 completed requests, 87.4% "
@@ -106,11 +106,17 @@ def test_report_text(spark, facts, stale, tmp_path):
     files = glob.glob(f"{out}/period=2026-09-01/locale=*/*.txt")
     assert len(files) == 2
     albanian = next(open(f, encoding="utf-8").read() for f in files if "locale=sq" in f)
-    assert albanian.startswith("# Services: Raporti i shërbimeve bashkiake\n\nDraft shembull | 1-24 shtator 2026\n")
+    assert albanian.startswith("# Services: Raporti i shërbimeve bashkiake\n\nDraft | 1-24 shtator 2026\n")
     assert "Bashkia pranoi 1.248 kërkesa në katër drejtori" in albanian and "87,4%" in albanian
 
 
+def test_a_report_lists_the_sources_of_its_month_only(facts, stale):
+    lines = briefing.briefing_lines(facts, stale)
+    named = lines.where("text LIKE '%.csv' OR text LIKE '%provisional%'").select("period").distinct()
+    assert facts.count() == 2 and [r.period for r in named.collect()] == [fx.SEP]
+
+
 def test_report_without_sources_keeps_its_lines(spark, facts):
-    nothing = values_table(spark, [], "id string, department string, filename string, updated date, stale boolean")
+    nothing = values_table(spark, [], "period date, id string, department string, filename string, updated date, stale boolean")
     lines = briefing.briefing_lines(facts.where(facts.period == fx.SEP), nothing)
     assert lines.where("locale = 'en'").count() == 13

@@ -27,6 +27,17 @@ def test_flat_series_has_no_score(spark):
     assert all(r.z_score is None and not r.is_anomaly for r in rows)
 
 
+def test_days_without_rows_count_as_zero(spark):
+    days = [d for d in range(20) if d not in (12, 13, 14)]
+    stamps = [("a", dt.datetime(2026, 1, 1 + d, h)) for d in days for h in range(10)] + [("b", dt.datetime(2026, 1, 5))]
+    daily = signals.daily_series(values_table(spark, stamps, "k string, ts timestamp_ntz"), "ts", ["k"])
+    rows = signals.signals(daily.where("k = 'a'"), ["k"]).orderBy("day").collect()
+    assert [r.value for r in rows] == [0 if d in (12, 13, 14) else 10 for d in range(20)]
+    # the first empty day leaves a flat week, so it counts without a score
+    assert rows[12].is_anomaly and rows[12].z_score is None and rows[12].deviation == -10
+    assert daily.where("k = 'b'").count() == 1
+
+
 def test_trend_slope(spark):
     rows = signals.trend_slope(series(spark, [2 * i for i in range(9)]), ["k"], window=4).orderBy("day").collect()
     assert [r.slope for r in rows[:3]] == [None] * 3

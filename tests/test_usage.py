@@ -40,14 +40,26 @@ def test_budget_blocks_from_the_call_after_it_is_reached(spark):
     assert [r.allowed for r in gated.orderBy("call_id").collect()] == [True] * 3 + [False] * 3
 
 
-@pytest.mark.parametrize("slices", [1, 2, 7, 300])
-def test_running_total_equals_brute_force(spark, slices):
+def test_a_blocked_call_spends_nothing(spark):
+    rows = [(i, "fast", 1_000_000, 0, True, False) for i in range(6)]
+    gated = usage.budget_gate(ledger(spark, rows), usage.price_table(spark), 2.5).orderBy("call_id").collect()
+    assert [r.spent_before for r in gated] == [0.0, 1.0, 2.0, 3.0, 3.0, 3.0]
+    assert [r.cost_usd for r in gated] == [1.0] * 3 + [0.0] * 3
+    spent = usage.spend(usage.budget_gate(ledger(spark, rows), usage.price_table(spark), 2.5), usage.price_table(spark))
+    assert [(r.calls, r.cost_usd) for r in spent.collect()] == [(3, 3.0)]
+
+
+@pytest.mark.parametrize("parts", ["1", "2", "7", "30"])
+def test_running_total_equals_brute_force(spark, parts):
     """Keys crowd in one place, so equally wide ranges would not share the work."""
-    rng = random.Random(slices)
+    rng = random.Random(parts)
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", parts)
     keys = list(range(150)) + [10**12 + rng.randrange(10**12) for _ in range(50)]
     rows = [(k, round(rng.random(), 6)) for k in dict.fromkeys(keys)]
     df = values_table(spark, rows, "k bigint, v double").repartition(5)
-    got = {r.k: r.t for r in usage.running_total(df, "v", "k", "t", slices).collect()}
+    got = {r.k: r.t for r in usage.running_total(df, "v", ["k"], "t").collect()}
+    spark.conf.set("spark.sql.shuffle.partitions", before)
     total = 0.0
     for k, v in sorted(rows):
         assert got[k] == pytest.approx(total, abs=1e-9)
@@ -57,7 +69,7 @@ def test_running_total_equals_brute_force(spark, slices):
 
 def test_running_total_of_nothing(spark):
     df = values_table(spark, [], "k bigint, v double")
-    assert usage.running_total(df, "v", "k", "t").count() == 0
+    assert usage.running_total(df, "v", ["k"], "t").count() == 0
 
 
 def test_outcome_codes(spark):
