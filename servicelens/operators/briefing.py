@@ -14,10 +14,13 @@ from .labels import LOCALES, department_name, number_word, text
 from .requests import MEASURES
 
 
-def briefing_facts(kpi: DataFrame) -> DataFrame:
+def briefing_facts(
+    kpi: DataFrame, inventory: DataFrame | None = None, signals: DataFrame | None = None
+) -> DataFrame:
     """One row per period: the totals, the number of departments, the largest queue and volume.
 
-    With the output of `growth` the change of the city's on-time rate is a fact as well.
+    With the output of `growth` the change of the city's on-time rate is a fact as well. `inventory`
+    adds the number of stale sources of a period, `signals` that of departments with an anomaly.
     """
     is_total = F.col("department") == ALL
 
@@ -27,7 +30,7 @@ def briefing_facts(kpi: DataFrame) -> DataFrame:
         return F.min_by("department", order)
 
     change = F.col("rate_change") if "rate_change" in kpi.columns else F.lit(None).cast("double")
-    return kpi.groupBy("period").agg(
+    facts = kpi.groupBy("period").agg(
         *[F.sum(F.when(is_total, F.col(m))).alias(m) for m in MEASURES],
         F.max(F.when(is_total, F.col("on_time_rate"))).alias("on_time_rate"),
         F.count_if(~is_total).alias("departments"),
@@ -36,6 +39,13 @@ def briefing_facts(kpi: DataFrame) -> DataFrame:
         largest("received").alias("busiest_department"),
         F.max(F.when(~is_total, F.col("overdue"))).alias("top_overdue"),
     )
+    for table, flag, name in ((inventory, "stale", "stale_sources"), (signals, "is_anomaly", "anomalies")):
+        if table is not None:
+            counted = table.where(F.col(flag) & (F.col("department") != ALL)).groupBy("period").agg(
+                F.count_distinct("id" if name == "stale_sources" else "department").alias(name)
+            )
+            facts = facts.join(counted, "period", "left").withColumn(name, F.coalesce(name, F.lit(0)))
+    return facts
 
 
 def briefing_lines(

@@ -105,6 +105,37 @@ def coerce(df: DataFrame, types: Mapping[str, str]) -> tuple[DataFrame, DataFram
     return typed, errors
 
 
+def checked_rows(
+    df: DataFrame, types: Mapping[str, str], required: Sequence[str] = ()
+) -> tuple[DataFrame, DataFrame]:
+    """Typed rows without a fault, and the given rows of the others with `faults`.
+
+    A fault is (field, problem): `type` for a given value that does not fit, `missing` for a required
+    one that is not there. Together the two tables hold every row once.
+    """
+    fields = list(dict.fromkeys([*types, *required]))
+    faults = []
+    for name in fields:
+        given = F.nullif(trim_all(F.col(name).cast("string")), F.lit("")).isNotNull()
+        fits = _typed(name, types[name]).isNotNull() if name in types else F.lit(True)
+        wrong = F.when(given & ~fits, F.struct(F.lit(name).alias("field"), F.lit("type").alias("problem")))
+        if name in required:
+            wrong = F.when(~given, F.struct(F.lit(name).alias("field"), F.lit("missing").alias("problem"))).otherwise(wrong)
+        faults.append(wrong)
+    marked = df.withColumn("faults", F.array_compact(F.array(*faults)))
+    sound = F.size("faults") == 0
+    typed = marked.where(sound).drop("faults").withColumns({n: _typed(n, k) for n, k in types.items()})
+    return typed, marked.where(~sound)
+
+
+def fault_counts(rejected: DataFrame, by: Sequence[str | Column] = ()) -> DataFrame:
+    """(by, field, problem, rows) of the rows that `checked_rows` put aside."""
+    keys = [col(c) for c in by]
+    return rejected.select(*keys, F.inline("faults")).groupBy(
+        *[c for c in rejected.select(*keys).columns], "field", "problem"
+    ).agg(F.count("*").alias("rows"))
+
+
 def require_fields(df: DataFrame, fields: Sequence[str]) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Complete rows, incomplete rows with `missing`, and (field, missing) counts."""
     missing = F.array_compact(F.array(*[F.when(col(f).isNull(), F.lit(f)) for f in fields]))
@@ -120,3 +151,31 @@ def require_fields(df: DataFrame, fields: Sequence[str]) -> tuple[DataFrame, Dat
 def decode_mapping(sources: DataFrame, column: str = "mapping_json") -> DataFrame:
     """`mapping_json` as a map from field to source column; NULL where it is not valid JSON."""
     return sources.withColumn("mapping", F.from_json(column, "map<string,string>"))
+
+
+def mapping_json(mapping: DataFrame, headers: DataFrame) -> DataFrame:
+    """(file, mapping_json): field to header of each file, unmapped fields left out, for a table of sources."""
+    named = mapping.join(
+        headers.select("file", F.col("position").alias("column_index"), "header"), ["file", "column_index"]
+    )
+    pairs = F.sort_array(F.collect_list(F.struct("field", "header")))
+    return named.groupBy("file").agg(F.to_json(F.map_from_entries(pairs)).alias("mapping_json"))
+
+
+def saved_mapping(sources: DataFrame, headers: DataFrame, proposed: DataFrame) -> DataFrame:
+    """(file, field, column_index, origin): the saved mapping of a source for its next upload.
+
+    `sources(source, mapping_json)` holds one mapping per source, `headers(file, source, position,
+    header)` are those of new files. A file that lacks a saved header gets its proposed mapping.
+    """
+    wanted = decode_mapping(sources).select("source", F.explode("mapping").alias("field", "header"))
+    files = headers.select("file", "source").distinct()
+    found = (
+        files.join(wanted, "source")
+        .join(headers.select("file", "header", "position"), ["file", "header"], "left")
+        .select("file", "field", F.col("position").alias("column_index"))
+    )
+    whole = found.groupBy("file").agg(F.bool_and(F.col("column_index").isNotNull()).alias("whole")).where("whole")
+    kept = found.join(whole.select("file"), "file", "left_semi").withColumn("origin", F.lit("saved"))
+    rest = proposed.join(files.select("file"), "file", "left_semi").join(whole.select("file"), "file", "left_anti")
+    return kept.unionByName(rest.select("file", "field", "column_index").withColumn("origin", F.lit("proposed")))

@@ -79,7 +79,18 @@ def _write_broken(rows: DataFrame, out: str) -> None:
         ),
         "empty": ("id,department,status", None),
         "text": ("id,department,status", line),
-        "blank": ("id,department,status", F.concat(line, F.when(faulty, "\n  \n\t").otherwise(""))),
+        "blank": ("id,department,status", line),
+        "unmapped": ("id,place,status", line),
+        "faulty": (
+            "request_id,department,status,created_at",
+            F.concat_ws(
+                ",",
+                F.when(faulty, F.concat(F.lit("x"), F.col("id").cast("string"))).otherwise(F.col("id").cast("string")),
+                F.when(F.col("id") % 10 == 1, " ").otherwise(F.col("department")),
+                "status",
+                F.when(F.col("id") % 15 == 2, "soon").otherwise(F.col("created_at").cast("string")),
+            ),
+        ),
         "wide": (
             ",".join(["id", *(f"c{i}" for i in range(MOST_COLUMNS))]),
             F.concat(F.col("id").cast("string"), F.lit("," * MOST_COLUMNS)),
@@ -92,7 +103,9 @@ def _write_broken(rows: DataFrame, out: str) -> None:
         )
 
     titles = F.array(*[entry(k, F.lit(-1), F.lit(title)) for k, (title, _) in texts.items()])
-    bodies = F.array(*[entry(k, F.col("id"), body) for k, (_, body) in texts.items() if body is not None])
+    bodies = [entry(k, F.col("id"), body) for k, (_, body) in texts.items() if body is not None]
+    bodies += [F.when(faulty, entry("blank", F.col("id"), F.lit(gap))) for gap in ("  ", "\t")]
+    bodies = F.array_compact(F.array(*bodies))
     lines = (
         rows.select("source", "shard").distinct().select("source", "shard", F.inline(titles))
         .unionByName(rows.select("source", "shard", F.inline(bodies)))

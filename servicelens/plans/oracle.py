@@ -135,6 +135,12 @@ _FACTS = """facts AS (
         QUALIFY row_number() OVER (PARTITION BY period ORDER BY overdue DESC, department) = 1) q USING (period)
 )"""
 
+_UNUSUAL = """unusual AS (
+  SELECT *, CASE WHEN count(*) OVER w = 7 THEN avg(on_time_rate) OVER w END AS b,
+         CASE WHEN count(*) OVER w = 7 THEN stddev_samp(on_time_rate) OVER w END AS s
+  FROM kpi WINDOW w AS (PARTITION BY department ORDER BY period ROWS BETWEEN 7 PRECEDING AND 1 PRECEDING)
+)"""
+
 _GROWTH = """growth AS (
   SELECT *, 100.0 * (received::DOUBLE / nullif(lag(received) OVER w, 0) - 1) AS received_growth,
          on_time_rate - lag(on_time_rate) OVER w AS rate_change
@@ -484,13 +490,11 @@ ORACLE: dict[str, str] = {
     FROM (SELECT *, CASE WHEN count(*) OVER w = 7 THEN avg(value) OVER w END AS b,
                  CASE WHEN count(*) OVER w = 7 THEN stddev_samp(value) OVER w END AS s
           FROM daily WINDOW w AS (PARTITION BY event_type ORDER BY day ROWS BETWEEN 7 PRECEDING AND 1 PRECEDING))""",
-    "signals_monthly": _with(*_BASE_KPI)
+    "signals_monthly": _with(*_BASE_KPI, _UNUSUAL)
     + """SELECT period, department, round(on_time_rate, 6) AS on_time_rate, round(b, 6) AS baseline,
       round((on_time_rate - b) / nullif(s, 0), 6) AS z_score,
       coalesce(CASE WHEN s = 0 THEN on_time_rate <> b ELSE abs((on_time_rate - b) / s) >= 3.0 END, false) AS is_anomaly
-    FROM (SELECT *, CASE WHEN count(*) OVER w = 7 THEN avg(on_time_rate) OVER w END AS b,
-                 CASE WHEN count(*) OVER w = 7 THEN stddev_samp(on_time_rate) OVER w END AS s
-          FROM kpi WINDOW w AS (PARTITION BY department ORDER BY period ROWS BETWEEN 7 PRECEDING AND 1 PRECEDING))""",
+    FROM unusual""",
     "trend_slope": _with(_DAILY)
     + """SELECT event_type, day, value, round(CASE WHEN count(*) OVER w = 7 THEN
         regr_slope(value, date_diff('day', DATE '1970-01-01', day)) OVER w END, 6) AS slope
@@ -499,12 +503,14 @@ ORACLE: dict[str, str] = {
     "profile_samples": _samples(),
     "pii_profile_docs": _pii_docs(),
     "shared_columns": _shared_columns(),
-    "coerce_errors": """SELECT 'event' AS "column", 0::BIGINT AS errors
+    "coerce_errors": """SELECT 'event' AS "column", count(*) FILTER (WHERE event_id % 101 = 7) AS errors FROM events
     UNION ALL SELECT 'at', count(*) FILTER (WHERE event_type = 'error') FROM events
     UNION ALL SELECT 'kind', count(event_type) FROM events
-    UNION ALL SELECT 'amount', 0 UNION ALL SELECT 'k', 0""",
+    UNION ALL SELECT 'amount', count(value) FILTER (WHERE user_id % 50 = 3) FROM events
+    UNION ALL SELECT 'k', count(*) FILTER (WHERE event_id % 13 = 5) FROM events""",
     "coerced_events": """SELECT CASE WHEN event_type <> 'error' THEN CAST(ts AS DATE) END AS day, count(*) AS n,
-      0::BIGINT AS kinds, CAST(sum(CAST(json_extract(props, '$.k') AS INTEGER)) AS BIGINT) AS k
+      0::BIGINT AS kinds,
+      CAST(sum(CAST(json_extract(props, '$.k') AS INTEGER)) FILTER (WHERE event_id % 13 <> 5) AS BIGINT) AS k
     FROM events GROUP BY 1""",
     "missing_fields": _with(LOCATED)
     + """SELECT f AS field, count(*) FILTER (WHERE v IS NULL) AS missing FROM (
@@ -556,9 +562,12 @@ ORACLE: dict[str, str] = {
     "call_outcomes": _with(_LEDGER)
     + f"""SELECT CASE WHEN conv_id % 7 = 3 THEN 'llm_unavailable' WHEN all_before >= {BUDGET} THEN 'llm_budget_exhausted' WHEN failed IS NOT NULL THEN failed
       WHEN refused THEN 'llm_refusal' ELSE 'ok' END AS outcome, count(*) AS calls FROM gated GROUP BY 1""",
-    "briefing_facts": _with(*_BASE_KPI, _FACTS)
+    "briefing_facts": _with(*_BASE_KPI, _FACTS, INVENTORY, _UNUSUAL)
     + """SELECT period, received, resolved, on_time, overdue, round(on_time_rate, 6) AS on_time_rate, departments,
-      round(rate_change, 6) AS rate_change, top_department, busiest_department, top_overdue FROM facts""",
+      round(rate_change, 6) AS rate_change, top_department, busiest_department, top_overdue,
+      (SELECT count(DISTINCT id) FROM inventory i WHERE stale AND i.period = facts.period) AS stale_sources,
+      (SELECT count(*) FROM unusual u WHERE u.period = facts.period AND department <> 'all'
+       AND CASE WHEN s = 0 THEN on_time_rate <> b ELSE abs((on_time_rate - b) / s) >= 3.0 END) AS anomalies FROM facts""",
     "briefing_lines": _with(*_BASE_KPI, _FACTS, INVENTORY) + _briefing(),
     "briefing_files": _with(*_BASE_KPI, _FACTS, INVENTORY, f"lines AS ({_briefing()})")
     + """SELECT period, locale, string_agg(CASE WHEN prev IS NULL THEN ''
@@ -574,7 +583,8 @@ ORACLE: dict[str, str] = {
     + f"""SELECT kind, verdict, (SELECT count(*) FROM {_FILES}) AS files,
       CASE WHEN verdict = 'ok' THEN (SELECT count(*) FROM located) END AS rows
     FROM (VALUES ('good', 'ok'), ('headers', 'headers'), ('ragged', 'format'), ('unclosed', 'format'),
-                 ('empty', 'empty'), ('text', 'type'), ('blank', 'ok'), ('wide', 'size')) AS v(kind, verdict)""",
+                 ('empty', 'empty'), ('text', 'type'), ('blank', 'ok'), ('wide', 'size'),
+                 ('unmapped', 'ok'), ('faulty', 'ok')) AS v(kind, verdict)""",
     "ingest_canonical": _with(LOCATED)
     + f"""SELECT source_id, department_id AS department, status, count(*) AS requests,
       CAST(sum(id) AS BIGINT) AS id_sum, CAST(min(created_at) AS DATE) AS first_day,
@@ -584,8 +594,25 @@ ORACLE: dict[str, str] = {
       department_id AS department, status, {_NOTE} AS note
     FROM (SELECT *, row_number() OVER (PARTITION BY source_id, id // 50000 ORDER BY id) AS row_no FROM located)
     WHERE row_no <= 5""",
-    "mapping_proposal": """SELECT r_name AS source, field, column_index::BIGINT AS column_index, true AS valid
-    FROM region, (VALUES ('id', 0), ('department', 1), ('status', 2)) AS f(field, column_index)""",
+    "mapping_proposal": """SELECT kind, r_name AS source, field,
+      CASE WHEN kind = 'unmapped' AND field = 'department' THEN -1 ELSE column_index END::BIGINT AS column_index,
+      kind <> 'unmapped' AS valid
+    FROM region, (VALUES ('good'), ('blank'), ('faulty'), ('unmapped')) AS k(kind),
+      (VALUES ('id', 0), ('department', 1), ('status', 2)) AS f(field, column_index)""",
+    "ingest_errors": _with(LOCATED)
+    + """SELECT source_id AS source, 'id' AS field, 'type' AS problem, count(*) AS rows FROM located
+      WHERE status = 'in_progress' GROUP BY 1
+    UNION ALL SELECT source_id, 'department', 'missing', count(*) FROM located WHERE id % 10 = 1 GROUP BY 1
+    UNION ALL SELECT source_id, 'created_at', 'type', count(*) FROM located WHERE id % 15 = 2 GROUP BY 1""",
+    "source_lineage": _with(LOCATED)
+    + f"""SELECT source_id AS source, CASE source_id
+        WHEN 'ASIA' THEN '{{"department":"Drejtoria","id":"id","status":"Statusi"}}'
+        ELSE '{{"department":"department","id":"request_id","status":"status"}}' END AS mapping_json,
+      count(*) AS files FROM {_FILES} GROUP BY 1""",
+    "reused_mapping": _with(LOCATED)
+    + f"""SELECT source_id AS source, field, CASE source_id WHEN 'ASIA' THEN 'proposed' ELSE 'saved' END AS origin,
+      column_index::BIGINT AS column_index, count(*) AS files
+    FROM {_FILES}, (VALUES ('id', 0), ('department', 1), ('status', 2)) AS f(field, column_index) GROUP BY 1, 2, 3, 4""",
     "golden_accuracy": _with(*_BASE_KPI)
     + """SELECT count(*) AS questions, count(*) FILTER (WHERE ok) AS correct,
       round(avg(CASE WHEN ok THEN 1.0 ELSE 0.0 END), 6) AS accuracy

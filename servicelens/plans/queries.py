@@ -344,12 +344,14 @@ RAW_TYPES = {"event": "bigint", "at": "timestamp_ntz", "kind": "bigint", "amount
 
 def _raw_events(spark, path):
     return canonical.table(spark, path, "events").select(
-        F.col("event_id").cast("string").alias("event"),
+        F.concat(F.when(F.col("event_id") % 101 == 7, "E-").otherwise(" "), F.col("event_id").cast("string")).alias("event"),
         F.when(F.col("event_type") == "error", F.concat(F.lit("on "), F.col("ts").cast("string")))
         .otherwise(F.col("ts").cast("string")).alias("at"),
         F.col("event_type").alias("kind"),
-        F.col("value").cast("string").alias("amount"),
-        F.get_json_object("props", "$.k").alias("k"),
+        F.concat(F.when(F.col("user_id") % 50 == 3, "~").otherwise(""), F.col("value").cast("string")).alias("amount"),
+        F.when(F.col("event_id") % 13 == 5, "none").otherwise(
+            F.concat(F.lit("\t"), F.get_json_object("props", "$.k"), F.lit("\u00a0"))
+        ).alias("k"),
     )
 
 
@@ -445,7 +447,11 @@ def _facts(spark, path):
 
 @query
 def briefing_facts(spark, path):
-    return _facts(spark, path).withColumns(rounded("on_time_rate", "rate_change"))
+    """With the stale sources and the anomalies of each month."""
+    monthly = kpi.growth(_kpi(spark, path))
+    unusual = signals.signals(monthly, ["department"], "period", "on_time_rate", 7, 3.0)
+    facts = briefing.briefing_facts(monthly, _stale_inventory(spark, path), unusual)
+    return facts.withColumns(rounded("on_time_rate", "rate_change"))
 
 
 @query
@@ -542,6 +548,49 @@ def ingest_canonical(spark, path):
     )
 
 
+@query
+def ingest_errors(spark, path):
+    """Values of the exports that do not fit their type or are missing, by source."""
+    records, verdicts = _landed(spark, path, broken=True)
+    verdicts = verdicts.where(exports.path_part("kind") == "faulty")
+    mapped = _mapped(csv.data_records(records, verdicts), verdicts)
+    _, rejected = mapping.checked_rows(
+        mapped.withColumn("source", exports.path_part("source")),
+        {"id": "bigint", "created_at": "date"},
+        ["id", "department", "status"],
+    )
+    return mapping.fault_counts(rejected, ["source"])
+
+
+def _sources(verdicts: DataFrame) -> DataFrame:
+    """One saved mapping per source, from its good exports: (source, mapping_json, files)."""
+    good = verdicts.where(exports.path_part("kind") == "good")
+    headers = csv.header_cells(good)
+    saved = mapping.mapping_json(mapping.propose_mapping(headers), headers)
+    by_source = saved.groupBy(exports.path_part("source").alias("source"))
+    return by_source.agg(F.min("mapping_json").alias("mapping_json"), F.count("*").alias("files"))
+
+
+@query
+def source_lineage(spark, path):
+    """What is kept of each source: its mapping, and how many files came with it."""
+    _, verdicts = _landed(spark, path, broken=False)
+    return _sources(verdicts)
+
+
+@query
+def reused_mapping(spark, path):
+    """Saved mappings put on the next upload of each source; headers in another language do not fit."""
+    _, verdicts = _landed(spark, path, broken=True)
+    lineage = store.save_table(_sources(verdicts), staging_path(spark, "lineage"))
+    upload = csv.header_cells(verdicts.where(exports.path_part("kind") == "faulty"))
+    headers = upload.withColumn("source", exports.path_part("source"))
+    chosen = mapping.saved_mapping(lineage, headers, mapping.propose_mapping(upload))
+    return chosen.groupBy(exports.path_part("source").alias("source"), "field", "origin").agg(
+        F.max("column_index").cast("long").alias("column_index"), F.count("*").alias("files")
+    )
+
+
 @query
 def import_preview(spark, path):
     records, verdicts = _landed(spark, path, broken=False)
@@ -559,12 +608,14 @@ def import_preview(spark, path):
 
 @query
 def mapping_proposal(spark, path):
-    _, verdicts = _landed(spark, path, broken=False)
+    """Proposals for all accepted files; those of kind `unmapped` have no department."""
+    _, verdicts = _landed(spark, path, broken=True)
     headers = csv.header_cells(verdicts)
     proposed = mapping.propose_mapping(headers)
     return (
         proposed.join(mapping.validate_mapping(proposed, headers), "file")
         .select(
+            exports.path_part("kind").alias("kind"),
             exports.path_part("source").alias("source"),
             "field",
             F.col("column_index").cast("long").alias("column_index"),

@@ -10,7 +10,7 @@ from servicelens.plans.queries import QUERIES
 
 TABLES = "/root/testdata/sf0.001"
 # These write and read files while they are built.
-WRITERS = {"ingest_verdict", "ingest_canonical", "import_preview", "mapping_proposal", "briefing_files", "exported_metrics"}
+WRITERS = {"ingest_verdict", "ingest_canonical", "ingest_errors", "source_lineage", "reused_mapping", "import_preview", "mapping_proposal", "briefing_files", "exported_metrics"}
 
 pytestmark = pytest.mark.skipif(not os.path.isdir(TABLES), reason="test tables are not here")
 

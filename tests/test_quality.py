@@ -73,3 +73,48 @@ def test_values_table_text(spark):
     row = values_table(spark, [(odd, 0.1, None)], "t string, d double, n int").first()
     assert (row.t, row.d, row.n) == (odd, 0.1, None)
     assert values_table(spark, [(1,)], "a int").select(F.sum("a")).first()[0] == 1
+
+
+def test_rows_with_faults_are_put_aside(spark):
+    rows = values_table(
+        spark,
+        [("1", " a ", "2026-09-01"), ("x", "b", "2026-09-02"), ("3", " ", "soon"), (None, "d", None), ("5 ", "e", "\t")],
+        "id string, department string, created_at string",
+    )
+    typed, rejected = mapping.checked_rows(rows, {"id": "bigint", "created_at": "date"}, ["id", "department"])
+    assert sorted(r.id for r in typed.collect()) == [1, 5]
+    assert dict(typed.dtypes) == {"id": "bigint", "department": "string", "created_at": "date"}
+    counts = {(r.field, r.problem): r.rows for r in mapping.fault_counts(rejected).collect()}
+    assert counts == {
+        ("id", "type"): 1, ("id", "missing"): 1, ("department", "missing"): 1, ("created_at", "type"): 1,
+    }
+    assert typed.count() + rejected.count() == rows.count()
+
+
+def test_saved_mappings(spark):
+    headers = values_table(
+        spark,
+        [("f1", "a", i, h) for i, h in enumerate(["No", "Place", "status"])]
+        + [("f2", "b", i, h) for i, h in enumerate(["id", "department", "status"])]
+        + [("f3", "c", 0, "id")],
+        "file string, source string, position int, header string",
+    )
+    saved = values_table(
+        spark,
+        [("a", '{"id":"No","department":"Place","status":"status"}'), ("b", '{"id":"Nr","status":"status"}')],
+        "source string, mapping_json string",
+    )
+    got = mapping.saved_mapping(saved, headers, mapping.propose_mapping(headers)).collect()
+    by = {f: {(r.field, r.column_index, r.origin) for r in got if r.file == f} for f in ("f1", "f2", "f3")}
+    assert by["f1"] == {("id", 0, "saved"), ("department", 1, "saved"), ("status", 2, "saved")}
+    assert by["f2"] == {("id", 0, "proposed"), ("department", 1, "proposed"), ("status", 2, "proposed")}
+    assert {o for _, _, o in by["f3"]} == {"proposed"}
+    kept = mapping.mapping_json(mapping.propose_mapping(headers), headers).collect()
+    assert {r.file: r.mapping_json for r in kept}["f3"] == '{"id":"id"}'
+
+
+def test_headers_of_harmless_columns_are_not_personal(spark):
+    columns = ["cancelled_at", "parcel_id", "excel_rows", "location_name", "name_sq", "phone", "tel_nr", "mobile", "contact_name", "e_mail"]
+    rows = values_table(spark, [tuple("x" for _ in columns)], ", ".join(f"{c} string" for c in columns))
+    flagged = {r["column"] for r in quality.pii_profile(rows).where("flagged").collect()}
+    assert flagged == {"phone", "tel_nr", "mobile", "contact_name", "e_mail"}
