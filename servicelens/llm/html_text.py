@@ -3,7 +3,7 @@
 Pages become trees of block elements whose leaves are stretches of text. Elements that are never part
 of an article (menus, footers, adverts, forms, ...) are left out by tag, role or class. What remains
 is aligned by simple tree matching with reference pages of the same host: a leaf that is aligned to
-the same text in all of them is template, a leaf that varies is content. A reference that shares most
+the same text in most of them is template, a leaf that varies is content. A reference that shares most
 of a page's text is a copy of it and shows nothing about the template.
 """
 
@@ -13,6 +13,7 @@ import difflib
 import html as html_lib
 import json
 import re
+import sys
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from zlib import crc32
@@ -23,11 +24,15 @@ from pyspark.sql import functions as F
 
 from servicelens.llm.common import read, sliced, texts_of
 
-#: Reference pages kept for a host, and how many that are no copies a template needs.
+#: Reference pages kept for a host; a leaf is template if at least so many of those that are no copies,
+#: and this share of them, have its text at its place. Pages of a host may come in several layouts.
 REFERENCES = 6
 LEAST = 3
+SHARE = 2 / 3
 #: Child lists up to this product of lengths are aligned by dynamic programming, longer ones by equal stretches.
 PRODUCT = 10_000
+#: Python calls that the comparison of two trees may nest; a level takes three.
+DEEPEST = 1_000_000
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?\]\]>|<[!?][^>]*>"
@@ -73,10 +78,15 @@ class Node:
     size: int = 1
 
     def seal(self) -> "Node":
-        """Set the mark, equal for equal subtrees with equal text, and the size."""
-        held = self.text if self.text is not None else json.dumps([c.seal().mark for c in self.children])
-        self.mark = crc32(f"{self.label}\n{held}".encode()) << 32 | crc32(f"{held}\r{self.label}".encode())
-        self.size = 1 + sum(c.size for c in self.children)
+        """Set the mark, equal for equal subtrees with equal text, and the size, from the leaves up."""
+        order, stack = [], [self]
+        while stack:
+            order.append(node := stack.pop())
+            stack += node.children
+        for node in reversed(order):
+            held = node.text if node.text is not None else str([c.mark for c in node.children])
+            node.mark = crc32(f"{node.label}\n{held}".encode()) << 32 | crc32(f"{held}\r{node.label}".encode())
+            node.size = 1 + sum(c.size for c in node.children)
         return self
 
     def leaves(self) -> list["Node"]:
@@ -89,14 +99,29 @@ class Node:
         return found
 
     def packed(self) -> list:
-        return [self.label, self.mark, [c.packed() for c in self.children]]
+        """Label, mark and number of children of every node, a node before its children."""
+        flat, stack = [], [self]
+        while stack:
+            node = stack.pop()
+            flat += [node.label, node.mark, len(node.children)]
+            stack += reversed(node.children)
+        return flat
 
 
-def unpacked(packed: list) -> Node:
-    label, mark, children = packed
-    node = Node(label, [unpacked(c) for c in children], None, mark)
-    node.size = 1 + sum(c.size for c in node.children)
-    return node
+def unpacked(flat: list) -> Node:
+    nodes = [Node(label, [], None, mark) for label, mark in zip(flat[::3], flat[1::3], strict=True)]
+    waiting: list[tuple[Node, int]] = []
+    for node, children in zip(nodes, flat[2::3], strict=True):
+        if waiting:
+            parent, left = waiting.pop()
+            parent.children.append(node)
+            if left > 1:
+                waiting.append((parent, left - 1))
+        if children:
+            waiting.append((node, children))
+    for node in reversed(nodes):
+        node.size = 1 + sum(c.size for c in node.children)
+    return nodes[0]
 
 
 def _left_out(tag: str, attributes: str, in_article: bool) -> bool:
@@ -217,19 +242,19 @@ def _shared(a: list[Node], b: list[Node]) -> list[Node]:
         for block in blocks.get_matching_blocks():
             found += [leaf for node in a[block.a : block.a + block.size] for leaf in node.leaves()]
     elif a and b:
-        for x, y in _aligned(a, b):
-            found += match(x, y)[1]
+        for shared in _aligned(a, b):
+            found += shared
     return found
 
 
-def _aligned(a: list[Node], b: list[Node]) -> list[tuple[Node, Node]]:
-    """Simple tree matching of child lists: the order-preserving pairs of the largest total weight."""
-    weight = [[match(x, y)[0] for y in b] for x in a]
+def _aligned(a: list[Node], b: list[Node]) -> list[list[Node]]:
+    """Simple tree matching of child lists: what the order-preserving pairs of the largest weight share."""
+    matches = [[match(x, y) for y in b] for x in a]
     best = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
-    for i, row in enumerate(weight, 1):
-        for j, w in enumerate(row, 1):
-            best[i][j] = max(best[i - 1][j], best[i][j - 1], best[i - 1][j - 1] + w)
-    pairs, i, j = [], len(a), len(b)
+    for i, row in enumerate(matches, 1):
+        for j, (weight, _) in enumerate(row, 1):
+            best[i][j] = max(best[i - 1][j], best[i][j - 1], best[i - 1][j - 1] + weight)
+    shared, i, j = [], len(a), len(b)
     while i and j:
         if best[i][j] == best[i - 1][j]:
             i -= 1
@@ -237,8 +262,8 @@ def _aligned(a: list[Node], b: list[Node]) -> list[tuple[Node, Node]]:
             j -= 1
         else:
             i, j = i - 1, j - 1
-            pairs.append((a[i], b[j]))
-    return pairs
+            shared.append(matches[i][j][1])
+    return shared
 
 
 def match(a: Node, b: Node) -> tuple[int, list[Node]]:
@@ -267,9 +292,8 @@ def content(page: Node, references: list[Node]) -> list[str]:
         if not marks.isdisjoint(others):
             for leaf in _shared(page.children, reference.children):
                 counts[id(leaf)] = counts.get(id(leaf), 0) + 1
-    if usable < LEAST:
-        counts = {}
-    return [leaf.text for leaf in leaves if counts.get(id(leaf), 0) < max(usable, 1)]
+    needed = max(LEAST, SHARE * usable)
+    return [leaf.text for leaf in leaves if counts.get(id(leaf), 0) < needed]
 
 
 def _packed_trees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -304,6 +328,8 @@ def main_text(
     joined = rows.join(references, F.col("host") == F.col("of"), "left").select("id", "url", "html", "trees")
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # trees are compared level by level, and pages may be nested as deep as they like
+        sys.setrecursionlimit(max(sys.getrecursionlimit(), DEEPEST))
         parsed: dict[str, Node] = {}
         for batch in sliced(batches, "html"):
             texts = []

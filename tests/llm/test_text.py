@@ -44,6 +44,17 @@ def test_words_are_runs_of_letters():
     assert names == ["latin"] * 5 + ["han", "cyrillic"]
 
 
+def test_long_texts_are_cut_between_words(monkeypatch):
+    model = language_id.Model(["a", "b"], np.random.default_rng(1).normal(size=(language_id.BUCKETS, 2)), np.ones((99, 2), bool))
+    texts = [f"{ENGLISH} {GERMAN} " * 5, "", "one", f"{GREEK},{ENGLISH}" * 7, "x" * 90 + " y"]
+    whole = language_id.label_texts(texts, model)
+    for size in (1, 7, 60):
+        monkeypatch.setattr(language_id, "PART_CHARS", size)
+        language, score, spans = language_id.label_texts(texts, model)
+        assert language == whole[0] and (score == whole[1]).all()
+        assert all((a == b).all() for a, b in zip(spans, whole[2], strict=True))
+
+
 def test_languages_and_spans(documents):
     labelled = [(i, t, lang) for i, (t, lang) in enumerate([(ENGLISH, "en"), (GERMAN, "de"), (GREEK, "el")] * 3)]
     model = language_id.train(documents([*labelled, (90, None, "fr"), (91, "no label", None)]))
@@ -200,6 +211,23 @@ def test_alignment_finds_the_equal_leaves():
     assert slow_match(a, b) > 0
 
 
+def test_trees_survive_packing():
+    tree = html_text.parse("<div>a<p>b</div><ul><li>c<li>d<ul><li>e</ul></ul><p>f")
+    again = html_text.unpacked(tree.packed())
+    assert again.packed() == tree.packed() and again.size == tree.size
+    assert len(again.leaves()) == 6
+
+
+def test_deep_and_wide_pages(spark):
+    deep = [f"<div>x{k}" * 3000 + f"end{k}" for k in range(5)]
+    wide = ["".join(f"<p>p{i} {k if i % 7 else ''}" for i in range(3000)) + "<div>same</div>" for k in range(5)]
+    rows = [(i, f"http://h{i // 5}.example/{i}", h) for i, h in enumerate(deep + wide)]
+    frame = spark.createDataFrame(rows, "page_id long, url string, html string")
+    found = {r["page_id"]: r["text"].split("\n") for r in html_text.main_text(frame).collect()}
+    assert all(len(found[k]) == 3000 for k in range(5))
+    assert all("same" not in found[k] and len(found[k]) == 3000 - 429 for k in range(5, 10))
+
+
 def test_templates_of_a_host(spark):
     hosts = [("http://a.example/%d" % k, page(k)) for k in range(12)] + [("http://b.example/1", page(1)), (None, page(2))]
     copies = [("http://c.example/%d" % k, page(5)) for k in range(9)]
