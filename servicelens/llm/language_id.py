@@ -8,6 +8,7 @@ decoding with a penalty for every switch labels the words of a text; equal label
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -26,7 +27,11 @@ SWITCH_PENALTY = 12.0
 MODEL_BYTES = 64 << 20
 UNKNOWN = "und"
 
+#: Letters are scored in batches of this many characters; a longer text is cut between words for it.
+PART_CHARS = 2 << 20
+
 _SLICE = 2 << 20
+_GAP = re.compile(r"[\W\d_]")
 
 # First code points of script ranges, in order. Code points before and between named
 # ranges belong to the script of the range they follow.
@@ -118,6 +123,34 @@ class Words(NamedTuple):
     bucket: np.ndarray  # hashed trigram of each letter
 
 
+def word_batches(texts: list[str]) -> Iterator[Words]:
+    """The words of all texts in batches of about `PART_CHARS`; a longer text is cut between words."""
+    parts: list[str] = []
+    places: list[tuple[int, int]] = []  # text of each part and where it starts there
+    chars = 0
+    for i, text in enumerate(texts):
+        start = 0
+        while True:
+            stop = len(text)
+            if stop - start > PART_CHARS and (gap := _GAP.search(text, start + PART_CHARS)):
+                stop = gap.start()
+            parts.append(text[start:stop])
+            places.append((i, start))
+            chars += stop - start
+            if chars >= PART_CHARS:
+                yield _placed(words_of(parts), places)
+                parts, places, chars = [], [], 0
+            if stop == len(text):
+                break
+            start = stop
+    yield _placed(words_of(parts), places)
+
+
+def _placed(words: Words, places: list[tuple[int, int]]) -> Words:
+    at = np.array(places, np.int64).reshape(-1, 2)
+    return words._replace(document=at[words.document, 0], start=words.start + at[words.document, 1])
+
+
 def words_of(texts: list[str]) -> Words:
     lengths = np.fromiter(map(len, texts), np.int64, len(texts))
     starts = np.r_[0, np.cumsum(lengths + 1)]
@@ -156,11 +189,11 @@ def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> Mo
             for part in slices(batch, "text", _SLICE):
                 texts, langs = texts_of(part, "text"), part.column("lang").to_pylist()
                 for lang in set(langs):
-                    words = words_of([t for t, held in zip(texts, langs, strict=True) if held == lang])
                     seen = totals.setdefault(lang, np.zeros(BUCKETS + len(SCRIPT_NAMES), np.int64))
-                    seen[:BUCKETS] += np.bincount(words.bucket, minlength=BUCKETS)
-                    by_script = np.bincount(words.script, words.size, len(SCRIPT_NAMES))
-                    seen[BUCKETS:] += by_script.astype(np.int64)
+                    for words in word_batches([t for t, held in zip(texts, langs, strict=True) if held == lang]):
+                        seen[:BUCKETS] += np.bincount(words.bucket, minlength=BUCKETS)
+                        by_script = np.bincount(words.script, words.size, len(SCRIPT_NAMES))
+                        seen[BUCKETS:] += by_script.astype(np.int64)
         for lang, seen in totals.items():
             held = np.flatnonzero(seen)
             columns = [pa.array([lang] * held.size, pa.string()), pa.array(held), pa.array(seen[held])]
@@ -215,31 +248,29 @@ def viterbi(scores: np.ndarray, counts: np.ndarray, penalty: float) -> np.ndarra
     return found
 
 
-class Labels(NamedTuple):
-    language: list[str]
-    score: np.ndarray
-    spans: list[tuple[np.ndarray, ...]]
-
-
 def label_texts(texts: list[str], model: Model, penalty: float = SWITCH_PENALTY) -> tuple[list[str], np.ndarray, tuple]:
     """Language and score of each text, and spans as (text, language, start, end) arrays."""
-    words = words_of(texts)
     known = len(model.languages)
-    if not words.size.size or not known:
+    found = []
+    for words in word_batches(texts):
+        if words.size.size and known:
+            scores = np.add.reduceat(model.scores[words.bucket], words.first, axis=0)
+            scores = np.where(model.allowed[words.script], scores, scores - np.float32(1e4))
+            found.append((words.document, words.start, words.size, scores))
+    if not found:
         empty = np.zeros(0, np.int64)
         return [UNKNOWN] * len(texts), np.zeros(len(texts)), (empty, empty, empty, empty)
-    scores = np.add.reduceat(model.scores[words.bucket], words.first, axis=0)
-    scores = np.where(model.allowed[words.script], scores, scores - np.float32(1e4))
-    counts = np.bincount(words.document, minlength=len(texts))
+    document, start, size, scores = (np.concatenate(x) for x in zip(*found, strict=True))
+    counts = np.bincount(document, minlength=len(texts))
     label = viterbi(scores, counts, penalty).astype(np.int64)
-    shares = np.bincount(words.document * known + label, words.size, len(texts) * known).reshape(-1, known)
+    shares = np.bincount(document * known + label, size, len(texts) * known).reshape(-1, known)
     total, best = shares.sum(axis=1), shares.argmax(axis=1)
     score = shares[np.arange(len(texts)), best] / np.maximum(total, 1)
     language = [model.languages[i] if n else UNKNOWN for i, n in zip(best.tolist(), total.tolist(), strict=True)]
-    fresh = np.r_[True, (np.diff(label) != 0) | (np.diff(words.document) != 0)]
+    fresh = np.r_[True, (np.diff(label) != 0) | (np.diff(document) != 0)]
     begin = np.flatnonzero(fresh)
     end = np.r_[begin[1:], label.size] - 1
-    spans = words.document[begin], label[begin], words.start[begin], words.start[end] + words.size[end]
+    spans = document[begin], label[begin], start[begin], start[end] + size[end]
     return language, score, spans
 
 

@@ -29,7 +29,11 @@ UNKNOWN = " ⁇ "
 #: Words that a Python worker remembers.
 WORDS = 800_000
 
+#: Longer texts are worked through part by part.
+PART_CHARS = 1 << 20
+
 _WORDS = re.compile(r" *[^ ]+| +")
+_WORD_START = re.compile("(?<=[^ ]) ")
 _loaded: dict[str, tuple["MergeModel", WordCache, dict[str, str]]] = {}
 
 
@@ -179,25 +183,50 @@ def _learn(new: list[str], path: str) -> int:
     return wrong
 
 
+def _parts(text: str) -> Iterator[str]:
+    """A text in parts of about `PART_CHARS`, cut where a word begins with its spaces."""
+    start = 0
+    while len(text) - start > PART_CHARS and (found := _WORD_START.search(text, start + PART_CHARS)):
+        yield text[start : found.start()]
+        start = found.start()
+    yield text[start:]
+
+
 def encode_texts(texts: list[str], path: str) -> Iterator[tuple[str, str, int]]:
     """(ids joined by a space with the end id last, decoded text, mismatches found in new words)."""
     merging, cache, changed = model(path)
-    # the character that stands for a space reads as one
-    split = [_WORDS.findall(" " + t.replace(SPACE, " ")) if t else [] for t in texts]
-    used = set().union(*split)
-    cache.shrink(used)
-    if len(changed) > cache.limit:
-        for word in changed.keys() - used:
-            del changed[word]
-            cache.pop(word, None)
-    wrong = _learn(cache.missing(used), path)
-    odd = changed.keys() & used
-    for words in split:
-        ids = "".join(map(cache.__getitem__, words))
-        if odd:
-            words = [changed.get(w, w) for w in words]
-        yield f"{ids} {merging.end}"[1:] if ids else str(merging.end), "".join(words)[1:], wrong
-        wrong = 0
+    ids: list[list[str]] = [[] for _ in texts]
+    decoded: list[list[str]] = [[] for _ in texts]
+    wrong = [0] * len(texts)
+
+    def add(held: list[tuple[int, list[str]]]) -> None:
+        used = set().union(*[words for _, words in held])
+        cache.shrink(used)
+        if len(changed) > cache.limit:
+            for word in changed.keys() - used:
+                del changed[word]
+                cache.pop(word, None)
+        mismatches = _learn(cache.missing(used), path)
+        odd = changed.keys() & used
+        for i, words in held:
+            ids[i].append("".join(map(cache.__getitem__, words)))
+            decoded[i].append("".join([changed.get(w, w) for w in words] if odd else words))
+            wrong[i] += mismatches
+            mismatches = 0
+
+    held: list[tuple[int, list[str]]] = []
+    chars = 0
+    for i, text in enumerate(texts):
+        # the character that stands for a space reads as one; the first space is the dummy one
+        for part in _parts(" " + text.replace(SPACE, " ")) if text else ():
+            held.append((i, _WORDS.findall(part)))
+            chars += len(part)
+            if chars >= PART_CHARS:
+                add(held)
+                held, chars = [], 0
+    add(held)
+    for code, text, mismatches in zip(ids, decoded, wrong, strict=True):
+        yield f"{''.join(code)} {merging.end}"[1:] if code else str(merging.end), "".join(text)[1:], mismatches
 
 
 def sentencepiece_codes(

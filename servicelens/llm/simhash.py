@@ -13,6 +13,7 @@ only the links that join its parts (a spanning forest). No link between componen
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,26 +34,53 @@ WIDTH = BITS // SEGMENTS
 #: Fingerprints of one table entry that a task compares with each other at a time.
 BLOCK = 2048
 
+#: Longer texts are worked through part by part.
+PART_CHARS = 1 << 20
+
 _SHINGLES = 1 << 16
+_SPACE = re.compile(r"[\x20\x09-\x0D]")
 
 
-def fingerprint(text: str, shingle: int = SHINGLE) -> int:
-    """SimHash of the word shingles of a text, as an unsigned number; no word: 0."""
-    words = text.encode().lower().split()  # bytes: lowers A-Z and splits at ASCII white space only
-    if not words:
-        return 0
+def _parts(text: str) -> Iterator[str]:
+    """A text in parts of about `PART_CHARS`, cut at white space."""
+    start = 0
+    while len(text) - start > PART_CHARS and (space := _SPACE.search(text, start + PART_CHARS)):
+        yield text[start : space.start()]
+        start = space.start()
+    yield text[start:]
+
+
+def _add_bits(words: list[bytes], shingle: int, ones: np.ndarray) -> int:
+    """Add the bits of the hashes of all shingles; returns the number of shingles."""
     joined = b" ".join(words)
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
     starts = np.r_[0, ends[:-1] + 1]
-    n = max(1, len(words) - shingle + 1)
+    n = len(words) - shingle + 1
     starts, ends = starts[:n].tolist(), ends[-n:].tolist()
-    ones = np.zeros(BITS, np.int64)
     digest = xxhash.xxh64_intdigest
     for at in range(0, n, _SHINGLES):
         stop = min(n, at + _SHINGLES)
         hashes = [digest(joined[a:b], SEED) for a, b in zip(starts[at:stop], ends[at:stop], strict=True)]
         octets = np.array(hashes, ">u8").view(np.uint8).reshape(-1, 8)
         ones += np.unpackbits(octets, axis=1).sum(axis=0, dtype=np.int64)
+    return n
+
+
+def fingerprint(text: str, shingle: int = SHINGLE) -> int:
+    """SimHash of the word shingles of a text, as an unsigned number; no word: 0."""
+    ones, n = np.zeros(BITS, np.int64), 0
+    tail: list[bytes] = []  # words that shingles of the next part begin with
+    seen = False
+    for part in _parts(text):
+        words = tail + part.encode().lower().split()  # bytes: lowers A-Z, splits at ASCII white space only
+        seen = seen or bool(words)
+        if len(words) >= shingle:
+            n += _add_bits(words, shingle, ones)
+            tail = words[len(words) - shingle + 1 :]
+        else:
+            tail = words
+    if seen and not n:
+        n = _add_bits(tail, len(tail), ones)
     return int.from_bytes(np.packbits(2 * ones > n).tobytes(), "big")
 
 

@@ -75,8 +75,10 @@ def slow_fingerprint(text):
     return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(parts))
 
 
-def test_fingerprints(monkeypatch):
+@pytest.mark.parametrize("part", [1, 4, 9, 1 << 20])
+def test_fingerprints(monkeypatch, part):
     monkeypatch.setattr(simhash, "_SHINGLES", 5)
+    monkeypatch.setattr(simhash, "PART_CHARS", part)
     for text in ["", " \t\n", "one", "one Two", "ÉCOLE\x0bÀ b c D e", "a b c " * 9, "x y z w v u t s r q"]:
         assert simhash.fingerprint(text) == slow_fingerprint(text)
 

@@ -101,7 +101,9 @@ def test_count_cases(documents):
     assert token_counts.token_counts(documents([]), BYTES).count() == 0
 
 
-def test_codes_are_those_of_the_library():
+@pytest.mark.parametrize("part", [1, 5, 1 << 20])
+def test_codes_are_those_of_the_library(monkeypatch, part):
+    monkeypatch.setattr(sentencepieces, "PART_CHARS", part)
     library = sentencepiece.SentencePieceProcessor(model_file=PIECES)
     model = sentencepieces.model(PIECES)[0]
     for text, (ids, decoded, wrong) in zip(texts(), sentencepieces.encode_texts(texts(), PIECES), strict=True):
