@@ -14,13 +14,11 @@ from .labels import LOCALES, department_name, number_word, text
 from .requests import MEASURES
 
 
-def briefing_facts(
-    kpi: DataFrame, inventory: DataFrame | None = None, signals: DataFrame | None = None
-) -> DataFrame:
+def briefing_facts(kpi: DataFrame, inventory: DataFrame | None = None) -> DataFrame:
     """One row per period: the totals, the number of departments, the largest queue and volume.
 
-    With the output of `growth` the change of the city's on-time rate is a fact as well. `inventory`
-    adds the number of stale sources of a period, `signals` that of departments with an anomaly.
+    With the output of `growth` the change of the city's on-time rate is a fact as well, with that of
+    `signals` the number of departments with an anomaly. `inventory` adds the number of stale sources.
     """
     is_total = F.col("department") == ALL
 
@@ -38,13 +36,13 @@ def briefing_facts(
         largest("overdue").alias("top_department"),
         largest("received").alias("busiest_department"),
         F.max(F.when(~is_total, F.col("overdue"))).alias("top_overdue"),
+        *([F.count_if(~is_total & F.col("is_anomaly")).alias("anomalies")] if "is_anomaly" in kpi.columns else []),
     )
-    for table, flag, name in ((inventory, "stale", "stale_sources"), (signals, "is_anomaly", "anomalies")):
-        if table is not None:
-            counted = table.where(F.col(flag) & (F.col("department") != ALL)).groupBy("period").agg(
-                F.count_distinct("id" if name == "stale_sources" else "department").alias(name)
-            )
-            facts = facts.join(counted, "period", "left").withColumn(name, F.coalesce(name, F.lit(0)))
+    if inventory is not None:
+        stale = inventory.where("stale").groupBy("period").agg(F.count_distinct("id").alias("stale_sources"))
+        facts = facts.join(stale, "period", "left").withColumn(
+            "stale_sources", F.coalesce("stale_sources", F.lit(0))
+        )
     return facts
 
 

@@ -450,7 +450,7 @@ def briefing_facts(spark, path):
     """With the stale sources and the anomalies of each month."""
     monthly = kpi.growth(_kpi(spark, path))
     unusual = signals.signals(monthly, ["department"], "period", "on_time_rate", 7, 3.0)
-    facts = briefing.briefing_facts(monthly, _stale_inventory(spark, path), unusual)
+    facts = briefing.briefing_facts(unusual, _stale_inventory(spark, path))
     return facts.withColumns(rounded("on_time_rate", "rate_change"))
 
 

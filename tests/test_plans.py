@@ -31,7 +31,7 @@ def test_no_crossed_rows_and_no_python(spark, name):
         assert unwanted not in text, unwanted
 
 
-@pytest.mark.parametrize("name", ["kpi_monthly", "kpi_growth", "scorecard_ranked", "briefing_facts", "display_text"])
+@pytest.mark.parametrize("name", ["kpi_monthly", "kpi_growth", "scorecard_ranked", "ask_answers", "display_text"])
 def test_requests_are_read_once(spark, name):
     text = plan(spark, name)
     assert text.count("FileScan parquet") == 3
@@ -42,6 +42,7 @@ def test_requests_are_read_once(spark, name):
 def test_alerts_read_the_card_once(spark):
     # Three scans for the card, four for the inventory.
     assert plan(spark, "attention").count("FileScan parquet") == 7
+    assert plan(spark, "briefing_facts").count("FileScan parquet") == 7
 
 
 def test_filters_reach_the_scans(spark):
