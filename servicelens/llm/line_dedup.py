@@ -109,7 +109,8 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     chunks = stored(_chunks(narrow), "line-chunks")
     place = F.struct(F.col("id").isNull().alias("null"), F.col("id"), F.col("key"), F.col("chunk"))
     twice = chunks.groupBy("hash").agg(F.min(place).alias("a"), F.max(place).alias("b"))
-    twice = twice.where(F.col("a") != F.col("b")).select("hash")
+    # kept as a table, so that the join below can split the rows of a hash that very many chunks share
+    twice = stored(twice.where(F.col("a") != F.col("b")).select("hash"), "repeated-hashes")
     span = F.struct("chunk", "start", "size", "hash")
     wanted = chunks.join(twice, "hash").groupBy("key").agg(F.collect_set(span).alias("spans"))
     texts = (
@@ -120,6 +121,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     same = stored(texts.groupBy("hash", "bytes").agg(F.min(place).alias("first")).select("hash", "first"), "same-bytes")
     # a hash with one text stands for it; the texts of any other hash are looked at themselves
     by_hash = same.groupBy("hash").agg(F.count("*").alias("n"), F.min("first").alias("first"))
+    by_hash = stored(by_hash, "first-places")
     spare = (
         chunks.join(by_hash.where(F.col("n") == 1), "hash")
         .where(place != F.col("first"))
