@@ -3,16 +3,21 @@
 from __future__ import annotations
 
 import itertools
-from collections.abc import Iterator
+import os
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from servicelens.session import staging_path
 
+#: The folder that holds the package.
+ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+
 #: Characters that a Python task turns into lists at a time. Bounds memory, not results: a longer
 #: text is a slice of its own.
 SLICE_CHARS = 1 << 20
@@ -29,6 +34,19 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.parquet(path)
 
 
+def map_arrow(df: DataFrame, task: Callable, schema: str | StructType) -> DataFrame:
+    """`mapInArrow` for tasks that import this package.
+
+    Workers on this machine find it where the driver did. On a cluster it must be installed or sent along
+    with `--py-files`.
+    """
+    known = df.sparkSession.sparkContext.environment
+    paths = [p for p in known.get("PYTHONPATH", "").split(os.pathsep) if p]
+    if ROOT not in paths:
+        known["PYTHONPATH"] = os.pathsep.join([*paths, ROOT])
+    return df.mapInArrow(task, schema)
+
+
 def row_key(*columns: str) -> Column:
     """A key of the values of a row, nulls included. Equal rows share it and get equal results."""
     parts = [F.coalesce(F.col(c).cast("string"), F.lit("\x00")) for c in columns]

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from servicelens.llm.common import read, sliced, texts_of
+from servicelens.llm.common import map_arrow, read, sliced, texts_of
 
 #: Reference pages kept for a host; a leaf is template if at least so many of those that are no copies,
 #: and this share of them, have its text at its place. Pages of a host may come in several layouts.
@@ -320,8 +320,7 @@ def main_text(
         F.min_by("html", digest).alias("html")
     )
     references = (
-        chosen.select("host", "html")
-        .mapInArrow(_packed_trees, "host string, tree string")
+        map_arrow(chosen.select("host", "html"), _packed_trees, "host string, tree string")
         .groupBy(F.col("host").alias("of"))
         .agg(F.sort_array(F.collect_list("tree")).alias("trees"))
     )
@@ -347,7 +346,7 @@ def main_text(
             )
 
     kind = rows.schema["id"].dataType.simpleString()
-    found = joined.mapInArrow(extract, f"id {kind}, url string, text string, n_chars long")
+    found = map_arrow(joined, extract, f"id {kind}, url string, text string, n_chars long")
     return found.select(F.col("id").alias(id_col), F.col("url").alias(url_col), "text", "n_chars")
 
 

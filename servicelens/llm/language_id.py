@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from servicelens.llm.common import read, slices, texts_of
+from servicelens.llm.common import map_arrow, read, slices, texts_of
 
 BUCKETS = 1 << 14
 #: A language is possible in a script that has at least this share of its letters.
@@ -201,7 +201,7 @@ def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> Mo
 
     labelled = docs.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text"))
     labelled = labelled.where(F.col("lang").isNotNull() & F.col("text").isNotNull())
-    counted = labelled.mapInArrow(count, "lang string, bucket long, n long")
+    counted = map_arrow(labelled, count, "lang string, bucket long, n long")
     counted = counted.groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
     most = MODEL_BYTES // (4 * BUCKETS)
     # a row per bucket and language: bounded by the size of the model, which is checked
@@ -323,7 +323,7 @@ def _labelled(
 
     kinds = ["string", "double", "array<struct<lang:string,start:int,end:int>>"][: 2 + with_spans]
     blank = [F.lit(None).cast(k).alias(c) for k, c in zip(kinds, added, strict=False)]
-    return rows.mapInArrow(label, rows.select("*", *blank).schema)
+    return map_arrow(rows, label, rows.select("*", *blank).schema)
 
 
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from servicelens.llm.common import read, row_key, sliced, stored, texts_of
+from servicelens.llm.common import map_arrow, read, row_key, sliced, stored, texts_of
 
 WINDOW = 2
 DIVISOR = 2
@@ -77,7 +77,7 @@ def _chunks(docs: DataFrame) -> DataFrame:
             )
 
     kind = docs.schema["id"].dataType.simpleString()
-    return docs.mapInArrow(cut, f"key long, id {kind}, chunk int, start int, size int, lines int, hash long")
+    return map_arrow(docs, cut, f"key long, id {kind}, chunk int, start int, size int, lines int, hash long")
 
 
 def _without(text: Column, ranges: Column) -> Column:

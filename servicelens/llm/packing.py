@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from servicelens.llm.byte_bpe import ByteVocabulary
-from servicelens.llm.common import SLICE_CHARS, WordCache, read, sliced, stored, texts_of
+from servicelens.llm.common import SLICE_CHARS, WordCache, map_arrow, read, sliced, stored, texts_of
 
 CAPACITY = 1024
 END_ID = 2
@@ -247,7 +247,7 @@ def token_pieces(
     narrow = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     kind = narrow.schema["id"].dataType.simpleString()
     schema = f"id {kind}, piece int, start long, length long, ids_crc32 long"
-    return narrow.mapInArrow(cut, schema + ", ids array<int>" * with_ids).withColumnRenamed("id", id_col)
+    return map_arrow(narrow, cut, schema + ", ids array<int>" * with_ids).withColumnRenamed("id", id_col)
 
 
 def pack(pieces: DataFrame, capacity: int = CAPACITY, length_col: str = "length") -> DataFrame:
@@ -295,7 +295,7 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, length_col: str = "length"
             )
 
     schema = pieces.select("*", F.lit(0).cast("long").alias("sequence_id"), F.lit(0).cast("long").alias("offset")).schema
-    return ranked.mapInArrow(assign, schema)
+    return map_arrow(ranked, assign, schema)
 
 
 def pack_documents(

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from sentencepiece import sentencepiece_model_pb2
 
-from servicelens.llm.common import WordCache, read, sliced, texts_of
+from servicelens.llm.common import WordCache, map_arrow, read, sliced, texts_of
 
 # The character that stands for a space, and what the library decodes an unknown id to.
 SPACE = "▁"
@@ -267,7 +267,7 @@ def sentencepiece_codes(
     kind = narrow.schema["id"].dataType.simpleString()
     schema = f"id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string, n_mismatch long"
     schema += ", ids array<int>" * with_ids + ", decoded string" * with_decoded
-    return narrow.mapInArrow(code, schema).withColumnRenamed("id", id_col)
+    return map_arrow(narrow, code, schema).withColumnRenamed("id", id_col)
 
 
 def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:

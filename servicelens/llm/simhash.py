@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from servicelens.llm.common import read, sliced, stored, texts_of
+from servicelens.llm.common import map_arrow, read, sliced, stored, texts_of
 from servicelens.llm.components import components
 
 BITS = 64
@@ -93,7 +93,7 @@ def fingerprints(docs: DataFrame, id_col: str, text_col: str, shingle: int = SHI
             yield pa.record_batch([batch.column("id"), pa.array(found.view(np.int64))], ["id", "fp"])
 
     narrow = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    return narrow.mapInArrow(compute, f"id {narrow.schema['id'].dataType.simpleString()}, fp long")
+    return map_arrow(narrow, compute, f"id {narrow.schema['id'].dataType.simpleString()}, fp long")
 
 
 def _segment(fp: Column, s: int) -> Column:
@@ -195,7 +195,7 @@ def _dense_links(rows: DataFrame, distance: int) -> DataFrame:
 
     keys = ["seg", "key", "lb", "rb"]
     dealt = rows.repartition(*keys).sortWithinPartitions(*keys, "side", "fp")
-    return dealt.select(*keys, "side", "fp").mapInArrow(compare, "a long, b long")
+    return map_arrow(dealt.select(*keys, "side", "fp"), compare, "a long, b long")
 
 
 def near_links(fps: DataFrame, distance: int = DISTANCE) -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from servicelens.llm.byte_bpe import ByteVocabulary
-from servicelens.llm.common import WordCache, read, sliced, texts_of
+from servicelens.llm.common import WordCache, map_arrow, read, sliced, texts_of
 
 #: A document of more tokens is marked.
 LIMIT = 1024
@@ -75,7 +75,7 @@ def token_counts(
 
     narrow = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     kind = narrow.schema["id"].dataType.simpleString()
-    counted = narrow.mapInArrow(count, f"id {kind}, n_bytes long, n_tokens long")
+    counted = map_arrow(narrow, count, f"id {kind}, n_bytes long, n_tokens long")
     return counted.select(
         F.col("id").alias(id_col), "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit")
     )

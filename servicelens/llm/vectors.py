@@ -14,9 +14,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from servicelens.llm.common import map_arrow
 
 QUERY_ROWS = 2048
-CANDIDATE_ROWS = 32_768
+CANDIDATE_ROWS = 8192
 CHUNK_ROWS = 4096
 #: More candidate groups than this are not made; groups grow instead, so that merging stays small.
 MOST_GROUPS = 1024
@@ -110,9 +111,8 @@ def search_tiles(
         if searcher:
             yield result()
 
-    found = dealt.withColumn("content", F.xxhash64("id", "vec")).select(
-        *keys, "side", "id", "content", "vec"
-    ).mapInArrow(work, f"query_id long, query_key long, vec_id long, score {score}")
+    shown = dealt.withColumn("content", F.xxhash64("id", "vec")).select(*keys, "side", "id", "content", "vec")
+    found = map_arrow(shown, work, f"query_id long, query_key long, vec_id long, score {score}")
     order = Window.partitionBy("query_id", "query_key").orderBy(F.desc("score"), "vec_id")
     return (
         found.withColumn("rank", F.row_number().over(order))
