@@ -40,19 +40,20 @@ class TermTile(Searcher):
     def see(self, ids: np.ndarray, vectors: np.ndarray) -> None:
         values = whole(vectors, self.factor)
         postings = [(rows := np.flatnonzero(values[:, t]), values[rows, t]) for t in range(values.shape[1])]
-        step = max(1, (1 << 21) // len(ids))
+        step = max(1, (1 << 17) // len(ids))  # score arrays that stay in the cache
         kind = np.int64 if values.dtype == self.weights.dtype == np.int64 else object
         for at in range(0, len(self.ids), step):
             weights = self.weights[at : at + step]
-            scores = np.zeros((len(weights), len(ids)), kind)
+            scores = np.zeros((len(ids), len(weights)), kind)
             for term, (rows, held) in enumerate(postings):
                 users = np.flatnonzero(weights[:, term])
-                if users.size == len(weights) and rows.size == len(ids):
-                    scores += weights[:, term, None] * held
-                elif users.size and rows.size:
-                    scores[np.ix_(users, rows)] += weights[users, term, None] * held
+                if 2 * users.size > len(weights):  # the others add zero
+                    scores[rows] += held[:, None] * weights[:, term]
+                elif users.size:
+                    scores[np.ix_(rows, users)] += held[:, None] * weights[users, term]
             if kind is object:
                 scores = np.minimum(np.maximum(scores, _LEAST), _MOST)
+            scores = np.ascontiguousarray(scores.T)
             own = self.ids[at : at + step, None] == ids
             for row in range(len(weights)):
                 self._select(at + row, scores[row], ids, own[row])
