@@ -29,6 +29,8 @@ HEX = r"[0-9a-f]{16,}"
 LEAST_VALUE = 12
 
 KINDS = ["assign", "access", "hex", "entropy"]
+#: Matches whose places are made together.
+BLOCK = 256
 CANDIDATE = r"[A-Za-z0-9+/_=-]{20,}"
 WINDOW = 20
 
@@ -64,23 +66,54 @@ ALLOWED = [
 MASK = "[secret]"
 
 
-def _found(text: Column, pattern: str, kind: int) -> Column:
-    """(start, kind, end, value) of all matches of a pattern, left to right."""
+def _matches(text: Column, pattern: str) -> Column:
+    """(gap, size, value) of all matches of a pattern: the characters before each since the last one."""
     between = F.split(text, pattern, -1)
-    matches = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    values = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    pairs = F.arrays_zip(F.slice(between, 1, F.size(values)).alias("gap"), values.alias("value"))
+    return F.transform(
+        pairs,
+        lambda p: F.struct(
+            F.length(p["gap"]).alias("gap"), F.length(p["value"]).alias("size"), p["value"].alias("value")
+        ),
+    )
+
+
+def _found(matches: str, kind: int) -> Column:
+    """(start, kind, end, value) of the matches in a column, left to right.
+
+    Places are running sums. They are made in blocks of `BLOCK` matches that start at running sums of
+    whole blocks, so that a text of very many matches does not copy ever longer arrays.
+    """
+    blocks = F.sequence(F.lit(0), F.floor((F.size(matches) - 1) / BLOCK).cast("int"))
 
-    def step(state: Column, pair: Column) -> Column:
-        start = state["at"] + F.length(pair["gap"])
-        end = start + F.length(pair["value"])
+    def block(b: Column) -> Column:
+        return F.slice(F.col(matches), b * BLOCK + 1, F.lit(BLOCK))
+
+    def step(state: Column, m: Column) -> Column:
+        start = state["at"] + m["gap"]
+        end = start + m["size"]
         span = F.struct(
-            start.alias("start"), F.lit(kind).alias("kind"), end.alias("end"), pair["value"].alias("value")
+            start.alias("start"), F.lit(kind).alias("kind"), end.alias("end"), m["value"].alias("value")
         )
         return F.struct(end.alias("at"), F.concat(state["spans"], F.array(span)).alias("spans"))
 
+    def after(state: Column, b: Column) -> Column:
+        covered = F.aggregate(block(b), F.lit(0), lambda total, m: total + m["gap"] + m["size"])
+        return F.struct(
+            (state["at"] + covered).alias("at"), F.concat(state["starts"], F.array(state["at"])).alias("starts")
+        )
+
+    first = F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<int>)").alias("starts"))
+    starts = F.aggregate(blocks, first, after, lambda state: state["starts"])
     empty = F.expr("cast(array() as array<struct<start:int,kind:int,end:int,value:string>>)")
-    pairs = F.arrays_zip(F.slice(between, 1, F.size(matches)).alias("gap"), matches.alias("value"))
-    start = F.struct(F.lit(0).alias("at"), empty.alias("spans"))
-    return F.aggregate(pairs, start, step, lambda state: state["spans"])
+    spans = F.transform(
+        starts,
+        lambda at, b: F.aggregate(
+            block(b), F.struct(at.alias("at"), empty.alias("spans")), step, lambda state: state["spans"]
+        ),
+    )
+    return F.when(F.size(matches) > 0, F.flatten(spans)).otherwise(empty)
 
 
 def _weights(window: int) -> list[int]:
@@ -146,23 +179,28 @@ def _listed(spans: Column) -> Column:
 def with_spans(docs: DataFrame, text_col: str = "text", window: int = WINDOW) -> DataFrame:
     """`docs` with __base and __spans: arrays of (start, kind, end), by start and kind. Null texts are empty."""
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    found = docs.select(
-        "*",
+    patterns = {"__assign": ASSIGN, "__access": ACCESS, "__hex": HEX, "__candidates": CANDIDATE}
+    matched = docs.select("*", *[_matches(text, p).alias(c) for c, p in patterns.items()])
+    found = matched.select(
+        *docs.columns,
         F.filter(
-            _found(text, ASSIGN, 0),
+            _found("__assign", 0),
             lambda s: F.length(F.regexp_extract(s["value"], ASSIGN, 2)) >= LEAST_VALUE,
         ).alias("__assign"),
-        _found(text, ACCESS, 1).alias("__access"),
-        _found(text, HEX, 2).alias("__hex"),
-        _found(text, CANDIDATE, 3).alias("__candidates"),
+        _found("__access", 1).alias("__access"),
+        _found("__hex", 2).alias("__hex"),
+        _found("__candidates", 3).alias("__candidates"),
     )
     bare = lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end"))
     base = F.array_sort(F.transform(F.concat("__assign", "__access", "__hex"), bare))
-    found = found.select(*docs.columns, "__candidates", base.alias("__base"))
+    found = found.select(*docs.columns, "__assign", "__candidates", base.alias("__base"))
+    # an access key or a hex run that a candidate touches lies inside it
     free = F.filter(
         "__candidates",
-        lambda c: ~F.exists("__base", lambda b: (b["start"] < c["end"]) & (c["start"] < b["end"]))
-        & _is_secret(c["value"], window),
+        lambda c: ~c["value"].rlike(ACCESS)
+        & ~c["value"].rlike(HEX)
+        & _is_secret(c["value"], window)
+        & ~F.exists("__assign", lambda a: (a["start"] < c["end"]) & (c["start"] < a["end"])),
     )
     added = F.transform(free, bare)
     return found.select(*docs.columns, "__base", F.array_sort(F.concat("__base", added)).alias("__spans"))

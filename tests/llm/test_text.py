@@ -4,6 +4,7 @@ import itertools
 import math
 import random
 import re
+import time
 
 import numpy as np
 import pytest
@@ -139,6 +140,20 @@ def test_spans_against_brute_force(documents):
     assert kinds == set(secret_scan.KINDS)
 
 
+def test_texts_of_very_many_secrets(documents):
+    text = "".join(f"é{i} deadbeefdeadbeef{i:x} AKIA{i:016d}\n" for i in range(1_500))
+    (row,) = secret_scan.scan_secrets(documents([(1, text)])).collect()
+    assert [tuple(s) for s in row["spans"]] == slow_spans(text) and len(row["spans"]) == 4_500
+
+
+@pytest.mark.parametrize("size", [1, 2, 3])
+def test_blocks_of_matches(documents, monkeypatch, size):
+    monkeypatch.setattr(secret_scan, "BLOCK", size)
+    texts = secret_texts()[:60]
+    found = secret_scan.scan_secrets(documents(list(enumerate(texts)))).collect()
+    assert {r["doc_id"]: [tuple(s) for s in r["spans"]] for r in found} == {i: slow_spans(t) for i, t in enumerate(texts)}
+
+
 def test_scan_is_native(documents):
     frame = secret_scan.mask_secrets(documents([(1, "x")]))
     plan = frame._jdf.queryExecution().toString()
@@ -211,6 +226,15 @@ def test_alignment_finds_the_equal_leaves():
     assert slow_match(a, b) > 0
 
 
+def test_broken_markup_takes_linear_time():
+    n = 200_000
+    for piece in ("<", '<a "', "<div class='", "<!--", "<!", "<![CDATA[", "<a", "<p>", "<blockquote>", "<ul><li>", "&", "<b>"):
+        started = time.process_time()
+        html_text.parse(piece * (n // len(piece)) + "</p>" * 1000).leaves()
+        assert time.process_time() - started < 10, piece
+    assert text_of('<p title="a>b<c">x</p><p title=\'"\'>y') == ["x", "y"]
+
+
 def test_trees_survive_packing():
     tree = html_text.parse("<div>a<p>b</div><ul><li>c<li>d<ul><li>e</ul></ul><p>f")
     again = html_text.unpacked(tree.packed())
@@ -228,7 +252,9 @@ def test_deep_and_wide_pages(spark):
     assert all("same" not in found[k] and len(found[k]) == 3000 - 429 for k in range(5, 10))
 
 
-def test_templates_of_a_host(spark):
+@pytest.mark.parametrize("hot", [2, 256])
+def test_templates_of_a_host(spark, monkeypatch, hot):
+    monkeypatch.setattr(html_text, "HOT_PAGES", hot)
     hosts = [("http://a.example/%d" % k, page(k)) for k in range(12)] + [("http://b.example/1", page(1)), (None, page(2))]
     copies = [("http://c.example/%d" % k, page(5)) for k in range(9)]
     rows = [(k, u, h) for k, (u, h) in enumerate(hosts + copies)] + [(90, "http://a.example/n", None), (91, "no url", ""), (None, "::", "<p>x")]
