@@ -14,6 +14,7 @@ import html as html_lib
 import json
 import re
 import sys
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from zlib import crc32
@@ -29,14 +30,20 @@ from servicelens.llm.common import map_arrow, read, sliced, texts_of
 REFERENCES = 6
 LEAST = 3
 SHARE = 2 / 3
+#: Pages of a host that one task reads, about.
+HOT_PAGES = 256
 #: Child lists up to this product of lengths are aligned by dynamic programming, longer ones by equal stretches.
 PRODUCT = 10_000
 #: Python calls that the comparison of two trees may nest; a level takes three.
 DEEPEST = 1_000_000
 
+# A comment, a declaration, or a tag. Quoted values may hold any character; what is tried for one `<` is
+# bounded, so that broken markup takes linear time.
+_VALUE = r"\"[^\"<]*+\"|'[^'<]*+'|\"[^\"]{0,1000}+\"|'[^']{0,1000}+'"
 _TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?\]\]>|<[!?][^>]*>"
-    r"|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>",
+    r"<!--.*?(?:-->|\Z)|<[!?][^<>]*+>"
+    rf"|<(/?)([a-zA-Z][^\s/<>]*+)((?:[^<>\"']++|{_VALUE}){{0,200}}+)>"
+    r"|<(/?)([a-zA-Z][^\s/<>]*+)([^<>]*+)>",
     re.S,
 )
 _ATTRIBUTE = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
@@ -145,7 +152,14 @@ def parse(page: str) -> Node:
     stack: list[tuple[str, Node | None]] = [("#root", root)]
     articles, mains = [], []
     run: list[str] = []
+    opened: Counter[str] = Counter()  # open elements by tag
     dropped = 0  # open elements that are left out
+
+    def push(tag: str, node: Node | None) -> None:
+        nonlocal dropped
+        stack.append((tag, node))
+        opened[tag] += 1
+        dropped += node is None
     at, end = 0, len(page)
 
     def flush() -> None:
@@ -159,7 +173,9 @@ def parse(page: str) -> Node:
         nonlocal dropped
         flush()
         while len(stack) > upto:
-            dropped -= stack.pop()[1] is None
+            tag, node = stack.pop()
+            opened[tag] -= 1
+            dropped -= node is None
 
     while at < end:
         found = _TOKEN.search(page, at)
@@ -172,15 +188,12 @@ def parse(page: str) -> Node:
         at = found.end()
         tag = (found[2] or found[5] or "").lower()
         if not tag:
-            if found.group().startswith("<![CDATA[") and not dropped:
-                run.append(html_lib.escape(found.group()[9:-3]))
             continue
         closing, attributes = found[1] or found[4], found[3] or found[6] or ""
         if tag in _INLINE:
             if not closing and not dropped and _left_out(tag, attributes, True):
                 flush()
-                stack.append((tag, None))
-                dropped += 1
+                push(tag, None)
             elif closing and dropped and stack[-1] == (tag, None):
                 close(len(stack) - 1)
             continue
@@ -188,10 +201,8 @@ def parse(page: str) -> Node:
             run.append(" " if not dropped else "")
             continue
         if closing:
-            for depth in range(len(stack) - 1, 0, -1):
-                if stack[depth][0] == tag:
-                    close(depth)
-                    break
+            if opened[tag]:
+                close(next(d for d in range(len(stack) - 1, 0, -1) if stack[d][0] == tag))
             continue
         if not dropped:
             flush()
@@ -201,22 +212,21 @@ def parse(page: str) -> Node:
             stop = re.compile(f"</{tag}", re.I).search(page, at)
             at = stop.start() if stop else end
         # a block ends an open paragraph, an item the item before it
-        for depth in range(len(stack) - 1, 0, -1):
+        ended = {"p"} | _CLOSES.get(tag, set())
+        for depth in range(len(stack) - 1, 0, -1) if any(opened[t] for t in ended) else ():
             name = stack[depth][0]
-            if name == "p" or name in _CLOSES.get(tag, ()):
+            if name in ended:
                 close(depth)
                 break
             if name in _SCOPES and name != tag:
                 break
-        in_article = any(name in ("article", "main") for name, _ in stack)
-        if dropped or _left_out(tag, attributes, in_article):
-            stack.append((tag, None))
-            dropped += 1
+        if dropped or _left_out(tag, attributes, bool(opened["article"] or opened["main"])):
+            push(tag, None)
             continue
         node = Node(tag)
         stack[-1][1].children.append(node)
-        stack.append((tag, node))
-        if tag == "article" and not any(name == "article" for name, _ in stack[:-1]):
+        push(tag, node)
+        if tag == "article" and opened[tag] == 1:
             articles.append(node)
         elif tag == "main":
             mains.append(node)
@@ -302,6 +312,18 @@ def _packed_trees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         yield pa.record_batch([batch.column("host"), pa.array(trees, pa.string())], ["host", "tree"])
 
 
+def _hot_hosts(pages: DataFrame) -> DataFrame:
+    """(host, salts) of hosts with more than `HOT_PAGES` pages and more than a 10,000th of all.
+
+    There are fewer than 10,000 such hosts whatever the input, so the table is small enough to broadcast.
+    Their pages are dealt out to `salts` parts, to each of which their references are copied.
+    """
+    counts = pages.groupBy("host").agg(F.count("*").alias("n"))
+    total = counts.agg(F.sum("n")).first()[0] or 0
+    part = max(HOT_PAGES, total // 10_000)
+    return counts.where(F.col("n") > part).select("host", F.ceil(F.col("n") / part).cast("int").alias("salts"))
+
+
 def main_text(
     pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html"
 ) -> DataFrame:
@@ -321,34 +343,51 @@ def main_text(
     )
     references = (
         map_arrow(chosen.select("host", "html"), _packed_trees, "host string, tree string")
-        .groupBy(F.col("host").alias("of"))
+        .groupBy("host")
         .agg(F.sort_array(F.collect_list("tree")).alias("trees"))
     )
-    joined = rows.join(references, F.col("host") == F.col("of"), "left").select("id", "url", "html", "trees")
-
-    def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        # trees are compared level by level, and pages may be nested as deep as they like
-        sys.setrecursionlimit(max(sys.getrecursionlimit(), DEEPEST))
-        parsed: dict[str, Node] = {}
-        for batch in sliced(batches, "html"):
-            texts = []
-            for page, trees in zip(texts_of(batch, "html"), batch.column("trees").to_pylist(), strict=True):
-                trees = trees or []
-                if len(parsed) > 64 * REFERENCES:
-                    parsed.clear()
-                for tree in trees:
-                    if tree not in parsed:
-                        parsed[tree] = unpacked(json.loads(tree))
-                texts.append("\n".join(content(parse(page), [parsed[t] for t in trees])))
-            yield pa.record_batch(
-                [batch.column("id"), batch.column("url"), pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())],
-                ["id", "url", "text", "n_chars"],
-            )
-
-    kind = rows.schema["id"].dataType.simpleString()
-    found = map_arrow(joined, extract, f"id {kind}, url string, text string, n_chars long")
+    hot = F.broadcast(_hot_hosts(known))
+    salts = F.coalesce("salts", F.lit(1))
+    part = F.pmod(F.xxhash64("id", "url", "html"), salts).cast("int").alias("part")
+    dealt = rows.where(F.col("host").isNotNull()).join(hot, "host", "left")
+    copied = references.join(hot, "host", "left")
+    # the references of a part come before its pages
+    together = copied.select(
+        "host", F.explode(F.sequence(F.lit(0), salts - 1)).alias("part"), F.lit(0).alias("side"), "trees"
+    ).unionByName(dealt.select("host", part, F.lit(1).alias("side"), "id", "url", "html"), allowMissingColumns=True)
+    sorted_parts = together.repartition("host", "part").sortWithinPartitions("host", "part", "side")
+    hostless = rows.where(F.col("host").isNull()).withColumns(
+        {"part": F.lit(0), "side": F.lit(1), "trees": F.lit(None).cast("array<string>")}
+    )
+    columns = ["host", "part", "side", "trees", "id", "url", "html"]
+    schema = f"id {rows.schema['id'].dataType.simpleString()}, url string, text string, n_chars long"
+    found = map_arrow(sorted_parts.select(*columns), _extract, schema).unionByName(
+        map_arrow(hostless.select(*columns), _extract, schema)
+    )
     return found.select(F.col("id").alias(id_col), F.col("url").alias(url_col), "text", "n_chars")
 
 
+def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Content of pages that follow the references of their host and part."""
+    # trees are compared level by level, and pages may be nested as deep as they like
+    sys.setrecursionlimit(max(sys.getrecursionlimit(), DEEPEST))
+    held, references = None, []
+    for batch in sliced(batches, "html"):
+        keys = zip(*(batch.column(c).to_pylist() for c in ("host", "part", "side", "trees")), strict=True)
+        texts, rows = [], []
+        for row, (page, (host, part, side, trees)) in enumerate(zip(texts_of(batch, "html"), keys, strict=True)):
+            if (host, part) != held:
+                held, references = (host, part), []
+            if side == 0:
+                references = [unpacked(json.loads(tree)) for tree in trees]
+                continue
+            rows.append(row)
+            texts.append("\n".join(content(parse(page), references)))
+        taken = pa.array(rows, pa.int32())
+        sizes = pa.array(map(len, texts), pa.int64())
+        columns = [batch.column("id").take(taken), batch.column("url").take(taken), pa.array(texts, pa.string()), sizes]
+        yield pa.record_batch(columns, ["id", "url", "text", "n_chars"])
+
+
 def op8_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return main_text(read(spark, sf_dir, "pages"))
