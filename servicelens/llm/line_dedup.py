@@ -8,13 +8,17 @@ of the corpus (by document id, then place) is removed; single lines and blank ch
 Chunk hashes find the candidates; the texts of candidates are then grouped by their bytes. Documents
 travel twice, once to read out candidate texts and once to be rewritten; counts are partial sums, so
 a passage that a third of all documents share costs a row per task.
+
+Chunks miss passages whose surroundings put no boundary around two of their lines. `dedup_passages`
+takes every window of two lines as a candidate instead, so where a passage lies makes no difference.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -25,6 +29,8 @@ from servicelens.llm.common import map_arrow, read, row_key, sliced, stored, tex
 WINDOW = 2
 DIVISOR = 2
 LEAST_LINES = 2
+#: A line of more words than this is a passage by itself.
+LONG_LINE = 50
 BASE = 1_000_003
 MODULUS = (1 << 31) - 1
 
@@ -93,6 +99,34 @@ def _without(text: Column, ranges: Column) -> Column:
     return F.array_join(pieces, "\n")
 
 
+def _places(chunks: DataFrame, texts: Callable[[DataFrame], DataFrame]) -> tuple[DataFrame, DataFrame]:
+    """Rows of `chunks` whose bytes have an earlier place, and (key, chunk) of the first places of repeated bytes.
+
+    `texts` gives (key, id, chunk, hash, bytes) of those rows of `chunks` that it is called with.
+    """
+    place = F.struct(F.col("id").isNull().alias("null"), F.col("id"), F.col("key"), F.col("chunk"))
+    twice = chunks.groupBy("hash").agg(F.min(place).alias("a"), F.max(place).alias("b"))
+    # kept as a table, so that the join below can split the rows of a hash that very many chunks share
+    twice = stored(twice.where(F.col("a") != F.col("b")).select("hash"), "repeated-hashes")
+    looked_up = texts(chunks.join(twice, "hash"))
+    same = looked_up.groupBy("hash", "bytes").agg(F.min(place).alias("first")).select("hash", "first")
+    same = stored(same, "same-bytes")
+    # a hash with one text stands for it; the texts of any other hash are looked at themselves
+    by_hash = same.groupBy("hash").agg(F.count("*").alias("n"), F.min("first").alias("first"))
+    by_hash = stored(by_hash, "first-places")
+    single = by_hash.where(F.col("n") == 1)
+    spare = chunks.join(single, "hash").where(place != F.col("first")).drop("id", "hash", "n", "first")
+    held = single.select("first.key", "first.chunk")
+    clashing = by_hash.where(F.col("n") > 1).select("hash")
+    if not clashing.isEmpty():
+        looked = looked_up.join(clashing, "hash")
+        firsts = looked.groupBy("hash", "bytes").agg(F.min(place).alias("first"), F.max(place).alias("last"))
+        later = looked.join(firsts, ["hash", "bytes"]).where(place != F.col("first")).select("key", "chunk")
+        spare = spare.unionByName(later.distinct().join(chunks.drop("id", "hash"), ["key", "chunk"]))
+        held = held.unionByName(firsts.where(F.col("first") != F.col("last")).select("first.key", "first.chunk"))
+    return spare, held
+
+
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of `docs` with repeated line chunks removed, and removed_chunks and removed_lines (int).
 
@@ -107,34 +141,17 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         F.col("__key").alias("key"), F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")
     )
     chunks = stored(_chunks(narrow), "line-chunks")
-    place = F.struct(F.col("id").isNull().alias("null"), F.col("id"), F.col("key"), F.col("chunk"))
-    twice = chunks.groupBy("hash").agg(F.min(place).alias("a"), F.max(place).alias("b"))
-    # kept as a table, so that the join below can split the rows of a hash that very many chunks share
-    twice = stored(twice.where(F.col("a") != F.col("b")).select("hash"), "repeated-hashes")
-    span = F.struct("chunk", "start", "size", "hash")
-    wanted = chunks.join(twice, "hash").groupBy("key").agg(F.collect_set(span).alias("spans"))
-    texts = (
-        narrow.join(wanted, "key")
-        .select("key", "id", "text", F.explode("spans").alias("s"))
-        .select("key", "id", "s.chunk", "s.hash", F.expr("substring(text, s.start + 1, s.size)").alias("bytes"))
-    )
-    same = stored(texts.groupBy("hash", "bytes").agg(F.min(place).alias("first")).select("hash", "first"), "same-bytes")
-    # a hash with one text stands for it; the texts of any other hash are looked at themselves
-    by_hash = same.groupBy("hash").agg(F.count("*").alias("n"), F.min("first").alias("first"))
-    by_hash = stored(by_hash, "first-places")
-    spare = (
-        chunks.join(by_hash.where(F.col("n") == 1), "hash")
-        .where(place != F.col("first"))
-        .select("key", "chunk", "start", "size", "lines")
-    )
-    clashing = by_hash.where(F.col("n") > 1).select("hash")
-    if not clashing.isEmpty():
-        looked = texts.join(clashing, "hash")
-        firsts = looked.groupBy("hash", "bytes").agg(F.min(place).alias("first"))
-        later = looked.join(firsts, ["hash", "bytes"]).where(place != F.col("first")).select("key", "chunk")
-        spare = spare.unionByName(
-            later.distinct().join(chunks.select("key", "chunk", "start", "size", "lines"), ["key", "chunk"])
+
+    def texts(repeated: DataFrame) -> DataFrame:
+        span = F.struct("chunk", "start", "size", "hash")
+        wanted = repeated.groupBy("key").agg(F.collect_set(span).alias("spans"))
+        return (
+            narrow.join(wanted, "key")
+            .select("key", "id", "text", F.explode("spans").alias("s"))
+            .select("key", "id", "s.chunk", "s.hash", F.expr("substring(text, s.start + 1, s.size)").alias("bytes"))
         )
+
+    spare, _ = _places(chunks, texts)
     removed = spare.groupBy(F.col("key").alias("__of")).agg(
         F.sort_array(F.collect_set(F.struct("start", "size", "lines"))).alias("__ranges")
     )
@@ -149,6 +166,105 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     )
 
 
+def _windows(docs: DataFrame) -> DataFrame:
+    """(key, id, chunk, hash) of every two lines in a row that are not blank, and of every long line.
+
+    Number 2i stands for the lines i and i + 1, number 2i + 1 for line i alone.
+    """
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        digest = xxhash.xxh64_intdigest
+        for batch in sliced(batches, "text"):
+            rows, numbers, hashes = [], [], []
+            for row, text in enumerate(texts_of(batch, "text")):
+                lines = text.split("\n")
+                blank = [not line or line.isspace() for line in lines]
+                found = [2 * i for i in range(len(lines) - 1) if not (blank[i] and blank[i + 1])]
+                # so many words take two characters each
+                found += [2 * i + 1 for i, x in enumerate(lines) if len(x) > 2 * LONG_LINE and len(x.split()) > LONG_LINE]
+                rows += [row] * len(found)
+                numbers += found
+                hashes += [digest(_window(lines, n).encode()) - (1 << 63) for n in found]
+            taken = pa.array(rows, pa.int32())
+            columns = [batch.column("key").take(taken), batch.column("id").take(taken)]
+            columns += [pa.array(numbers, pa.int32()), pa.array(hashes, pa.int64())]
+            yield pa.record_batch(columns, ["key", "id", "chunk", "hash"])
+
+    return map_arrow(docs, cut, f"key long, id {docs.schema['id'].dataType.simpleString()}, chunk int, hash long")
+
+
+def _window(lines: list[str], number: int) -> str:
+    at, alone = divmod(number, 2)
+    return lines[at] if alone else f"{lines[at]}\n{lines[at + 1]}"
+
+
+def _window_texts(docs: DataFrame) -> DataFrame:
+    """(key, id, chunk, hash, bytes) of the windows in `spans`."""
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in sliced(batches, "text"):
+            spans = batch.column("spans")
+            rows = np.repeat(np.arange(batch.num_rows), np.diff(spans.offsets.to_numpy()))
+            numbers, hashes = spans.flatten().flatten()
+            lines = [text.split("\n") for text in texts_of(batch, "text")]
+            texts = [_window(lines[r], n) for r, n in zip(rows.tolist(), numbers.to_pylist(), strict=True)]
+            taken = pa.array(rows)
+            columns = [batch.column("key").take(taken), batch.column("id").take(taken), numbers, hashes]
+            yield pa.record_batch([*columns, pa.array(texts, pa.string())], ["key", "id", "chunk", "hash", "bytes"])
+
+    kind = docs.schema["id"].dataType.simpleString()
+    return map_arrow(docs, cut, f"key long, id {kind}, chunk int, hash long, bytes string")
+
+
+def dedup_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of `docs` without lines of repeated passages, and removed_lines (int).
+
+    A passage is two lines in a row that are not both blank, or one line of more than `LONG_LINE` words;
+    longer ones are made of these. Its first place, by id (nulls last) and then line, keeps it whole, also
+    where it overlaps a passage that is repeated itself. All lines of other places go, so of a copy of a
+    text of two lines or more nothing but blank lines is left. Other cases as in `dedup_lines`.
+    """
+    own = [c for c in docs.columns if c != "removed_lines"]
+    docs = docs.select(*own, row_key(id_col, text_col).alias("__key"))
+    narrow = docs.select(
+        F.col("__key").alias("key"), F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")
+    )
+
+    def texts(repeated: DataFrame) -> DataFrame:
+        wanted = repeated.groupBy("key").agg(F.collect_set(F.struct("chunk", "hash")).alias("spans"))
+        return _window_texts(narrow.join(wanted, "key"))
+
+    spare, held = _places(stored(_windows(narrow), "line-windows"), texts)
+    both = spare.select("key", F.col("chunk").alias("spare"), F.lit(None).cast("int").alias("held")).unionByName(
+        held.select("key", F.lit(None).cast("int").alias("spare"), F.col("chunk").alias("held"))
+    )
+    marks = both.groupBy(F.col("key").alias("__of")).agg(
+        F.collect_set("spare").alias("__spare"), F.collect_set("held").alias("__held")
+    )
+    marked = docs.join(marks.where(F.size("__spare") > 0), F.col("__key") == F.col("__of"), "left")
+    marked = marked.withColumn(text_col, F.col(text_col).cast("string"))
+
+    def rewrite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in sliced(batches, text_col):
+            texts, removed = batch.column(text_col).to_pylist(), [0] * batch.num_rows
+            numbers = zip(batch.column("__spare").to_pylist(), batch.column("__held").to_pylist(), strict=True)
+            for row, (gone, kept) in enumerate(numbers):
+                if gone:
+                    lines = texts[row].split("\n")
+                    stays = set(range(len(lines))) - _lines_of(gone) | _lines_of(kept)
+                    texts[row] = "\n".join(line for i, line in enumerate(lines) if i in stays)
+                    removed[row] = len(lines) - len(stays)
+            held = [pa.array(texts, pa.string()) if c == text_col else batch.column(c) for c in own]
+            yield pa.record_batch([*held, pa.array(removed, pa.int32())], [*own, "removed_lines"])
+
+    marked = marked.select(*own, "__spare", "__held")
+    return map_arrow(marked, rewrite, marked.select(*own, F.lit(0).alias("removed_lines")).schema)
+
+
+def _lines_of(numbers: list[int]) -> set[int]:
+    return {n // 2 for n in numbers} | {n // 2 + 1 for n in numbers if n % 2 == 0}
+
+
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = dedup_lines(read(spark, sf_dir, "documents"))
     return found.select("doc_id", "text", "removed_chunks", "removed_lines")

@@ -67,6 +67,43 @@ def test_line_dedup_cases(documents):
     assert line_dedup.dedup_lines(documents([])).count() == 0
 
 
+def slow_passages(rows):
+    """rows: (id, text), ids distinct and not null."""
+    places, lines_of = {}, {i: text.split("\n") for i, text in rows if text is not None}
+    for i, lines in sorted(lines_of.items()):
+        spans = [(k, k + 2) for k in range(len(lines) - 1)]
+        spans += [(k, k + 1) for k, line in enumerate(lines) if len(line.split()) > 50]
+        for a, b in spans:
+            if "".join(lines[a:b]).strip():
+                places.setdefault("\n".join(lines[a:b]), []).append((i, a, b))
+    gone = {(i, k) for p in places.values() for i, a, b in p[1:] for k in range(a, b)}
+    gone -= {(i, k) for p in places.values() if p[1:] for i, a, b in p[:1] for k in range(a, b)}
+    kept = {i: "\n".join(x for k, x in enumerate(ls) if (i, k) not in gone) for i, ls in lines_of.items()}
+    return {i: (kept.get(i), sum(g[0] == i for g in gone)) for i, _ in rows}
+
+
+@pytest.mark.parametrize("clash", [False, True])
+def test_passages_against_brute_force(documents, monkeypatch, clash):
+    if clash:
+        plain = line_dedup._windows
+        monkeypatch.setattr(line_dedup, "_windows", lambda docs: plain(docs).selectExpr("* except (hash)", "hash % 2 AS hash"))
+    rng = random.Random(6)
+    lines = [f"line {i}" for i in range(40)] + ["", " ", "word " * 51, "other " * 50]
+    rows = [(i, "\n".join(rng.choice(lines) for _ in range(rng.randrange(0, 25)))) for i in range(120)]
+    rows += [(200, None), (201, ""), (202, "\n"), (203, "\n\n\n\n"), (204, rows[3][1]), (205, "é 日\n" * 60)]
+    found = line_dedup.dedup_passages(documents(rows)).collect()
+    assert {r["doc_id"]: (r["text"], r["removed_lines"]) for r in found} == slow_passages(rows)
+    assert found[0]["key"] == 1 and found[0]["source"] is None
+    assert line_dedup.dedup_passages(documents([])).count() == 0
+
+
+def test_short_passages_in_any_surroundings_go(documents):
+    passage = "\n".join(f"passage {k} " + "of many words " * 7 for k in range(3))
+    rows = [(i, f"before {i}\n{passage}\nafter {i}") for i in range(40)] + [(50, f"alone {'long ' * 60}"), (51, f"x\nalone {'long ' * 60}")]
+    found = {r["doc_id"]: r["text"] for r in line_dedup.dedup_passages(documents(rows)).collect()}
+    assert found == {0: rows[0][1], **{i: f"before {i}\nafter {i}" for i in range(1, 40)}, 50: rows[40][1], 51: "x"}
+
+
 def slow_fingerprint(text):
     text = re.sub("[A-Z]", lambda m: m[0].lower(), text or "")
     words = re.findall(r"[^\x20\x09-\x0D]+", text)
