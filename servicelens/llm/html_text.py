@@ -65,6 +65,11 @@ _CLASSES = set(
     "disqus reply replies respond share sharing social related recommended breadcrumb breadcrumbs pagination "
     "pager subscribe subscription newsletter signup popup modal overlay widget toolbar skip hidden".split()
 )
+#: What names of such elements are put together with, as in site-header or ad_box_2.
+_AFFIXES = set(
+    "site page main global top bottom left right primary secondary container wrapper wrap box area block list "
+    "section bar links inner outer slot unit".split()
+)
 _CLOSES = {
     "li": {"li"},
     "dt": {"dt", "dd"},
@@ -83,6 +88,7 @@ class Node:
     text: str | None = None
     mark: int = 0
     size: int = 1
+    doubtful: bool = False  # named like an element that is never part of an article
 
     def seal(self) -> "Node":
         """Set the mark, equal for equal subtrees with equal text, and the size, from the leaves up."""
@@ -134,18 +140,40 @@ def unpacked(flat: list) -> Node:
 def _left_out(tag: str, attributes: str, in_article: bool) -> bool:
     if tag in _LEFT_OUT or (tag == "header" and not in_article):
         return True
-    if "=" not in attributes or tag in ("body", "html", "main"):
+    return any(
+        name.lower() == "role" and "".join(values).strip().lower() in _ROLES for name, *values in _ATTRIBUTE.findall(attributes)
+    ) and tag not in ("body", "html", "main")
+
+
+def _doubtful(tag: str, attributes: str) -> bool:
+    """Whether a class or the id is, as a whole, a name of what is left out: not has-sidebar or share-prices."""
+    if "=" not in attributes or tag in ("body", "html", "main", "article"):
         return False
     for name, *values in _ATTRIBUTE.findall(attributes):
-        words = next((v for v in values if v), "").lower()
-        if name.lower() == "role":
-            if words.strip() in _ROLES:
+        for token in "".join(values).lower().split() if name.lower() != "role" else ():
+            words = set(_NAME.findall(token))
+            if not words.isdisjoint(_CLASSES) and words <= _CLASSES | _AFFIXES:
                 return True
-        elif any(not _CLASSES.isdisjoint(_NAME.findall(word)) for word in words.split()):
-            return True
     return False
 
 
+def _without_doubtful(root: Node) -> None:
+    """Drop doubtful elements, except those that contain an article, an h1 or most of the text."""
+    order, stack = [], [root]
+    while stack:
+        order.append(node := stack.pop())
+        stack += node.children
+    chars: dict[int, int] = {}
+    titled: dict[int, bool] = {}
+    for node in reversed(order):
+        chars[id(node)] = len(node.text or "") + sum(chars[id(c)] for c in node.children)
+        titled[id(node)] = node.label in ("article", "h1") or any(titled[id(c)] for c in node.children)
+    for node in order:
+        node.children = [
+            c for c in node.children if not c.doubtful or titled[id(c)] or 2 * chars[id(c)] > chars[id(root)]
+        ]
+
+
 def parse(page: str) -> Node:
     """The tree of what may be content: of the articles if there are any, else of the main part or body."""
     root = Node("#root")
@@ -191,7 +219,7 @@ def parse(page: str) -> Node:
             continue
         closing, attributes = found[1] or found[4], found[3] or found[6] or ""
         if tag in _INLINE:
-            if not closing and not dropped and _left_out(tag, attributes, True):
+            if not closing and not dropped and (_left_out(tag, attributes, True) or _doubtful(tag, attributes)):
                 flush()
                 push(tag, None)
             elif closing and dropped and stack[-1] == (tag, None):
@@ -223,7 +251,7 @@ def parse(page: str) -> Node:
         if dropped or _left_out(tag, attributes, bool(opened["article"] or opened["main"])):
             push(tag, None)
             continue
-        node = Node(tag)
+        node = Node(tag, doubtful=_doubtful(tag, attributes))
         stack[-1][1].children.append(node)
         push(tag, node)
         if tag == "article" and opened[tag] == 1:
@@ -233,6 +261,7 @@ def parse(page: str) -> Node:
     flush()
     if articles or mains:
         root = Node("#root", articles or mains[:1])
+    _without_doubtful(root)
     return root.seal()
 
 

@@ -190,6 +190,18 @@ def test_parsing():
     assert text_of("<body class=sidebar><header>h</header><main><header>title</header>m</main>x") == ["title", "m"]
 
 
+def test_names_that_only_resemble_adverts_stay():
+    for tag, held in (
+        ("article class='has-sidebar'", "x"), ("div class='post no-comments'", "x"), ("section id='share-prices'", "x"),
+        ("div class='related-work'", "x"), ("div class='content-header'", "<h1>x</h1>"), ("div class='header'", "<h1>x</h1>"),
+        ("div class='widget'", "<article>x</article>"), ("div class='sidebar'", "x" * 50),
+    ):
+        page = f"<body><{tag}>{held}</{tag.split()[0]}><p>short</p></body>"
+        assert text_of(page)[0].startswith("x"), tag
+    for name in ("ad", "ad-box-2", "site-header", "sidebar left", "social_share"):
+        assert text_of(f"<p>long enough text</p><div class='{name}'>z</div>") == ["long enough text"], name
+
+
 PAGE = (
     "<html><body><div class='x1'>Welcome to the site</div><div><div>Body {i} text one. unique{i} and long words "
     "here {i}</div><p>second {i}{i} <b>bold<p>third &amp; {i}</div><div>Subscribe now for all!</div></body></html>"
