@@ -32,8 +32,10 @@ LEAST = 3
 SHARE = 2 / 3
 #: Pages of a host that one task reads, about.
 HOT_PAGES = 256
-#: Child lists up to this product of lengths are aligned by dynamic programming, longer ones by equal stretches.
+#: Child lists up to this product of lengths are aligned as they are; of longer ones first equal stretches,
+#: then what lies between these, in bands of `BAND` places to both sides where it is longer still.
 PRODUCT = 10_000
+BAND = 50
 #: Python calls that the comparison of two trees may nest; a level takes three.
 DEEPEST = 1_000_000
 
@@ -276,32 +278,52 @@ def _shared(a: list[Node], b: list[Node]) -> list[Node]:
     same = a[:first] + a[len(a) - last :]
     found = [leaf for node in same for leaf in node.leaves()]
     a, b = a[first : len(a) - last], b[first : len(b) - last]
-    if len(a) * len(b) > PRODUCT:
-        blocks = difflib.SequenceMatcher(None, [n.mark for n in a], [n.mark for n in b], autojunk=False)
-        for block in blocks.get_matching_blocks():
-            found += [leaf for node in a[block.a : block.a + block.size] for leaf in node.leaves()]
-    elif a and b:
-        for shared in _aligned(a, b):
-            found += shared
+    if len(a) * len(b) <= PRODUCT:
+        return found + _aligned(a, b)
+    blocks = difflib.SequenceMatcher(None, [n.mark for n in a], [n.mark for n in b], autojunk=False)
+    i = j = 0
+    for block in blocks.get_matching_blocks():
+        found += _aligned(a[i : block.a], b[j : block.b])
+        i, j = block.a + block.size, block.b + block.size
+        found += [leaf for node in a[block.a : i] for leaf in node.leaves()]
     return found
 
 
-def _aligned(a: list[Node], b: list[Node]) -> list[list[Node]]:
-    """Simple tree matching of child lists: what the order-preserving pairs of the largest weight share."""
-    matches = [[match(x, y) for y in b] for x in a]
-    best = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
-    for i, row in enumerate(matches, 1):
-        for j, (weight, _) in enumerate(row, 1):
-            best[i][j] = max(best[i - 1][j], best[i][j - 1], best[i - 1][j - 1] + weight)
-    shared, i, j = [], len(a), len(b)
+def _aligned(a: list[Node], b: list[Node]) -> list[Node]:
+    """Simple tree matching of child lists: what the order-preserving pairs of the largest weight share.
+
+    Lists whose lengths multiply to more than `PRODUCT` are compared near the diagonal only.
+    """
+    if not a or not b:
+        return []
+    n, m = len(a), len(b)
+    reach = m if n * m <= PRODUCT else BAND + -(-m // n)
+    matches: list[tuple[int, list]] = []  # first place in b of each row, and its matches
+    best = [(0, [0] * (m + 1))]  # the same for the largest weights; what follows a row is its last value
+
+    def weight(i: int, j: int) -> int:
+        low, row = best[i]
+        return row[min(j - low, len(row) - 1)] if j >= low else 0
+
+    for i, x in enumerate(a):
+        low, high = max(0, i * m // n - reach), min(m, i * m // n + reach + 1)
+        row = [match(x, y) for y in b[low:high]]
+        matches.append((low, row))
+        now = [weight(i, low)]
+        for k, (gain, _) in enumerate(row):
+            now.append(max(weight(i, low + k + 1), now[-1], weight(i, low + k) + gain))
+        best.append((low, now))
+    shared, i, j = [], n, m
     while i and j:
-        if best[i][j] == best[i - 1][j]:
+        low, row = matches[i - 1]
+        here = weight(i, j)
+        if j <= low or here == weight(i - 1, j):
             i -= 1
-        elif best[i][j] == best[i][j - 1]:
+        elif j > low + len(row) or here == weight(i, j - 1):
             j -= 1
         else:
             i, j = i - 1, j - 1
-            shared.append(matches[i][j][1])
+            shared += row[j - low][1]
     return shared
 
 
@@ -311,6 +333,8 @@ def match(a: Node, b: Node) -> tuple[int, list[Node]]:
         return 0, []
     if a.mark == b.mark:
         return 2 * a.size, a.leaves()
+    if not a.children or not b.children:
+        return 1, []
     shared = _shared(a.children, b.children)
     return 1 + min(len(a.children), len(b.children)) + 2 * len(shared), shared
 

@@ -238,6 +238,20 @@ def test_alignment_finds_the_equal_leaves():
     assert slow_match(a, b) > 0
 
 
+@pytest.mark.parametrize("n", [30, 130])
+def test_differing_children_are_descended_into_at_every_length(monkeypatch, n):
+    def sections(k, n):
+        return html_text.parse("".join(f"<section><h2>varies {k} {i}</h2><p>same {i % 9}</section>" for i in range(n)))
+
+    for product in (1, 200, 10**9):
+        monkeypatch.setattr(html_text, "PRODUCT", product)
+        for more in (0, 7):
+            a, b = sections(1, n), sections(2, n + more)
+            for x, y in ((a, b), (b, a)):
+                found = sorted(leaf.text for leaf in html_text.match(x, y)[1])
+                assert found == sorted(f"same {i % 9}" for i in range(n)), (product, more)
+
+
 def test_broken_markup_takes_linear_time():
     n = 200_000
     for piece in ("<", '<a "', "<div class='", "<!--", "<!", "<![CDATA[", "<a", "<p>", "<blockquote>", "<ul><li>", "&", "<b>"):
