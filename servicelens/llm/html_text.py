@@ -3,8 +3,8 @@
 Pages become trees of block elements whose leaves are stretches of text. Elements that are never part
 of an article (menus, footers, adverts, forms, ...) are left out by tag, role or class. What remains
 is aligned by simple tree matching with reference pages of the same host: a leaf that is aligned to
-the same text in most of them is template, a leaf that varies is content. A reference that shares most
-of a page's text is a copy of it and shows nothing about the template.
+the same text in enough of them is template, a leaf that varies is content. A reference that leaves much
+less of a page's text unshared than another one does is a copy of it and shows nothing about the template.
 """
 
 from __future__ import annotations
@@ -30,6 +30,8 @@ from servicelens.llm.common import map_arrow, read, sliced, texts_of
 REFERENCES = 6
 LEAST = 3
 SHARE = 2 / 3
+#: A page of which all references share all but this share of the text has copies only.
+NEAR_EQUAL = 0.02
 #: Pages of a host that one task reads, about.
 HOT_PAGES = 256
 #: Child lists up to this product of lengths are aligned as they are; of longer ones first equal stretches,
@@ -340,22 +342,30 @@ def match(a: Node, b: Node) -> tuple[int, list[Node]]:
 
 
 def content(page: Node, references: list[Node]) -> list[str]:
-    """The texts of the leaves that are not template, in page order."""
+    """The texts of the leaves that are not template, in page order.
+
+    A reference without a leaf in common is of another layout, the page itself and copies of it do not count
+    either. Copies are told by what differs: a long template is shared by all pages, so what a page has of its
+    own is the most that any reference leaves unshared, and a copy leaves less than half of that. If no
+    reference leaves more than `NEAR_EQUAL` of the text, all of them are copies.
+    """
     leaves = page.leaves()
     marks = {leaf.mark for leaf in leaves}
     whole = sum(len(leaf.text) for leaf in leaves)
-    counts: dict[int, int] = {}
-    usable = 0
+    met: list[tuple[int, Node]] = []
     for reference in references:
         others = {leaf.mark for leaf in reference.leaves()}
-        # a page that shares most of the text is a copy
-        if 2 * sum(len(leaf.text) for leaf in leaves if leaf.mark in others) > whole:
-            continue
-        usable += 1
-        if not marks.isdisjoint(others):
-            for leaf in _shared(page.children, reference.children):
-                counts[id(leaf)] = counts.get(id(leaf), 0) + 1
-    needed = max(LEAST, SHARE * usable)
+        if reference.mark != page.mark and not marks.isdisjoint(others):
+            met.append((sum(len(leaf.text) for leaf in leaves if leaf.mark not in others), reference))
+    own = max((rest for rest, _ in met), default=0)
+    if own <= NEAR_EQUAL * whole:
+        return [leaf.text for leaf in leaves]
+    usable = [reference for rest, reference in met if 2 * rest >= own]
+    counts: dict[int, int] = {}
+    for reference in usable:
+        for leaf in _shared(page.children, reference.children):
+            counts[id(leaf)] = counts.get(id(leaf), 0) + 1
+    needed = max(LEAST, SHARE * len(usable))
     return [leaf.text for leaf in leaves if counts.get(id(leaf), 0) < needed]
 
 

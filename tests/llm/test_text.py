@@ -252,6 +252,18 @@ def test_differing_children_are_descended_into_at_every_length(monkeypatch, n):
                 assert found == sorted(f"same {i % 9}" for i in range(n)), (product, more)
 
 
+def test_a_template_longer_than_the_article_goes():
+    legal = "".join(f"<p>legal text {i} of the host that every page ends with</p>" for i in range(20))
+    pages = [html_text.parse(f"<h1>title {k}</h1><p>the short article number {k} of the host {k}</p>{legal}") for k in range(6)]
+    for k, p in enumerate(pages):
+        assert html_text.content(p, pages[:k] + pages[k + 1 :]) == [f"title {k}", f"the short article number {k} of the host {k}"]
+    article = "".join(f"<p>paragraph {i} of a text that is there in several copies" for i in range(20))
+    near = [html_text.parse(f"<p>menu</p><div>{article}</div><p>copy {k}") for k in range(5)]
+    others = [html_text.parse(f"<p>menu</p><div><p>other text {k} " + f"{k} long " * 99 + "</div>") for k in range(3)]
+    assert len(html_text.content(near[0], near[1:] + others)) == 21
+    assert len(html_text.content(near[0], near[1:])) == 22
+
+
 def test_broken_markup_takes_linear_time():
     n = 200_000
     for piece in ("<", '<a "', "<div class='", "<!--", "<!", "<![CDATA[", "<a", "<p>", "<blockquote>", "<ul><li>", "&", "<b>"):
