@@ -20,16 +20,18 @@ from dataclasses import dataclass, field
 from zlib import crc32
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from servicelens.llm.common import map_arrow, read, sliced, texts_of
 
-#: Reference pages kept for a host; a leaf is template if at least so many of those that are no copies,
-#: and this share of them, have its text at its place. Pages of a host may come in several layouts.
-REFERENCES = 6
+#: Reference pages of a page: so many other distinct pages of its host, those of the smallest hashes. A leaf
+#: is template if at least `LEAST` of those that have anything in common with the page and are no copies, and
+#: this share of them, have its text at its place: low enough for a host of several layouts, or a notice that
+#: not all pages show.
+REFERENCES = 16
 LEAST = 3
-SHARE = 2 / 3
+SHARE = 1 / 4
 #: A page of which all references share all but this share of the text has copies only.
 NEAR_EQUAL = 0.02
 #: Pages of a host that one task reads, about.
@@ -393,36 +395,41 @@ def main_text(
     """One row per page: `id_col`, `url_col`, text (blocks joined by one line feed), n_chars.
 
     A null or empty page has an empty text. A page without a readable host, or whose host has fewer than
-    `LEAST` differing pages, is cleaned by tags and classes alone. Null ids stay, repeated rows come back
+    `LEAST` other differing pages, is cleaned by tags and classes alone. Null ids stay, repeated rows come back
     as often as they are there, an empty table gives an empty result, other columns are not read.
     """
     rows = pages.select(
         F.col(id_col).alias("id"), F.col(url_col).cast("string").alias("url"), F.col(html_col).cast("string").alias("html")
     ).withColumn("host", F.lower(F.try_parse_url("url", F.lit("HOST"))))
-    digest = F.xxhash64("html")
+    rows = rows.withColumn("digest", F.xxhash64("html"))
     known = rows.where(F.col("host").isNotNull() & F.col("html").isNotNull())
-    chosen = known.groupBy("host", F.pmod(digest, F.lit(REFERENCES)).alias("slot")).agg(
-        F.min_by("html", digest).alias("html")
-    )
+    hot = F.broadcast(_hot_hosts(known))
+    # the references of a host in one part are its first pages there; those of hot hosts are copied to all parts
+    digests = known.join(hot, "host", "left_semi").select("host", "digest").distinct()
+    rank = F.row_number().over(Window.partitionBy("host").orderBy("digest"))
+    # there are fewer than 10,000 hot hosts, so these are few as well
+    smallest = F.broadcast(digests.withColumn("rank", rank).where(F.col("rank") <= REFERENCES + 1).drop("rank"))
+    chosen = known.join(smallest, ["host", "digest"]).groupBy("host", "digest").agg(F.min("html").alias("html"))
     references = (
         map_arrow(chosen.select("host", "html"), _packed_trees, "host string, tree string")
         .groupBy("host")
         .agg(F.sort_array(F.collect_list("tree")).alias("trees"))
     )
-    hot = F.broadcast(_hot_hosts(known))
     salts = F.coalesce("salts", F.lit(1))
     part = F.pmod(F.xxhash64("id", "url", "html"), salts).cast("int").alias("part")
     dealt = rows.where(F.col("host").isNotNull()).join(hot, "host", "left")
-    copied = references.join(hot, "host", "left")
+    copied = references.join(hot, "host")
     # the references of a part come before its pages
     together = copied.select(
         "host", F.explode(F.sequence(F.lit(0), salts - 1)).alias("part"), F.lit(0).alias("side"), "trees"
-    ).unionByName(dealt.select("host", part, F.lit(1).alias("side"), "id", "url", "html"), allowMissingColumns=True)
-    sorted_parts = together.repartition("host", "part").sortWithinPartitions("host", "part", "side")
+    ).unionByName(
+        dealt.select("host", part, F.lit(1).alias("side"), "id", "url", "html", "digest"), allowMissingColumns=True
+    )
+    sorted_parts = together.repartition("host", "part").sortWithinPartitions("host", "part", "side", "digest")
     hostless = rows.where(F.col("host").isNull()).withColumns(
         {"part": F.lit(0), "side": F.lit(1), "trees": F.lit(None).cast("array<string>")}
     )
-    columns = ["host", "part", "side", "trees", "id", "url", "html"]
+    columns = ["host", "part", "side", "trees", "id", "url", "html", "digest"]
     schema = f"id {rows.schema['id'].dataType.simpleString()}, url string, text string, n_chars long"
     found = map_arrow(sorted_parts.select(*columns), _extract, schema).unionByName(
         map_arrow(hostless.select(*columns), _extract, schema)
@@ -431,25 +438,58 @@ def main_text(
 
 
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Content of pages that follow the references of their host and part."""
+    """Content of pages that follow the references of their host and part, or begin with them."""
     # trees are compared level by level, and pages may be nested as deep as they like
     sys.setrecursionlimit(max(sys.getrecursionlimit(), DEEPEST))
-    held, references = None, []
+    held, references, given = None, [], False
+    waiting: list[tuple] = []  # rows that come before the last reference of their host: id, url and tree
+    digest = None
+    done: list[tuple] = []
+    kinds: list[pa.DataType] = []
+
+    def flush() -> None:
+        done.extend((i, url, "\n".join(content(tree, references))) for i, url, tree in waiting)
+        waiting.clear()
+
+    def batch_of() -> pa.RecordBatch:
+        ids, urls, texts = zip(*done, strict=True) if done else ((), (), ())
+        sizes = pa.array(map(len, texts), pa.int64())
+        columns = [pa.array(ids, kinds[0]), pa.array(urls, kinds[1]), pa.array(texts, pa.string()), sizes]
+        done.clear()
+        return pa.record_batch(columns, ["id", "url", "text", "n_chars"])
+
     for batch in sliced(batches, "html"):
-        keys = zip(*(batch.column(c).to_pylist() for c in ("host", "part", "side", "trees")), strict=True)
-        texts, rows = [], []
-        for row, (page, (host, part, side, trees)) in enumerate(zip(texts_of(batch, "html"), keys, strict=True)):
+        kinds = [batch.schema.field(c).type for c in ("id", "url")]
+        columns = ("host", "part", "side", "trees", "id", "url", "html", "digest")
+        for host, part, side, trees, i, url, page, own in zip(
+            *(batch.column(c).to_pylist() for c in columns), strict=True
+        ):
             if (host, part) != held:
-                held, references = (host, part), []
+                flush()
+                held, references, given, digest = (host, part), [], host is None, None
             if side == 0:
-                references = [unpacked(json.loads(tree)) for tree in trees]
+                references, given = [unpacked(json.loads(tree)) for tree in trees], True
                 continue
-            rows.append(row)
-            texts.append("\n".join(content(parse(page), references)))
-        taken = pa.array(rows, pa.int32())
-        sizes = pa.array(map(len, texts), pa.int64())
-        columns = [batch.column("id").take(taken), batch.column("url").take(taken), pa.array(texts, pa.string()), sizes]
-        yield pa.record_batch(columns, ["id", "url", "text", "n_chars"])
+            if page is None:
+                done.append((i, url, ""))
+                continue
+            if given or (own == digest and len(references) == REFERENCES + 1):
+                done.append((i, url, "\n".join(content(parse(page), references))))
+                continue
+            if own != digest:
+                if len(references) == REFERENCES + 1:
+                    flush()
+                    given = True
+                    done.append((i, url, "\n".join(content(parse(page), references))))
+                    continue
+                digest = own
+                references.append(parse(page))
+            waiting.append((i, url, references[-1]))
+        if done:
+            yield batch_of()
+    flush()
+    if done:
+        yield batch_of()
 
 
 def op8_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -307,6 +307,23 @@ def test_templates_of_a_host(spark, monkeypatch, hot):
     assert html_text.main_text(frame.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("hot", [2, 256])
+def test_templates_of_small_hosts_and_several_layouts(spark, monkeypatch, hot):
+    monkeypatch.setattr(html_text, "HOT_PAGES", hot)
+    small = [(f"http://s{n}x{h}.example/{k}", page(100 * h + k)) for n in (4, 5) for h in range(8) for k in range(n)]
+    body = "<div><p>own text {k} of the page {k}</div>"
+    layouts = [f"<ul><li>list {{k}}</ul><p>first layout{body}", f"<h2>second layout</h2>{body}<p>footer"]
+    mixed = [(f"http://m.example/{k}", layouts[k % 2].replace("{k}", f"{k} {k * k}")) for k in range(60)]
+    rows = [(k, u, h) for k, (u, h) in enumerate(small + mixed)] + [(1, *small[1])]
+    frame = spark.createDataFrame(rows, "page_id long, url string, html string")
+    found = html_text.main_text(frame).collect()
+    assert len(found) == len(rows)
+    for r in found:
+        blocks = r["text"].split("\n")
+        assert not {"Welcome to the site", "first layout", "second layout", "footer"} & set(blocks), r["url"]
+        assert len(blocks) == (3 if "//s" in r["url"] else 2 - r["page_id"] % 2), r["url"]
+
+
 def test_articles_of_the_given_pages(spark):
     import html
 
