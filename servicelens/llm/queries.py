@@ -1,8 +1,11 @@
 """The queries of the corpus operators and the SQL that checks them."""
 
+from servicelens.llm.hard_negatives import OP12_SQL, op12_hard_negatives
 from servicelens.llm.html_text import op8_main_text
 from servicelens.llm.language_id import op5_language_id
+from servicelens.llm.license_scan import OP13_SQL, op13_license_scan
 from servicelens.llm.line_dedup import OP1_SQL, op1_line_dedup
+from servicelens.llm.merkle import OP11_SQL, op11_merkle_manifest
 from servicelens.llm.nearest import OP2_SQL, op2_nearest
 from servicelens.llm.packing import op9_pack_documents
 from servicelens.llm.secret_scan import OP4_SQL, op4_secret_scan
@@ -22,6 +25,9 @@ QUERIES = {
     "op8_main_text": op8_main_text,
     "op9_pack_documents": op9_pack_documents,
     "op10_top_k": op10_top_k,
+    "op11_merkle_manifest": op11_merkle_manifest,
+    "op12_hard_negatives": op12_hard_negatives,
+    "op13_license_scan": op13_license_scan,
 }
 
 ORACLE: dict[str, str] = {
@@ -29,4 +35,7 @@ ORACLE: dict[str, str] = {
     "op2_nearest": OP2_SQL,
     "op4_secret_scan": OP4_SQL,
     "op10_top_k": OP10_SQL,
+    "op11_merkle_manifest": OP11_SQL,
+    "op12_hard_negatives": OP12_SQL,
+    "op13_license_scan": OP13_SQL,
 }
