@@ -198,11 +198,12 @@ def _bounds(windows: list[list[dict]]) -> tuple[np.ndarray, np.ndarray, np.ndarr
     return slots, low, high
 
 
-def _join(anchors: DataFrame, windows: DataFrame, rows: DataFrame, k: int, same: bool, groups: int) -> DataFrame:
+def _join(
+    anchors: DataFrame, windows: DataFrame, rows: DataFrame, k: int, same: bool, groups: int, anchor_groups: int
+) -> DataFrame:
     """(key, slot, id, score): the first `k` rows of every window and candidate group."""
     listed = windows.groupBy("key").agg(F.collect_list(F.struct("slot", "low", "high")).alias("windows"))
     asked = anchors.join(listed, "key")
-    anchor_groups = max(1, -(-anchors.count() // ANCHOR_ROWS))
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     held = asked.select(
         "dim",
@@ -274,20 +275,23 @@ def fill_windows(
     threshold. The others go on to the next threshold, the last of which must be their lower bound.
     """
     order = Window.partitionBy("key", "slot").orderBy(F.desc("score"), "id")
-    found, left = None, windows.where(F.col("low") <= F.col("high"))
+    anchor_groups = max(1, -(-anchors.count() // ANCHOR_ROWS))
+    left = windows.where(F.col("low") <= F.col("high"))
+    found, still = None, left.count()
     for threshold in thresholds:
         asked = left.select("key", "slot", F.greatest("low", threshold).alias("low"), "high")
         asked = asked.where(F.col("low") <= F.col("high"))
-        hits = _join(anchors, asked, rows, k, same, groups).withColumn("rank", F.row_number().over(order))
-        hits = stored(hits.where(F.col("rank") <= k), "window-hits")
+        hits = _join(anchors, asked, rows, k, same, groups, anchor_groups)
+        hits = stored(hits.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k), "window-hits")
         if threshold is thresholds[-1]:
             return hits if found is None else found.unionByName(hits)
         full = hits.where(F.col("rank") == k).select("key", "slot")
         done = hits.join(full, ["key", "slot"], "left_semi")
         found = done if found is None else found.unionByName(done)
-        left = stored(left.join(full, ["key", "slot"], "left_anti"), "open-windows")
-        if left.isEmpty():
+        still -= full.count()
+        if not still:
             break
+        left = left.join(full, ["key", "slot"], "left_anti")
     return found
 
 

@@ -137,21 +137,23 @@ def _shared_places(rows: DataFrame) -> DataFrame:
     Equal rows count as one with a number. The others are dealt by id and the first digits of their digest, so that
     no window holds more than a few thousandths of the rows of an id.
     """
-    key = ["tree", "word", "id", "part"]
-    part = F.hex(F.substring("digest", 1, 2)).substr(1, 3)
+    key = ["tree", "word", "given", "at", "part"]
     distinct = rows.groupBy("tree", "word", "id", "digest", "other", "before").agg(F.count("*").alias("m"))
-    distinct = distinct.withColumn("part", part)
-    parts = distinct.groupBy(*key).agg(F.sum("m").alias("m"))
+    distinct = distinct.withColumns(
+        {
+            "given": F.col("id").isNotNull(),  # rows without an id come first
+            "at": F.coalesce("id", F.lit(0)),
+            "part": F.hex(F.substring("digest", 1, 2)).substr(1, 3),
+        }
+    )
     sums = lambda window: F.coalesce(
         F.sum("m").over(window.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)
     ).cast("long")
-    ahead = sums(Window.partitionBy("tree", "word").orderBy(F.asc_nulls_first("id"), "part"))
-    parts = parts.select("tree", "word", F.col("id").alias("__id"), "part", ahead.alias("ahead"))
+    parts = distinct.groupBy(*key).agg(F.sum("m").alias("m"))
+    ahead = sums(Window.partitionBy("tree", "word").orderBy("given", "at", "part"))
     placed = distinct.withColumn("within", sums(Window.partitionBy(*key).orderBy("digest")))
-    same = [placed[c] == parts[c] for c in ("tree", "word", "part")] + [placed["id"].eqNullSafe(parts["__id"])]
-    placed = placed.join(parts.drop("m"), same)
-    placed = placed.select(
-        distinct["tree"], "id", "digest", "other", "m", (F.col("before") + F.col("ahead") + F.col("within")).alias("first")
+    placed = placed.join(parts.select(*key, ahead.alias("ahead")), key).select(
+        "tree", "id", "digest", "other", "m", (F.col("before") + F.col("ahead") + F.col("within")).alias("first")
     )
     portions = F.explode(F.sequence(F.lit(0).cast("long"), F.col("m") - 1, F.lit(PORTION).cast("long")))
     portioned = placed.withColumn("from", portions).repartition("tree", "id", "digest", "from")

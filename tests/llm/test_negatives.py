@@ -102,4 +102,7 @@ def test_windows_filled_early_ask_no_more(spark, monkeypatch):
     monkeypatch.setattr(hn, "_join", lambda anchors, windows, *rest: asked.append(windows.count()) or plain(anchors, windows, *rest))
     rows = vectors(random.Random(9), 400, dim=6)
     assert fast(spark, rows, anchor_step=50, negatives=1) == slow(rows, 50, negatives=1)
-    assert len(asked) >= 2 and asked[-1] < max(asked)
+    assert asked == [8, 40]  # all are full at the first threshold
+    asked.clear()
+    assert fast(spark, rows, anchor_step=50, negatives=60) == slow(rows, 50, negatives=60)
+    assert len(asked) == 4 and 0 < asked[3] < 40
