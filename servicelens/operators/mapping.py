@@ -94,7 +94,7 @@ def coerce(df: DataFrame, types: Mapping[str, str]) -> tuple[DataFrame, DataFram
 
     A value that does not fit is NULL in the typed rows. Counting is one pass over all columns.
     """
-    typed = df.withColumns({name: _typed(name, kind) for name, kind in types.items()})
+    typed = typed_rows(df, types)
     failed = [
         F.count_if(
             F.nullif(trim_all(F.col(name)), F.lit("")).isNotNull() & _typed(name, kind).isNull()
@@ -105,27 +105,36 @@ def coerce(df: DataFrame, types: Mapping[str, str]) -> tuple[DataFrame, DataFram
     return typed, errors
 
 
-def checked_rows(
-    df: DataFrame, types: Mapping[str, str], required: Sequence[str] = ()
-) -> tuple[DataFrame, DataFrame]:
-    """Typed rows without a fault, and the given rows of the others with `faults`.
-
-    A fault is (field, problem): `type` for a given value that does not fit, `missing` for a required
-    one that is not there. Together the two tables hold every row once.
+def row_faults(types: Mapping[str, str], required: Sequence[str] = ()) -> Column:
+    """The faults of a row, (field, problem): `type` for a given value that does not fit, `missing` for a
+    required one that is not there.
     """
-    fields = list(dict.fromkeys([*types, *required]))
     faults = []
-    for name in fields:
+    for name in dict.fromkeys([*types, *required]):
         given = F.nullif(trim_all(F.col(name).cast("string")), F.lit("")).isNotNull()
         fits = _typed(name, types[name]).isNotNull() if name in types else F.lit(True)
         wrong = F.when(given & ~fits, F.struct(F.lit(name).alias("field"), F.lit("type").alias("problem")))
         if name in required:
             wrong = F.when(~given, F.struct(F.lit(name).alias("field"), F.lit("missing").alias("problem"))).otherwise(wrong)
         faults.append(wrong)
-    marked = df.withColumn("faults", F.array_compact(F.array(*faults)))
+    return F.array_compact(F.array(*faults))
+
+
+def checked_rows(
+    df: DataFrame, types: Mapping[str, str], required: Sequence[str] = ()
+) -> tuple[DataFrame, DataFrame]:
+    """Typed rows without a fault, and the given rows of the others with `faults`.
+
+    Together the two tables hold every row once.
+    """
+    marked = df.withColumn("faults", row_faults(types, required))
     sound = F.size("faults") == 0
-    typed = marked.where(sound).drop("faults").withColumns({n: _typed(n, k) for n, k in types.items()})
-    return typed, marked.where(~sound)
+    return typed_rows(marked.where(sound).drop("faults"), types), marked.where(~sound)
+
+
+def typed_rows(df: DataFrame, types: Mapping[str, str]) -> DataFrame:
+    """The rows with typed columns; a value that does not fit is NULL."""
+    return df.withColumns({name: _typed(name, kind) for name, kind in types.items()})
 
 
 def fault_counts(rejected: DataFrame, by: Sequence[str | Column] = ()) -> DataFrame:

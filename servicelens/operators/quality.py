@@ -41,7 +41,7 @@ PII_HEADERS = {
 }
 
 
-def _long_form(df: DataFrame, per_column: Mapping[str, Sequence[Column]]) -> DataFrame:
+def long_form(df: DataFrame, per_column: Mapping[str, Sequence[Column]]) -> DataFrame:
     """Aggregate each column's expressions in one pass and turn them into one row per column."""
     aggregates, rows = [], []
     for i, (name, expressions) in enumerate(per_column.items()):
@@ -81,14 +81,13 @@ def profile(
                 fits = c.rlike(READS_AS[kind])
             return F.try_divide(F.count_if(c.isNotNull() & fits).cast("double"), given.cast("double"))
 
-        distinct = F.count_distinct(c) if exact_distinct else F.approx_count_distinct(c)
         yield "type", F.any_value(F.lit(types[name].simpleString()))
         yield "rows", F.count("*")
         yield "nulls", F.count_if(c.isNull())
         yield "null_pct", 100.0 * F.try_divide(
             F.count_if(c.isNull()).cast("double"), F.count("*").cast("double")
         )
-        yield "distinct_values", distinct
+        yield "distinct_values", F.approx_count_distinct(c)
         yield "min_value", F.min(c).cast("string")
         yield "max_value", F.max(c).cast("string")
         for kind in READS_AS:
@@ -97,26 +96,56 @@ def profile(
             F.array(*[F.min_by(shown, F.md5(F.concat(F.lit(str(i)), shown))) for i in range(samples)])
         )
 
-    return _long_form(df, {name: list(fields(name)) for name in names})
+    found = long_form(df, {name: list(fields(name)) for name in names})
+    if not exact_distinct:
+        return found
+    exact = distinct_counts(df, names)
+    counted = F.coalesce("_exact", F.lit(0).cast("long")).alias("distinct_values")
+    shown = [counted if c == "distinct_values" else found[c] for c in found.columns]
+    return found.join(exact.withColumnRenamed("distinct_values", "_exact"), "column", "left").select(*shown)
+
+
+def distinct_counts(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """(column, distinct_values): exact numbers of different values, of columns with any.
+
+    Columns become rows of (column, value) that are grouped once, so each task first leaves out what it has seen,
+    and a value that much of a column shares is one row a task. Values are compared as text.
+    """
+    kinds = {f.name: f.dataType for f in df.schema.fields}
+
+    def shown(name: str) -> Column:
+        c = F.col(name)
+        if isinstance(kinds[name], T.FractionalType):
+            c = c + F.lit(0).cast(kinds[name])  # 0 and -0 are one value
+        return F.hex(c) if isinstance(kinds[name], T.BinaryType) else c.cast("string")
+
+    entry = [F.struct(F.lit(c).alias("column"), shown(c).alias("value")) for c in columns]
+    values = df.select(F.inline(F.array(*entry))).where(F.col("value").isNotNull())
+    return values.distinct().groupBy("column").agg(F.count("*").alias("distinct_values"))
 
 
 def pii_profile(df: DataFrame, min_rate: float = 0.05, columns: Sequence[str] | None = None) -> DataFrame:
     """(column, kind, rate, by_header, flagged): share of given values that look like personal data.
 
-    A column is flagged by its values or by its header; names only by the header.
+    A column is flagged by its values or by its header; names, and columns other than text, only by the header.
     """
     import re
 
+    types = {f.name: f.dataType for f in df.schema.fields}
     names = list(columns or [f.name for f in df.schema.fields])
 
     def fields(name: str):
-        shown = F.col(name).cast("string")
+        shown = F.col(name)
         for kind, pattern in PII_VALUES.items():
+            if not isinstance(types[name], T.StringType):
+                # a number has neither a prefix nor separators; a million keys are no phone numbers
+                yield kind, F.coalesce(F.any_value(F.lit(0.0)), F.lit(0.0))
+                continue
             hint = PII_HINTS[kind]
             found = (shown.contains(hint) if hint == "@" else shown.rlike(hint)) & shown.rlike(pattern)
             yield kind, F.coalesce(F.avg(found.cast("double")), F.lit(0.0))
 
-    wide = _long_form(df, {name: list(fields(name)) for name in names})
+    wide = long_form(df, {name: list(fields(name)) for name in names})
     by_header = {
         kind: [n for n in names if re.search(pattern, n)] for kind, pattern in PII_HEADERS.items()
     }

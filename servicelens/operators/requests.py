@@ -15,6 +15,7 @@ from ..functions.calendar import DEFAULT_DAYS, effective_month, in_window, month
 from ..functions.text import col
 
 MEASURES = ("received", "resolved", "on_time", "overdue")
+CHANGES = ("received", "resolved", "on_time", "overdue_change")
 
 
 def with_deadline(requests: DataFrame, sla: DataFrame) -> DataFrame:
@@ -27,8 +28,9 @@ def with_deadline(requests: DataFrame, sla: DataFrame) -> DataFrame:
     )
 
 
-def _monthly_changes(requests: DataFrame, n_days: int) -> DataFrame:
-    """Counts per department and month, with `overdue_change` in place of the overdue level.
+def monthly_changes(requests: DataFrame, n_days: int = DEFAULT_DAYS, keys: Sequence[str] = ()) -> DataFrame:
+    """(keys, department, period, CHANGES): counts per department and month, with `overdue_change` in place of
+    the overdue level. Changes of different requests add up, so they can be kept and merged.
 
     Each request turns into at most four small events: received, resolved, one more overdue at the
     deadline, and one less at the later of deadline and closing. One pass over the requests and one
@@ -58,10 +60,10 @@ def _monthly_changes(requests: DataFrame, n_days: int) -> DataFrame:
         event(effective_month(settled, n_days), change=-one),
     )
     return (
-        requests.select(F.col("department_id").alias("department"), F.inline(events))
+        requests.select(*keys, F.col("department_id").alias("department"), F.inline(events))
         .where(F.col("period").isNotNull())
-        .groupBy("department", "period")
-        .agg(*[F.sum(c).alias(c) for c in ("received", "resolved", "on_time", "overdue_change")])
+        .groupBy(*keys, "department", "period")
+        .agg(*[F.sum(c).alias(c) for c in CHANGES])
     )
 
 
@@ -104,15 +106,26 @@ def request_kpis(requests: DataFrame, n_days: int = DEFAULT_DAYS) -> DataFrame:
     a month. Overdue is the level at the end of that window. Months run without gaps from the first
     to the last one with a received or resolved request.
     """
-    changes = _monthly_changes(requests, n_days)
     # From here on the data is one row per department and month.
-    active = F.when(F.col("received") + F.col("resolved") > 0, F.col("period"))
     everything = Window.partitionBy()
+    first, last = (f(active_month()).over(everything) for f in (F.min, F.max))
+    return monthly_levels(monthly_changes(requests, n_days), first, last)
+
+
+def active_month() -> Column:
+    """The month of a row of changes if a request was received or resolved in it."""
+    return F.when(F.col("received") + F.col("resolved") > 0, F.col("period"))
+
+
+def monthly_levels(changes: DataFrame, first: Column, last: Column) -> DataFrame:
+    """(period, department, MEASURES) of the months from `first` to `last`, from one row of changes per
+    department and month with any. The overdue level is the sum of the changes up to a month.
+    """
     per_department = Window.partitionBy("department").orderBy("period")
     stretched = changes.withColumns(
         {
-            "first_month": F.min(active).over(everything),
-            "last_month": F.max(active).over(everything),
+            "first_month": first,
+            "last_month": last,
             "overdue": F.sum("overdue_change").over(per_department),
             "is_first": F.lag("period").over(per_department).isNull(),
             "next_month": F.lead("period").over(per_department),

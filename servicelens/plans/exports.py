@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -42,6 +43,72 @@ def write_exports(spark: SparkSession, path: str, broken: bool) -> str:
     return out
 
 
+# Lines go out as CSV files as they are: no quote character and nothing trimmed.
+AS_THEY_ARE = {
+    "header": False,
+    "quote": "\u0000",
+    "escape": "\u0000",
+    "sep": "\u0001",
+    "ignoreLeadingWhiteSpace": False,
+    "ignoreTrailingWhiteSpace": False,
+}
+
+#: Folders of exports by session, tables and what the tables' files were.
+_kept: dict[tuple, str] = {}
+
+
+def _stamp(spark: SparkSession, path: str) -> tuple[int, int]:
+    """Which files the order tables are made of, their sizes and times."""
+    tables = [f"{path}/{t}.parquet" for t in ("orders", "customer", "nation", "region")]
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(tables)
+    mark = F.xxhash64("path", "length", "modificationTime")
+    return tuple(files.agg(F.count("*"), F.bit_xor(mark)).first())
+
+
+def kept_exports(spark: SparkSession, path: str) -> str:
+    """The folder of exports of every kind, written once per session for the tables as they are."""
+    key = (spark.sparkContext.applicationId, path, _stamp(spark, path))
+    if key in _kept:
+        try:
+            spark.read.option("recursiveFileLookup", True).text(_kept[key])  # looks for the folder only
+            return _kept[key]
+        except AnalysisException:  # it was cleared away
+            pass
+    _kept[key] = write_exports(spark, path, broken=True)
+    return _kept[key]
+
+
+def _lines(spark: SparkSession, path: str) -> DataFrame:
+    """(source, year, id, line): a plain line per order, and a header for each source and year."""
+    rows = canonical.requests(spark, path, located=True, closings=False).select(
+        F.col("source_id").alias("source"), F.year("created_at").alias("year"), "id", "department_id", "status"
+    )
+    lines = rows.select("source", "year", "id", F.concat_ws(",", "id", "department_id", "status").alias("value"))
+    titles = rows.select("source", "year").distinct()
+    return lines.unionByName(titles.select("*", F.lit(-1).alias("id"), F.lit("id,department,status").alias("value")))
+
+
+def write_delivered(spark: SparkSession, path: str, out: str, years: tuple[int, int], separator: str = "\n") -> None:
+    """One file per source and year from the first to before the second of `years`, added to a folder."""
+    year = F.col("year")
+    (
+        _lines(spark, path)
+        .where((year >= years[0]) & (year < years[1]))
+        .repartition("source", "year")
+        .sortWithinPartitions("source", "year", "id")
+        .select("source", "year", "value")
+        .write.mode("append")
+        .partitionBy("source", "year")
+        .options(**AS_THEY_ARE, lineSep=separator)
+        .csv(out)
+    )
+
+
+def write_empty(spark: SparkSession, out: str) -> None:
+    """A file of zero bytes."""
+    spark.range(0).select(F.lit("").alias("value")).coalesce(1).write.mode("append").csv(out)
+
+
 def _write_good(rows: DataFrame, out: str) -> None:
     """One file per source and shard: quoted cells with commas, quotes and line breaks."""
     albanian = F.col("source") == ALBANIAN_SOURCE
@@ -116,15 +183,7 @@ def _write_broken(rows: DataFrame, out: str) -> None:
     parts = ["kind", "source", "shard"]
     is_text = F.col("kind") == "text"
     lines.where(is_text).write.partitionBy(*parts).mode("append").text(out)
-    # No quote character and nothing trimmed: the lines go out as they are.
-    lines.where(~is_text).write.partitionBy(*parts).mode("append").options(
-        header=False,
-        quote="\u0000",
-        escape="\u0000",
-        sep="\u0001",
-        ignoreLeadingWhiteSpace=False,
-        ignoreTrailingWhiteSpace=False,
-    ).csv(out)
+    lines.where(~is_text).write.partitionBy(*parts).mode("append").options(**AS_THEY_ARE).csv(out)
 
 
 def path_part(name: str) -> Column:

@@ -7,6 +7,7 @@ or repeated headers. So exports are read once as untouched records and landed as
 
 from __future__ import annotations
 
+import datetime as dt
 from collections.abc import Sequence
 from dataclasses import dataclass
 
@@ -40,14 +41,18 @@ _CELL = rf',({_QUOTED}|[^",]*+)'
 # A record without line breaks outside quotes; an unclosed quote runs to the end.
 _ONE_RECORD = r'(?:\r\n|\n|\r)((?:"[^"]*+(?:"|$)|[^"\r\n]++)*+)'
 
-# One line of a file that starts outside or inside of quotes and may end inside. A lone \r counts
-# as the end of a record.
-_BARE_OR_QUOTED = rf'(?:{_QUOTED}|[^",\r]*+)'
 _OPEN = r'"[^"]*+(?:""[^"]*+)*+'
-_LINE_OUTSIDE = rf'^(?:{_BARE_OR_QUOTED}[,\r])*+(?:{_OPEN}|{_BARE_OR_QUOTED})$'
-_LINE_INSIDE = (
-    rf'^[^"]*+(?:""[^"]*+)*+(?:"(?:[,\r]{_BARE_OR_QUOTED})*+(?:(?<=[,\r]){_OPEN})?)?$'
-)
+
+
+def _line_patterns(lone: str) -> tuple[str, str]:
+    """One line of a file that starts outside or inside of quotes and may end inside. `lone` is the line break
+    that the lines were not cut at; outside quotes it counts as the end of a record too.
+    """
+    cell = rf'(?:{_QUOTED}|[^",{lone}]*+)'
+    outside = rf'^(?:{cell}[,{lone}])*+(?:{_OPEN}|{cell})$'
+    inside = rf'^[^"]*+(?:""[^"]*+)*+(?:"(?:[,{lone}]{cell})*+(?:(?<=[,{lone}]){_OPEN})?)?$'
+    return outside, inside
+
 
 # Files above this many bytes are read in blocks; the records are the same either way.
 SPLIT_ABOVE = 16_000_000
@@ -107,29 +112,43 @@ def raw_records(
     path: str,
     max_bytes: int | None = None,
     split_above: int = SPLIT_ABOVE,
+    returns: Sequence[str] = (),
+    since: dt.datetime | None = None,
 ) -> DataFrame:
     """(file, pos, raw): the text of each record in file order, blank records left out.
 
     Files up to `split_above` bytes are read whole, many to a task, and cut into records by one
     expression. Larger files are read in blocks by as many tasks as they need. A file with broken
     quoting is one bad record, a lone quote, in either case. Files over `max_bytes` are pruned before
-    reading.
+    reading. `returns` names the large files whose lines end with a carriage return alone (see
+    `delivery.return_files`); without it such a file is one line, and one task reads it. Files modified before
+    `since` are not opened.
     """
     size = F.col("_metadata.file_size")
     found = {"recursiveFileLookup": True, "pathGlobFilter": _CSV_NAMES}
     whole = spark.read.options(**found).text(path, wholetext=True).where(size <= split_above)
-    lines = spark.read.options(**found).text(path, lineSep="\n").where(size > split_above)
+    # names are compared before files are opened
+    by_return = F.col("_metadata.file_path").isin(*returns) if returns else F.lit(False)
+    cut = {
+        end: spark.read.options(**found).text(path, lineSep=end).where((size > split_above) & chosen)
+        for end, chosen in (("\n", ~by_return), ("\r", by_return))
+        if end == "\n" or returns
+    }
     if max_bytes is not None:
-        whole, lines = whole.where(size <= max_bytes), lines.where(size <= max_bytes)
+        whole, cut = whole.where(size <= max_bytes), {e: d.where(size <= max_bytes) for e, d in cut.items()}
+    if since is not None:
+        recent = F.col("_metadata.file_modification_time") >= F.lit(since)
+        whole, cut = whole.where(recent), {e: d.where(recent) for e, d in cut.items()}
     small = whole.select(
         F.col("_metadata.file_path").alias("file"),
         F.lit(0).cast("long").alias("block"),
         F.lit(0).cast("long").alias("row"),
         F.regexp_replace("value", "^\\x{FEFF}", "").alias("text"),
     )
-    records = small if max_bytes is not None and max_bytes <= split_above else small.unionByName(
-        _assembled(lines)
-    )
+    records = small
+    if max_bytes is None or max_bytes > split_above:
+        for end, lines in cut.items():
+            records = records.unionByName(_assembled(lines, end))
     # Blank records go first, so that the header of a small file is its part 0.
     given = F.filter(_split("text"), lambda r: ~r.rlike(f"^{SPACE}*$"))
     sound = ~F.col("text").contains('"') | F.forall(given, lambda r: r.rlike(_RECORD))
@@ -149,8 +168,9 @@ def _split(text: str) -> Column:
     )
 
 
-def _assembled(lines: DataFrame) -> DataFrame:
-    """(file, block, row, text): lines of large files, joined where a quoted cell runs over several.
+def _assembled(lines: DataFrame, end: str = "\n") -> DataFrame:
+    """(file, block, row, text): lines of large files that were cut at `end`, joined where a quoted cell runs
+    over several.
 
     A line starts inside quotes if the number of quotes before it in the file is odd. That number is
     known from sums per block, so no task needs a whole file. A first pass checks each line for both
@@ -159,6 +179,7 @@ def _assembled(lines: DataFrame) -> DataFrame:
     most of it; its first line comes back as a bad record.
     """
     value = F.col("value")
+    line_outside, line_inside = _line_patterns(r"\r" if end == "\n" else r"\n")
     numbered = lines.select(
         F.col("_metadata.file_path").alias("file"),
         F.col("_metadata.file_block_start").alias("block"),
@@ -175,8 +196,8 @@ def _assembled(lines: DataFrame) -> DataFrame:
         "block",
         "row",
         "flips",
-        value.rlike(_LINE_OUTSIDE).alias("good_outside"),
-        value.rlike(_LINE_INSIDE).alias("good_inside"),
+        value.rlike(line_outside).alias("good_outside"),
+        value.rlike(line_inside).alias("good_inside"),
     ).withColumn("flipped", flipped)
     good_if_closed = F.when(F.col("flipped"), F.col("good_inside")).otherwise(F.col("good_outside"))
     good_if_open = F.when(F.col("flipped"), F.col("good_outside")).otherwise(F.col("good_inside"))
@@ -235,7 +256,7 @@ def _assembled(lines: DataFrame) -> DataFrame:
             "file",
             F.col("lines")[0]["block"].alias("block"),
             F.col("lines")[0]["row"].alias("row"),
-            F.array_join(F.col("lines")["value"], "\n").alias("text"),
+            F.array_join(F.col("lines")["value"], end).alias("text"),
         )
     )
 
@@ -265,13 +286,14 @@ def land_records(
     out: str,
     limits: FileLimits = NO_LIMITS,
     split_above: int = SPLIT_ABOVE,
+    returns: Sequence[str] = (),
 ) -> DataFrame:
     """Read the exports once, write the parsed records as Parquet and return the landed table.
 
     `pos` orders the records of a file and only means something within one read, which is why later
     steps take it from the landed table.
     """
-    records = raw_records(spark, path, limits.max_bytes, split_above)
+    records = raw_records(spark, path, limits.max_bytes, split_above, returns)
     parse_records(records).write.mode("overwrite").parquet(out)
     return spark.read.parquet(out)
 
@@ -360,15 +382,17 @@ def file_verdict(
     split_above: int = SPLIT_ABOVE,
     locale: str | None = None,
     records: DataFrame | None = None,
+    files: DataFrame | None = None,
 ) -> DataFrame:
     """(file, name, bytes, modified, rows, header, header_pos, verdict[, message]) for every file.
 
     The verdict is `ok` or the first problem in the order: `type`, `size` in bytes, `format` for
     quotes, `empty`, `headers`, `format` for ragged rows, `size` in rows or columns. A file whose
     quoting is broken has no rows and no header. `records` is the landed table of the same files;
-    without it the files are read here.
+    without it the files are read here. `files` are those to judge, (file, name, bytes, modified), such as
+    the new ones of a manifest; without it every file of the folder is listed.
     """
-    files = listing(spark, path)
+    files = listing(spark, path) if files is None else files.select("file", "name", "bytes", "modified")
     if records is None:
         records = parse_records(
             raw_records(spark, path, limits.max_bytes, split_above)

@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 MAX_VIEW_ROWS = 1000
 
@@ -27,6 +28,28 @@ def write_canonical(df: DataFrame, path: str, sort_by: str = "created_at") -> No
     )
 
 
+def read_by_source(spark: SparkSession, path: str) -> DataFrame:
+    """A table partitioned by source. Sources are text, also where all their names are numbers."""
+    found = spark.read.parquet(path).schema
+    fields = [T.StructField(f.name, T.StringType()) if f.name == "source_id" else f for f in found.fields]
+    return spark.read.schema(T.StructType(fields)).parquet(path)
+
+
+def write_delivery(
+    rows: DataFrame, path: str, log_path: str, delivery: int, sort_by: str = "created_at"
+) -> None:
+    """Write a delivery of some sources, whose earlier rows it replaces, and note it in the log.
+
+    Rows get the number of their delivery. The log, (source_id, delivery, rows), is written last, so a delivery
+    that broke off is not in it and can be given again.
+    """
+    write_canonical(rows.withColumn("delivery", F.lit(delivery).cast("bigint")), path, sort_by)
+    written = read_by_source(rows.sparkSession, path).where(F.col("delivery") == delivery)
+    noted = written.groupBy("source_id", "delivery").agg(F.count("*").alias("rows"))
+    # a number given again replaces its entries
+    noted.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("delivery").parquet(log_path)
+
+
 def save_table(df: DataFrame, path: str) -> DataFrame:
     """Write a table that later steps read more than once, and return it as read back.
 
