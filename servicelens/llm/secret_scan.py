@@ -13,6 +13,7 @@ matches add up to code points.
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -31,6 +32,8 @@ LEAST_VALUE = 12
 KINDS = ["assign", "access", "hex", "entropy"]
 #: Matches whose places are made together.
 BLOCK = 256
+#: Counts of a window: bits of each, and how many share a number.
+COUNT_BITS, FIELDS = 5, 12
 CANDIDATE = r"[A-Za-z0-9+/_=-]{20,}"
 WINDOW = 20
 
@@ -63,57 +66,123 @@ ALLOWED = [
     r"^/?([A-Za-z]+[0-9]{0,4}[/_=-])+[A-Za-z]*[0-9]{0,4}/?$",
 ]
 
+#: The same where Java would recurse at every turn of a repeated group: what the group takes it keeps, which gives
+#: the same matches, as a word, its digits and the sign after them can be told apart in one way only.
+_POSSESSIVE = {
+    r"^/?([A-Za-z]+[0-9]{0,4}[/_=-])+[A-Za-z]*[0-9]{0,4}/?$": (
+        r"^/?(?:[A-Za-z]++[0-9]{0,4}+[/_=-])++[A-Za-z]*+[0-9]{0,4}+/?$"
+    )
+}
+
 MASK = "[secret]"
 
 
 def _matches(text: Column, pattern: str) -> Column:
-    """(gap, size, value) of all matches of a pattern: the characters before each since the last one."""
+    """(gap, size, value, gap_bytes) of all matches of a pattern: the characters before each since the last one.
+
+    Matches are ASCII, so that their bytes are as many as their characters.
+    """
     between = F.split(text, pattern, -1)
     values = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     pairs = F.arrays_zip(F.slice(between, 1, F.size(values)).alias("gap"), values.alias("value"))
     return F.transform(
         pairs,
         lambda p: F.struct(
-            F.length(p["gap"]).alias("gap"), F.length(p["value"]).alias("size"), p["value"].alias("value")
+            F.length(p["gap"]).alias("gap"),
+            F.length(p["value"]).alias("size"),
+            p["value"].alias("value"),
+            F.octet_length(p["gap"]).alias("gap_bytes"),
         ),
     )
 
 
-def _found(matches: str, kind: int) -> Column:
-    """(start, kind, end, value) of the matches in a column, left to right.
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """`body(value)` with `value` computed once, however often it occurs."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
 
-    Places are running sums. They are made in blocks of `BLOCK` matches that start at running sums of
-    whole blocks, so that a text of very many matches does not copy ever longer arrays.
+def _running(items: Column, first: Column, step: Callable, shown: Callable, empty: Column) -> Column:
+    """`shown(state, item)` of every item, where `step(state, item)` makes the state that the next one sees.
+
+    Items are taken in blocks of `BLOCK` that begin with the states at their first items, so that an array of
+    very many items does not copy ever longer results. `empty` is an empty array of the results' type.
     """
-    blocks = F.sequence(F.lit(0), F.floor((F.size(matches) - 1) / BLOCK).cast("int"))
+    blocks = F.sequence(F.lit(0), F.floor((F.size(items) - 1) / BLOCK).cast("int"))
 
     def block(b: Column) -> Column:
-        return F.slice(F.col(matches), b * BLOCK + 1, F.lit(BLOCK))
-
-    def step(state: Column, m: Column) -> Column:
-        start = state["at"] + m["gap"]
-        end = start + m["size"]
-        span = F.struct(
-            start.alias("start"), F.lit(kind).alias("kind"), end.alias("end"), m["value"].alias("value")
-        )
-        return F.struct(end.alias("at"), F.concat(state["spans"], F.array(span)).alias("spans"))
+        return F.slice(items, b * BLOCK + 1, F.lit(BLOCK))
 
     def after(state: Column, b: Column) -> Column:
-        covered = F.aggregate(block(b), F.lit(0), lambda total, m: total + m["gap"] + m["size"])
-        return F.struct(
-            (state["at"] + covered).alias("at"), F.concat(state["starts"], F.array(state["at"])).alias("starts")
-        )
+        at = F.aggregate(block(b), state["at"], step)
+        return F.struct(at.alias("at"), F.concat(state["starts"], F.array(state["at"])).alias("starts"))
+
+    def inside(state: Column, item: Column) -> Column:
+        row = F.array(shown(state["at"], item))
+        return F.struct(step(state["at"], item).alias("at"), F.concat(state["rows"], row).alias("rows"))
 
-    first = F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<int>)").alias("starts"))
-    starts = F.aggregate(blocks, first, after, lambda state: state["starts"])
-    empty = F.expr("cast(array() as array<struct<start:int,kind:int,end:int,value:string>>)")
-    spans = F.transform(
+    none = F.slice(F.array(first), 1, 0)
+    starts = F.aggregate(
+        blocks, F.struct(first.alias("at"), none.alias("starts")), after, lambda state: state["starts"]
+    )
+    rows = F.transform(
         starts,
         lambda at, b: F.aggregate(
-            block(b), F.struct(at.alias("at"), empty.alias("spans")), step, lambda state: state["spans"]
+            block(b), F.struct(at.alias("at"), empty.alias("rows")), inside, lambda state: state["rows"]
         ),
     )
-    return F.when(F.size(matches) > 0, F.flatten(spans)).otherwise(empty)
+    return F.when(F.size(items) > 0, F.flatten(rows)).otherwise(empty)
+
+
+_SPAN = "struct<start:int,kind:int,end:int,from:int,to:int,value:string>"
+
+
+def _found(matches: str, kind: int) -> Column:
+    """(start, kind, end, from, to, value) of the matches in a column, left to right; from and to count bytes."""
+
+    def step(at: Column, m: Column) -> Column:
+        return F.struct(
+            (at["start"] + m["gap"] + m["size"]).alias("start"), (at["from"] + m["gap_bytes"] + m["size"]).alias("from")
+        )
+
+    def span(at: Column, m: Column) -> Column:
+        start, from_ = at["start"] + m["gap"], at["from"] + m["gap_bytes"]
+        return F.struct(
+            start.alias("start"),
+            F.lit(kind).alias("kind"),
+            (start + m["size"]).alias("end"),
+            from_.alias("from"),
+            (from_ + m["size"]).alias("to"),
+            m["value"].alias("value"),
+        )
+
+    first = F.struct(F.lit(0).alias("start"), F.lit(0).alias("from"))
+    return _running(F.col(matches), first, step, span, F.expr(f"cast(array() as array<{_SPAN}>)"))
+
+
+def _untouched(candidates: Column, others: Column) -> Column:
+    """The candidates that overlap no span of `others`.
+
+    Both together are passed over from the left, with the furthest end of the others so far, and from the right,
+    with the nearest start, so that many of both take no longer than their number.
+    """
+    none = F.expr("cast(array() as array<int>)")
+
+    def free(both: Column) -> Column:
+        reach = lambda at, s: F.when(s["kind"] < 3, F.greatest(at, s["end"])).otherwise(at)
+        following = lambda at, s: F.when(s["kind"] < 3, s["start"]).otherwise(at)
+        seen = lambda at, s: at
+        ends = _running(both, F.lit(-1), reach, seen, none)
+        starts = _let(F.reverse(both), lambda back: _running(back, F.lit((1 << 31) - 1), following, seen, none))
+        placed = F.arrays_zip(both.alias("span"), ends.alias("reach"), F.reverse(starts).alias("next"))
+        kept = F.filter(
+            placed,
+            lambda p: (p["span"]["kind"] == 3) & (p["reach"] <= p["span"]["start"]) & (p["next"] >= p["span"]["end"]),
+        )
+        return F.transform(kept, lambda p: p["span"])
+
+    return F.when((F.size(candidates) == 0) | (F.size(others) == 0), candidates).otherwise(
+        _let(F.array_sort(F.concat(candidates, others)), free)
+    )
 
 
 def _weights(window: int) -> list[int]:
@@ -127,34 +196,68 @@ def _limit(threshold: float, window: int) -> int:
 
 
 def _least_sum(value: Column, alphabet: str, window: int) -> Column:
-    """The least sum of c log2 c over all windows of a string, by incremental counts."""
-    weights = F.array(*[F.lit(w).cast("long") for w in _weights(window)])
+    """The least sum of c log2 c over all windows of a string, by incremental counts.
 
-    def place(i: Column) -> Column:
-        return F.instr(F.lit(alphabet), F.substring(value, i, F.lit(1)))
+    The characters become numbers once. Each is met beside the one that leaves the window as it enters. The counts
+    are fields of 5 bits in a few whole numbers, of which a step changes two.
+    """
+    if window >= 1 << COUNT_BITS:
+        raise ValueError(f"windows have fewer than {1 << COUNT_BITS} characters")
+    weights = F.array(*[F.lit(w).cast("long") for w in _weights(window)])
+    codes = F.transform(
+        F.filter(F.split(value, ""), lambda c: c != ""), lambda c: F.instr(F.lit(alphabet), c) - 1
+    )
+    words = -(-len(alphabet) // FIELDS)
+
+    def moves(code: Column) -> Column:
+        """Those of all characters: entering and leaving word, shift and unit."""
+        shift = lambda c: c % FIELDS * COUNT_BITS
+        unit = lambda c: F.call_function("shiftleft", F.lit(1).cast("long"), shift(c))
+        word = lambda c: F.floor(c / FIELDS).cast("int")
+        left = F.concat(F.array_repeat(F.lit(-1), window), code)
+        pairs = F.zip_with(code, F.slice(left, F.lit(1), F.size(code)), lambda e, x: F.struct(e.alias("e"), x.alias("x")))
+        return F.transform(
+            pairs,
+            lambda p, i: F.struct(
+                word(p["e"]).alias("ew"), shift(p["e"]).alias("es"), unit(p["e"]).alias("eu"),
+                F.when(p["x"] >= 0, word(p["x"])).otherwise(F.lit(-1)).alias("xw"),
+                F.when(p["x"] >= 0, shift(p["x"])).otherwise(F.lit(0)).alias("xs"),
+                F.when(p["x"] >= 0, unit(p["x"])).otherwise(F.lit(0).cast("long")).alias("xu"),
+                (p["e"] == p["x"]).alias("same"), (i + 1 >= window).alias("full"),
+            ),
+        )
+
+    def count(counts: Column, word: Column, shift: Column) -> Column:
+        field = F.call_function("shiftrightunsigned", F.get(counts, word), shift)
+        return field.bitwiseAND(F.lit((1 << COUNT_BITS) - 1)).cast("int")
 
-    def step(state: Column, i: Column) -> Column:
-        enters, leaves = place(i), F.when(i > window, place(i - window)).otherwise(F.lit(0))
+    def step(state: Column, m: Column) -> Column:
         counts = state["counts"]
-        grown, shrunk = F.get(counts, enters - 1), F.get(counts, leaves - 1)
-        change = F.when(enters == leaves, F.lit(0).cast("long")).otherwise(
-            F.get(weights, grown + 1)
-            - F.get(weights, grown)
-            + F.coalesce(F.get(weights, shrunk - 1) - F.get(weights, shrunk), F.lit(0))
-        )
-        total = state["total"] + change
+        weight = lambda c: F.get(weights, c)
+        gain = _let(count(counts, m["ew"], m["es"]), lambda c: weight(c + 1) - weight(c))
+        loss = _let(count(counts, m["xw"], m["xs"]), lambda c: weight(c - 1) - weight(c))
+        change = gain + F.when(m["xw"] >= 0, loss).otherwise(F.lit(0).cast("long"))
         moved = F.transform(
-            counts, lambda c, k: c + (k == enters - 1).cast("int") - (k == leaves - 1).cast("int")
+            counts,
+            lambda c, k: c
+            + F.when(k == m["ew"], m["eu"]).otherwise(F.lit(0).cast("long"))
+            - F.when(k == m["xw"], m["xu"]).otherwise(F.lit(0).cast("long")),
+        )
+        return _let(
+            state["total"] + F.when(m["same"], F.lit(0).cast("long")).otherwise(change),
+            lambda total: F.struct(
+                moved.alias("counts"),
+                total.alias("total"),
+                F.when(m["full"], F.least(state["least"], total)).otherwise(state["least"]).alias("least"),
+            ),
         )
-        least = F.when(i >= window, F.least(state["least"], total)).otherwise(state["least"])
-        return F.struct(moved.alias("counts"), total.alias("total"), least.alias("least"))
 
     start = F.struct(
-        F.array_repeat(F.lit(0), len(alphabet)).alias("counts"),
+        F.array_repeat(F.lit(0).cast("long"), words).alias("counts"),
         F.lit(0).cast("long").alias("total"),
         F.lit(1 << 62).cast("long").alias("least"),
     )
-    return F.aggregate(F.sequence(F.lit(1), F.length(value)), start, step, lambda state: state["least"])
+    return _let(codes, lambda code: F.aggregate(moves(code), start, step, lambda state: state["least"]))
 
 
 def _is_secret(value: Column, window: int) -> Column:
@@ -164,7 +267,7 @@ def _is_secret(value: Column, window: int) -> Column:
         verdict = F.when(value.rlike(kind.pattern), dense).otherwise(verdict)
     allowed = F.lit(False)
     for pattern in ALLOWED:
-        allowed = allowed | value.rlike(pattern)
+        allowed = allowed | value.rlike(_POSSESSIVE.get(pattern, pattern))
     return ~allowed & verdict
 
 
@@ -191,18 +294,18 @@ def with_spans(docs: DataFrame, text_col: str = "text", window: int = WINDOW) ->
         _found("__hex", 2).alias("__hex"),
         _found("__candidates", 3).alias("__candidates"),
     )
-    bare = lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end"))
+    bare = lambda s: F.struct(*[s[c].alias(c) for c in ("start", "kind", "end", "from", "to")])
     base = F.array_sort(F.transform(F.concat("__assign", "__access", "__hex"), bare))
     found = found.select(*docs.columns, "__assign", "__candidates", base.alias("__base"))
     # an access key or a hex run that a candidate touches lies inside it
-    free = F.filter(
+    dense = F.filter(
         "__candidates",
-        lambda c: ~c["value"].rlike(ACCESS)
-        & ~c["value"].rlike(HEX)
-        & _is_secret(c["value"], window)
-        & ~F.exists("__assign", lambda a: (a["start"] < c["end"]) & (c["start"] < a["end"])),
+        lambda c: ~c["value"].rlike(ACCESS) & ~c["value"].rlike(HEX) & _is_secret(c["value"], window),
+    )
+    found = found.select(
+        *docs.columns, "__base", F.transform(dense, bare).alias("__dense"), F.transform("__assign", bare).alias("__assign")
     )
-    added = F.transform(free, bare)
+    added = _untouched(F.col("__dense"), F.col("__assign"))
     return found.select(*docs.columns, "__base", F.array_sort(F.concat("__base", added)).alias("__spans"))
 
 
@@ -227,18 +330,27 @@ def mask_secrets(docs: DataFrame, text_col: str = "text", mask: str = MASK) -> D
     Texts without a span, null and empty ones stay as they are; all columns stay.
     """
 
-    def step(state: Column, span: Column) -> Column:
-        fresh = span["start"] >= state["at"]
-        gap = F.substring(F.col(text_col), state["at"] + 1, span["start"] - state["at"])
-        parts = F.when(fresh, F.concat(state["parts"], F.array(gap, F.lit(mask)))).otherwise(state["parts"])
-        return F.struct(F.greatest(state["at"], span["end"]).alias("at"), parts.alias("parts"))
+    def piece(data: Column) -> Callable:
+        """What stands between the end of the spans so far and a span, with the mask; nothing if they overlap."""
+
+        def before(reach: Column, span: Column) -> Column:
+            gap = F.substring(data, reach + 1, span["from"] - reach).cast("string")
+            return F.when(span["from"] >= reach, F.concat(gap, F.lit(mask))).otherwise(F.lit(""))
 
-    def joined(state: Column) -> Column:
-        rest = F.substring(F.col(text_col), state["at"] + 1, F.length(text_col))
-        return F.array_join(F.concat(state["parts"], F.array(rest)), "")
+        return before
+
+    def masked_text(data: Column) -> Column:
+        furthest = lambda reach, span: F.greatest(reach, span["to"])
+        pieces = _running(
+            F.col("__spans"), F.lit(0), furthest, piece(data), F.expr("cast(array() as array<string>)")
+        )
+        reach = F.aggregate("__spans", F.lit(0), furthest)
+        rest = F.substring(data, reach + 1, F.octet_length(data)).cast("string")
+        return F.concat(F.array_join(pieces, ""), rest)
 
-    start = F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<string>)").alias("parts"))
-    masked = F.when(F.size("__spans") > 0, F.aggregate("__spans", start, step, joined)).otherwise(F.col(text_col))
+    # bytes are cut out where they are; characters would be counted from the start for every span
+    data = F.col(text_col).cast("binary")
+    masked = F.when(F.size("__spans") > 0, _let(data, masked_text)).otherwise(F.col(text_col))
     return with_spans(docs, text_col).select(
         *[masked.alias(c) if c == text_col else F.col(c) for c in docs.columns]
     )

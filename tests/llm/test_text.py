@@ -146,6 +146,35 @@ def test_texts_of_very_many_secrets(documents):
     assert [tuple(s) for s in row["spans"]] == slow_spans(text) and len(row["spans"]) == 4_500
 
 
+def test_very_long_candidates(documents):
+    rng = random.Random(12)
+    letters = "abcdefghijklmnopqrstuvwyzABCDEFGHIJKLMNOPQRSTUVWYZ0123456789"
+    noise = "".join(rng.choice(letters) for _ in range(60_000))
+    texts = ["a1/" * 300_000, noise, "é" + noise + "+/==", "ab12/" * 50_000 + "!", "token=" + noise, "x" * 100_000]
+    texts += [" ".join(f"token={noise[i : i + 12]} é{noise[i + 12 : i + 40]}" for i in range(0, 50_000, 40))]
+    rows = list(enumerate(texts))
+    found = {r["doc_id"]: [tuple(s) for s in r["spans"]] for r in secret_scan.scan_secrets(documents(rows)).collect()}
+    assert found == {i: slow_spans(t) for i, t in rows}
+    assert [len(found[i]) for i in range(6)] == [0, 1, 1, 0, 1, 0] and len(found[6]) > 2000
+    masked = {r["doc_id"]: r["text"] for r in secret_scan.mask_secrets(documents(rows)).collect()}
+    for i, text in rows:
+        parts, at = [], 0
+        for _, start, end in sorted(found[i], key=lambda s: s[1]):
+            if start >= at:
+                parts += [text[at:start], secret_scan.MASK]
+            at = max(at, end)
+        assert masked[i] == "".join([*parts, text[at:]])
+
+
+def test_possessive_patterns_match_the_same():
+    rng = random.Random(13)
+    for plain, possessive in secret_scan._POSSESSIVE.items():
+        assert plain in secret_scan.ALLOWED
+        for _ in range(20_000):
+            text = "".join(rng.choice("ab1/_=-.") for _ in range(rng.randrange(14)))
+            assert bool(re.search(plain, text)) == bool(re.search(possessive, text)), text
+
+
 @pytest.mark.parametrize("size", [1, 2, 3])
 def test_blocks_of_matches(documents, monkeypatch, size):
     monkeypatch.setattr(secret_scan, "BLOCK", size)
