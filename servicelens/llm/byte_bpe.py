@@ -7,6 +7,7 @@ its occurrences in all words merge at once; words without a pair in the table le
 
 from __future__ import annotations
 
+import heapq
 import json
 import re
 from collections.abc import Iterator
@@ -27,6 +28,9 @@ _NOT_PLAIN = re.compile("[^\t\n\r -~\u00a1-\u00a9\u00ab-\u00b1\u00b4\u00b6-\u00b
 #: Texts longer than this are split into words part by part, cut where a word must start.
 PART_CHARS = 1 << 20
 
+#: Words of more bytes merge one by one.
+LONG_WORD = 2048
+
 _NONE = np.iinfo(np.int64).max
 _SLOT_BITS = 19
 _SLOTS = 1 << _SLOT_BITS
@@ -66,10 +70,10 @@ class RankMerger:
         self.pairs = np.r_[pairs, -1]
         self.merged = np.array([ids[a + b] for a, b in merges], np.int64)
 
-    def _pair_ranks(self, symbols: np.ndarray, owners: np.ndarray) -> np.ndarray:
-        ranks = np.full(symbols.size, _NONE)
-        at = np.flatnonzero(owners[:-1] == owners[1:])
-        pairs = symbols[at] * self.size + symbols[at + 1]
+    def _looked_up(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """The ranks of pairs."""
+        ranks, at = np.full(left.size, _NONE), np.arange(left.size)
+        pairs = left * self.size + right
         slot = _hashed(pairs)
         for _ in range(self.probes):
             row = self.slots[slot]
@@ -79,8 +83,87 @@ class RankMerger:
             at, pairs, slot = at[more], pairs[more], (slot[more] + 1) & (_SLOTS - 1)
         return ranks
 
+    def _pair_ranks(self, symbols: np.ndarray, owners: np.ndarray) -> np.ndarray:
+        ranks = np.full(symbols.size, _NONE)
+        at = np.flatnonzero(owners[:-1] == owners[1:])
+        ranks[at] = self._looked_up(symbols[at], symbols[at + 1])
+        return ranks
+
     def encode(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all words in a row, and the number of ids of each."""
+        long = [i for i, w in enumerate(words) if len(w) > LONG_WORD]
+        if not long:
+            return self._encode_short(words)
+        held = {i: self._encode_long(words[i]) for i in long}
+        ids, counts = self._encode_short([w for i, w in enumerate(words) if i not in held])
+        starts = np.r_[0, np.cumsum(counts)].tolist()
+        parts, sizes, short = [], np.zeros(len(words), np.int64), 0
+        for i in range(len(words)):
+            if i in held:
+                parts.append(held[i])
+            else:
+                parts.append(ids[starts[short] : starts[short + 1]])
+                short += 1
+            sizes[i] = parts[-1].size
+        return np.concatenate(parts), sizes
+
+    def _encode_long(self, word: bytes) -> np.ndarray:
+        """The ids of one word, in rounds that cost what they merge.
+
+        Symbols are linked to their neighbours, and places lie in a bucket by the rank of the pair that begins
+        there. A round takes the lowest bucket, merges its pairs at once and looks up the pairs beside them only.
+        """
+        symbols = self.byte_ids[np.frombuffer(word, np.uint8)].copy()
+        n = symbols.size
+        after, before = np.arange(1, n + 1), np.arange(-1, n - 1)
+        ranks, alive = np.full(n, _NONE), np.ones(n, bool)
+        buckets: dict[int, list[np.ndarray]] = {}
+        waiting: list[int] = []
+
+        def renew(places: np.ndarray) -> None:
+            found = np.full(places.size, _NONE)
+            paired = after[places] < n
+            found[paired] = self._looked_up(symbols[places[paired]], symbols[after[places[paired]]])
+            ranks[places] = found
+            kept = found != _NONE
+            places, found = places[kept], found[kept]
+            order = np.argsort(found, kind="stable")
+            places, found = places[order], found[order]
+            starts = np.flatnonzero(np.r_[True, found[1:] != found[:-1]]) if found.size else []
+            for rank, part in zip(found[starts].tolist(), np.split(places, starts[1:]), strict=True) if found.size else ():
+                if rank not in buckets:
+                    buckets[rank] = []
+                    heapq.heappush(waiting, rank)
+                buckets[rank].append(part)
+
+        renew(np.arange(n))
+        while waiting:
+            rank = heapq.heappop(waiting)
+            left = np.unique(np.concatenate(buckets.pop(rank)))
+            left = left[ranks[left] == rank]
+            if not left.size:
+                continue
+            # neighbours in a run such as `aaa` overlap: every second one merges, from the left
+            fresh = np.r_[True, after[left[:-1]] != left[1:]]
+            place = np.arange(left.size)
+            run_start = np.maximum.accumulate(np.where(fresh, place, 0))
+            spare = left[(place - run_start) % 2 == 1]
+            left = left[(place - run_start) % 2 == 0]
+            gone = after[left]
+            alive[gone] = False
+            symbols[left] = self.merged[rank]
+            ranks[gone] = _NONE
+            following = after[gone]
+            after[left] = following
+            inner = following < n
+            before[following[inner]] = left[inner]
+            previous = before[left]
+            beside = np.unique(np.concatenate([left, previous[previous >= 0], spare[ranks[spare] == rank]]))
+            renew(beside)
+        return symbols[alive]
+
+    def _encode_short(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """The same for words whose rounds are few."""
         lengths = np.fromiter(map(len, words), np.int64, len(words))
         symbols = self.byte_ids[np.frombuffer(b"".join(words), np.uint8)]
         owners = np.repeat(np.arange(len(words)), lengths)

@@ -82,6 +82,32 @@ def test_pair_merging_against_one_pair_at_a_time():
     assert [p.tolist() for p in parts] == [slow(w) for w in words]
 
 
+def test_long_words_are_those_of_the_library(monkeypatch):
+    rng = random.Random(9)
+    library = Tokenizer.from_file(BYTES)
+    parts = ["the", "ing", "tion", "er", "a", "an", "ss", "sss", "aaaa", "ab"]
+    words = ["".join(rng.choice("etaoinshrdlu") for _ in range(60_000)), "a" * 5001, "ab" * 3000 + "a", "1" * 9000]
+    words += ["".join(rng.choice(parts) for _ in range(3000)), "=-" * 3000 + "=" * 4000, "é" * 3000, "日本" * 1500, "short"]
+    for word, code in zip(words, packing.encode_texts(words, BYTES), strict=True):
+        assert np.frombuffer(code, "<u4").tolist() == library.encode(word, add_special_tokens=False).ids
+    monkeypatch.setattr(byte_bpe, "LONG_WORD", 3)
+    for text, code in zip(texts(), packing.encode_texts(texts(), BYTES), strict=True):
+        assert np.frombuffer(code, "<u4").tolist() == library.encode(text, add_special_tokens=False).ids
+
+
+def test_a_word_of_a_million_letters():
+    rng = random.Random(10)
+    word = "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(1_000_000))
+    vocabulary = byte_bpe.ByteVocabulary(BYTES)
+    looked_up = []
+    plain = vocabulary.merger._looked_up
+    vocabulary.merger._looked_up = lambda left, right: looked_up.append(left.size) or plain(left, right)
+    ids, _ = vocabulary.merger.encode([word.encode()])
+    assert ids.tolist() == Tokenizer.from_file(BYTES).encode(word, add_special_tokens=False).ids
+    # what is looked up follows the merges: two places each, and every place once
+    assert sum(looked_up) <= 2 * (len(word) - ids.size) + len(word)
+
+
 def test_other_kinds_of_vocabularies_are_refused():
     with pytest.raises(ValueError):
         byte_bpe.ByteVocabulary(public_tokenizers.path("word_bpe_49k.json"))
