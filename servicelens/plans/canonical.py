@@ -7,6 +7,8 @@ lines once the order is finished.
 
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -22,6 +24,26 @@ SLA_DAYS = (
 )
 
 
+# Names of departments and categories with the day from which they hold; a department without a version for a day has
+# no name then.
+NAMES = "id string, name_sq string, name_en string, valid_from date"
+DEPARTMENTS = (
+    ("AUTOMOBILE", "Transporti", "Transport", dt.date(1990, 1, 1)),
+    ("BUILDING", "Ndërtimi", "Construction", dt.date(1990, 1, 1)),
+    ("BUILDING", "Zhvillimi urban", "Urban development", dt.date(1998, 1, 1)),
+    ("BUILDING", None, "Urban planning", dt.date(2000, 6, 15)),
+    ("FURNITURE", "Pasuritë", "Assets", dt.date(1996, 3, 1)),
+    ("HOUSEHOLD", "Shërbimet sociale", "Social services", dt.date(1990, 1, 1)),
+)
+CATEGORIES = (
+    ("1-URGENT", "urgjente", "urgent", dt.date(1990, 1, 1)),
+    ("2-HIGH", "e lartë", "high", dt.date(1990, 1, 1)),
+    ("2-HIGH", "e lartë", "priority", dt.date(1999, 1, 1)),
+    ("3-MEDIUM", "mesatare", None, dt.date(1990, 1, 1)),
+    ("5-LOW", "e ulët", "low", dt.date(1990, 1, 1)),
+)
+
+
 # Declared, so that no job has to read file footers before a query can be planned.
 SCHEMAS = {
     "region": "r_regionkey int, r_name string",

@@ -8,10 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from ..operators import kpi, mapping, state
+from ..operators import dimensions, kpi, mapping, proposal, state
 from ..session import staging_path
 from ..sources import delivery, ingest, store
 from ..sources import exports as csv
+from ..tables import values_table
 from . import canonical, exports, oracle, queries
 
 QUERIES: dict = {}
@@ -181,6 +182,36 @@ def kpi_state_sources(spark, path):
     )
 
 
+@query
+def mapping_assigned(spark, path):
+    """Columns of exports with headers of their own, by the best assignment of headers to fields."""
+    out = staging_path(spark, "odd-exports")
+    exports.write_odd(spark, path, out)
+    records = csv.land_records(spark, out, staging_path(spark, "landed"))
+    verdicts = csv.file_verdict(spark, out, records=records, files=delivery.discover(spark, out))
+    verdicts = store.save_table(verdicts, staging_path(spark, "verdicts"))
+    values = proposal.value_profile(csv.data_records(records, verdicts))
+    chosen = proposal.assign_mapping(csv.header_cells(verdicts), values)
+    return chosen.groupBy(exports.path_part("source").alias("source"), "field").agg(
+        F.max("column_index").cast("bigint").alias("column_index"), F.count_distinct("column_index").alias("different")
+    )
+
+
+@query
+def enriched_history(spark, path):
+    """Requests by the names that held when they came, in both languages, with zone and source."""
+    requests = canonical.requests(spark, path, located=True, closings=False)
+    departments = dimensions.versions(values_table(spark, canonical.DEPARTMENTS, canonical.NAMES))
+    categories = dimensions.versions(values_table(spark, canonical.CATEGORIES, canonical.NAMES))
+    sources = canonical.table(spark, path, "region").select(F.col("r_name").alias("id"), F.lower("r_name").alias("filename"))
+    full = dimensions.enrich_as_of(requests, departments, categories, canonical.locations(spark, path), sources)
+    shown = dimensions.localized(full, "department", "sq", "department")
+    shown = dimensions.localized(shown, "category", "en", "category")
+    return shown.groupBy("department", "category", "location_zone", "source_filename").agg(
+        F.count("*").alias("requests"), F.min("created_at").cast("date").alias("first_day")
+    )
+
+
 _FILES = "(SELECT source_id, id // 50000 AS shard FROM located GROUP BY 1, 2)"
 _YEARS = """files AS (
   SELECT source_id AS source, year(created_at) AS year, count(*) AS rows,
@@ -192,6 +223,18 @@ _FAULTY = """CASE WHEN status = 'in_progress' THEN ['id type'] ELSE [] END
   || CASE WHEN id % 15 = 2 THEN ['created_at type'] ELSE [] END
   || CASE WHEN id % 10 = 1 THEN ['department missing'] ELSE [] END"""
 
+
+
+def _history(name: str, rows: tuple) -> str:
+    """A dimension whose versions hold until the next one of their id."""
+    text = lambda v: "NULL" if v is None else f"'{v}'"
+    listed = ", ".join(f"({text(i)}, {text(sq)}, {text(en)}, DATE '{since}')" for i, sq, en, since in rows)
+    return f"""{name} AS (
+  SELECT id, sq, en, a, coalesce(lead(a) OVER (PARTITION BY id ORDER BY a), DATE '9999-12-31') AS b
+  FROM (VALUES {listed}) AS v(id, sq, en, a)
+)"""
+
+
 ORACLE = {
     "ingest_outcomes": oracle._with(oracle.LOCATED)
     + f"""SELECT kind, source_id, CASE WHEN faults = '' THEN 'canonical' ELSE 'faulty' END AS outcome, faults,
@@ -223,4 +266,18 @@ ORACLE = {
     + """SELECT source_id, CASE WHEN source_id IN ('ASIA', 'EUROPE') THEN 2 ELSE 1 END AS delivery,
       count(*) FILTER (day(created_at) <= 24) AS received, count(*) FILTER (day(closed_at) <= 24) AS resolved,
       count(*) FILTER (day(closed_at) <= 24 AND closed_at <= deadline) AS on_time FROM located GROUP BY 1""",
+    "mapping_assigned": "SELECT r_name AS source, field, column_index, 1 AS different FROM region JOIN (VALUES "
+    + ", ".join(
+        f"('{source}', '{field}', {columns.index(field) if field in columns else -1}::BIGINT)"
+        for source, (_, columns) in exports.ODD_HEADERS.items()
+        for field in proposal.FIELDS
+    )
+    + ") AS v(source, field, column_index) ON r_name = source",
+    "enriched_history": oracle._with(oracle.LOCATED, _history("departments", canonical.DEPARTMENTS), _history("categories", canonical.CATEGORIES))
+    + """SELECT coalesce(d.sq, d.en, department_id) AS department, coalesce(c.en, c.sq, category_id) AS category,
+      source_id AS location_zone, lower(source_id) AS source_filename, count(*) AS requests,
+      CAST(min(created_at) AS DATE) AS first_day
+    FROM located
+    LEFT JOIN departments d ON d.id = department_id AND created_at >= d.a AND created_at < d.b
+    LEFT JOIN categories c ON c.id = category_id AND created_at >= c.a AND created_at < c.b GROUP BY 1, 2, 3, 4""",
 }

@@ -104,6 +104,40 @@ def write_delivered(spark: SparkSession, path: str, out: str, years: tuple[int,
     )
 
 
+#: Headers of exports that follow no pattern, and the fields in their columns; some columns are of no field.
+ODD_HEADERS = {
+    "AFRICA": (["Dept_Name", "Req No", "Statusi", "Opened on", "Comment"], ["department", "id", "status", "created_at", "note"]),
+    "AMERICA": (
+        ["Data e hapjes", "Gjendja", "Nr. i kërkesës", "Drejtoria", "Shënime"],
+        ["created_at", "status", "id", "department", "note"],
+    ),
+    "ASIA": (["department_head", "id", "department", "created", "status"], ["head", "id", "department", "created_at", "status"]),
+    "EUROPE": (["StatusCode", "RequestId", "DepartmentName", "CreatedAt", "amount"], ["status", "id", "department", "created_at", "amount"]),
+    "MIDDLE EAST": (["a1", "b2", "c3", "d4", "e5"], ["x", "x", "x", "x", "x"]),
+}
+
+
+def write_odd(spark: SparkSession, path: str, out: str) -> None:
+    """One folder of exports per source, each with headers of its own."""
+    rows = save_table(
+        canonical.requests(spark, path, located=True, closings=False), staging_path(spark, "odd-rows")
+    )
+    given = {
+        "id": F.col("id"),
+        "department": F.col("department_id"),
+        "status": F.col("status"),
+        "created_at": F.col("created_at").cast("date"),
+        "note": F.concat(F.lit("request "), F.col("id"), F.lit(", "), F.col("category_id")),
+        "head": F.concat(F.lit("head of "), F.col("department_id")),
+        "amount": F.col("id") % 1000,
+        "x": F.col("status"),
+    }
+    for source, (headers, fields) in ODD_HEADERS.items():
+        chosen = rows.where(F.col("source_id") == source)
+        named = [given[f].alias(h) for h, f in zip(headers, fields, strict=True)]
+        chosen.select(*named).write.options(header=True, escape='"').csv(f"{out}/source={source}")
+
+
 def write_empty(spark: SparkSession, out: str) -> None:
     """A file of zero bytes."""
     spark.range(0).select(F.lit("").alias("value")).coalesce(1).write.mode("append").csv(out)
