@@ -76,6 +76,11 @@ _AFFIXES = set(
     "site page main global top bottom left right primary secondary container wrapper wrap box area block list "
     "section bar links inner outer slot unit".split()
 )
+#: Names of what readers write, and what these are put together with; they go with all they hold.
+_COMMENTS = set("comment comments commentlist disqus reply replies respond".split())
+_COMMENT_AFFIXES = _AFFIXES | set(
+    "area author body content count entry form item link list meta reply respond section text thread title".split()
+)
 _CLOSES = {
     "li": {"li"},
     "dt": {"dt", "dd"},
@@ -95,6 +100,7 @@ class Node:
     mark: int = 0
     size: int = 1
     doubtful: bool = False  # named like an element that is never part of an article
+    comment: bool = False  # named like what readers write
 
     def seal(self) -> "Node":
         """Set the mark, equal for equal subtrees with equal text, and the size, from the leaves up."""
@@ -163,31 +169,102 @@ def _doubtful(tag: str, attributes: str) -> bool:
     return False
 
 
+def _of_readers(tag: str, attributes: str) -> bool:
+    """Whether a class or the id begins with a name of comments: comment-body, not no-comments."""
+    if "=" not in attributes or tag in ("body", "html", "main"):
+        return False
+    for name, *values in _ATTRIBUTE.findall(attributes):
+        for token in "".join(values).lower().split() if name.lower() != "role" else ():
+            words = _NAME.findall(token)
+            if words and words[0] in _COMMENTS and set(words) <= _COMMENTS | _COMMENT_AFFIXES:
+                return True
+    return False
+
+
 def _without_doubtful(root: Node) -> None:
-    """Drop doubtful elements, except those that contain an article, an h1 or most of the text."""
+    """Drop doubtful elements, except those that contain an article, an h1 or most of the text; comments of
+    readers, however long and whatever they are marked up as, except where they contain an h1.
+    """
     order, stack = [], [root]
     while stack:
         order.append(node := stack.pop())
         stack += node.children
     chars: dict[int, int] = {}
     titled: dict[int, bool] = {}
+    headed: dict[int, bool] = {}
     for node in reversed(order):
-        chars[id(node)] = len(node.text or "") + sum(chars[id(c)] for c in node.children)
-        titled[id(node)] = node.label in ("article", "h1") or any(titled[id(c)] for c in node.children)
+        chars[id(node)] = len(node.text or "") + sum(chars[id(c)] for c in node.children if not c.comment)
+        headed[id(node)] = node.label == "h1" or any(headed[id(c)] for c in node.children)
+        article = node.label == "article" or any(titled[id(c)] for c in node.children)
+        titled[id(node)] = headed[id(node)] or (article and not node.comment)
     for node in order:
         node.children = [
-            c for c in node.children if not c.doubtful or titled[id(c)] or 2 * chars[id(c)] > chars[id(root)]
+            c
+            for c in node.children
+            if headed[id(c)]
+            or not (c.comment or c.doubtful)
+            or (not c.comment and (titled[id(c)] or 2 * chars[id(c)] > chars[id(root)]))
         ]
 
 
+def _main_part(root: Node, articles: list[Node], mains: list[Node]) -> Node:
+    """What the content is looked for in: the main element that holds the articles, else the articles. If none of
+    them has a headline of its own and there is one outside, the element that holds both: a headline and what
+    stands between it and the article belong to it.
+    """
+    if not articles:
+        return Node("#root", mains[:1]) if mains else root
+    parent: dict[int, Node] = {}
+    order, stack = [], [root]
+    while stack:
+        order.append(node := stack.pop())
+        for child in reversed(node.children):
+            parent[id(child)] = node
+            stack.append(child)
+
+    def above(node: Node) -> list[Node]:
+        path = [node]
+        while id(path[-1]) in parent:
+            path.append(parent[id(path[-1])])
+        return path[::-1]
+
+    holding = {id(n) for article in articles for n in above(article)}
+    around = [m for m in mains if id(m) in holding]
+    if around:
+        return Node("#root", around[:1])
+    inside = {id(n) for article in articles for n in _nodes_of(article)}
+    titles = [n for n in order if n.label == "h1"]
+    outside = [n for n in titles if id(n) not in inside]
+    if not outside or len(outside) < len(titles):
+        return Node("#root", articles)
+    paths = [above(n) for n in (outside[0], *articles)]
+    common = root
+    for step in zip(*paths, strict=False):
+        if any(n is not step[0] for n in step):
+            break
+        common = step[0]
+    return common if common is root else Node("#root", [common])
+
+
+def _nodes_of(root: Node) -> list[Node]:
+    found, stack = [], [root]
+    while stack:
+        found.append(node := stack.pop())
+        stack += node.children
+    return found
+
+
 def parse(page: str) -> Node:
-    """The tree of what may be content: of the articles if there are any, else of the main part or body."""
+    """The tree of what may be content: of the articles and their headline if there are any, else of the main part
+    or body.
+    """
     root = Node("#root")
     stack: list[tuple[str, Node | None]] = [("#root", root)]
     articles, mains = [], []
     run: list[str] = []
     opened: Counter[str] = Counter()  # open elements by tag
     dropped = 0  # open elements that are left out
+    readers = 0  # open elements of comments
 
     def push(tag: str, node: Node | None) -> None:
         nonlocal dropped
@@ -204,12 +281,13 @@ def parse(page: str) -> Node:
             run.clear()
 
     def close(upto: int) -> None:
-        nonlocal dropped
+        nonlocal dropped, readers
         flush()
         while len(stack) > upto:
             tag, node = stack.pop()
             opened[tag] -= 1
             dropped -= node is None
+            readers -= node is not None and node.comment
 
     while at < end:
         found = _TOKEN.search(page, at)
@@ -257,16 +335,16 @@ def parse(page: str) -> Node:
         if dropped or _left_out(tag, attributes, bool(opened["article"] or opened["main"])):
             push(tag, None)
             continue
-        node = Node(tag, doubtful=_doubtful(tag, attributes))
+        node = Node(tag, doubtful=_doubtful(tag, attributes), comment=_of_readers(tag, attributes))
         stack[-1][1].children.append(node)
         push(tag, node)
-        if tag == "article" and opened[tag] == 1:
+        readers += node.comment
+        if tag == "article" and opened[tag] == 1 and not readers:
             articles.append(node)
         elif tag == "main":
             mains.append(node)
     flush()
-    if articles or mains:
-        root = Node("#root", articles or mains[:1])
+    root = _main_part(root, articles, mains)
     _without_doubtful(root)
     return root.seal()
 

@@ -231,6 +231,27 @@ def test_names_that_only_resemble_adverts_stay():
         assert text_of(f"<p>long enough text</p><div class='{name}'>z</div>") == ["long enough text"], name
 
 
+def test_comments_of_readers_go():
+    thread = "<ol class='comment-list'><li class='comment'><article class='comment-body'><p>" + "nice " * 200 + "</p></article></ol>"
+    for box in ("div id='comments' class='comments-area'", "section class='comments'", "div id=disqus_thread", "div id='respond'"):
+        held = f"<{box}><h2>2 replies</h2>{thread}</{box.split()[0]}>"
+        for page in (f"<article><h1>t</h1><p>body</p>{held}</article>", f"<article><h1>t</h1><p>body</p></article>{held}",
+                     f"<main><h1>t</h1><p>body</p>{held}</main>", f"<div><h1>t</h1><p>body</p>{held}</div>"):
+            assert text_of(f"<body>{page}</body>") == ["t", "body"], (box, page)
+    assert text_of("<article class='comment'><p>x</p></article><p>y</p>") == ["y"]
+    for name in ("no-comments", "has-comments", "commentary", "comment-on-the-news-of-the-day"):
+        assert text_of(f"<article><h1>t</h1><div class='{name}'>x</div></article>") == ["t", "x"], name
+
+
+def test_headline_and_lead_outside_the_article_stay():
+    body = "<article><p>Body</p></article>"
+    assert text_of(f"<main><h1>Headline</h1><p>Intro</p>{body}</main><p>x</p>") == ["Headline", "Intro", "Body"]
+    assert text_of(f"<div><p>menu</p></div><div><h1>Headline</h1><p>Intro</p><div>{body}</div></div>") == ["Headline", "Intro", "Body"]
+    assert text_of("<h1>Site</h1><article><h1>t</h1><p>a</article><p>x</p>") == ["t", "a"]
+    assert text_of(f"<p>x</p>{body}<article><p>More</p></article>") == ["Body", "More"]
+    assert text_of(f"<main><p>x</p></main><main>{body}</main>") == ["Body"]
+
+
 PAGE = (
     "<html><body><div class='x1'>Welcome to the site</div><div><div>Body {i} text one. unique{i} and long words "
     "here {i}</div><p>second {i}{i} <b>bold<p>third &amp; {i}</div><div>Subscribe now for all!</div></body></html>"
