@@ -11,7 +11,6 @@ LOCALES = ("sq", "en")
 
 # Display text by key, as (Albanian, English).
 TEXT = {
-    "allDepartments": ("Të gjitha drejtoritë", "All departments"),
     "departments.public": ("Shërbimet publike", "Public services"),
     "departments.urban": ("Urbanistika", "Urban planning"),
     "departments.social": ("Shërbimet sociale", "Social services"),
@@ -21,12 +20,8 @@ TEXT = {
     "resolved": ("Kërkesa të zgjidhura", "Requests resolved"),
     "onTime": ("Zgjidhur brenda afatit", "Resolved on time"),
     "overdue": ("Kërkesa të vonuara", "Overdue requests"),
-    "chartReceived": ("Të pranuara", "Received"),
-    "chartResolved": ("Të zgjidhura", "Resolved"),
-    "onTarget": ("Në objektiv", "On target"),
     "belowTarget": ("Nën objektiv", "Below target"),
     "stale": ("Burim i vjetruar", "Outdated source"),
-    "fresh": ("I përditësuar", "Up to date"),
     "updated": ("Përditësuar", "Updated"),
     "goal": ("Objektivi: {target}% në afat", "Target: {target}% on time"),
     "noAlerts": ("Nuk ka çështje me përparësi", "No priority exceptions"),
@@ -100,14 +95,6 @@ TEXT = {
         "Në {departments} drejtori, nga 1 deri më {last_day}. {department} pranuan pjesën më të madhe.",
         "Across {departments} departments, from 1 to {last_day}. {department} received the largest share.",
     ),
-    "unsupportedQuestion": (
-        "Kjo pyetje nuk ka përgjigje të llogaritur. Zgjidhni një nga pyetjet e dhëna.",
-        "This question has no computed answer. Choose one of the given questions.",
-    ),
-    "emptyQuestion": (
-        "Shkruani një pyetje ose zgjidhni një shembull.",
-        "Enter a question or choose an example.",
-    ),
     "draft": ("Draft", "Draft"),
     "briefingHeading": ("Raporti i shërbimeve bashkiake", "Municipal service briefing"),
     "executiveSummary": ("Përmbledhje për drejtimin", "Executive summary"),

@@ -6,6 +6,7 @@ the form the Spark plans use.
 
 from __future__ import annotations
 
+from ..functions.text import LONG_MONTHS, SHORT_MONTHS
 from ..operators import labels
 from ..operators.kpi import ALL
 from ..operators.quality import PII_HEADERS, PII_VALUES
@@ -292,15 +293,7 @@ def _pick(c: str, names) -> str:
     return "(" + "CASE " + c + " " + " ".join(f"WHEN {i} THEN {_text(n)}" for i, n in enumerate(names, 1)) + " END)"
 
 
-# Names of the months.
-_SHORT = {
-    "sq": "jan shk mar pri maj qer korr gush sht tet nën dhj".split(),
-    "en": "Jan Feb Mar Apr May Jun Jul Aug Sep Oct Nov Dec".split(),
-}
-_LONG = {
-    "sq": "janar shkurt mars prill maj qershor korrik gusht shtator tetor nëntor dhjetor".split(),
-    "en": "January February March April May June July August September October November December".split(),
-}
+_SHORT, _LONG = SHORT_MONTHS, LONG_MONTHS
 
 
 # The data has five departments.
