@@ -83,7 +83,7 @@ def _chunks(docs: DataFrame) -> DataFrame:
             )
 
     kind = docs.schema["id"].dataType.simpleString()
-    return map_arrow(docs, cut, f"key long, id {kind}, chunk int, start int, size int, lines int, hash long")
+    return map_arrow(docs, cut, f"key binary, id {kind}, chunk int, start int, size int, lines int, hash long")
 
 
 def _without(text: Column, ranges: Column) -> Column:
@@ -190,7 +190,7 @@ def _windows(docs: DataFrame) -> DataFrame:
             columns += [pa.array(numbers, pa.int32()), pa.array(hashes, pa.int64())]
             yield pa.record_batch(columns, ["key", "id", "chunk", "hash"])
 
-    return map_arrow(docs, cut, f"key long, id {docs.schema['id'].dataType.simpleString()}, chunk int, hash long")
+    return map_arrow(docs, cut, f"key binary, id {docs.schema['id'].dataType.simpleString()}, chunk int, hash long")
 
 
 def _window(lines: list[str], number: int) -> str:
@@ -213,7 +213,7 @@ def _window_texts(docs: DataFrame) -> DataFrame:
             yield pa.record_batch([*columns, pa.array(texts, pa.string())], ["key", "id", "chunk", "hash", "bytes"])
 
     kind = docs.schema["id"].dataType.simpleString()
-    return map_arrow(docs, cut, f"key long, id {kind}, chunk int, hash long, bytes string")
+    return map_arrow(docs, cut, f"key binary, id {kind}, chunk int, hash long, bytes string")
 
 
 def dedup_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
