@@ -628,7 +628,7 @@ def mapping_proposal(spark, path):
 
 @query
 def golden_accuracy(spark, path):
-    """KPI table against independent counts per department, month and measure."""
+    """KPI table against independent counts of received and resolved requests per department and month."""
     requests = canonical.requests(spark, path)
     question = F.concat_ws("/", "department", F.col("period").cast("string"), "measure")
 
