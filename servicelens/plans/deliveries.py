@@ -36,20 +36,18 @@ MOST_ROWS = 430
 BLOCKS_ABOVE = 1000
 
 
-def _ingested(spark: SparkSession, path: str) -> str:
-    """All exports taken in as a first delivery, then those of one source once more."""
-    records, verdicts = queries._landed(spark, path, broken=True)
-    out = staging_path(spark, "ingested")
+def _take_in(spark: SparkSession, landed: tuple[DataFrame, DataFrame], out: str, number: int, sources=None) -> None:
     source = exports.path_part("source")
-    for number, sources in ((1, None), (2, [AGAIN])):
-        ingest.ingest(spark, records, verdicts, source, out, number, TYPES, PATTERNS, sources=sources)
-    return out
+    ingest.ingest(spark, *landed, source, out, number, TYPES, PATTERNS, sources=sources)
 
 
 @query
 def ingest_outcomes(spark, path):
-    """What became of every delivered row: requests, faulty rows by fault, refused files."""
-    rows = ingest.ingested(spark, _ingested(spark, path))
+    """What became of every delivered row: requests, faulty rows by fault, refused files; one source came twice."""
+    landed, out = queries._landed(spark, path, broken=True), staging_path(spark, "ingested")
+    _take_in(spark, landed, out, 1)
+    _take_in(spark, landed, out, 2, [AGAIN])
+    rows = ingest.ingested(spark, out)
     counted = rows.groupBy(
         exports.path_part("kind").alias("kind"),
         "source_id",
@@ -67,15 +65,17 @@ def ingest_outcomes(spark, path):
 @query
 def released_rows(spark, path):
     """Faulty rows whose department was missing get one; the others stay in quarantine."""
-    out = _ingested(spark, path)
+    records, verdicts = queries._landed(spark, path, broken=True)
+    kind, out = exports.path_part("kind") == "faulty", staging_path(spark, "ingested")
+    _take_in(spark, (records.where(kind), verdicts.where(kind)), out, 1)
     faulty = ingest.quarantine(spark, out).where(F.col("outcome") == ingest.FAULTY)
     lost = F.exists("faults", lambda f: (f["field"] == "department") & (f["problem"] == "missing"))
     given = F.create_map(F.lit("department"), F.lit("UNKNOWN"))
     mended = store.save_table(
         faulty.where(lost).select("source_id", "file", "pos", given.alias("given")), staging_path(spark, "corrections")
     )
-    ingest.release(spark, out, mended, TYPES, FIELDS, mapping.REQUIRED, 3)
-    rows = ingest.ingested(spark, out).where(exports.path_part("kind") == "faulty")
+    ingest.release(spark, out, mended, TYPES, FIELDS, mapping.REQUIRED, 2)
+    rows = ingest.ingested(spark, out)
     unknown = F.coalesce(F.col("department") == "UNKNOWN", F.lit(False))
     return rows.groupBy("source_id", "outcome", unknown.alias("mended")).agg(F.count("*").alias("rows"))
 

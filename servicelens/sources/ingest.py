@@ -95,7 +95,7 @@ def ingest(
     tasks and files; a delivery that breaks off can be given again.
     """
     if sources is not None:
-        verdicts = verdicts.where(source.isin(*sources))
+        records, verdicts = (df.where(source.isin(*sources)) for df in (records, verdicts))
     mapping = file_mapping(verdicts, patterns, required)
     dealt = deal_rows(records, verdicts, mapping, source, types, [f for f, _ in patterns], required)
     store.write_delivery(dealt, f"{path}/rows", f"{path}/log", delivery, sort_by="outcome")
