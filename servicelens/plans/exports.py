@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..session import staging_path
@@ -34,12 +36,19 @@ def _rows(spark: SparkSession, path: str) -> DataFrame:
     return save_table(rows, staging_path(spark, "export-rows"))
 
 
-def write_exports(spark: SparkSession, path: str, broken: bool) -> str:
-    """Good exports, and with `broken` those of every fault; returns their folder."""
+#: Orders per task that writes exports, so that what a task sorts does not grow with the orders.
+TASK_ROWS = 100_000
+
+
+def write_exports(spark: SparkSession, path: str, kinds: Sequence[str] = ()) -> str:
+    """Exports of the `kinds` named, or of all; returns their folder. A kind is the same whatever is written beside it."""
     out, rows = staging_path(spark, "exports"), _rows(spark, path)
-    _write_good(rows, out)
-    if broken:
-        _write_broken(rows, out)
+    tasks = max(1, -(-rows.count() // TASK_ROWS))
+    rows = rows.repartition(tasks, "source", "shard")
+    if not kinds or "good" in kinds:
+        _write_good(rows, out)
+    if not kinds or set(kinds) - {"good"}:
+        _write_broken(rows, out, kinds)
     return out
 
 
@@ -65,19 +74,31 @@ def _stamp(spark: SparkSession, path: str) -> tuple[int, int]:
     return tuple(files.agg(F.count("*"), F.bit_xor(mark)).first())
 
 
-def kept_exports(spark: SparkSession, path: str) -> str:
-    """The folder of exports of every kind, written once per session for the tables as they are."""
-    key = (spark.sparkContext.applicationId, path, _stamp(spark, path))
-    if key in _kept:
-        try:
-            spark.read.option("recursiveFileLookup", True).text(_kept[key])  # looks for the folder only
-            return _kept[key]
-        except AnalysisException:  # it was cleared away
-            pass
-    _kept[key] = write_exports(spark, path, broken=True)
+def _still_there(spark: SparkSession, key: tuple) -> str | None:
+    """The folder kept under a key, unless it was cleared away."""
+    if key not in _kept:
+        return None
+    try:
+        spark.read.option("recursiveFileLookup", True).text(_kept[key])  # looks for the folder only
+    except AnalysisException:
+        return None
     return _kept[key]
 
 
+def kept_exports(spark: SparkSession, path: str, kinds: Sequence[str] = ()) -> str | list[str]:
+    """The folder of exports of every kind, or the folders of the `kinds` named, written once per session for the
+    tables as they are.
+    """
+    tables = (spark.sparkContext.applicationId, path, _stamp(spark, path))
+    for key in dict.fromkeys([tables, (*tables, *kinds)]):
+        out = _still_there(spark, key)
+        if out:
+            break
+    else:
+        out = _kept[key] = write_exports(spark, path, kinds)
+    return [f"{out}/kind={kind}" for kind in kinds] if kinds else out
+
+
 def _lines(spark: SparkSession, path: str) -> DataFrame:
     """(source, year, id, line): a plain line per order, and a header for each source and year."""
     rows = canonical.requests(spark, path, located=True, closings=False).select(
@@ -144,7 +165,7 @@ def write_empty(spark: SparkSession, out: str) -> None:
 
 
 def _write_good(rows: DataFrame, out: str) -> None:
-    """One file per source and shard: quoted cells with commas, quotes and line breaks."""
+    """One file per source and shard, which `rows` has in one partition: quoted cells with commas, quotes and line breaks."""
     albanian = F.col("source") == ALBANIAN_SOURCE
     named = (
         (rows.where(~albanian).withColumnRenamed("id", "request_id"), "en"),
@@ -156,18 +177,18 @@ def _write_good(rows: DataFrame, out: str) -> None:
     for frame, locale in named:
         first = frame.columns[2]
         (
-            frame.repartition("source", "shard")
-            .sortWithinPartitions("source", "shard", first)
+            frame.sortWithinPartitions("source", "shard", first)
             .write.partitionBy("source", "shard")
             .options(header=True, escape='"')
             .csv(f"{out}/kind=good/locale={locale}")
         )
 
 
-def _write_broken(rows: DataFrame, out: str) -> None:
+def _write_broken(rows: DataFrame, out: str, kinds: Sequence[str] = ()) -> None:
     """One file per kind of fault, source and shard, written as bare lines.
 
-    `blank` files are sound: blank lines between records count for nothing.
+    Lines are made after the orders of a source and shard were brought together, so none is shuffled. `blank` files
+    are sound: blank lines between records count for nothing.
     """
     line = F.concat_ws(",", "id", "department", "status")
     faulty = F.col("status") == "in_progress"
@@ -198,6 +219,8 @@ def _write_broken(rows: DataFrame, out: str) -> None:
         ),
     }
 
+    texts = {kind: text for kind, text in texts.items() if not kinds or kind in kinds}
+
     def entry(kind: str, order: Column, text: Column) -> Column:
         return F.struct(
             F.lit(kind).alias("kind"), order.cast("long").alias("line_no"), text.alias("line")
@@ -205,19 +228,23 @@ def _write_broken(rows: DataFrame, out: str) -> None:
 
     titles = F.array(*[entry(k, F.lit(-1), F.lit(title)) for k, (title, _) in texts.items()])
     bodies = [entry(k, F.col("id"), body) for k, (_, body) in texts.items() if body is not None]
-    bodies += [F.when(faulty, entry("blank", F.col("id"), F.lit(gap))) for gap in ("  ", "\t")]
-    bodies = F.array_compact(F.array(*bodies))
+    if "blank" in texts:
+        bodies += [F.when(faulty, entry("blank", F.col("id"), F.lit(gap))) for gap in ("  ", "\t")]
+    # the order of a file that comes first brings the title; ids of a shard may be any, so it is looked for
+    first = Window.partitionBy("source", "shard").orderBy("id")
+    given = F.array_compact(F.array(*bodies))
     lines = (
-        rows.select("source", "shard").distinct().select("source", "shard", F.inline(titles))
-        .unionByName(rows.select("source", "shard", F.inline(bodies)))
-        .repartition("kind", "source", "shard")
+        rows.withColumn("_leads", F.row_number().over(first) == 1)
+        .select("source", "shard", F.inline(F.when(F.col("_leads"), F.concat(titles, given)).otherwise(given)))
         .sortWithinPartitions("kind", "source", "shard", "line_no")
         .drop("line_no")
     )
     parts = ["kind", "source", "shard"]
     is_text = F.col("kind") == "text"
-    lines.where(is_text).write.partitionBy(*parts).mode("append").text(out)
-    lines.where(~is_text).write.partitionBy(*parts).mode("append").options(**AS_THEY_ARE).csv(out)
+    if "text" in texts:
+        lines.where(is_text).write.partitionBy(*parts).mode("append").text(out)
+    if set(texts) - {"text"}:
+        lines.where(~is_text).write.partitionBy(*parts).mode("append").options(**AS_THEY_ARE).csv(out)
 
 
 def path_part(name: str) -> Column:

@@ -498,8 +498,7 @@ def display_text(spark, path):
 
 def _landed(spark: SparkSession, path: str, broken: bool):
     """The landed records of written exports and the table of their verdicts."""
-    out = exports.kept_exports(spark, path)
-    out = out if broken else f"{out}/kind=good"
+    out = exports.kept_exports(spark, path, () if broken else ["good"])
     limits = csv.FileLimits(max_columns=exports.MOST_COLUMNS) if broken else csv.FileLimits()
     records = csv.land_records(spark, out, staging_path(spark, "landed"), limits)
     verdicts = csv.file_verdict(spark, out, limits, records=records)

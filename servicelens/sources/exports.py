@@ -82,7 +82,7 @@ def _name(file: str) -> Column:
     return F.url_decode(F.replace(F.substring_index(file, "/", -1), F.lit("+"), F.lit("%2B")))
 
 
-def listing(spark: SparkSession, path: str) -> DataFrame:
+def listing(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """(file, name, bytes, modified) of every file; contents are not read.
 
     Scans skip files of zero bytes. Their names come from the file index of the read, which the
@@ -109,7 +109,7 @@ def listing(spark: SparkSession, path: str) -> DataFrame:
 
 def raw_records(
     spark: SparkSession,
-    path: str,
+    path: str | list[str],
     max_bytes: int | None = None,
     split_above: int = SPLIT_ABOVE,
     returns: Sequence[str] = (),
@@ -282,7 +282,7 @@ def parse_records(records: DataFrame) -> DataFrame:
 
 def land_records(
     spark: SparkSession,
-    path: str,
+    path: str | list[str],
     out: str,
     limits: FileLimits = NO_LIMITS,
     split_above: int = SPLIT_ABOVE,
@@ -377,7 +377,7 @@ def empty_files(stats: DataFrame, files: DataFrame) -> DataFrame:
 
 def file_verdict(
     spark: SparkSession,
-    path: str,
+    path: str | list[str],
     limits: FileLimits = NO_LIMITS,
     split_above: int = SPLIT_ABOVE,
     locale: str | None = None,

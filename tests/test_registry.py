@@ -53,3 +53,21 @@ def test_statements_do_not_run_before_they_are_judged(spark):
     spark.sql("select 1 as n").createOrReplaceTempView("kept_view")
     insights.statements.check_statement(spark, "drop view kept_view", ["kept_view"])
     assert spark.table("kept_view").count() == 1
+
+
+def test_exports_of_some_kinds_are_those_of_all(spark):
+    """Only what is asked for is written, and it is what it would be beside the others."""
+    from servicelens.plans import exports
+
+    def files(folder, kinds):
+        found = spark.read.option("recursiveFileLookup", True).option("lineSep", "\n").text([f"{folder}/kind={k}" for k in kinds], wholetext=True)
+        rows = found.selectExpr("regexp_extract(_metadata.file_path, '/(kind=.*)/', 1) AS place", "value").collect()
+        return sorted(map(tuple, rows))
+
+    every = exports.write_exports(spark, TABLES)
+    kinds = ["good", "faulty", "blank"]
+    some = exports.write_exports(spark, TABLES, kinds)
+    assert sorted(n for n in os.listdir(some) if n.startswith("kind=")) == sorted(f"kind={k}" for k in kinds)
+    assert files(some, kinds) == files(every, kinds)
+    places = [place for place, _ in files(every, ["text", "empty", *kinds])]
+    assert len(places) == len(set(places))
