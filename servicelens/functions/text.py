@@ -29,8 +29,19 @@ def col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def _visible(c: Column) -> Column:
+    """Whether a text starts with a visible ASCII character: no pattern has to look for white space there."""
+    return F.ascii(c).between(33, 126)
+
+
+def not_blank(c: Column | str) -> Column:
+    return _visible(col(c)) | ~col(c).rlike(f"^{SPACE}*$")
+
+
 def trim_all(c: Column | str) -> Column:
-    return F.regexp_replace(col(c), f"^{SPACE}+|{SPACE}+$", "")
+    c = col(c)
+    ends = _visible(c) & _visible(F.substring(c, -1, 1))
+    return F.when(ends, c).otherwise(F.regexp_replace(c, f"^{SPACE}+|{SPACE}+$", ""))
 
 
 def is_blank(c: Column | str) -> Column:

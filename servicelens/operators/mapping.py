@@ -104,19 +104,30 @@ def coerce(df: DataFrame, types: Mapping[str, str]) -> tuple[DataFrame, DataFram
     return typed, errors
 
 
-def row_faults(types: Mapping[str, str], required: Sequence[str] = ()) -> Column:
-    """The faults of a row, (field, problem): `type` for a given value that does not fit, `missing` for a
+def with_faults(df: DataFrame, types: Mapping[str, str], required: Sequence[str] = ()) -> DataFrame:
+    """The rows with their `faults`, (field, problem): `type` for a given value that does not fit, `missing` for a
     required one that is not there.
+
+    Texts are trimmed in one step, judged in the next and listed in a third: as one expression this is more code than
+    the JVM compiles.
     """
-    faults = []
-    for name in dict.fromkeys([*types, *required]):
-        given = F.nullif(trim_all(F.col(name).cast("string")), F.lit("")).isNotNull()
-        fits = _typed(name, types[name]).isNotNull() if name in types else F.lit(True)
-        wrong = F.when(given & ~fits, F.struct(F.lit(name).alias("field"), F.lit("type").alias("problem")))
-        if name in required:
-            wrong = F.when(~given, F.struct(F.lit(name).alias("field"), F.lit("missing").alias("problem"))).otherwise(wrong)
-        faults.append(wrong)
-    return F.array_compact(F.array(*faults))
+    names = list(dict.fromkeys([*types, *required]))
+
+    def problem(name: str) -> Column:
+        text = F.col(f"_text_{name}")
+        found = F.when(text.isNull(), F.lit("missing" if name in required else None).cast("string"))
+        return found.when(text.try_cast(types[name]).isNull(), "type") if name in types else found
+
+    trimmed = df.withColumns({f"_text_{n}": F.nullif(trim_all(F.col(n).cast("string")), F.lit("")) for n in names})
+    judged = trimmed.withColumns({f"_problem_{n}": problem(n) for n in names})
+    none = F.array().cast("array<struct<field:string,problem:string>>")
+    every = [
+        F.when(F.col(f"_problem_{n}").isNotNull(), F.struct(F.lit(n).alias("field"), F.col(f"_problem_{n}").alias("problem")))
+        for n in names
+    ]
+    sound = F.coalesce(*[F.col(f"_problem_{n}") for n in names], F.lit(None)).isNull()
+    faults = F.when(sound, none).otherwise(F.array_compact(F.array(*every)))
+    return judged.withColumn("faults", faults).drop(*[f"_{step}_{n}" for step in ("text", "problem") for n in names])
 
 
 def checked_rows(
@@ -126,7 +137,7 @@ def checked_rows(
 
     Together the two tables hold every row once.
     """
-    marked = df.withColumn("faults", row_faults(types, required))
+    marked = with_faults(df, types, required)
     sound = F.size("faults") == 0
     return typed_rows(marked.where(sound).drop("faults"), types), marked.where(~sound)
 

@@ -48,15 +48,19 @@ def ingest_outcomes(spark, path):
     _take_in(spark, landed, out, 1)
     _take_in(spark, landed, out, 2, [AGAIN])
     rows = ingest.ingested(spark, out)
-    counted = rows.groupBy(
+    # rows are counted by file first, so names of kinds and faults are made once a file
+    by_file = rows.groupBy("file", "source_id", "outcome", "faults").agg(
+        F.count("*").alias("rows"), F.sum("id").alias("id_sum"), F.max("delivery").alias("delivery")
+    )
+    counted = by_file.groupBy(
         exports.path_part("kind").alias("kind"),
         "source_id",
         "outcome",
         F.array_join(F.transform("faults", lambda f: F.concat_ws(" ", f["field"], f["problem"])), ", ").alias("faults"),
     )
     return counted.agg(
-        F.count("*").alias("rows"),
-        F.sum("id").alias("id_sum"),
+        F.sum("rows").alias("rows"),
+        F.sum("id_sum").alias("id_sum"),
         F.count_distinct("file").alias("files"),
         F.max("delivery").alias("delivery"),
     )

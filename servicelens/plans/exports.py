@@ -220,6 +220,17 @@ def _write_broken(rows: DataFrame, out: str, kinds: Sequence[str] = ()) -> None:
     }
 
     texts = {kind: text for kind, text in texts.items() if not kinds or kind in kinds}
+    plain = {kind: texts.pop(kind) for kind in ["text"] if kind in texts}
+    parts = ["kind", "source", "shard"]
+    if plain:
+        _broken_lines(rows, plain, faulty).write.partitionBy(*parts).mode("append").text(out)
+    if texts:
+        lines = _broken_lines(rows, texts, faulty)
+        lines.write.partitionBy(*parts).mode("append").options(**AS_THEY_ARE).csv(out)
+
+
+def _broken_lines(rows: DataFrame, texts: dict[str, tuple[str, Column | None]], faulty: Column) -> DataFrame:
+    """(kind, source, shard, line) by file: the title and a line per order of each kind."""
 
     def entry(kind: str, order: Column, text: Column) -> Column:
         return F.struct(
@@ -233,18 +244,12 @@ def _write_broken(rows: DataFrame, out: str, kinds: Sequence[str] = ()) -> None:
     # the order of a file that comes first brings the title; ids of a shard may be any, so it is looked for
     first = Window.partitionBy("source", "shard").orderBy("id")
     given = F.array_compact(F.array(*bodies))
-    lines = (
+    return (
         rows.withColumn("_leads", F.row_number().over(first) == 1)
         .select("source", "shard", F.inline(F.when(F.col("_leads"), F.concat(titles, given)).otherwise(given)))
         .sortWithinPartitions("kind", "source", "shard", "line_no")
         .drop("line_no")
     )
-    parts = ["kind", "source", "shard"]
-    is_text = F.col("kind") == "text"
-    if "text" in texts:
-        lines.where(is_text).write.partitionBy(*parts).mode("append").text(out)
-    if set(texts) - {"text"}:
-        lines.where(~is_text).write.partitionBy(*parts).mode("append").options(**AS_THEY_ARE).csv(out)
 
 
 def path_part(name: str) -> Column:

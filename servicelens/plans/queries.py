@@ -13,6 +13,7 @@ from ..functions.calendar import DEFAULT_DAYS
 from ..operators import ask, briefing, kpi, labels, mapping, quality, scorecard, signals, usage
 from ..operators import requests as rq
 from ..session import staging_path
+from ..sources import delivery
 from ..sources import exports as csv
 from ..sources import inventory as inv
 from ..sources import store
@@ -496,12 +497,13 @@ def display_text(spark, path):
     return changes.select("period", "department", *shown)
 
 
-def _landed(spark: SparkSession, path: str, broken: bool):
-    """The landed records of written exports and the table of their verdicts."""
-    out = exports.kept_exports(spark, path, () if broken else ["good"])
+def _landed(spark: SparkSession, path: str, broken: bool, kinds: tuple[str, ...] = ()):
+    """The landed records of written exports and the table of their verdicts; `kinds` are those a query asks about."""
+    out = exports.kept_exports(spark, path, kinds if broken else ("good",))
     limits = csv.FileLimits(max_columns=exports.MOST_COLUMNS) if broken else csv.FileLimits()
     records = csv.land_records(spark, out, staging_path(spark, "landed"), limits)
-    verdicts = csv.file_verdict(spark, out, limits, records=records)
+    files = store.save_table(delivery.discover(spark, out), staging_path(spark, "files"))
+    verdicts = csv.file_verdict(spark, out, limits, records=records, files=files)
     return records, store.save_table(verdicts, staging_path(spark, "verdicts"))
 
 

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.text import SPACE, fill, format_decimal, normalize_header, trim_all
+from ..functions.text import fill, format_decimal, normalize_header, not_blank, trim_all
 from ..operators.labels import text
 
 
@@ -150,7 +150,7 @@ def raw_records(
         for end, lines in cut.items():
             records = records.unionByName(_assembled(lines, end))
     # Blank records go first, so that the header of a small file is its part 0.
-    given = F.filter(_split("text"), lambda r: ~r.rlike(f"^{SPACE}*$"))
+    given = F.filter(_split("text"), not_blank)
     sound = ~F.col("text").contains('"') | F.forall(given, lambda r: r.rlike(_RECORD))
     kept = F.when(sound, given).otherwise(F.array(F.lit('"')))
     return records.select("file", "block", "row", F.posexplode(kept).alias("part", "raw")).select(
@@ -261,8 +261,12 @@ def _assembled(lines: DataFrame, end: str = "\n") -> DataFrame:
     )
 
 
-def parse_records(records: DataFrame) -> DataFrame:
-    """(file, pos, cells, well_quoted, raw): unquoted values; `raw` stays for bad records only."""
+def parse_records(records: DataFrame, max_columns: int | None = None) -> DataFrame:
+    """(file, pos, cells, n_cells, well_quoted, raw): unquoted values; `raw` stays for bad records only.
+
+    A record of more than `max_columns` cells has no place in an accepted file, so its cells are counted and, unless it
+    may be a header, not kept.
+    """
     quoted = F.col("raw").contains('"')
     pieces = F.regexp_extract_all(F.concat(F.lit(","), F.col("raw")), F.lit(_CELL), 1)
     unquoted = F.transform(
@@ -271,13 +275,25 @@ def parse_records(records: DataFrame) -> DataFrame:
             c.startswith('"'), F.replace(c.substr(F.lit(2), F.length(c) - 2), F.lit('""'), F.lit('"'))
         ).otherwise(c),
     )
-    return records.select(
+    commas = F.length("raw") - F.length(F.replace("raw", F.lit(","), F.lit("")))
+    parsed = records.select(
         "file",
         "pos",
         "raw",
-        F.when(quoted, unquoted).otherwise(F.split("raw", ",")).alias("cells"),
+        F.when(quoted, F.size(pieces)).otherwise(commas + 1).alias("n_cells"),
         (~quoted | F.col("raw").rlike(_RECORD)).alias("well_quoted"),
-    ).withColumn("raw", F.when(~F.col("well_quoted"), F.col("raw")))
+    )
+    cells = F.when(quoted, unquoted).otherwise(F.split("raw", ","))
+    if max_columns is not None:
+        cells = F.when((F.col("n_cells") <= max_columns) | (F.col("pos.part") == 0), cells)
+    return parsed.select(
+        "file",
+        "pos",
+        cells.alias("cells"),
+        "n_cells",
+        "well_quoted",
+        F.when(~F.col("well_quoted"), F.col("raw")).alias("raw"),
+    )
 
 
 def land_records(
@@ -294,31 +310,35 @@ def land_records(
     steps take it from the landed table.
     """
     records = raw_records(spark, path, limits.max_bytes, split_above, returns)
-    parse_records(records).write.mode("overwrite").parquet(out)
+    parse_records(records, limits.max_columns).write.mode("overwrite").parquet(out)
     return spark.read.parquet(out)
 
 
 def file_stats(records: DataFrame) -> DataFrame:
     """One row per file: record count, narrowest and widest record, quoting, header cells.
 
-    A file with broken quoting has no header. A single aggregation; its map side leaves one row per file and task. Only records that may be a
-    header carry their cells into it, which is one per small file.
+    A file with broken quoting has no header. Counts are numbers, so their aggregation hashes and sorts no record;
+    its map side leaves one row per file and task. Only records that may be a header go through the other one, which
+    is one per small file.
     """
-    may_be_header = F.when(F.col("pos.part") == 0, F.col("cells"))
-    return (
-        records.select(
-            "file", "pos", "well_quoted", F.size("cells").alias("n_cells"), may_be_header.alias("first_cells")
-        )
+    counts = (
+        records.select("file", "well_quoted", "n_cells")
         .groupBy("file")
         .agg(
             F.count("*").alias("records"),
             F.min("n_cells").alias("narrowest"),
             F.max("n_cells").alias("widest"),
             F.bool_and("well_quoted").alias("well_quoted"),
-            F.min("pos").alias("header_pos"),
-            F.min_by("first_cells", "pos").alias("header"),
         )
-        .withColumn("header", F.when(F.col("well_quoted"), F.transform("header", trim_all)))
+    )
+    # a part other than the first of its text has the first before it
+    headers = (
+        records.where(F.col("pos.part") == 0)
+        .groupBy("file")
+        .agg(F.min("pos").alias("header_pos"), F.min_by("cells", "pos").alias("header"))
+    )
+    return counts.join(headers, "file").withColumn(
+        "header", F.when(F.col("well_quoted"), F.transform("header", trim_all))
     )
 
 
@@ -456,11 +476,13 @@ def header_cells(verdicts: DataFrame) -> DataFrame:
     ).withColumn("normalized", normalize_header("header"))
 
 
-def data_records(records: DataFrame, verdicts: DataFrame) -> DataFrame:
-    """(file, pos, cells) of the data rows of accepted files; `records` is the landed table."""
-    accepted = verdicts.where(F.col("verdict") == "ok").select("file", "header_pos")
+def data_records(records: DataFrame, verdicts: DataFrame, also: Sequence[str] = ()) -> DataFrame:
+    """(file, pos, cells) of the data rows of accepted files; `records` is the landed table. `also` names columns of
+    the verdicts that each row gets.
+    """
+    accepted = verdicts.where(F.col("verdict") == "ok").select("file", "header_pos", *also)
     return (
-        records.drop("raw", "well_quoted")
+        records.drop("raw", "well_quoted", "n_cells")
         .join(accepted, "file")
         .where(F.col("pos") > F.col("header_pos"))
         .drop("header_pos")

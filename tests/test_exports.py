@@ -261,3 +261,16 @@ def test_metric_exports_and_views(spark, tmp_path):
         store.read_view(spark, "kpi_view", ["kpi_view"], ["id"], 3, cut=True)
     with pytest.raises(ValueError):
         store.read_view(spark, "secret", ["kpi_view"])
+
+
+def test_cells_of_records_that_are_too_wide_are_counted_only(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "wide.csv").write_text('a,b,c\n1,2,3\n1,"x,y",3,4\n')
+    (tmp_path / "in" / "good.csv").write_text("a,b\n1,2\n")
+    records = csv.land_records(spark, str(tmp_path / "in"), str(tmp_path / "out"), csv.FileLimits(max_columns=2))
+    got = sorted((r["n_cells"], r["cells"]) for r in records.where("file like '%wide%'").collect() if r["pos"]["part"])
+    assert got == [(3, None), (4, None)]
+    verdicts = csv.file_verdict(spark, str(tmp_path / "in"), csv.FileLimits(max_columns=2), records=records)
+    assert {r["name"]: (r["verdict"], r["rows"]) for r in verdicts.collect()} == {"wide.csv": ("format", 2), "good.csv": ("ok", 1)}
+    counts = csv.file_stats(records)._jdf.queryExecution().executedPlan().toString()
+    assert "HashAggregate" in counts
