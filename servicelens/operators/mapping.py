@@ -148,9 +148,11 @@ def typed_rows(df: DataFrame, types: Mapping[str, str]) -> DataFrame:
 
 
 def fault_counts(rejected: DataFrame, by: Sequence[str | Column] = ()) -> DataFrame:
-    """(by, field, problem, rows) of the rows that `checked_rows` put aside."""
+    """(by, field, problem, rows) of rows with `faults`, such as those that `checked_rows` put aside."""
     keys = [col(c) for c in by]
-    return rejected.select(*keys, F.inline("faults")).groupBy(
+    # the outer form keeps Spark from adding a filter on the size of the list
+    listed = rejected.select(*keys, F.inline_outer("faults")).where(F.col("problem").isNotNull())
+    return listed.groupBy(
         *[c for c in rejected.select(*keys).columns], "field", "problem"
     ).agg(F.count("*").alias("rows"))
 

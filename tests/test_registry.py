@@ -71,3 +71,22 @@ def test_exports_of_some_kinds_are_those_of_all(spark):
     assert files(some, kinds) == files(every, kinds)
     places = [place for place, _ in files(every, ["text", "empty", *kinds])]
     assert len(places) == len(set(places))
+
+
+@pytest.mark.parametrize(
+    ("name", "kinds"),
+    [("ingest_errors", ("faulty",)), ("released_rows", ("faulty",)), ("ingest_canonical", ("good",)), ("reused_mapping", ("good", "faulty")), ("mapping_proposal", ()), ("ingest_outcomes", ())],
+)
+def test_only_kinds_that_a_report_asks_about_are_written(spark, monkeypatch, name, kinds):
+    from servicelens.plans import exports
+
+    class Asked(Exception):
+        pass
+
+    def asked(spark, path, kinds=()):
+        raise Asked(tuple(kinds))
+
+    monkeypatch.setattr(exports, "kept_exports", asked)
+    with pytest.raises(Asked) as found:
+        {**queries.QUERIES, **deliveries.QUERIES}[name](spark, TABLES)
+    assert found.value.args[0] == kinds
