@@ -69,9 +69,8 @@ def ingest_outcomes(spark, path):
 @query
 def released_rows(spark, path):
     """Faulty rows whose department was missing get one; the others stay in quarantine."""
-    records, verdicts = queries._landed(spark, path, broken=True)
-    kind, out = exports.path_part("kind") == "faulty", staging_path(spark, "ingested")
-    _take_in(spark, (records.where(kind), verdicts.where(kind)), out, 1)
+    landed, out = queries._landed(spark, path, broken=True, kinds=("faulty",)), staging_path(spark, "ingested")
+    _take_in(spark, landed, out, 1)
     faulty = ingest.quarantine(spark, out).where(F.col("outcome") == ingest.FAULTY)
     lost = F.exists("faults", lambda f: (f["field"] == "department") & (f["problem"] == "missing"))
     given = F.create_map(F.lit("department"), F.lit("UNKNOWN"))
