@@ -507,9 +507,17 @@ def _landed(spark: SparkSession, path: str, broken: bool, kinds: tuple[str, ...]
     return records, store.save_table(verdicts, staging_path(spark, "verdicts"))
 
 
+def _verdicts(spark: SparkSession, path: str, kinds: tuple[str, ...] = ()) -> DataFrame:
+    """The table of the verdicts of written exports, without their records."""
+    out = exports.kept_exports(spark, path, kinds)
+    files = store.save_table(delivery.discover(spark, out), staging_path(spark, "files"))
+    verdicts = csv.file_verdict(spark, out, csv.FileLimits(max_columns=exports.MOST_COLUMNS), files=files)
+    return store.save_table(verdicts, staging_path(spark, "verdicts"))
+
+
 @query
 def ingest_verdict(spark, path):
-    _, verdicts = _landed(spark, path, broken=True)
+    verdicts = _verdicts(spark, path)
     rows = F.when(F.col("verdict") == "ok", F.col("rows"))
     return verdicts.groupBy(exports.path_part("kind").alias("kind"), "verdict").agg(
         F.count("*").alias("files"), F.sum(rows).alias("rows")
@@ -572,14 +580,14 @@ def _sources(verdicts: DataFrame) -> DataFrame:
 @query
 def source_lineage(spark, path):
     """What is kept of each source: its mapping, and how many files came with it."""
-    _, verdicts = _landed(spark, path, broken=False)
+    verdicts = _verdicts(spark, path, ("good",))
     return _sources(verdicts)
 
 
 @query
 def reused_mapping(spark, path):
     """Saved mappings put on the next upload of each source; headers in another language do not fit."""
-    _, verdicts = _landed(spark, path, broken=True)
+    verdicts = _verdicts(spark, path, ("good", "faulty"))
     lineage = store.save_table(_sources(verdicts), staging_path(spark, "lineage"))
     upload = csv.header_cells(verdicts.where(exports.path_part("kind") == "faulty"))
     headers = upload.withColumn("source", exports.path_part("source"))
@@ -607,7 +615,7 @@ def import_preview(spark, path):
 @query
 def mapping_proposal(spark, path):
     """Proposals for all accepted files; those of kind `unmapped` have no department."""
-    _, verdicts = _landed(spark, path, broken=True)
+    verdicts = _verdicts(spark, path)
     headers = csv.header_cells(verdicts)
     proposed = mapping.propose_mapping(headers)
     return (

@@ -124,6 +124,21 @@ def raw_records(
     `delivery.return_files`); without it such a file is one line, and one task reads it. Files modified before
     `since` are not opened.
     """
+    found = _records_of_texts(_texts(spark, path, max_bytes, split_above, returns, since))
+    return found.select("file", "block", "row", F.posexplode("kept").alias("part", "raw")).select(
+        "file", F.struct("block", "row", "part").alias("pos"), "raw"
+    )
+
+
+def _texts(
+    spark: SparkSession,
+    path: str | list[str],
+    max_bytes: int | None = None,
+    split_above: int = SPLIT_ABOVE,
+    returns: Sequence[str] = (),
+    since: dt.datetime | None = None,
+) -> DataFrame:
+    """(file, block, row, text): small files whole, large ones by record; see `raw_records`."""
     size = F.col("_metadata.file_size")
     found = {"recursiveFileLookup": True, "pathGlobFilter": _CSV_NAMES}
     whole = spark.read.options(**found).text(path, wholetext=True).where(size <= split_above)
@@ -145,17 +160,52 @@ def raw_records(
         F.lit(0).cast("long").alias("row"),
         F.regexp_replace("value", "^\\x{FEFF}", "").alias("text"),
     )
-    records = small
+    texts = small
     if max_bytes is None or max_bytes > split_above:
         for end, lines in cut.items():
-            records = records.unionByName(_assembled(lines, end))
+            texts = texts.unionByName(_assembled(lines, end))
+    return texts
+
+
+def _records_of_texts(texts: DataFrame) -> DataFrame:
+    """(file, block, row, kept, sound): the records of each text; of one with broken quoting a lone quote is kept."""
     # Blank records go first, so that the header of a small file is its part 0.
     given = F.filter(_split("text"), not_blank)
     sound = ~F.col("text").contains('"') | F.forall(given, lambda r: r.rlike(_RECORD))
     kept = F.when(sound, given).otherwise(F.array(F.lit('"')))
-    return records.select("file", "block", "row", F.posexplode(kept).alias("part", "raw")).select(
-        "file", F.struct("block", "row", "part").alias("pos"), "raw"
+    return texts.select("file", "block", "row", kept.alias("kept"), sound.alias("sound"))
+
+
+def text_stats(texts: DataFrame) -> DataFrame:
+    """What `file_stats` says, from texts as they are read: a row per small file is counted, not a row per record."""
+    quote = F.lit('"')
+
+    def width(raw: Column) -> Column:
+        pieces = F.size(F.regexp_extract_all(F.concat(F.lit(","), raw), F.lit(_CELL), 1))
+        return F.when(raw.contains(quote), pieces).otherwise(F.length(raw) - F.length(F.replace(raw, F.lit(","))) + 1)
+
+    read = _records_of_texts(texts).where(F.size("kept") > 0)
+    measured = read.select(
+        "file",
+        F.struct("block", "row", F.lit(0).alias("part")).alias("pos"),
+        F.col("kept")[0].alias("raw"),
+        F.size("kept").alias("n"),
+        F.transform("kept", width).alias("widths"),
+        "sound",
+    )
+    by_text = measured.select(
+        "file", "pos", "raw", "n", F.array_min("widths").alias("low"), F.array_max("widths").alias("high"), "sound"
+    )
+    stats = by_text.groupBy("file").agg(
+        F.sum("n").alias("records"),
+        F.min("low").alias("narrowest"),
+        F.max("high").alias("widest"),
+        F.bool_and("sound").alias("well_quoted"),
+        F.min("pos").alias("header_pos"),
+        F.min_by("raw", "pos").alias("raw"),
     )
+    header = F.transform(_cells(F.col("raw")), trim_all)
+    return stats.withColumn("header", F.when(F.col("well_quoted"), header)).drop("raw")
 
 
 def _split(text: str) -> Column:
@@ -261,6 +311,18 @@ def _assembled(lines: DataFrame, end: str = "\n") -> DataFrame:
     )
 
 
+def _cells(raw: Column) -> Column:
+    """The unquoted values of a record."""
+    pieces = F.regexp_extract_all(F.concat(F.lit(","), raw), F.lit(_CELL), 1)
+    unquoted = F.transform(
+        pieces,
+        lambda c: F.when(
+            c.startswith('"'), F.replace(c.substr(F.lit(2), F.length(c) - 2), F.lit('""'), F.lit('"'))
+        ).otherwise(c),
+    )
+    return F.when(raw.contains('"'), unquoted).otherwise(F.split(raw, ","))
+
+
 def parse_records(records: DataFrame, max_columns: int | None = None) -> DataFrame:
     """(file, pos, cells, n_cells, well_quoted, raw): unquoted values; `raw` stays for bad records only.
 
@@ -269,12 +331,6 @@ def parse_records(records: DataFrame, max_columns: int | None = None) -> DataFra
     """
     quoted = F.col("raw").contains('"')
     pieces = F.regexp_extract_all(F.concat(F.lit(","), F.col("raw")), F.lit(_CELL), 1)
-    unquoted = F.transform(
-        pieces,
-        lambda c: F.when(
-            c.startswith('"'), F.replace(c.substr(F.lit(2), F.length(c) - 2), F.lit('""'), F.lit('"'))
-        ).otherwise(c),
-    )
     commas = F.length("raw") - F.length(F.replace("raw", F.lit(","), F.lit("")))
     parsed = records.select(
         "file",
@@ -283,7 +339,7 @@ def parse_records(records: DataFrame, max_columns: int | None = None) -> DataFra
         F.when(quoted, F.size(pieces)).otherwise(commas + 1).alias("n_cells"),
         (~quoted | F.col("raw").rlike(_RECORD)).alias("well_quoted"),
     )
-    cells = F.when(quoted, unquoted).otherwise(F.split("raw", ","))
+    cells = _cells(F.col("raw"))
     if max_columns is not None:
         cells = F.when((F.col("n_cells") <= max_columns) | (F.col("pos.part") == 0), cells)
     return parsed.select(
@@ -413,11 +469,7 @@ def file_verdict(
     the new ones of a manifest; without it every file of the folder is listed.
     """
     files = listing(spark, path) if files is None else files.select("file", "name", "bytes", "modified")
-    if records is None:
-        records = parse_records(
-            raw_records(spark, path, limits.max_bytes, split_above)
-        )
-    stats = file_stats(records)
+    stats = text_stats(_texts(spark, path, limits.max_bytes, split_above)) if records is None else file_stats(records)
     checks = _checks(limits)
     verdict = (
         F.when(~F.lower("name").endswith(".csv"), "type")

@@ -90,3 +90,9 @@ def test_only_kinds_that_a_report_asks_about_are_written(spark, monkeypatch, nam
     with pytest.raises(Asked) as found:
         {**queries.QUERIES, **deliveries.QUERIES}[name](spark, TABLES)
     assert found.value.args[0] == kinds
+
+
+@pytest.mark.parametrize("name", ["ingest_verdict", "mapping_proposal", "reused_mapping", "source_lineage"])
+def test_reports_on_files_write_no_records(spark, monkeypatch, name):
+    monkeypatch.setattr(queries.csv, "land_records", lambda *_: pytest.fail("records are written"))
+    assert queries.QUERIES[name](spark, TABLES).count() > 0
