@@ -145,6 +145,38 @@ def test_keys_are_kept_and_phones_dropped(spark):
     assert personal.personal_columns(frame.limit(0)).where("rate > 0 or given > 0").isEmpty()
 
 
+def test_long_keys_are_no_cards(spark):
+    """Keys of 13 digits and more have Luhn's digit by chance; cards without separators have it throughout."""
+
+    def card(n):
+        stem = str(4000_0000_0000_000 + n * 7919)
+        total = sum(d - 9 * (d > 9) for d in (int(c) * (1 + (i + 1) % 2) for i, c in enumerate(reversed(stem))))
+        return stem + str(-total % 10)
+
+    rows = [(str((n + 998_990) * 1_000_003 + 1_000_000_000), card(n), f"paid {card(n)}", card(n) if n < 5 else "1") for n in range(400)]
+    frame = values_table(spark, rows, "long_key string, cards string, texts string, few string")
+    hits = {r["column"]: r["hits"] for r in personal.personal_columns(frame).where("kind = 'card'").collect()}
+    assert hits == {"long_key": 0, "cards": 400, "texts": 400, "few": 0}
+    assert personal.personal_columns(frame.limit(3)).where("kind = 'card' and column = 'long_key' and hits > 0").isEmpty()
+
+
+def test_personal_columns_of_large_ids_are_those_of_the_sql(spark, tmp_path):
+    import duckdb
+
+    from servicelens.plans import insights
+
+    docs = spark.range(998_900, 999_400).selectExpr(
+        "id AS doc_id", "concat('card 4111111111111111, or ', id) AS text", "'en' AS lang", "'s' AS source", "10L AS n_chars"
+    )
+    docs.coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    found = insights.QUERIES["personal_columns"](spark, str(tmp_path))
+    db = duckdb.connect()
+    db.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{tmp_path}/documents.parquet/*.parquet')")
+    wanted = db.execute(insights.ORACLE["personal_columns"])
+    names = [d[0] for d in wanted.description]
+    assert sorted(map(tuple, found.select(*names).collect())) == sorted(wanted.fetchall())
+
+
 def test_masked_text(spark):
     frame = values_table(spark, [("mail a@b.com or +1 (826) 555-4081", 1), (None, 2), ("key 1000000", 3)], "t string, n int")
     assert [r["t"] for r in personal.masked(frame, ["t"]).orderBy("n").collect()] == ["mail [email] or [phone]", None, "key 1000000"]
