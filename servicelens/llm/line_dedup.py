@@ -10,7 +10,8 @@ travel twice, once to read out candidate texts and once to be rewritten; counts
 a passage that a third of all documents share costs a row per task.
 
 Chunks miss passages whose surroundings put no boundary around two of their lines. `dedup_passages`
-takes every window of two lines as a candidate instead, so where a passage lies makes no difference.
+finds the chunks that are repeated, and then extends these matches line by line: every window of two
+lines that is not inside a chunk found is a candidate too, so where a passage lies makes no difference.
 """
 
 from __future__ import annotations
@@ -102,12 +103,15 @@ def _without(text: Column, ranges: Column) -> Column:
 def _places(chunks: DataFrame, texts: Callable[[DataFrame], DataFrame]) -> tuple[DataFrame, DataFrame]:
     """Rows of `chunks` whose bytes have an earlier place, and (key, chunk) of the first places of repeated bytes.
 
-    `texts` gives (key, id, chunk, hash, bytes) of those rows of `chunks` that it is called with.
+    `texts` gives (key, id, chunk, hash, bytes) of those rows of `chunks` that it is called with. The bytes of rows that
+    are `known` have a later place that is not among the rows.
     """
     place = F.struct(F.col("id").isNull().alias("null"), F.col("id"), F.col("key"), F.col("chunk"))
-    twice = chunks.groupBy("hash").agg(F.min(place).alias("a"), F.max(place).alias("b"))
+    known = "known" in chunks.columns
+    again = F.bool_or("known") if known else F.lit(False)
+    twice = chunks.groupBy("hash").agg(F.min(place).alias("a"), F.max(place).alias("b"), again.alias("again"))
     # kept as a table, so that the join below can split the rows of a hash that very many chunks share
-    twice = stored(twice.where(F.col("a") != F.col("b")).select("hash"), "repeated-hashes")
+    twice = stored(twice.where((F.col("a") != F.col("b")) | F.col("again")).select("hash"), "repeated-hashes")
     looked_up = texts(chunks.join(twice, "hash"))
     same = looked_up.groupBy("hash", "bytes").agg(F.min(place).alias("first")).select("hash", "first")
     same = stored(same, "same-bytes")
@@ -120,13 +124,33 @@ def _places(chunks: DataFrame, texts: Callable[[DataFrame], DataFrame]) -> tuple
     clashing = by_hash.where(F.col("n") > 1).select("hash")
     if not clashing.isEmpty():
         looked = looked_up.join(clashing, "hash")
-        firsts = looked.groupBy("hash", "bytes").agg(F.min(place).alias("first"), F.max(place).alias("last"))
+        if known:
+            looked = looked.join(chunks.select("key", "chunk", "known"), ["key", "chunk"])
+        firsts = looked.groupBy("hash", "bytes").agg(
+            F.min(place).alias("first"), F.max(place).alias("last"), again.alias("again")
+        )
         later = looked.join(firsts, ["hash", "bytes"]).where(place != F.col("first")).select("key", "chunk")
         spare = spare.unionByName(later.distinct().join(chunks.drop("id", "hash"), ["key", "chunk"]))
-        held = held.unionByName(firsts.where(F.col("first") != F.col("last")).select("first.key", "first.chunk"))
+        more = firsts.where((F.col("first") != F.col("last")) | F.col("again"))
+        held = held.unionByName(more.select("first.key", "first.chunk"))
     return spare, held
 
 
+def _repeated_chunks(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """What `_places` says of the chunks of (key, id, text)."""
+
+    def texts(repeated: DataFrame) -> DataFrame:
+        span = F.struct("chunk", "start", "size", "hash")
+        wanted = repeated.groupBy("key").agg(F.collect_set(span).alias("spans"))
+        return (
+            docs.join(wanted, "key")
+            .select("key", "id", "text", F.explode("spans").alias("s"))
+            .select("key", "id", "s.chunk", "s.hash", F.expr("substring(text, s.start + 1, s.size)").alias("bytes"))
+        )
+
+    return _places(stored(_chunks(docs), "line-chunks"), texts)
+
+
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of `docs` with repeated line chunks removed, and removed_chunks and removed_lines (int).
 
@@ -140,18 +164,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     narrow = docs.select(
         F.col("__key").alias("key"), F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")
     )
-    chunks = stored(_chunks(narrow), "line-chunks")
-
-    def texts(repeated: DataFrame) -> DataFrame:
-        span = F.struct("chunk", "start", "size", "hash")
-        wanted = repeated.groupBy("key").agg(F.collect_set(span).alias("spans"))
-        return (
-            narrow.join(wanted, "key")
-            .select("key", "id", "text", F.explode("spans").alias("s"))
-            .select("key", "id", "s.chunk", "s.hash", F.expr("substring(text, s.start + 1, s.size)").alias("bytes"))
-        )
-
-    spare, _ = _places(chunks, texts)
+    spare, _ = _repeated_chunks(narrow)
     removed = spare.groupBy(F.col("key").alias("__of")).agg(
         F.sort_array(F.collect_set(F.struct("start", "size", "lines"))).alias("__ranges")
     )
@@ -167,17 +180,21 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 
 def _windows(docs: DataFrame) -> DataFrame:
-    """(key, id, chunk, hash) of every two lines in a row that are not blank, and of every long line.
+    """(key, id, chunk, hash, within) of every two lines in a row that are not blank, and of every long line.
 
-    Number 2i stands for the lines i and i + 1, number 2i + 1 for line i alone.
+    Number 2i stands for the lines i and i + 1, number 2i + 1 for line i alone. `within` is the number of the chunk
+    of `_chunks` that holds these lines, null if a boundary parts them.
     """
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         digest = xxhash.xxh64_intdigest
         for batch in sliced(batches, "text"):
-            rows, numbers, hashes = [], [], []
+            rows, numbers, hashes, within = [], [], [], []
             for row, text in enumerate(texts_of(batch, "text")):
                 lines = text.split("\n")
+                if len(lines) > 1 or len(text) > 2 * LONG_LINE:
+                    sizes = np.diff([0, *chunk_ends(lines)])
+                    of = np.repeat(np.arange(len(sizes)), sizes).tolist()
                 blank = [not line or line.isspace() for line in lines]
                 found = [2 * i for i in range(len(lines) - 1) if not (blank[i] and blank[i + 1])]
                 # so many words take two characters each
@@ -185,12 +202,14 @@ def _windows(docs: DataFrame) -> DataFrame:
                 rows += [row] * len(found)
                 numbers += found
                 hashes += [digest(_window(lines, n).encode()) - (1 << 63) for n in found]
+                within += [of[n // 2] if n % 2 or of[n // 2] == of[n // 2 + 1] else None for n in found]
             taken = pa.array(rows, pa.int32())
             columns = [batch.column("key").take(taken), batch.column("id").take(taken)]
-            columns += [pa.array(numbers, pa.int32()), pa.array(hashes, pa.int64())]
-            yield pa.record_batch(columns, ["key", "id", "chunk", "hash"])
+            columns += [pa.array(numbers, pa.int32()), pa.array(hashes, pa.int64()), pa.array(within, pa.int32())]
+            yield pa.record_batch(columns, ["key", "id", "chunk", "hash", "within"])
 
-    return map_arrow(docs, cut, f"key binary, id {docs.schema['id'].dataType.simpleString()}, chunk int, hash long")
+    kind = docs.schema["id"].dataType.simpleString()
+    return map_arrow(docs, cut, f"key binary, id {kind}, chunk int, hash long, within int")
 
 
 def _window(lines: list[str], number: int) -> str:
@@ -223,6 +242,9 @@ def dedup_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     longer ones are made of these. Its first place, by id (nulls last) and then line, keeps it whole, also
     where it overlaps a passage that is repeated itself. All lines of other places go, so of a copy of a
     text of two lines or more nothing but blank lines is left. Other cases as in `dedup_lines`.
+
+    Chunks are matched first, by hash and bytes. What lies in a later place of a chunk is repeated as it is; only
+    the windows of the rest are looked up, those of first places among them.
     """
     own = [c for c in docs.columns if c != "removed_lines"]
     docs = docs.select(*own, row_key(id_col, text_col).alias("__key"))
@@ -234,7 +256,15 @@ def dedup_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         wanted = repeated.groupBy("key").agg(F.collect_set(F.struct("chunk", "hash")).alias("spans"))
         return _window_texts(narrow.join(wanted, "key"))
 
-    spare, held = _places(stored(_windows(narrow), "line-windows"), texts)
+    windows = stored(_windows(narrow), "line-windows")
+    later, first = (stored(f.select("key", F.col("chunk").alias("within")), "chunk-places") for f in _repeated_chunks(narrow))
+    # equal rows share a key, so the places of a chunk may be listed more than once
+    inside = windows.join(later, ["key", "within"], "left_semi")
+    rest = windows.join(later, ["key", "within"], "left_anti")
+    met = first.distinct().select("key", "within", F.lit(True).alias("known"))
+    rest = rest.join(met, ["key", "within"], "left").withColumn("known", F.coalesce("known", F.lit(False)))
+    spare, held = _places(stored(rest, "windows-left"), texts)
+    spare = spare.select("key", "chunk").unionByName(inside.select("key", "chunk"))
     both = spare.select("key", F.col("chunk").alias("spare"), F.lit(None).cast("int").alias("held")).unionByName(
         held.select("key", F.lit(None).cast("int").alias("spare"), F.col("chunk").alias("held"))
     )

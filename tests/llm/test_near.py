@@ -104,6 +104,29 @@ def test_short_passages_in_any_surroundings_go(documents):
     assert found == {0: rows[0][1], **{i: f"before {i}\nafter {i}" for i in range(1, 40)}, 50: rows[40][1], 51: "x"}
 
 
+def test_passages_are_found_as_chunks_first(documents, monkeypatch):
+    """Chunks that the rolling hash ends are matched, and windows inside their later places are not looked up again."""
+    seen, plain = [], line_dedup._places
+
+    def places(candidates, texts):
+        seen.append({(r["id"], r["chunk"]) for r in candidates.select("id", "chunk").collect()})
+        return plain(candidates, texts)
+
+    monkeypatch.setattr(line_dedup, "_places", places)
+    text = "\n".join(f"line {i} of a text" for i in range(60))
+    lines, first, inside = text.split("\n"), 0, set()
+    chunks = line_dedup.chunk_ends(lines)
+    for end in chunks:
+        inside |= {2 * i for i in range(first, end - 1)}
+        first = end
+    rows = [(1, text), (2, text), (3, text + "\nmore")]
+    found = {r["doc_id"]: r["text"] for r in line_dedup.dedup_passages(documents(rows)).collect()}
+    assert found == {i: t for i, (t, _) in slow_passages(rows).items()}
+    assert {c for i, c in seen[0] if i == 1} == {n for n, (a, b) in enumerate(zip([0, *chunks], chunks)) if b - a > 1}
+    assert {c for i, c in seen[1] if i == 1} == set(range(0, 118, 2))
+    assert {c for i, c in seen[1] if i == 2} == set(range(0, 118, 2)) - inside and inside
+
+
 def slow_fingerprint(text):
     text = re.sub("[A-Z]", lambda m: m[0].lower(), text or "")
     words = re.findall(r"[^\x20\x09-\x0D]+", text)
