@@ -125,9 +125,9 @@ def raw_records(
     `since` are not opened.
     """
     found = _records_of_texts(_texts(spark, path, max_bytes, split_above, returns, since))
-    return found.select("file", "block", "row", F.posexplode("kept").alias("part", "raw")).select(
-        "file", F.struct("block", "row", "part").alias("pos"), "raw"
-    )
+    # outer, as Spark puts a filter before an inner one that would cut and check every text once more
+    listed = found.select("file", "block", "row", F.posexplode_outer("kept").alias("part", "raw"))
+    return listed.where(F.col("part").isNotNull()).select("file", F.struct("block", "row", "part").alias("pos"), "raw")
 
 
 def _texts(
@@ -169,11 +169,14 @@ def _texts(
 
 def _records_of_texts(texts: DataFrame) -> DataFrame:
     """(file, block, row, kept, sound): the records of each text; of one with broken quoting a lone quote is kept."""
-    # Blank records go first, so that the header of a small file is its part 0.
-    given = F.filter(_split("text"), not_blank)
-    sound = ~F.col("text").contains('"') | F.forall(given, lambda r: r.rlike(_RECORD))
-    kept = F.when(sound, given).otherwise(F.array(F.lit('"')))
-    return texts.select("file", "block", "row", kept.alias("kept"), sound.alias("sound"))
+    # Blank records go first, so that the header of a small file is its part 0. A step each, so that a text is cut and
+    # its records are checked once.
+    quoted = F.col("text").contains('"').alias("quoted")
+    given = texts.select("file", "block", "row", quoted, F.filter(_split("text"), not_blank).alias("given"))
+    sound = ~F.col("quoted") | F.forall("given", lambda r: r.rlike(_RECORD))
+    checked = given.select("file", "block", "row", "given", sound.alias("sound"))
+    kept = F.when(F.col("sound"), F.col("given")).otherwise(F.array(F.lit('"')))
+    return checked.select("file", "block", "row", kept.alias("kept"), "sound")
 
 
 def text_stats(texts: DataFrame) -> DataFrame:
@@ -311,35 +314,45 @@ def _assembled(lines: DataFrame, end: str = "\n") -> DataFrame:
     )
 
 
-def _cells(raw: Column) -> Column:
-    """The unquoted values of a record."""
-    pieces = F.regexp_extract_all(F.concat(F.lit(","), raw), F.lit(_CELL), 1)
-    unquoted = F.transform(
+def _pieces(raw: Column) -> Column:
+    """The values of a record as they are written."""
+    return F.regexp_extract_all(F.concat(F.lit(","), raw), F.lit(_CELL), 1)
+
+
+def _unquoted(pieces: Column) -> Column:
+    return F.transform(
         pieces,
         lambda c: F.when(
             c.startswith('"'), F.replace(c.substr(F.lit(2), F.length(c) - 2), F.lit('""'), F.lit('"'))
         ).otherwise(c),
     )
-    return F.when(raw.contains('"'), unquoted).otherwise(F.split(raw, ","))
+
+
+def _cells(raw: Column) -> Column:
+    """The unquoted values of a record."""
+    return F.when(raw.contains('"'), _unquoted(_pieces(raw))).otherwise(F.split(raw, ","))
 
 
 def parse_records(records: DataFrame, max_columns: int | None = None) -> DataFrame:
-    """(file, pos, cells, n_cells, well_quoted, raw): unquoted values; `raw` stays for bad records only.
+    """(file, pos, cells, n_cells, well_quoted, raw) of `raw_records`: unquoted values; `raw` stays for bad records only.
 
+    Records were checked when texts were cut, so a bad one is the lone quote that stands for a file with broken quoting.
     A record of more than `max_columns` cells has no place in an accepted file, so its cells are counted and, unless it
     may be a header, not kept.
     """
-    quoted = F.col("raw").contains('"')
-    pieces = F.regexp_extract_all(F.concat(F.lit(","), F.col("raw")), F.lit(_CELL), 1)
+    raw, pieces = F.col("raw"), F.col("pieces")
     commas = F.length("raw") - F.length(F.replace("raw", F.lit(","), F.lit("")))
-    parsed = records.select(
+    # a step of its own, so that a record is cut once
+    cut = records.select("file", "pos", "raw", F.when(raw.contains('"'), _pieces(raw)).alias("pieces"))
+    parsed = cut.select(
         "file",
         "pos",
         "raw",
-        F.when(quoted, F.size(pieces)).otherwise(commas + 1).alias("n_cells"),
-        (~quoted | F.col("raw").rlike(_RECORD)).alias("well_quoted"),
+        "pieces",
+        F.when(pieces.isNotNull(), F.size(pieces)).otherwise(commas + 1).alias("n_cells"),
+        (raw != '"').alias("well_quoted"),
     )
-    cells = _cells(F.col("raw"))
+    cells = F.when(pieces.isNotNull(), _unquoted(pieces)).otherwise(F.split(raw, ","))
     if max_columns is not None:
         cells = F.when((F.col("n_cells") <= max_columns) | (F.col("pos.part") == 0), cells)
     return parsed.select(

@@ -274,3 +274,14 @@ def test_cells_of_records_that_are_too_wide_are_counted_only(spark, tmp_path):
     assert {r["name"]: (r["verdict"], r["rows"]) for r in verdicts.collect()} == {"wide.csv": ("format", 2), "good.csv": ("ok", 1)}
     counts = csv.file_stats(records)._jdf.queryExecution().executedPlan().toString()
     assert "HashAggregate" in counts
+
+
+def test_texts_and_records_are_cut_once(spark, tmp_path):
+    """A landing cuts each text into records, checks each record and cuts it into cells once."""
+    (tmp_path / "a.csv").write_text('id,note\n1,"a, ""b"""\n2,plain\n')
+    found = csv.parse_records(csv.raw_records(spark, str(tmp_path)))
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    ways = 1 + plan.count("Union")  # small files and large ones
+    assert 0 < plan.count(csv._RECORD) <= ways and 0 < plan.count(csv._CELL) <= ways
+    rows = [(r["cells"], r["n_cells"], r["well_quoted"], r["raw"]) for r in found.orderBy("pos").collect()]
+    assert rows == [(["id", "note"], 2, True, None), (["1", 'a, "b"'], 2, True, None), (["2", "plain"], 2, True, None)]
