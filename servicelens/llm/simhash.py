@@ -202,19 +202,22 @@ def near_links(fps: DataFrame, distance: int = DISTANCE) -> DataFrame:
     """Links (a, b) with a < b that connect all distinct fingerprints `fp` at most `distance` bits apart.
 
     Pairs that meet in a table entry of few fingerprints come as they are, crowded entries as forests.
+
+    Tables and lookups are joined by sorting: Spark takes the lookups, some 32 rows for each fingerprint, for about
+    as small as the stored fingerprints, and would send them all through the driver.
     """
     if distance // SEGMENTS > 1:
         raise ValueError(f"distances beyond {2 * SEGMENTS - 1} need more segments")
     entries = _entries(fps)
     table = entries.groupBy("seg", "key").agg(F.count("*").alias("n"), F.min("fp").alias("only"))
     near = F.bit_count(F.col("fp").bitwiseXOR(F.col("only"))) <= distance
-    met = stored(_probes(fps).join(table, ["seg", "key"]), "lookups")
+    met = stored(_probes(fps).hint("merge").join(table.hint("merge"), ["seg", "key"]), "lookups")
     lonely = met.where((F.col("n") == 1) & near).select("fp", "only")
     few = lonely.select(F.least("fp", "only").alias("a"), F.greatest("fp", "only").alias("b"))
 
     blocks = F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")
     crowded = table.where(F.col("n") > 1).select("seg", "key", blocks)
-    inside = entries.join(crowded, ["seg", "key"]).withColumn(
+    inside = entries.hint("merge").join(crowded.hint("merge"), ["seg", "key"]).withColumn(
         "own", F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int")
     )
     outside = met.where(F.col("n") > 1).select("seg", "key", "fp", blocks)
@@ -256,7 +259,8 @@ def near_duplicates(
     )
     names = named.groupBy("component").agg(F.min("first").alias("component_id"))
     classes = named.join(names, "component").select("fp", "component_id")
-    return found.join(classes, "fp").select(
+    # every fingerprint has a class; a left join never sends the rows, which may be many in a small file, to the driver
+    return found.join(classes, "fp", "left").select(
         F.col("id").alias(id_col),
         F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"),
         "component_id",

@@ -194,6 +194,45 @@ def test_near_duplicate_classes(documents):
     assert simhash.near_duplicates(documents([])).count() == 0
 
 
+@pytest.fixture
+def small_driver(spark):
+    """Tables that Spark takes for smaller than 10 MB may be broadcast, but not if they turn out to have 8 MB."""
+    spark.conf.set("spark.sql.maxBroadcastTableSize", str(8 << 20))
+    yield
+    spark.conf.unset("spark.sql.maxBroadcastTableSize")
+
+
+def test_lookups_do_not_go_through_the_driver(spark, small_driver):
+    """A file of 4,000 fingerprints is small; their lookups, some 32 each, are not."""
+    pair = "inline(array(struct(xxhash64(id) AS fp), struct(xxhash64(id) ^ 5 AS fp)))"
+    fps = simhash.stored(spark.range(2000).selectExpr(pair), "fps")
+    found = [(r["a"], r["b"]) for r in simhash.near_links(fps).collect()]
+    signed = [r["fp"] for r in fps.collect()]
+    pairs = [(min(a, b), max(a, b)) for a, b in zip(signed[::2], signed[1::2])]
+    assert slow_components(found, signed) == slow_components(pairs, signed)
+
+
+def test_entries_do_not_go_through_the_driver(spark, monkeypatch):
+    """Two entries a fingerprint, whatever Spark takes the table for."""
+    plans, plain = [], simhash.stored
+
+    def stored(df, name):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return plain(df, name)
+
+    monkeypatch.setattr(simhash, "stored", stored)
+    links = simhash.near_links(spark.range(100).selectExpr("id AS fp"))
+    plans.append(links._jdf.queryExecution().executedPlan().toString())
+    assert len(plans) == 2 and not any("Broadcast" in p for p in plans)
+
+
+def test_rows_do_not_go_through_the_driver(spark, small_driver):
+    """Repeated rows make a small file and are many."""
+    docs = spark.range(120000).selectExpr("if(id < 100, id, null) AS doc_id", "if(id < 100, concat('text ', id), null) AS text")
+    found = simhash.near_duplicates(docs)
+    assert found.count() == 120000 and found.where("doc_id IS NULL AND component_id IS NULL").count() == 119900
+
+
 def vectors(spark, rows):
     frame = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
     return frame.selectExpr("*", "0 AS rank", "1 AS id", "2 AS score")
